@@ -18,8 +18,6 @@ from millrace.llm.symbols import mix, word_hashes, words_of
 COUNTERS, SLICES = 1 << 20, 16
 #: Entries of the incidence matrix in one block of columns.
 BLOCK_ENTRIES = 400_000
-#: Columns with more documents than this are paired in two rounds.
-WIDE = 24
 #: Most documents whose ids are broadcast to fetch their n-grams; more are joined.
 BROADCAST_IDS = 1_000_000
 _WEIGHTS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -98,27 +96,28 @@ def features(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix binary")
 
 
+def packed(own: np.ndarray) -> bytes:
+    """A sorted set as steps between the first 48 bits of its hashes."""
+    return squeeze(np.diff(own >> np.uint64(16), prepend=np.uint64(0)))
+
+
+def unpacked(payload: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(payload)[0], dtype=np.uint64)
+
+
 def alike(na: np.ndarray, nb: np.ndarray, overlap: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes with such an overlap, or one of at most this, reach the similarity."""
     return 100 * overlap >= percent * (na + nb - overlap)
 
 
 def block_pairs(keys, nodes, sizes, places, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs of documents in the columns of one block, with how many columns they share, after the bounds; and the
-    entries of wide columns, of which only neighbours by size are paired here."""
+    """Pairs of neighbours by size in the columns of one block, with how many columns they share, after the bounds;
+    and all entries of columns that have documents of like size."""
     order = np.lexsort((nodes, sizes, keys))
     keys, nodes, sizes, places = keys[order], nodes[order], sizes[order], places[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(keys)))
     left, right = [], []
-    for m in np.unique(counts[(counts > 1) & (counts <= WIDE)]).tolist():
-        at = first[counts == m]
-        i, j = np.triu_indices(m, 1)
-        left.append((at[:, None] + i).ravel())
-        right.append((at[:, None] + j).ravel())
-    wide = np.repeat(counts > WIDE, counts)
     for step in (1, 2):
-        near = np.flatnonzero(wide[:-step] & (keys[:-step] == keys[step:])) if len(keys) > step else np.zeros(0, np.int64)
+        near = np.flatnonzero(keys[:-step] == keys[step:]) if len(keys) > step else np.zeros(0, np.int64)
         left.append(near)
         right.append(near + step)
     i, j = np.concatenate(left), np.concatenate(right)
@@ -129,15 +128,17 @@ def block_pairs(keys, nodes, sizes, places, percent: int) -> tuple[list[np.ndarr
     by = np.lexsort((b, a))
     a, b = a[by], b[by]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return [a[new], b[new], np.diff(np.append(new, len(a)))], [keys[wide], nodes[wide], sizes[wide], places[wide]]
+    joined = (keys[1:] == keys[:-1]) & alike(sizes[1:], sizes[:-1], np.minimum(sizes[1:], sizes[:-1]), percent)
+    open_ = np.concatenate([[False], joined]) | np.concatenate([joined, [False]]) if len(keys) else np.zeros(0, bool)
+    return [a[new], b[new], np.diff(np.append(new, len(a)))], [keys[open_], nodes[open_], sizes[open_], places[open_]]
 
 
 ENTRY = "a long, b long, shared long, gram long, size long, place long"
 
 
 def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """The product of the incidence matrix of rare n-grams with its transpose, in blocks of columns: (a, b, shared),
-    and entries (gram, a, size, place) of columns too wide to be paired at once."""
+    """The product of the incidence matrix of rare n-grams with its transpose, in blocks of columns: of the pairs in a
+    column, in order of size, the neighbours (a, b, shared); and the entries (gram, a, size, place) that may make more."""
     entries = reps.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     parts = max(8, -(-int(entries) // 8 // BLOCK_ENTRIES))
 
@@ -179,9 +180,10 @@ def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
 ENTRY_NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 
 
-def wide_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs in wide columns of documents that are not yet known to belong together. Columns whose documents are
-    all of one component have none."""
+def open_pairs(entries: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs in a column, within the bounds, of documents that are not yet known to belong together: all of them, or
+    else only neighbours in an order that is random for each column, which join most of a large group of near copies
+    by a few pairs a document. Columns whose documents are all of one component have none."""
     own = entries.join(labels, entries.a == labels.node, "left").select(
         "gram", "a", "size", "place", F.coalesce("component", "a").alias("label")
     )
@@ -190,11 +192,12 @@ def wide_pairs(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame
 
     def pair(table: pa.Table) -> pa.Table:
         node, size, place, label = (table.column(c).to_numpy() for c in ("a", "size", "place", "label"))
-        order = np.argsort(size, kind="stable")
+        chance = mix((node ^ table.column("gram").to_numpy()).view(np.uint64))
+        order = np.argsort(size if every else chance, kind="stable")
         node, size, place, label = node[order], size[order], place[order], label[order]
         found = []
         for i in range(len(node)):
-            stop = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
+            stop = int(np.searchsorted(size, size[i] * 100 // percent, "right")) if every else min(i + 2, len(node))
             j = np.arange(i + 1, stop)
             rest = np.minimum(size[i] - place[i], size[j] - place[j])
             j = j[(label[j] != label[i]) & alike(size[i], size[j], rest, percent)]
@@ -214,14 +217,14 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = [s.tobytes() for s in shingle_sets(Texts(part), n)]
+                found = [packed(s) for s in shingle_sets(Texts(part), n)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["node", "grams"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                x, y = unpacked(x.as_py()), unpacked(y.as_py())
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 overlap = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(bool(alike(len(x), len(y), overlap, percent)))
@@ -252,11 +255,11 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     entries = candidate_pairs(reps, percent)
     pairs = entries.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).select("a", "b")
     links = verified(pairs, docs, n, percent)
-    wide = entries.where("gram is not null")
-    if not wide.isEmpty():
-        more = checkpointed(wide_pairs(wide, components(links), percent))
+    entries = entries.where("gram is not null")
+    for every in (False, True):
+        more = checkpointed(open_pairs(entries, components(links), percent, every))
         if not more.isEmpty():
-            links = links.unionByName(verified(more, docs, n, percent))
+            links = checkpointed(links.unionByName(verified(more, docs, n, percent)))
     own = found.select("doc_id", F.col("sig").alias("own"))
     doubles = own.join(classes, own.own == classes.sig).where("doc_id <> node")
     repeated = doubles.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
