@@ -18,6 +18,8 @@ from millrace.llm.symbols import mix, word_hashes, words_of
 COUNTERS, SLICES = 1 << 20, 16
 #: Entries of the incidence matrix in one block of columns.
 BLOCK_ENTRIES = 400_000
+#: Rounds that pair documents with so many neighbours in a random order, before all open pairs are tried.
+ROUNDS, NEAR = 6, 4
 #: Most documents whose ids are broadcast to fetch their n-grams; more are joined.
 BROADCAST_IDS = 1_000_000
 _WEIGHTS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -180,10 +182,10 @@ def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
 ENTRY_NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 
 
-def open_pairs(entries: DataFrame, labels: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs in a column, within the bounds, of documents that are not yet known to belong together: all of them, or
-    else only neighbours in an order that is random for each column, which join most of a large group of near copies
-    by a few pairs a document. Columns whose documents are all of one component have none."""
+def open_pairs(entries: DataFrame, labels: DataFrame, percent: int, seed: int | None) -> DataFrame:
+    """Pairs in a column, within the bounds, of documents that are not yet known to belong together: all of them, or,
+    with a seed, only near neighbours in an order that is random for each column: a few pairs a document, which join
+    most of a large group of near copies. Columns whose documents are all of one component have none."""
     own = entries.join(labels, entries.a == labels.node, "left").select(
         "gram", "a", "size", "place", F.coalesce("component", "a").alias("label")
     )
@@ -192,13 +194,13 @@ def open_pairs(entries: DataFrame, labels: DataFrame, percent: int, every: bool)
 
     def pair(table: pa.Table) -> pa.Table:
         node, size, place, label = (table.column(c).to_numpy() for c in ("a", "size", "place", "label"))
-        chance = mix((node ^ table.column("gram").to_numpy()).view(np.uint64))
-        order = np.argsort(size if every else chance, kind="stable")
+        chance = mix((node ^ table.column("gram").to_numpy()).view(np.uint64) + np.uint64(seed or 0))
+        order = np.argsort(size if seed is None else chance, kind="stable")
         node, size, place, label = node[order], size[order], place[order], label[order]
         found = []
         for i in range(len(node)):
-            stop = int(np.searchsorted(size, size[i] * 100 // percent, "right")) if every else min(i + 2, len(node))
-            j = np.arange(i + 1, stop)
+            stop = int(np.searchsorted(size, size[i] * 100 // percent, "right")) if seed is None else i + 1 + NEAR
+            j = np.arange(i + 1, min(stop, len(node)))
             rest = np.minimum(size[i] - place[i], size[j] - place[j])
             j = j[(label[j] != label[i]) & alike(size[i], size[j], rest, percent)]
             found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
@@ -256,10 +258,19 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pairs = entries.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).select("a", "b")
     links = verified(pairs, docs, n, percent)
     entries = entries.where("gram is not null")
-    for every in (False, True):
-        more = checkpointed(open_pairs(entries, components(links), percent, every))
-        if not more.isEmpty():
-            links = checkpointed(links.unionByName(verified(more, docs, n, percent)))
+    for seed in (*range(1, ROUNDS + 1), None):
+        more = checkpointed(open_pairs(entries, components(links), percent, seed))
+        tried = more.count()
+        if not tried:
+            break
+        found_links = verified(more, docs, n, percent)
+        links = checkpointed(links.unionByName(found_links))
+        if seed and found_links.count() * 200 < tried:
+            # Few of the open pairs link: what is left is tried whole, at once.
+            more = checkpointed(open_pairs(entries, components(links), percent, None))
+            if not more.isEmpty():
+                links = checkpointed(links.unionByName(verified(more, docs, n, percent)))
+            break
     own = found.select("doc_id", F.col("sig").alias("own"))
     doubles = own.join(classes, own.own == classes.sig).where("doc_id <> node")
     repeated = doubles.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
