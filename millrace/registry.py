@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from millrace.operators import ledger
+
+FAMILIES = (ledger,)
+QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
+ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
