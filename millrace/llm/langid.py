@@ -128,7 +128,7 @@ def learned_samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, most: int = SA
     out = []
     for lang, texts in sorted(found.items()):
         share = -(-most // len(texts))
-        joined = b" ".join(t.lower().encode()[:share].rpartition(b" ")[0] for _, t in sorted(texts))
+        joined = b" ".join(first_words(t.lower().encode(), share) for _, t in sorted(texts))
         if joined.translate(LETTERS.tobytes()).split():
             out.append((lang, joined.translate(LETTERS.tobytes())))
     return tuple(out)
@@ -171,6 +171,11 @@ def identify_language(docs: DataFrame, labelled: DataFrame, unknown: str = "und"
     return docs.mapInArrow(run, schema)
 
 
+def first_words(raw: bytes, most: int) -> bytes:
+    """The words that so many bytes hold, or as much of a longer first one."""
+    return raw if len(raw) <= most else raw[:most].rpartition(b" ")[0] or raw[:most]
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
