@@ -146,7 +146,12 @@ def ask(chunks: DataFrame, request: Callable[[Texts], Iterator[tuple[int, bytes]
     return chunks.select("chunk", "blob").mapInArrow(run, REQUEST)
 
 
-def combine(requests: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+def grouped(requests: DataFrame, parts: int):
+    """Requests by part, dealt to as many tasks: parts are small in bytes but not in work, so they aren't joined."""
+    return requests.repartition(parts, "part").groupBy("part")
+
+
+def combine(requests: DataFrame, parts: int, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """All requests of a part together; ``reply`` returns one payload for each, in their order."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -156,7 +161,7 @@ def combine(requests: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) ->
             list(zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), answers, strict=True)),
         )
 
-    return requests.groupBy("part").applyInArrow(run, REPLY)
+    return grouped(requests, parts).applyInArrow(run, REPLY)
 
 
 def answered(

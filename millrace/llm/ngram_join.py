@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import REQUEST, Texts, checkpointed, slices, squeeze, unsqueeze, with_ids
+from millrace.llm.chunks import REQUEST, Texts, checkpointed, grouped, slices, squeeze, unsqueeze, with_ids
 from millrace.llm.components import components
 from millrace.llm.symbols import mix, word_hashes, words_of
 
@@ -176,7 +176,7 @@ def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
         return pa.concat_tables([pairs, wide])
 
     blocks = reps.select("node", "n_shingles", "prefix").mapInArrow(send, REQUEST)
-    return checkpointed(blocks.groupBy("part").applyInArrow(multiply, ENTRY))
+    return checkpointed(grouped(blocks, parts).applyInArrow(multiply, ENTRY))
 
 
 ENTRY_NAMES = [c.split()[0] for c in ENTRY.split(", ")]

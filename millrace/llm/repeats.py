@@ -66,7 +66,7 @@ class Anchors:
                 out.append(np.packbits(twice[at] == keys if len(twice) else np.zeros(len(keys), bool)).tobytes())
             return out
 
-        return checkpointed(combine(ask(chunks, request), reply).withColumn("kind", F.lit(0)))
+        return checkpointed(combine(ask(chunks, request), self.parts, reply).withColumn("kind", F.lit(0)))
 
     def candidates(self, texts: Texts, bits: dict[int, bytes]):
         """Symbols, bounds, and the places of anchors that occur again, with the part of each."""

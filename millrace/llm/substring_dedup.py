@@ -36,6 +36,8 @@ from millrace.llm.symbols import mix, word_hashes, words_of
 
 #: Words of reference passages in one automaton.
 SHARD_WORDS = 50_000
+#: Text for one part: its distinct passages are held as Python strings.
+PART_BYTES = 12 << 20
 _WEIGHTS = np.random.default_rng(7).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
@@ -133,7 +135,7 @@ def search(passages: Passages, groups: list[list], out: dict) -> None:
 
 def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors, Passages]:
     total = chunks.agg(F.sum("size")).first()[0] or 0
-    anchors = Anchors(length, total, part_count(chunks), word_symbols, across=False)
+    anchors = Anchors(length, total, part_count(chunks, PART_BYTES), word_symbols, across=False)
     passages = Passages(length)
     bits = anchors.repeated(chunks)
 
@@ -158,7 +160,7 @@ def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors, Pa
         bits_of = repeated_offsets(passages, found)
         return [squeeze(np.array([bits_of[k] for k in own], np.uint64)) for own in keys]
 
-    replies = combine(answered(chunks, bits, send, REQUEST), search_all).withColumn("kind", F.lit(1))
+    replies = combine(answered(chunks, bits, send, REQUEST), anchors.parts, search_all).withColumn("kind", F.lit(1))
     return bits.unionByName(replies), anchors, passages
 
 

@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 from millrace.llm.chunks import REQUEST, Texts, answered, combine, make_chunks, part_count, squeeze, unsqueeze, with_ids
 from millrace.llm.repeats import Anchors, by_kind
 
+#: Text for one part: its suffixes are held as Python strings while they are merged.
+PART_BYTES = 6 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -151,7 +153,7 @@ class Suffixes:
 
 def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors, Suffixes]:
     total = chunks.agg(F.sum("size")).first()[0] or 0
-    anchors = Anchors(length, total, part_count(chunks), lambda t: (t.data, t.bounds), across=True)
+    anchors = Anchors(length, total, part_count(chunks, PART_BYTES), lambda t: (t.data, t.bounds), across=True)
     suffixes = Suffixes(length)
     bits = anchors.repeated(chunks)
 
@@ -177,14 +179,16 @@ def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors, Su
         where = np.empty(len(order), np.int64)
         by_run = np.argsort(order, kind="stable")
         where[by_run] = np.arange(len(order))  # rows of each run come in their own order
-        least = suffixes.least_ids(np.concatenate(tables)[where], common, np.concatenate(ids)[where])
-        back = np.empty_like(least)
-        back[:, where] = least
+        rows = np.concatenate(tables)[where]
+        del tables
+        least = suffixes.least_ids(rows, common, np.concatenate(ids)[where])
+        at = np.empty(len(order), np.int64)
+        at[where] = np.arange(len(order))
         return [
-            squeeze(np.diff(back[:, a : a + len(t)], axis=0, prepend=0).ravel()) for a, t in zip(starts, tables, strict=True)
+            squeeze(np.diff(least[:, at[a : a + len(s)]], axis=0, prepend=0).ravel()) for a, s in zip(starts, shared, strict=True)
         ]
 
-    found = combine(answered(chunks, bits, runs, REQUEST), merge).withColumn("kind", F.lit(1))
+    found = combine(answered(chunks, bits, runs, REQUEST), anchors.parts, merge).withColumn("kind", F.lit(1))
     return bits.unionByName(found), anchors, suffixes
 
 
