@@ -12,34 +12,35 @@ from millrace.llm.chunks import checkpointed
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one batch as a star for each of its components."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """Links of one partition as a star for each of its components."""
+    parent: dict[int, int] = {}
 
-        def root(x: int, parent: dict[int, int] = parent) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = parent.setdefault(up, up)
-                x = parent[x]
-            return x
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent.setdefault(up, up)
+            x = parent[x]
+        return x
 
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        stars = [(x, r) for x in parent if (r := root(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], ["a", "b"])
+    stars = [(x, r) for x in parent if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each end of a link (columns a and b, long): the least node that links reach.
 
-    Rounds of large and small stars: every node hands the least of its neighbours to the others, until nothing
-    changes; the number of rounds grows with the logarithm of the longest path. Null ends are left out.
+    Each partition joins what its own links join; then rounds of large and small stars, in which every node hands
+    the least of its neighbours to the others, until nothing changes. The number of rounds grows with the logarithm
+    of the longest path; links so few that they are one partition need none. Null ends are left out.
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    links = checkpointed(links.mapInArrow(_contract, "a long, b long").distinct())
+    links = checkpointed(links.distinct().mapInArrow(_contract, "a long, b long"))
     before = None
-    while True:
+    while links.rdd.getNumPartitions() > 1:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -47,7 +48,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        links = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        links = checkpointed(links.mapInArrow(_contract, "a long, b long"))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
