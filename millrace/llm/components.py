@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.chunks import checkpointed
 
+#: Links that one partition takes: about 50 MB of a task's memory while they are contracted.
+PARTITION_LINKS = 250_000
+
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of one partition as a star for each of its components."""
@@ -35,12 +38,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Each partition joins what its own links join; then rounds of large and small stars, in which every node hands
     the least of its neighbours to the others, until nothing changes. The number of rounds grows with the logarithm
-    of the longest path; links so few that they are one partition need none. Null ends are left out.
+    of the longest path. Contracted links are dealt over as many partitions as their count needs; links so few that
+    they are one partition need no rounds. Null ends are left out.
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b")
     links = checkpointed(links.distinct().mapInArrow(_contract, "a long, b long"))
-    before = None
-    while links.rdd.getNumPartitions() > 1:
+    before, parts = None, links.rdd.getNumPartitions()
+    while parts > 1:
+        needed = max(1, -(-links.count() // PARTITION_LINKS))
+        if needed < parts:
+            links = checkpointed(links.coalesce(needed).mapInArrow(_contract, "a long, b long"))
+            parts = needed
+            continue
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -50,6 +59,7 @@ def components(links: DataFrame) -> DataFrame:
         small = down.join(least, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         links = checkpointed(links.mapInArrow(_contract, "a long, b long"))
+        parts = links.rdd.getNumPartitions()
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
