@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.operators import corpus, graph, ledger, retrieval, sessions
+from millrace.operators import corpus, graph, ledger, passages, retrieval, sessions
 
-FAMILIES = (ledger, corpus, retrieval, graph, sessions)
+FAMILIES = (ledger, corpus, passages, retrieval, graph, sessions)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
