@@ -42,7 +42,9 @@ def components(links: DataFrame) -> DataFrame:
     they are one partition need no rounds. Null ends are left out.
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    links = checkpointed(links.distinct().mapInArrow(_contract, "a long, b long"))
+    links = checkpointed(links.distinct())
+    parts = max(1, -(-links.count() // PARTITION_LINKS))
+    links = checkpointed(links.coalesce(parts).mapInArrow(_contract, "a long, b long"))
     before, parts = None, links.rdd.getNumPartitions()
     while parts > 1:
         needed = max(1, -(-links.count() // PARTITION_LINKS))

@@ -18,8 +18,12 @@ from millrace.llm.symbols import mix, word_hashes, words_of
 COUNTERS, SLICES = 1 << 20, 16
 #: Entries of the incidence matrix in one block of columns.
 BLOCK_ENTRIES = 400_000
-#: Rounds that pair documents with so many neighbours in a random order, before all open pairs are tried.
-ROUNDS, NEAR = 6, 4
+#: Neighbours in a random order that a document is held against, before all open pairs are.
+NEAR = 64
+#: Bits of a set's parity sketch. Two sketches differ in no more bits than the sets do in n-grams.
+PARITY_BITS = 512
+#: Documents whose pairs one task compares, at least.
+TASK_IDS = 500
 #: Most documents whose ids are broadcast to fetch their n-grams; more are joined.
 BROADCAST_IDS = 1_000_000
 _WEIGHTS = np.random.default_rng(11).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -74,15 +78,15 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, sig, prefix): the set's size, a digest of it, and its rarest n-grams: so many that two
-    sets that agree enough share one of them."""
+    """(doc_id, n_shingles, sig, prefix, odd): the set's size, a digest of it, its rarest n-grams (so many that two
+    sets that agree enough share one of them), and for each value of its hashes' last bits the parity of their count."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value.astype(np.uint64) << np.uint64(56)
         for batch in batches:
             for part in slices(batch):
-                sizes, sigs, prefixes = [], [], []
+                sizes, sigs, prefixes, odds = [], [], [], []
                 for own in shingle_sets(Texts(part), n):
                     keys = level[(own >> np.uint64(44)).astype(np.int64)] | (own >> np.uint64(8))
                     keep = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
@@ -90,12 +94,14 @@ def features(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataF
                     sizes.append(len(own))
                     sigs.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     prefixes.append(first.tobytes())
+                    last = (own & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+                    odds.append(np.packbits(np.bincount(last, minlength=PARITY_BITS) & 1).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(prefixes, pa.binary())],
-                    ["doc_id", "n_shingles", "sig", "prefix"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (sigs, prefixes, odds))],
+                    ["doc_id", "n_shingles", "sig", "prefix", "odd"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix binary, odd binary")
 
 
 def packed(own: np.ndarray) -> bytes:
@@ -182,30 +188,45 @@ def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
 ENTRY_NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 
 
-def open_pairs(entries: DataFrame, labels: DataFrame, percent: int, seed: int | None) -> DataFrame:
+def open_pairs(entries: DataFrame, odds: DataFrame, labels: DataFrame, percent: int, seed: int | None) -> DataFrame:
     """Pairs in a column, within the bounds, of documents that are not yet known to belong together: all of them, or,
-    with a seed, only near neighbours in an order that is random for each column: a few pairs a document, which join
-    most of a large group of near copies. Columns whose documents are all of one component have none."""
-    own = entries.join(labels, entries.a == labels.node, "left").select(
-        "gram", "a", "size", "place", F.coalesce("component", "a").alias("label")
-    )
+    with a seed, for each document the most alike of its near neighbours in an order that is random for each column,
+    which joins most of a large group of near copies. The bounds are those of sizes, of places, and of the bits in
+    which parity sketches (odds: node, odd) differ. Columns whose documents are all of one component have no pairs."""
+    known = odds.join(labels, "node", "left").select("node", "odd", F.coalesce("component", "node").alias("label"))
+    own = entries.join(known, entries.a == known.node).select("gram", "a", "size", "place", "label", "odd")
     mixed = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
     own = own.join(mixed, "gram", "left_semi")
 
     def pair(table: pa.Table) -> pa.Table:
         node, size, place, label = (table.column(c).to_numpy() for c in ("a", "size", "place", "label"))
+        odd = np.frombuffer(b"".join(x.as_py() for x in table.column("odd")), np.uint64).reshape(len(node), -1)
         chance = mix((node ^ table.column("gram").to_numpy()).view(np.uint64) + np.uint64(seed or 0))
         order = np.argsort(size if seed is None else chance, kind="stable")
-        node, size, place, label = node[order], size[order], place[order], label[order]
-        found = []
-        for i in range(len(node)):
-            stop = int(np.searchsorted(size, size[i] * 100 // percent, "right")) if seed is None else i + 1 + NEAR
-            j = np.arange(i + 1, min(stop, len(node)))
+        node, size, place, label, odd = node[order], size[order], place[order], label[order], odd[order]
+
+        def likely(i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Of pairs (i, j) those that the bounds leave, with the bits in which they differ."""
             rest = np.minimum(size[i] - place[i], size[j] - place[j])
-            j = j[(label[j] != label[i]) & alike(size[i], size[j], rest, percent)]
-            found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+            good = (label[i] != label[j]) & alike(size[i], size[j], rest, percent)
+            i, j = i[good], j[good]
+            apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            good = alike(size[i], size[j], (size[i] + size[j] - apart) // 2, percent)
+            return i[good], j[good], apart[good]
+
+        all_of = np.arange(len(node))
+        if seed is None:
+            stops = np.searchsorted(size, size * 100 // percent, "right")
+            found = [likely(np.full(stop - i - 1, i), all_of[i + 1 : stop]) for i, stop in enumerate(stops.tolist()) if stop > i + 1]
+        else:
+            found = [likely(all_of[:-step], all_of[step:]) for step in range(1, min(NEAR + 1, len(node)))]
+        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (all_of[:0],) * 3
+        if seed is not None:
+            by = np.lexsort((apart, i))
+            i, j = i[by], j[by]
+            best = np.flatnonzero(np.diff(i, prepend=-1))
+            i, j = i[best], j[best]
+        return pa.table({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j]))})
 
     return own.groupBy("gram").applyInArrow(pair, "a long, b long").distinct()
 
@@ -213,7 +234,8 @@ def open_pairs(entries: DataFrame, labels: DataFrame, percent: int, seed: int |
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose whole sets reach the similarity. Sets are fetched for these documents only."""
     ids = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    count = ids.count()
+    few = count <= BROADCAST_IDS
     own = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +257,8 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     grams = checkpointed(own.mapInArrow(sets, "node long, grams binary"))
     joined = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     joined = joined.join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    return checkpointed(joined.select("a", "b", "ga", "gb").mapInArrow(compare, "a long, b long"))
+    joined = joined.select("a", "b", "ga", "gb").coalesce(max(8, count // TASK_IDS))
+    return checkpointed(joined.mapInArrow(compare, "a long, b long"))
 
 
 def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -250,7 +273,7 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sketch = frequency_sketch(docs, n)
     found = checkpointed(features(docs, n, percent, sketch))
     classes = checkpointed(found.where("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")))
-    reps = found.select("doc_id", "sig", "n_shingles", "prefix").join(
+    reps = found.select("doc_id", "sig", "n_shingles", "prefix", "odd").join(
         classes.select("sig", F.col("node").alias("doc_id")), ["sig", "doc_id"], "left_semi"
     )
     reps = reps.withColumnRenamed("doc_id", "node").dropDuplicates(["sig"])
@@ -258,22 +281,14 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pairs = entries.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).select("a", "b")
     links = verified(pairs, docs, n, percent)
     entries = entries.where("gram is not null")
-    for seed in (*range(1, ROUNDS + 1), None):
+    odds = checkpointed(reps.select("node", "odd").join(entries.select(F.col("a").alias("node")), "node", "left_semi"))
+    for seed in (1, 2, None):
         labels = components(links)
         # Stars say what all links so far say, in fewer rows and partitions.
         links = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        more = checkpointed(open_pairs(entries, labels, percent, seed))
-        tried = more.count()
-        if not tried:
-            break
-        found_links = verified(more, docs, n, percent)
-        links = checkpointed(links.unionByName(found_links))
-        if seed and found_links.count() * 200 < tried:
-            # Few of the open pairs link: what is left is tried whole, at once.
-            more = checkpointed(open_pairs(entries, components(links), percent, None))
-            if not more.isEmpty():
-                links = checkpointed(links.unionByName(verified(more, docs, n, percent)))
-            break
+        more = checkpointed(open_pairs(entries, odds, labels, percent, seed))
+        if not more.isEmpty():
+            links = checkpointed(links.unionByName(verified(more, docs, n, percent)))
     own = found.select("doc_id", F.col("sig").alias("own"))
     doubles = own.join(classes, own.own == classes.sig).where("doc_id <> node")
     repeated = doubles.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
