@@ -22,6 +22,8 @@ BLOCK_ENTRIES = 400_000
 NEAR = 64
 #: Bits of a set's parity sketch. Two sketches differ in no more bits than the sets do in n-grams.
 PARITY_BITS = 512
+#: Entries, each with its document's sketch, in one block of columns that are still open.
+OPEN_ENTRIES = 100_000
 #: Documents whose pairs one task compares, at least.
 TASK_IDS = 500
 #: Most documents whose ids are broadcast to fetch their n-grams; more are joined.
@@ -188,39 +190,39 @@ def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
 ENTRY_NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 
 
-def open_pairs(entries: DataFrame, odds: DataFrame, labels: DataFrame, percent: int, seed: int | None) -> DataFrame:
+def open_pairs(entries: DataFrame, odds: DataFrame, labels: DataFrame, percent: int, seed: int | None, blocks: int) -> DataFrame:
     """Pairs in a column, within the bounds, of documents that are not yet known to belong together: all of them, or,
     with a seed, for each document the most alike of its near neighbours in an order that is random for each column,
     which joins most of a large group of near copies. The bounds are those of sizes, of places, and of the bits in
     which parity sketches (odds: node, odd) differ. Columns whose documents are all of one component have no pairs."""
     known = odds.join(labels, "node", "left").select("node", "odd", F.coalesce("component", "node").alias("label"))
-    own = entries.join(known, entries.a == known.node).select("gram", "a", "size", "place", "label", "odd")
-    mixed = own.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
-    own = own.join(mixed, "gram", "left_semi")
+    own = entries.join(known, entries.a == known.node).withColumn("block", F.pmod("gram", F.lit(blocks)))
 
     def pair(table: pa.Table) -> pa.Table:
-        node, size, place, label = (table.column(c).to_numpy() for c in ("a", "size", "place", "label"))
+        gram, node, size, place, label = (table.column(c).to_numpy() for c in ("gram", "a", "size", "place", "label"))
         odd = np.frombuffer(b"".join(x.as_py() for x in table.column("odd")), np.uint64).reshape(len(node), -1)
-        chance = mix((node ^ table.column("gram").to_numpy()).view(np.uint64) + np.uint64(seed or 0))
-        order = np.argsort(size if seed is None else chance, kind="stable")
-        node, size, place, label, odd = node[order], size[order], place[order], label[order], odd[order]
-
-        def likely(i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Of pairs (i, j) those that the bounds leave, with the bits in which they differ."""
+        chance = mix((node ^ gram).view(np.uint64) + np.uint64(seed or 0))
+        order = np.lexsort((size if seed is None else chance, gram))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(gram[order]) != 0]))
+        mixed = np.minimum.reduceat(label[order], starts) != np.maximum.reduceat(label[order], starts)
+        order = order[np.repeat(mixed, np.diff(starts, append=len(order)))]
+        gram, node, size, place, label, odd = gram[order], node[order], size[order], place[order], label[order], odd[order]
+        found, left, step = [], np.arange(len(order)), 1
+        while len(left) and (seed is None or step <= NEAR):
+            left = left[left + step < len(order)]
+            left = left[gram[left] == gram[left + step]]
+            if seed is None:
+                # In order of size, a document too large for this one is followed by larger ones only.
+                left = left[percent * size[left + step] <= 100 * size[left]]
+            i, j = left, left + step
             rest = np.minimum(size[i] - place[i], size[j] - place[j])
             good = (label[i] != label[j]) & alike(size[i], size[j], rest, percent)
             i, j = i[good], j[good]
             apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
             good = alike(size[i], size[j], (size[i] + size[j] - apart) // 2, percent)
-            return i[good], j[good], apart[good]
-
-        all_of = np.arange(len(node))
-        if seed is None:
-            stops = np.searchsorted(size, size * 100 // percent, "right")
-            found = [likely(np.full(stop - i - 1, i), all_of[i + 1 : stop]) for i, stop in enumerate(stops.tolist()) if stop > i + 1]
-        else:
-            found = [likely(all_of[:-step], all_of[step:]) for step in range(1, min(NEAR + 1, len(node)))]
-        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (all_of[:0],) * 3
+            found.append((i[good], j[good], apart[good]))
+            step += 1
+        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.arange(0),) * 3
         if seed is not None:
             by = np.lexsort((apart, i))
             i, j = i[by], j[by]
@@ -228,7 +230,8 @@ def open_pairs(entries: DataFrame, odds: DataFrame, labels: DataFrame, percent:
             i, j = i[best], j[best]
         return pa.table({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j]))})
 
-    return own.groupBy("gram").applyInArrow(pair, "a long, b long").distinct()
+    own = own.select("block", "gram", "a", "size", "place", "label", "odd")
+    return own.groupBy("block").applyInArrow(pair, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -281,12 +284,13 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pairs = entries.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).select("a", "b")
     links = verified(pairs, docs, n, percent)
     entries = entries.where("gram is not null")
+    blocks = max(64, -(-entries.count() // OPEN_ENTRIES))
     odds = checkpointed(reps.select("node", "odd").join(entries.select(F.col("a").alias("node")), "node", "left_semi"))
     for seed in (1, 2, None):
         labels = components(links)
         # Stars say what all links so far say, in fewer rows and partitions.
         links = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        more = checkpointed(open_pairs(entries, odds, labels, percent, seed))
+        more = checkpointed(open_pairs(entries, odds, labels, percent, seed, blocks))
         if not more.isEmpty():
             links = checkpointed(links.unionByName(verified(more, docs, n, percent)))
     own = found.select("doc_id", F.col("sig").alias("own"))
