@@ -1,7 +1,8 @@
 """Operator 6: scores of texts by a causal self-attention model over subword ids, and by counts of words.
 
 The model: one layer of attention over the last tokens predicts the class of the next; within its class a token
-has its share of the counts over all training documents. So only the weights are fitted on a bounded sample.
+has its share of the counts over all training documents. The weights are fitted on all of these too: in each epoch
+every chunk goes on from the same weights over its whole training texts, and the results are averaged by their tokens.
 """
 
 from __future__ import annotations
@@ -19,13 +20,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from millrace.llm.bpe import _encoder, rank_file
-from millrace.llm.chunks import REQUEST, Texts, answered, checkpointed, grouped, make_chunks, part_count, rows_of, spread, squeeze, unsqueeze, with_ids
+from millrace.llm.chunks import REQUEST, REQUEST_ARROW, Texts, answered, checkpointed, grouped, make_chunks, part_count, rows_of, spread, squeeze, unsqueeze, with_ids
 from millrace.llm.langid import held_out
 from millrace.llm.symbols import LOWER, word_hashes, words_of
 from millrace.llm.wordtokens import WordTokens
 
-#: Bounds of what the weights are fitted on: training documents, and tokens of each.
-SAMPLE_DOCS, SAMPLE_TOKENS = 400, 2_000
 #: Tokens scored in a window, after as many of context; width of the model; classes; tokens with an embedding each.
 HALF, WIDTH, CLASSES, SLOTS = 16, 16, 32, 2048
 EPOCHS, RATE, BATCH = 3, 0.01, 1024
@@ -116,23 +115,20 @@ class Attention:
         logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
         return logits, (keys, q, k, v, scores, h)
 
-    def fit(self, slots: np.ndarray, kinds: np.ndarray, follows: np.ndarray) -> None:
-        """Adam on the cross entropy of classes (-1: none), over all rows in a fixed random order."""
+    def fit(self, slots: np.ndarray, kinds: np.ndarray, follows: np.ndarray, seed: int = 3) -> None:
+        """Adam on the cross entropy of classes (-1: none), once over all rows in a fixed random order."""
         before = np.roll(slots, 1, axis=0)
         first = {k: np.zeros_like(x) for k, x in self.w.items()}
         second = {k: np.zeros_like(x) for k, x in self.w.items()}
-        rng, step = np.random.default_rng(3), 0
-        for _ in range(EPOCHS):
-            order = rng.permutation(len(slots))
-            for at in range(0, len(order), BATCH):
-                rows = np.sort(order[at : at + BATCH])
-                gradient = self.gradient(slots[rows], before[rows], follows[rows], kinds[rows])
-                step += 1
-                for k, g in gradient.items():
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.01 * (g * g - second[k])
-                    change = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-                    self.w[k] -= RATE * change
+        order = np.random.default_rng(seed).permutation(len(slots))
+        for step, at in enumerate(range(0, len(order), BATCH), 1):
+            rows = np.sort(order[at : at + BATCH])
+            gradient = self.gradient(slots[rows], before[rows], follows[rows], kinds[rows])
+            for k, g in gradient.items():
+                first[k] += 0.1 * (g - first[k])
+                second[k] += 0.01 * (g * g - second[k])
+                change = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+                self.w[k] -= RATE * change
 
     def gradient(self, now, before, follows, kinds) -> dict[str, np.ndarray]:
         logp, (keys, q, k, v, a, h) = self.forward(now, before, follows)
@@ -144,13 +140,12 @@ class Attention:
         da = dh @ v.transpose(0, 2, 1)
         ds = a * (da - (da * a).sum(axis=2, keepdims=True))
         out = {
-            "out": np.einsum("bid,bic->dc", h, d), "bias": d.sum(axis=(0, 1)),
+            "out": h.reshape(-1, WIDTH).T @ d.reshape(-1, CLASSES), "bias": d.sum(axis=(0, 1)),
             "distance": np.bincount(DISTANCE.ravel(), ds.sum(axis=0).ravel(), 2 * HALF).astype(np.float32),
         }
         for name, at, g in (("e", now, dh), ("q", now, ds @ k), ("k", keys, ds.transpose(0, 2, 1) @ q), ("v", keys, a.transpose(0, 2, 1) @ dh)):
-            total = np.zeros_like(self.w[name])
-            np.add.at(total, at.ravel(), g.reshape(-1, WIDTH))
-            out[name] = total
+            at, g = at.ravel(), g.reshape(-1, WIDTH)
+            out[name] = np.stack([np.bincount(at, g[:, j], SLOTS) for j in range(WIDTH)], axis=1).astype(self.w[name].dtype)
         return out
 
     def log10(self, vocabulary: Vocabulary, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -172,6 +167,39 @@ class Attention:
         return np.add.reduceat(total, np.cumsum(rows) - rows) if len(rows) else np.zeros(0)
 
 
+def trained(model: Attention, vocabulary: Vocabulary, tokens: DataFrame) -> Attention:
+    """The model after EPOCHS rounds over all packed training tokens (payload: ids, and how many each text has).
+
+    A round's result is the mean of the chunks' weights by their tokens, so it doesn't depend on which task has which
+    chunk. It is summed in a tree: one set of weights for each task, and few of these at the driver.
+    """
+    context, rows = tokens.sparkSession.sparkContext, tokens.select("payload").rdd
+    words, end = context.broadcast(vocabulary), len(vocabulary.kind) - 1
+    for epoch in range(EPOCHS):
+        now = context.broadcast(model)
+
+        def learn(part, now=now, epoch=epoch):
+            total, weights = 0, None
+            for row in part:
+                ids, sizes = unsqueeze(bytes(row.payload))
+                inputs, targets, follows = blocks_of(ids.astype(np.int64), sizes, end)
+                kinds = np.where(targets >= 0, words.value.kind[np.maximum(targets, 0)], -1)
+                own = Attention()
+                own.w = {k: x.copy() for k, x in now.value.w.items()}
+                own.fit(words.value.slot[inputs], kinds, follows, epoch)
+                n = len(ids) + len(sizes)
+                mine = {k: n * x.astype(np.float64) for k, x in own.w.items()}
+                total, weights = total + n, mine if weights is None else {k: x + mine[k] for k, x in weights.items()}
+            if total:
+                yield total, weights
+
+        total, weights = rows.mapPartitions(learn).treeReduce(lambda a, b: (a[0] + b[0], {k: x + b[1][k] for k, x in a[1].items()}))
+        model = Attention()
+        model.w = {k: (x / total).astype(np.float32) for k, x in weights.items()}
+        now.destroy()
+    return model
+
+
 RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -196,16 +224,22 @@ def attention_scores(docs: DataFrame, ranks_path: str) -> DataFrame:
                 texts = Texts.of_blob(blob.as_py())
                 words, training = ChunkWords(texts), np.array(texts.table.column("training"))
                 counts = np.bincount(words.inverse, np.repeat(training, np.diff(words.bounds)), len(words.keys)).astype(np.int64)
-                ids, sizes = subwords.tokens(subwords.numbers(words.distinct))
+                numbers = subwords.numbers(words.distinct)
+                ids, sizes = subwords.tokens(numbers)
                 total += np.bincount(ids, np.repeat(counts, sizes), size).astype(np.int64)
                 total[-1] += int(training.sum())
+                if training.any():
+                    doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
+                    mine, each = subwords.tokens(numbers[words.inverse[training[doc]]])
+                    lengths = np.bincount(doc[training[doc]], each, len(texts))[training].astype(np.int64)
+                    yield from rows_of(REQUEST_ARROW, [(-2, chunk, squeeze(mine, lengths))]).to_batches()
                 at = spread(words.keys, 63, parts)
                 rows = [
                     (p, chunk, squeeze(np.diff(words.keys[lo:hi], prepend=np.uint64(0)), counts[lo:hi]))
                     for p, (lo, hi) in enumerate(zip(at, at[1:], strict=False))
                     if hi > lo
                 ]
-                yield from rows_of(pa.schema([("part", pa.int32()), ("chunk", pa.string()), ("payload", pa.binary())]), rows).to_batches()
+                yield from rows_of(REQUEST_ARROW, rows).to_batches()
         if total.any():
             yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "chunk": [""], "payload": [squeeze(total)]})
 
@@ -221,21 +255,16 @@ def attention_scores(docs: DataFrame, ranks_path: str) -> DataFrame:
         rows = [(c, part, squeeze(total[inverse[a:b]]), 0, 0) for c, a, b in zip(table.column("chunk").to_pylist(), at, at[1:], strict=False)]
         return rows_of(COUNTS, [*rows, (None, part, None, int(total.sum()), int((total > 0).sum()))])
 
-    requests = chunks.select("chunk", "blob").mapInArrow(send, REQUEST)
-    counted = checkpointed(grouped(requests, parts).applyInArrow(add, "chunk string, part int, payload binary, n long, v long"))
+    requests = checkpointed(chunks.select("chunk", "blob").mapInArrow(send, REQUEST))
+    counted = checkpointed(grouped(requests.where("part >= -1"), parts).applyInArrow(add, "chunk string, part int, payload binary, n long, v long"))
     of_words = counted.where("chunk is null").agg(F.sum("n"), F.sum("v")).first()
     found = counted.where("part = -1").select("payload").collect()
     of_tokens = unsqueeze(found[0][0])[0] if found else np.zeros(size, np.int64)
     ends = int(of_tokens[-1])
     n, v = (of_words[0] or 0) + ends, (of_words[1] or 0) + (ends > 0)
     vocabulary, model = Vocabulary.of_counts(of_tokens), Attention()
-    sample = docs.where("training and text is not null").select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
-    texts = [r.text for r in sample.orderBy("h", "t").limit(SAMPLE_DOCS).collect()]
-    if texts:
-        own = _subwords(ranks.value)
-        ids = [own.tokens(own.numbers([w.translate(LOWER.tobytes()) for w in t.encode().split()]))[0][:SAMPLE_TOKENS] for t in texts]
-        inputs, targets, follows = blocks_of(np.concatenate(ids).astype(np.int64), np.array(list(map(len, ids))), size - 1)
-        model.fit(vocabulary.slot[inputs], np.where(targets >= 0, vocabulary.kind[np.maximum(targets, 0)], -1), follows)
+    if ends:
+        model = trained(model, vocabulary, requests.where("part = -2"))
     learned = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
     schema = StructType([*docs.select(F.col("doc_id").cast("long"), "training").schema.fields, *StructType.fromDDL(RESULT).fields])
     arrow = to_arrow_schema(schema)

@@ -224,6 +224,21 @@ def test_attention_gradient_is_right():
         assert abs((up - down) / 2e-4 - gradient[name][at]) < 1e-4
 
 
+def test_attention_learns_from_every_training_text_to_its_end(spark):
+    def score(texts):
+        rows = [(i, t, True) for i, t in enumerate(texts)] + [(9999, "red green blue red green blue", False)]
+        found = attention_scores(spark.createDataFrame(rows, "doc_id long, text string, training boolean").coalesce(1), RANKS)
+        return found.where("doc_id = 9999").first().score
+
+    # Orders of words that leave all counts as they are: only what the weights learn from can tell them apart.
+    head, tail = ["same"] * 3000, ["red", "green", "blue"] * 400
+    assert abs(score([" ".join(head + tail)]) - score([" ".join(head + sorted(tail))])) > 1e-6
+    hashes = spark.range(450).selectExpr("id", "xxhash64(id) AS h").orderBy("h").collect()
+    texts = {r.id: "red green blue " * 3 for r in hashes}
+    last = {**texts, **{r.id: "blue blue blue green green green red red red" for r in hashes[400:]}}
+    assert abs(score([texts[i] for i in range(450)]) - score([last[i] for i in range(450)])) > 1e-6
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_rows_equal_sql(spark, duck, name):
     df, other = queries.QUERIES[name](spark, DATA), duck.sql(queries.ORACLE_SQL[name])
