@@ -22,6 +22,11 @@ def hashed(text: Column) -> Column:
     return F.md5(normal(text))
 
 
+def words(text: Column) -> Column:
+    """A hash of each word of the normal form."""
+    return F.transform(F.filter(F.split(normal(text), " "), lambda word: word != ""), lambda word: F.xxhash64(word))
+
+
 def _body(lines: str) -> Column:
     """Lines outside quotations, without those that announce one."""
     quoted = lambda line: F.coalesce(line, F.lit("")).rlike(MARKS)
@@ -33,7 +38,8 @@ def _body(lines: str) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, first, hash): each run of lines quoted equally deep, where it begins, and its hash."""
+    """(conv_id, turn, level, first, hash, n, key): each run of lines quoted equally deep, where it begins, the hash of
+    its text, how many words it has and the hash of these."""
     lines = messages.where(F.col("text").rlike("(?m)" + MARKS)).select("conv_id", "turn", F.posexplode("lines").alias("at", "line"))
     marks = F.regexp_extract("line", MARKS, 0)
     lines = lines.select("conv_id", "turn", "at", F.length(F.regexp_replace(marks, r"[ \t]", "")).alias("level"), F.regexp_replace("line", MARKS, "").alias("line"))
@@ -41,14 +47,26 @@ def passages(messages: DataFrame) -> DataFrame:
     same = Window.partitionBy("conv_id", "turn", "level").orderBy("at")
     runs = lines.where("level > 0").withColumn("run", F.col("at") - F.row_number().over(same))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ")
-    return runs.groupBy("conv_id", "turn", "level", "run").agg(F.min("at").alias("first"), hashed(text).alias("hash")).drop("run")
+    found = runs.groupBy("conv_id", "turn", "level", "run").agg(F.min("at").alias("first"), text.alias("said")).withColumn("words", words(F.col("said")))
+    return found.select("conv_id", "turn", "level", "first", hashed(F.col("said")).alias("hash"), F.size("words").alias("n"), F.xxhash64("words").alias("key"))
+
+
+def in_a_row(messages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv_id, n, key, within): the first message whose body has n words of this key in a row, for each n that a
+    wanted passage of the conversation has. One row for each run of words, never one for each pair of messages."""
+    lengths = wanted.where("n > 0").groupBy("conv_id").agg(F.collect_set("n").alias("lengths"))
+    said = messages.where("body <> ''").select("conv_id", "turn", words(F.col("body")).alias("words")).join(lengths, "conv_id")
+    said = said.select("conv_id", "turn", "words", F.explode(F.filter("lengths", lambda n: n <= F.size("words"))).alias("n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1), lambda i: F.xxhash64(F.slice("words", i, F.col("n"))))
+    return said.select("conv_id", "turn", "n", F.explode(runs).alias("key")).groupBy("conv_id", "n", "key").agg(F.min("turn").alias("within"))
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
     """Messages without their quotations, linked to what they quote.
 
     Parses nested levels of ">", hashes each quoted passage in normal form, and joins it to the first message of the
-    same conversation whose body, or one line of it, reads so, if that came before. Returns the messages' columns
+    same conversation whose body, or one line of it, reads so, if that came before; else to the first earlier one whose
+    body has its words in a row (some of its lines, part of a line, wrapped or not). Returns the messages' columns
     with body (text outside quotations), n_quotes, n_linked, max_level, parent_turn (what the least deep, first
     linked passage quotes) and thread_turn (where the chain of parents begins; a message without a parent begins its
     own), partitioned and sorted by conv_id, thread_turn, turn: each thread from its beginning, replies after what
@@ -63,7 +81,11 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", F.explode(F.array_distinct(F.concat(F.array("body"), F.split("body", "\n")))).alias("said")
     )
     said = said.where(normal(F.col("said")) != "").groupBy("conv_id", hashed(F.col("said")).alias("hash")).agg(F.min("turn").alias("origin"))
-    linked = quotes.join(said, ["conv_id", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    earlier = lambda c: F.when(F.col(c) < F.col("turn"), F.col(c))
+    linked = checkpointed(quotes.join(said, ["conv_id", "hash"], "left").withColumn("origin", earlier("origin")))
+    partial = linked.where("origin is null and n > 0")
+    if not partial.isEmpty():
+        linked = linked.join(in_a_row(messages, partial), ["conv_id", "n", "key"], "left").withColumn("origin", F.coalesce("origin", earlier("within")))
     counted = linked.groupBy("conv_id", "turn").agg(
         F.count("*").alias("n_quotes"),
         F.count("origin").alias("n_linked"),

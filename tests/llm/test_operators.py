@@ -285,6 +285,21 @@ def test_quotations(spark):
     assert found[1, 4].parent_turn is None and found[1, 4].n_quotes == 1 and found[2, 0].parent_turn is None
 
 
+def test_quotations_of_a_part(spark):
+    rows = [
+        (1, 0, "user", "First line here.\nSecond  line.\nThird one that is long enough to wrap\nLast."), (1, 1, "assistant", "Second line. Third"),
+        (1, 2, "user", "> first line here.\n> second line.\nYes"), (1, 3, "user", "> Third one that\n> is long\nAh"),
+        (1, 4, "user", "> Second line. Third\nA whole body goes first"), (1, 5, "user", "> line here. Third one\nNot in a row"),
+        (1, 6, "user", "> irst line here.\nPart of a word"), (1, 7, "user", "> comes later\nHm"), (1, 8, "user", "This comes later indeed"),
+        (2, 0, "user", "x"), (2, 1, "user", "> First line here.\n> Second line.\nElsewhere"), (2, 2, "user", ">\n> \nNothing"),
+    ]
+    found = {(r.conv_id, r.turn): r for r in link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(found) == len(rows)
+    assert [found[1, k].parent_turn for k in range(9)] == [None, None, 0, 0, 1, None, None, None, None]
+    assert [found[1, k].n_linked for k in range(9)] == [0, 0, 1, 1, 1, 0, 0, 0, 0] and found[1, 2].thread_turn == 0
+    assert found[2, 1].parent_turn is None and found[2, 2].parent_turn is None
+
+
 def test_empty_tables(docs):
     none = docs.limit(0)
     assert suffix_dedup(none).count() == substring_dedup(none).count() == ngram_jaccard(none).count() == 0
