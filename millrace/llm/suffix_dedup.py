@@ -11,6 +11,7 @@ order and its common prefixes follows, for each suffix and each offset, the leas
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql.types import StructType
 from millrace.llm.chunks import REQUEST, Texts, answered, combine, make_chunks, part_count, squeeze, unsqueeze, with_ids
 from millrace.llm.repeats import Anchors, by_kind
 
-#: Text for one part: its suffixes are held as Python strings while they are merged.
-PART_BYTES = 6 << 20
+#: Text for one part, and how many of its suffixes are merged at a time, as Python strings.
+PART_BYTES, RANGE_ROWS = 6 << 20, 20_000
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -151,6 +152,30 @@ class Suffixes:
         return out
 
 
+def ranges(tables: list[np.ndarray], k: int) -> Iterator[list[tuple[int, int]]]:
+    """Where sorted tables are cut so that about RANGE_ROWS of their rows are taken at a time, from all tables alike.
+    Rows that share their first ``k`` bytes are never parted: no shorter agreement counts."""
+    heads = [np.ascontiguousarray(t[:, :k]).view(f"S{k}").ravel() for t in tables]
+    step = max(1, RANGE_ROWS // max(1, 4 * len(tables)))
+    sample = np.sort(np.concatenate([h[::step] for h in heads]))
+    pivots = np.unique(sample[:: max(1, RANGE_ROWS // step)])[1:]
+    cuts = [[0, *np.searchsorted(h, pivots).tolist(), len(h)] for h in heads]
+    for i in range(len(pivots) + 1):
+        yield [(c[i], c[i + 1]) for c in cuts]
+
+
+def merged_ids(tables: list[np.ndarray], ids: list[np.ndarray], suffixes: Suffixes) -> list[bytes]:
+    """For each table of sorted rows: the least ids of its rows' windows by offset, over all tables, packed."""
+    strings = [t.view(f"S{suffixes.width}").ravel().tolist() for t in tables]
+    order, common = merged(strings, [front_coded(t)[0].tolist() for t in tables], suffixes.width)
+    del strings
+    at = np.argsort(order, kind="stable")  # rows of each run come in their own order
+    rows = np.argsort(at)
+    least = suffixes.least_ids(np.concatenate(tables)[rows], common, np.concatenate(ids)[rows])
+    starts = np.cumsum([0, *map(len, tables)]).tolist()
+    return [squeeze(np.diff(least[:, at[a:b]], axis=0, prepend=0).ravel()) for a, b in zip(starts, starts[1:], strict=False)]
+
+
 def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors, Suffixes]:
     total = chunks.agg(F.sum("size")).first()[0] or 0
     anchors = Anchors(length, total, part_count(chunks, PART_BYTES), lambda t: (t.data, t.bounds), across=True)
@@ -166,27 +191,17 @@ def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors, Su
         return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.binary())], ["part", "chunk", "payload"])
 
     def merge(payloads: list[bytes]) -> list[bytes]:
-        tables, shared, ids = [], [], []
+        tables, ids = [], []
         for p in payloads:
-            s, rest, least = unsqueeze(p)
-            tables.append(front_decoded(s, rest, suffixes.width))
-            shared.append(s)
+            shared, rest, least = unsqueeze(p)
+            tables.append(front_decoded(shared, rest, suffixes.width))
             ids.append(least)
-        strings = [t.view(f"S{suffixes.width}").ravel().tolist() for t in tables]
-        order, common = merged(strings, [s.tolist() for s in shared], suffixes.width)
-        del strings
-        starts = np.cumsum([0, *map(len, tables)])[:-1]
-        where = np.empty(len(order), np.int64)
-        by_run = np.argsort(order, kind="stable")
-        where[by_run] = np.arange(len(order))  # rows of each run come in their own order
-        rows = np.concatenate(tables)[where]
-        del tables
-        least = suffixes.least_ids(rows, common, np.concatenate(ids)[where])
-        at = np.empty(len(order), np.int64)
-        at[where] = np.arange(len(order))
-        return [
-            squeeze(np.diff(least[:, at[a : a + len(s)]], axis=0, prepend=0).ravel()) for a, s in zip(starts, shared, strict=True)
-        ]
+        replies: list[list[bytes]] = [[] for _ in payloads]
+        for cuts in ranges(tables, anchors.k):
+            within = [i for i, (lo, hi) in enumerate(cuts) if hi > lo]
+            for i, reply in zip(within, merged_ids([tables[i][slice(*cuts[i])] for i in within], [ids[i][slice(*cuts[i])] for i in within], suffixes), strict=True):
+                replies[i].append(reply)
+        return [pickle.dumps(pieces) for pieces in replies]
 
     found = combine(answered(chunks, bits, runs, REQUEST), anchors.parts, merge).withColumn("kind", F.lit(1))
     return bits.unionByName(found), anchors, suffixes
@@ -213,7 +228,8 @@ def covered_bytes(texts: Texts, replies: pa.Table, anchors: Anchors, suffixes: S
     ids, bounds = texts.ids(), texts.bounds
     starts = np.zeros(len(texts.data) + suffixes.length + 1, np.int32)
     for part, rows, _, places, inverse in sorted_runs(texts, bits, anchors, suffixes):
-        least = np.cumsum(unsqueeze(found[part])[0].reshape(suffixes.before + 1, len(rows)), axis=0)
+        pieces = [unsqueeze(piece)[0].reshape(suffixes.before + 1, -1) for piece in pickle.loads(found[part])]
+        least = np.cumsum(np.concatenate(pieces, axis=1), axis=0)
         own = ids[np.searchsorted(bounds, places, "right") - 1]
         for o in range(suffixes.before + 1):
             starts[places[least[o][inverse] < own] - o] = 1
