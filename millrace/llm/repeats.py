@@ -11,23 +11,25 @@ from pyspark.sql import functions as F
 from millrace.llm.chunks import Texts, ask, checkpointed, combine, spread, squeeze, unsqueeze
 from millrace.llm.symbols import minimizers
 
-#: What turns a chunk into its symbols and their bounds by document.
+#: What turns a chunk into its symbols and their bounds by document, and what finds anchors in these: places, or rows
+#: that say more of each, and their hashes.
 Symbols = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
+Choice = Callable[[np.ndarray, np.ndarray, int, int], tuple[np.ndarray, np.ndarray]]
 
 
 class Anchors:
     """Anchors of windows of ``length`` symbols, and which of them may lie in a window that occurs again."""
 
-    def __init__(self, length: int, total: int, parts: int, symbols: Symbols, across: bool):
+    def __init__(self, length: int, total: int, parts: int, symbols: Symbols, across: bool, choose: Choice = minimizers):
         self.k, self.w = (length + 1) // 2, length - (length + 1) // 2 + 1
-        self.length, self.parts, self.symbols, self.across = length, parts, symbols, across
+        self.parts, self.symbols, self.across, self.choose = parts, symbols, across, choose
         #: Bits of hash that are exchanged: enough that few of the anchors of this much text meet by chance.
         self.bits = min(62, max(32, int(total).bit_length() + 12))
 
     def find(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols, bounds, places of anchors, and their short hashes."""
         symbols, bounds = self.symbols(texts)
-        places, hashes = minimizers(symbols, bounds, self.k, self.w)
+        places, hashes = self.choose(symbols, bounds, self.k, self.w)
         return symbols, bounds, places, hashes >> np.uint64(64 - self.bits)
 
     def repeated(self, chunks: DataFrame) -> DataFrame:
@@ -38,11 +40,11 @@ class Anchors:
 
         def request(texts: Texts):
             _, bounds, places, hashes = self.find(texts)
-            ids = texts.ids()[np.searchsorted(bounds, places, "right") - 1]
             order = np.argsort(hashes, kind="stable")
-            hashes, ids = hashes[order], ids[order]
+            hashes = hashes[order]
             first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, int)
             if self.across and len(first):
+                ids = texts.ids()[np.searchsorted(bounds, places[order], "right") - 1]
                 again = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
             else:
                 again = np.diff(np.append(first, len(hashes))) > 1
@@ -69,7 +71,7 @@ class Anchors:
         return checkpointed(combine(ask(chunks, request), self.parts, reply).withColumn("kind", F.lit(0)))
 
     def candidates(self, texts: Texts, bits: dict[int, bytes]):
-        """Symbols, bounds, and the places of anchors that occur again, with the part of each."""
+        """Symbols, bounds, and of anchors that occur again the places, parts and short hashes."""
         symbols, bounds, places, hashes = self.find(texts)
         keys, inverse = np.unique(hashes, return_inverse=True)
         at = spread(keys, self.bits, self.parts)
@@ -80,7 +82,7 @@ class Anchors:
                 chosen[lo:hi] = np.unpackbits(np.frombuffer(bits[part], np.uint8), count=hi - lo)
                 part_of[lo:hi] = part
         take = chosen[inverse]
-        return symbols, bounds, places[take], part_of[inverse][take]
+        return symbols, bounds, places[take], part_of[inverse][take], hashes[take]
 
 
 def by_kind(replies) -> tuple[dict[int, bytes], dict[int, bytes]]:

@@ -1,9 +1,10 @@
 """Operator 7: removal of passages of words that occur elsewhere, by suffix automata of reference shards.
 
-Each shard is a bounded set of passages around anchors (words chosen by content, see ``symbols.minimizers``)
-whose words occur more than once. Passages go only to the shard that can hold their copies, by the hash of the
-anchor, and stream through its automaton there: to send every automaton to every document would cost the
-square of the corpus.
+Documents are cut into runs of windows with a common anchor (words chosen by content, see ``symbols.window_runs``); each
+window is in one run. A shard is a bounded set of the passages of runs whose anchor occurs more than once, and has an
+automaton over their words. Passages go only to the shard that can hold their copies, by the hash of the anchor, and
+stream through its automaton there for their matching statistics: to send every automaton to every document would cost
+the square of the corpus.
 """
 
 from __future__ import annotations
@@ -32,12 +33,12 @@ from millrace.llm.chunks import (
     with_ids,
 )
 from millrace.llm.repeats import Anchors, by_kind
-from millrace.llm.symbols import mix, word_hashes, words_of
+from millrace.llm.symbols import mix, window_runs, word_hashes, words_of
 
-#: Words of reference passages in one automaton.
-SHARD_WORDS = 50_000
-#: Text for one part: its distinct passages are held as Python strings.
-PART_BYTES = 12 << 20
+#: Words of reference passages in one automaton, about.
+SHARD_WORDS = 20_000
+#: Text for one part: its distinct passages are held as bytes.
+PART_BYTES = 8 << 20
 _WEIGHTS = np.random.default_rng(7).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 
 
@@ -46,122 +47,98 @@ def word_symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(texts.data, starts, ends), bounds
 
 
-class Passages:
-    """The words around an anchor that some window of ``length`` words with it can hold."""
+def distinct_passages(symbols: np.ndarray, runs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of windows (first word, windows): one of each distinct passage of words, and which passage each has."""
+    first, words = runs[:, 0], runs[:, 1] + length - 1
+    steps = np.arange(int(words.max(initial=0)))
+    at = np.minimum(first[:, None] + steps, max(0, len(symbols) - 1))
+    keys = mix((symbols[at] * (steps < words[:, None]) * _WEIGHTS[: len(steps)]).sum(axis=1, dtype=np.uint64) + words.astype(np.uint64) * _WEIGHTS[-1])
+    _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return index, inverse
 
-    def __init__(self, length: int):
-        self.length, self.before = length, length - (length + 1) // 2
 
-    def spans(self, bounds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First word, end, and how many of the words stand before the anchor."""
-        doc = np.searchsorted(bounds, places, "right") - 1
-        first = np.maximum(bounds[doc], places - self.before)
-        return first, np.minimum(bounds[doc + 1], places + self.length), places - first
-
-    def distinct(self, symbols: np.ndarray, first: np.ndarray, end: np.ndarray, left: np.ndarray):
-        """One place of each distinct passage, in the order of its hash, and which passage each place has."""
-        steps = np.arange(self.before + self.length)
-        at = first[:, None] + steps
-        own = symbols[np.minimum(at, max(0, len(symbols) - 1))] * (at < end[:, None])
-        keys = mix((own * _WEIGHTS[: len(steps)]).sum(axis=1, dtype=np.uint64) + left.astype(np.uint64) * _WEIGHTS[-1])
-        _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return index, inverse
-
-
-def chosen_passages(texts: Texts, bits: dict[int, bytes], anchors: Anchors, passages: Passages):
-    """For each part of a chunk: places, first words, ends, words before, one of each distinct passage, and which."""
-    symbols, bounds, places, parts = anchors.candidates(texts, bits)
+def chosen_passages(texts: Texts, bits: dict[int, bytes], anchors: Anchors, length: int):
+    """For each part of a chunk: runs of windows, the hashes of their anchors, one of each distinct passage, and which."""
+    symbols, _, runs, parts, hashes = anchors.candidates(texts, bits)
     order = np.argsort(parts, kind="stable")
-    places, parts = places[order], parts[order]
-    for group in np.split(np.arange(len(places)), np.flatnonzero(np.diff(parts)) + 1) if len(places) else ():
-        own = places[group]
-        first, end, left = passages.spans(bounds, own)
-        yield int(parts[group[0]]), own, first, end, left, *passages.distinct(symbols, first, end, left)
+    for group in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1) if len(order) else ():
+        yield int(parts[group[0]]), runs[group], hashes[group], *distinct_passages(symbols, runs[group], length)
 
 
-def repeated_offsets(passages: Passages, found: dict[tuple[bytes, int], int]) -> dict[tuple[bytes, int], int]:
-    """For each passage, as bits: how many words before its anchor a window begins that occurs more than once.
+def repeated_windows(passages: list[bytes], times: list[int], hashes: np.ndarray, length: int) -> np.ndarray:
+    """For each passage (words joined by one space), as bits: which of its windows occur more than once in all of them.
 
-    found: (words joined by one space, words before the anchor) and how often it occurs.
+    Passages of equal anchors go to one shard after another, whole groups at a time: a window has copies in its own
+    group only. A group larger than a shard streams through the automata of all its shards.
     """
-    k = passages.length - passages.before
-    groups: dict[tuple, list] = {}
-    for (text, left), times in found.items():
-        words = text.split()
-        groups.setdefault(tuple(words[left : left + k]), []).append((text, left, words, times))
-    out: dict[tuple[bytes, int], int] = {}
-    shard: list[list] = []
-    for group in groups.values():
-        if len(group) == 1:
-            text, left, words, times = group[0]
-            out[text, left] = offsets(passages, left, [times] * max(0, len(words) - passages.length + 1))
-            continue
-        shard.append(group)
-        if sum(len(m[2]) for g in shard for m in g) >= SHARD_WORDS:
-            search(passages, shard, out)
-            shard = []
-    search(passages, shard, out)
+    order = np.argsort(hashes, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(hashes[order])) + 1).tolist(), len(order)]
+    out = np.zeros(len(passages), np.uint64)
+    shard: list[int] = []
+    size = 0
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        group = order[lo:hi].tolist()
+        shard += group
+        size += sum(passages[i].count(b" ") + 1 for i in group)
+        if size >= SHARD_WORDS or hi == len(order):
+            stream(passages, times, shard, length, out)
+            shard, size = [], 0
     return out
 
 
-def offsets(passages: Passages, left: int, counts: list[int]) -> int:
-    """The bits for windows that begin at word 0, 1, ... of a passage and occur so often."""
-    return sum(1 << (left - i) for i, n in enumerate(counts) if n >= 2 and 0 <= left - i <= passages.before)
-
-
-def search(passages: Passages, groups: list[list], out: dict) -> None:
-    """Streams each passage of some groups through the automata of all. A symbol is a word with its distance from
-    the anchor, so that windows agree only in the same place of the same group."""
-    members = [
-        (text, left, [(i - left, w) for i, w in enumerate(words)], times)
-        for group in groups
-        for text, left, words, times in group
-    ]
-    counts = [[0] * max(0, len(symbols) - passages.length + 1) for _, _, symbols, _ in members]
+def stream(passages: list[bytes], times: list[int], shard: list[int], length: int, out: np.ndarray) -> None:
+    """Builds automata over the words of a shard's passages, each as often as it occurs, and streams all of them through:
+    a window occurs as often as the state says in which the match of its words ends."""
+    number: dict[bytes, int] = {}
+    members = [[number.setdefault(w, len(number)) for w in passages[i].split(b" ")] for i in shard]
+    counts = [[0] * (len(m) - length + 1) for m in members]
     at = 0
     while at < len(members):
         automaton, size, reference = SuffixAutomaton(), 0, at
-        while at < len(members) and (size < SHARD_WORDS or at == reference):
-            automaton.add(members[at][2], members[at][3])
-            size += len(members[at][2])
+        while at < len(members) and (size < 2 * SHARD_WORDS or at == reference):
+            automaton.add(members[at], times[shard[at]])
+            size += len(members[at])
             at += 1
         automaton.finish()
-        for i, (_, _, symbols, _) in enumerate(members):
-            for j, n in enumerate(automaton.occurrences(symbols, passages.length)):
-                counts[i][j] += n
-    for (text, left, _, _), n in zip(members, counts, strict=True):
-        out[text, left] = offsets(passages, left, n)
+        for own, member in zip(counts, members, strict=True):
+            for j, n in enumerate(automaton.occurrences(member, length)):
+                own[j] += n
+    for i, own in zip(shard, counts, strict=True):
+        out[i] = sum(1 << j for j, n in enumerate(own) if n > 1)
 
 
-def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors, Passages]:
+def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors]:
     total = chunks.agg(F.sum("size")).first()[0] or 0
-    anchors = Anchors(length, total, part_count(chunks, PART_BYTES), word_symbols, across=False)
-    passages = Passages(length)
+    anchors = Anchors(length, total, part_count(chunks, PART_BYTES), word_symbols, across=False, choose=window_runs)
     bits = anchors.repeated(chunks)
 
     def send(chunk: str, texts: Texts, replies: pa.Table) -> pa.Table:
         starts, ends, _ = words_of(texts.data, texts.bounds)
         raw = texts.data.tobytes()
         rows = []
-        for part, _, first, end, left, index, inverse in chosen_passages(texts, by_kind(replies)[0], anchors, passages):
-            body = b"\n".join(b" ".join(raw[starts[first[i]] : ends[end[i] - 1]].split()) for i in index.tolist())
+        for part, runs, hashes, index, inverse in chosen_passages(texts, by_kind(replies)[0], anchors, length):
+            first = runs[index, 0]
+            last = first + runs[index, 1] + length - 2
+            body = b"\n".join(b" ".join(raw[a:b].split()) for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True))
             times = np.bincount(inverse, minlength=len(index)).astype(np.int32)
-            rows.append((part, chunk, squeeze(left[index].astype(np.int32), times, np.frombuffer(body, np.uint8))))
+            rows.append((part, chunk, squeeze(hashes[index], times, np.frombuffer(body, np.uint8))))
         return rows_of(REQUEST_ARROW, rows)
 
-    def search_all(payloads: list[bytes]) -> list[bytes]:
-        found: dict[tuple[bytes, int], int] = {}
-        keys = []
+    def search(payloads: list[bytes]) -> list[bytes]:
+        number: dict[bytes, int] = {}
+        owned, times, hashes = [], [], []
         for p in payloads:
-            left, times, body = unsqueeze(p)
-            keys.append(list(zip(body.tobytes().split(b"\n"), left.tolist(), strict=True)))
-            for key, n in zip(keys[-1], times.tolist(), strict=True):
-                found[key] = found.get(key, 0) + n
-        bits_of = repeated_offsets(passages, found)
-        return [squeeze(np.array([bits_of[k] for k in own], np.uint64)) for own in keys]
+            own_hashes, own_times, body = unsqueeze(p)
+            owned.append(np.array([number.setdefault(x, len(number)) for x in body.tobytes().split(b"\n")], np.int32))
+            times.append(own_times)
+            hashes.append(own_hashes)
+        which, first = np.unique(np.concatenate(owned), return_index=True)
+        total = np.bincount(np.concatenate(owned), np.concatenate(times), len(which)).astype(np.int64)
+        bits_of = repeated_windows(list(number), total.tolist(), np.concatenate(hashes)[first], length)
+        return [squeeze(bits_of[own]) for own in owned]
 
-    replies = combine(answered(chunks, bits, send, REQUEST), anchors.parts, search_all).withColumn("kind", F.lit(1))
-    return bits.unionByName(replies), anchors, passages
+    replies = combine(answered(chunks, bits, send, REQUEST), anchors.parts, search).withColumn("kind", F.lit(1))
+    return bits.unionByName(replies), anchors
 
 
 RESULT = "n_words long, n_removed long, kept_sha256 string, kept string"
@@ -181,17 +158,17 @@ def substring_dedup(docs: DataFrame, length: int = 35) -> DataFrame:
     docs = docs.drop(*fresh.names)
     schema = StructType([*docs.schema.fields, *fresh.fields])
     chunks = make_chunks(docs.withColumn("text", F.col("text").cast("string")))
-    replies, anchors, passages = find_repeats(chunks, length)
+    replies, anchors = find_repeats(chunks, length)
     arrow = to_arrow_schema(schema)
 
     def use(chunk: str, texts: Texts, replies: pa.Table) -> pa.Table:
         bits, found = by_kind(replies)
         starts, ends, bounds = words_of(texts.data, texts.bounds)
         marks = np.zeros(len(starts) + length + 1, np.int32)
-        for part, places, _, _, _, _, inverse in chosen_passages(texts, bits, anchors, passages):
+        for part, runs, _, _, inverse in chosen_passages(texts, bits, anchors, length):
             mask = unsqueeze(found[part])[0][inverse]
-            for o in range(passages.before + 1):
-                marks[places[(mask >> np.uint64(o)) & np.uint64(1) == 1] - o] = 1
+            for j in range(int(runs[:, 1].max())):
+                marks[runs[(mask >> np.uint64(j)) & np.uint64(1) == 1, 0] + j] = 1
         gone = np.cumsum(marks - np.concatenate([np.zeros(length, np.int32), marks[:-length]]))[: len(starts)] > 0
         rows = []
         for i in range(len(texts)):

@@ -209,7 +209,7 @@ def find_repeats(chunks: DataFrame, length: int) -> tuple[DataFrame, Anchors, Su
 
 def sorted_runs(texts: Texts, bits: dict[int, bytes], anchors: Anchors, suffixes: Suffixes) -> Iterator[tuple]:
     """For each part of a chunk: its distinct suffix rows in order, their least ids, the places, and their rows."""
-    data, bounds, places, parts = anchors.candidates(texts, bits)
+    data, bounds, places, parts, _ = anchors.candidates(texts, bits)
     ids = texts.ids()
     order = np.argsort(parts, kind="stable")
     places, parts = places[order], parts[order]

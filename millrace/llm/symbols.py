@@ -111,3 +111,28 @@ def minimizers(symbols: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(places), np.concatenate(hashes)
+
+
+def window_runs(symbols: np.ndarray, bounds: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows of k + w - 1 symbols, as (first window, windows), and the hash of the anchor of each run.
+
+    A window's anchor is the first of those of its first w places whose k symbols have the least hash (by 44 bits), so
+    equal windows have equal anchors, and each window of a document is in one run.
+    """
+    n, span, low = len(symbols), k + w - 1, np.uint64((1 << 20) - 1)
+    runs, hashes = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.uint64)]
+    for at in range(0, max(0, n - span + 1), BLOCK):
+        part = symbols[at : min(n, at + BLOCK + span - 1)]
+        h = kgram_hashes(part, k)
+        least = slide((h & ~low) | np.arange(len(h), dtype=np.uint64), w, np.minimum) & low
+        whole = np.ones(len(least) + 1, bool)
+        whole[-1] = False
+        for cut in bounds[np.searchsorted(bounds, at, "right") : np.searchsorted(bounds, at + len(part), "left")].tolist():
+            whole[max(0, cut - at - span + 1) : cut - at] = False
+        new = whole[:-1].copy()
+        new[1:] &= ~whole[:-2] | (least[1:] != least[:-1])
+        first = np.flatnonzero(new)
+        ends = np.flatnonzero(whole[:-1] & ~(whole[1:] & ~np.append(new[1:], True))) + 1
+        runs.append(np.stack([first + at, ends - first], axis=1))
+        hashes.append(h[least[first].astype(np.int64)])
+    return np.concatenate(runs), np.concatenate(hashes)
