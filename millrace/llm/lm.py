@@ -1,8 +1,12 @@
 """Operator 6: scores of texts by a causal self-attention model over subword ids, and by counts of words.
 
-The model: one layer of attention over the last tokens predicts the class of the next; within its class a token
-has its share of the counts over all training documents. The weights are fitted on all of these too: in each epoch
-every chunk goes on from the same weights over its whole training texts, and the results are averaged by their tokens.
+From each place the model attends to the tokens before it and to three experts. What it finds at an earlier place is the
+token that followed there; what an expert holds is the next token's share in the counts over all training documents: its
+own, that after the last token, that after the last two. The probability of a token is what all attention finds of it. The
+weights (queries and keys of tokens, by distance, and of experts by how often they saw the context) are fitted in numpy on
+all whole training texts: in each epoch every chunk goes on from the same weights, and the results are averaged by tokens.
+A training text's own occurrence of a token is taken out of all counts when that token is learned or scored, so that
+training texts and others are scored alike.
 """
 
 from __future__ import annotations
@@ -22,13 +26,19 @@ from pyspark.sql.types import StructType
 from millrace.llm.bpe import _encoder, rank_file
 from millrace.llm.chunks import REQUEST, REQUEST_ARROW, Texts, answered, checkpointed, grouped, make_chunks, part_count, rows_of, spread, squeeze, unsqueeze, with_ids
 from millrace.llm.langid import held_out
-from millrace.llm.symbols import LOWER, word_hashes, words_of
+from millrace.llm.symbols import LOWER, mix, word_hashes, words_of
 from millrace.llm.wordtokens import WordTokens
 
-#: Tokens scored in a window, after as many of context; width of the model; classes; tokens with an embedding each.
-HALF, WIDTH, CLASSES, SLOTS = 16, 16, 32, 2048
-EPOCHS, RATE, BATCH = 3, 0.01, 1024
+#: Tokens in a row of a window, whose context is the row before and its own earlier tokens; width of queries and keys;
+#: tokens with a query and key each (rarer ones share the second half); levels of how often a context was seen.
+HALF, WIDTH, SLOTS, LEVELS = 16, 16, 2048, 16
+#: What is fitted: rounds over all training texts, the step of each, and rows of a batch.
+RATES, BATCH = (0.03, 0.01), 512
+#: Text for one part of the counts; slices of the counts of single tokens.
+PART_BYTES, SLICES = 8 << 20, 16
+EXPERTS = 3
 COUNTS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("payload", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+READY = "chunk string, tokens long, payload binary"
 
 
 @lru_cache(maxsize=1)
@@ -49,145 +59,214 @@ class ChunkWords:
         self.distinct = [raw[a:b] for a, b in zip(self.starts[first].tolist(), ends[first].tolist(), strict=True)]
 
 
+class ChunkTokens:
+    """Tokens of a chunk's texts, each text with its end: what each is, what stands before it, and the pairs and triples
+    of tokens that it ends, as numbers. ``size`` counts tokens with the end, which also stands before a text."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, size: int):
+        self.lengths = sizes + 1
+        last = np.cumsum(self.lengths) - 1
+        self.target = np.full(int(self.lengths.sum()), size - 1, np.int64)
+        inside = np.ones(len(self.target), bool)
+        inside[last] = False
+        self.target[inside] = ids
+        self.first = np.zeros(len(self.target), bool)
+        self.first[last - sizes] = True
+        self.before = np.roll(self.target, 1)
+        self.before[self.first] = size - 1
+        self.pairs = self.before * size + self.target
+        self.triples = ((np.roll(self.before, 1) + 1) * size * size + self.pairs)[~self.first]
+        self.doc = np.repeat(np.arange(len(sizes)), self.lengths)
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs and triples in order, and which of these each pair, then each triple, is."""
+        return np.unique(np.concatenate([self.pairs, self.triples]).astype(np.uint64), return_inverse=True)
+
+
+def in_parts(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of grams by part, and where each part begins in it."""
+    part = (mix(grams) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def as_rows(values: np.ndarray, lengths: np.ndarray, fill) -> np.ndarray:
+    """Values of texts end to end in rows of HALF; each text begins a row."""
+    rows = -(-lengths // HALF)
+    at = np.repeat((np.cumsum(rows) - rows) * HALF - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(values))
+    out = np.full(int(rows.sum()) * HALF, fill, values.dtype)
+    out[at] = values
+    return out.reshape(-1, HALF)
+
+
 @dataclass
-class Vocabulary:
-    """For each token: its class, the logarithm (base 10) of its share in it, and its embedding. The last token ends
-    a text and stands before its first."""
+class Evidence:
+    """Rows of tokens: slots of what stands before each, the tokens themselves (-1: none), each expert's share and level
+    (-1: the context was never seen), and whether the row before belongs to the same text."""
 
-    kind: np.ndarray
-    share: np.ndarray
-    slot: np.ndarray
+    slots: np.ndarray
+    targets: np.ndarray
+    shares: np.ndarray
+    levels: np.ndarray
+    follows: np.ndarray
 
     @classmethod
-    def of_counts(cls, counts: np.ndarray) -> Vocabulary:
-        order = np.argsort(-counts, kind="stable")
-        mass = np.cumsum(counts[order] + 1.0)
-        kind = np.empty(len(counts), np.int64)
-        kind[order] = np.minimum(CLASSES - 1, (mass - counts[order] - 1) * CLASSES / mass[-1]).astype(np.int64)
-        totals = np.bincount(kind, counts + 1.0, CLASSES)
-        slot = np.empty(len(counts), np.int64)
-        slot[order] = np.where(np.arange(len(counts)) < SLOTS // 2, np.arange(len(counts)), SLOTS // 2 + np.arange(len(counts)) % (SLOTS // 2))
-        return cls(kind, np.log10((counts + 1.0) / totals[kind]), slot)
-
-
-MASK = np.where(np.arange(2 * HALF) <= np.arange(HALF)[:, None] + HALF, 0.0, -1e9).astype(np.float32)
+    def of(cls, tokens: ChunkTokens, pairs: np.ndarray, triples: np.ndarray, own: np.ndarray, counts: np.ndarray, slots: np.ndarray) -> Evidence:
+        """pairs, triples: how often those that a token ends occur in training; own: 1 for a token counted there."""
+        total = int(counts.sum())
+        after_two = np.where(tokens.first, 0, np.roll(pairs, 1)) - own * ~tokens.first
+        contexts = [np.full(len(own), 1), counts[tokens.before] - own, after_two]
+        found = [(counts[tokens.target] - own + 1) / np.maximum(1, total - own + len(counts))]
+        found += [(c - own * (c > 0)) / np.maximum(1, context) for c, context in zip((pairs, triples), contexts[1:], strict=True)]
+        seen = [np.where(c > 0, np.minimum(LEVELS - 1, np.log2(np.maximum(1, c)).astype(np.int64)), -1) for c in contexts]
+        lengths = tokens.lengths
+        rows = -(-lengths // HALF)
+        follows = np.ones(int(rows.sum()), bool)
+        follows[np.cumsum(rows) - rows] = False
+        return cls(
+            as_rows(slots[tokens.before], lengths, 0), as_rows(tokens.target, lengths, -1),
+            np.stack([as_rows(x.astype(np.float32), lengths, 0) for x in found], axis=2),
+            np.stack([as_rows(x, lengths, 0 if i == 0 else -1) for i, x in enumerate(seen)], axis=2), follows,
+        )
+
+    def batch(self, rows: np.ndarray) -> tuple:
+        """Of some rows: slots, slots of the window, which of its places hold the same token, shares, levels, and which
+        places may be attended to."""
+        before = np.maximum(rows - 1, 0)
+        window = np.concatenate([self.slots[before], self.slots[rows]], axis=1)
+        said = np.concatenate([self.targets[before], self.targets[rows]], axis=1)
+        same = said[:, None, :] == self.targets[rows][:, :, None]
+        allowed = np.broadcast_to(EARLIER, (len(rows), *EARLIER.shape)).copy()
+        allowed[~self.follows[rows], :, :HALF] = False
+        return self.slots[rows], window, same, self.shares[rows], self.levels[rows], allowed
+
+
+#: Places of a window that stand before each token of its second half; and how far before.
+EARLIER = np.arange(2 * HALF) < np.arange(HALF)[:, None] + HALF
 DISTANCE = np.clip(np.arange(HALF)[:, None] + HALF - np.arange(2 * HALF), 0, 2 * HALF - 1)
 
 
-def blocks_of(tokens: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs and targets (-1: none) of each text in rows of HALF, and whether the row before is of the same text."""
-    rows = -(-(sizes + 1) // HALF)
-    base = np.repeat((np.cumsum(rows) - rows) * HALF, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    inputs = np.full(int(rows.sum()) * HALF, end, np.int64)
-    targets = np.full(len(inputs), -1, np.int64)
-    inputs[base + 1] = tokens
-    targets[base] = tokens
-    targets[(np.cumsum(rows) - rows) * HALF + sizes] = end
-    follows = np.ones(int(rows.sum()), bool)
-    follows[np.cumsum(rows) - rows] = False
-    return inputs.reshape(-1, HALF), targets.reshape(-1, HALF), follows
-
-
 class Attention:
-    """One head of causal attention, with weights by distance, over embeddings by slot."""
+    """One head of causal attention over the places of a window and the experts."""
 
     def __init__(self, seed: int = 5):
-        rng = np.random.default_rng(seed)
-        draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        draw = np.random.default_rng(seed).normal(0, 0.5, (SLOTS, WIDTH)).astype(np.float32)
         self.w = {
-            "q": draw(SLOTS, WIDTH), "k": draw(SLOTS, WIDTH), "v": draw(SLOTS, WIDTH), "e": draw(SLOTS, WIDTH),
-            "distance": np.zeros(2 * HALF, np.float32), "out": draw(WIDTH, CLASSES), "bias": np.zeros(CLASSES, np.float32),
+            "q": draw, "k": draw.copy(), "expert": np.zeros((EXPERTS, WIDTH), np.float32),
+            "level": np.repeat(np.array([[1], [3], [3]], np.float32), LEVELS, axis=1), "distance": np.zeros(2 * HALF, np.float32),
         }
 
-    def forward(self, now: np.ndarray, before: np.ndarray, follows: np.ndarray):
-        """Class log-probabilities for rows of slots, given the rows before; and what the gradient needs."""
+    def attend(self, slots, window, same, shares, levels, allowed):
+        """Attention weights over places, then experts; the probability that it gives to each token; and q and k."""
         w = self.w
-        keys = np.concatenate([before, now], axis=1)
-        q, k, v = w["q"][now], w["k"][keys], w["v"][keys]
-        scores = q @ k.transpose(0, 2, 1) + (MASK + w["distance"][DISTANCE])
-        scores[~follows, :, :HALF] = -1e9
+        q, k = w["q"][slots], w["k"][window]
+        scores = np.empty((*slots.shape, 2 * HALF + EXPERTS), w["q"].dtype)
+        np.matmul(q, k.transpose(0, 2, 1), out=scores[..., : 2 * HALF])
+        scores[..., : 2 * HALF] += w["distance"][DISTANCE]
+        np.putmask(scores[..., : 2 * HALF], ~allowed, -1e9)
+        experts = q @ w["expert"].T + w["level"][np.arange(EXPERTS), np.maximum(levels, 0)]
+        scores[..., 2 * HALF :] = np.where(levels >= 0, experts, -1e9)
         scores -= scores.max(axis=2, keepdims=True)
         np.exp(scores, out=scores)
         scores /= scores.sum(axis=2, keepdims=True)
-        h = w["e"][now] + scores @ v
-        logits = h @ w["out"] + w["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=2, keepdims=True))
-        return logits, (keys, q, k, v, scores, h)
-
-    def fit(self, slots: np.ndarray, kinds: np.ndarray, follows: np.ndarray, seed: int = 3) -> None:
-        """Adam on the cross entropy of classes (-1: none), once over all rows in a fixed random order."""
-        before = np.roll(slots, 1, axis=0)
+        found = (scores[..., : 2 * HALF] * same).sum(axis=2) + (scores[..., 2 * HALF :] * shares).sum(axis=2)
+        return scores, found, q, k
+
+    def gradient(self, slots, window, same, shares, levels, allowed, real) -> dict[str, np.ndarray]:
+        """Of the mean of -log probability over real tokens."""
+        a, found, q, k = self.attend(slots, window, same, shares, levels, allowed)
+        scale = real / (max(1, int(real.sum())) * np.maximum(found, 1e-30))
+        d = a.copy()
+        d *= real[..., None] / max(1, int(real.sum()))
+        d[..., : 2 * HALF] -= a[..., : 2 * HALF] * same * scale[..., None]
+        d[..., 2 * HALF :] -= a[..., 2 * HALF :] * shares * scale[..., None]
+        places, experts = d[..., : 2 * HALF], d[..., 2 * HALF :]
+        flat = experts.reshape(-1, EXPERTS)
+        level = np.maximum(levels, 0).reshape(-1, EXPERTS) + np.arange(EXPERTS) * LEVELS
+        out = {
+            "expert": flat.T @ q.reshape(-1, WIDTH),
+            "level": np.bincount(level.ravel(), flat.ravel(), EXPERTS * LEVELS).reshape(EXPERTS, LEVELS),
+            "distance": np.bincount(DISTANCE.ravel(), places.sum(axis=0).ravel(), 2 * HALF),
+        }
+        for name, at, g in (("q", slots, places @ k + experts @ self.w["expert"]), ("k", window, places.transpose(0, 2, 1) @ q)):
+            at, g = at.ravel(), g.reshape(-1, WIDTH)
+            out[name] = np.stack([np.bincount(at, g[:, j], SLOTS) for j in range(WIDTH)], axis=1)
+        return {name: g.astype(self.w[name].dtype) for name, g in out.items()}
+
+    def fit(self, evidence: Evidence, rate: float, seed: int) -> None:
+        """Adam, once over all rows in a fixed random order."""
         first = {k: np.zeros_like(x) for k, x in self.w.items()}
         second = {k: np.zeros_like(x) for k, x in self.w.items()}
-        order = np.random.default_rng(seed).permutation(len(slots))
+        order = np.random.default_rng(seed).permutation(len(evidence.slots))
         for step, at in enumerate(range(0, len(order), BATCH), 1):
             rows = np.sort(order[at : at + BATCH])
-            gradient = self.gradient(slots[rows], before[rows], follows[rows], kinds[rows])
-            for k, g in gradient.items():
+            for k, g in self.gradient(*evidence.batch(rows), evidence.targets[rows] >= 0).items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
-                change = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
-                self.w[k] -= RATE * change
-
-    def gradient(self, now, before, follows, kinds) -> dict[str, np.ndarray]:
-        logp, (keys, q, k, v, a, h) = self.forward(now, before, follows)
-        real = kinds >= 0
-        d = np.exp(logp)
-        np.put_along_axis(d, np.maximum(kinds, 0)[..., None], np.take_along_axis(d, np.maximum(kinds, 0)[..., None], 2) - 1, 2)
-        d *= real[..., None] / max(1, real.sum())
-        dh = d @ self.w["out"].T
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        out = {
-            "out": h.reshape(-1, WIDTH).T @ d.reshape(-1, CLASSES), "bias": d.sum(axis=(0, 1)),
-            "distance": np.bincount(DISTANCE.ravel(), ds.sum(axis=0).ravel(), 2 * HALF).astype(np.float32),
-        }
-        for name, at, g in (("e", now, dh), ("q", now, ds @ k), ("k", keys, ds.transpose(0, 2, 1) @ q), ("v", keys, a.transpose(0, 2, 1) @ dh)):
-            at, g = at.ravel(), g.reshape(-1, WIDTH)
-            out[name] = np.stack([np.bincount(at, g[:, j], SLOTS) for j in range(WIDTH)], axis=1).astype(self.w[name].dtype)
-        return out
-
-    def log10(self, vocabulary: Vocabulary, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log-probability, base 10, of each text and its end: each token is scored once, in a window that has the
-        HALF tokens before its row for context."""
-        end = len(vocabulary.kind) - 1
-        inputs, targets, follows = blocks_of(tokens, sizes, end)
-        slots = vocabulary.slot[inputs]
-        total = np.zeros(len(inputs))
-        for at in range(0, len(inputs), 2048):
-            part = slice(at, at + 2048)
-            before = slots[max(0, at - 1) : at + 2047]
-            before = np.concatenate([slots[:1], before])[: len(slots[part])] if at == 0 else before[: len(slots[part])]
-            logp, _ = self.forward(slots[part], before, follows[part])
-            goal = np.maximum(targets[part], 0)
-            kind = np.take_along_axis(logp, vocabulary.kind[goal][..., None], 2)[..., 0] / np.log(10)
-            total[part] = ((kind + vocabulary.share[goal]) * (targets[part] >= 0)).sum(axis=1)
-        rows = -(-(sizes + 1) // HALF)
+                self.w[k] -= rate * (first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8))
+
+    def log10(self, evidence: Evidence, lengths: np.ndarray) -> np.ndarray:
+        """Log-probability, base 10, of each text and its end: each token is scored once, with the row before its own
+        and what stands before it in its own for context."""
+        total = np.zeros(len(evidence.slots))
+        for at in range(0, len(total), BATCH):
+            rows = np.arange(at, min(at + BATCH, len(total)))
+            _, found, _, _ = self.attend(*evidence.batch(rows))
+            total[rows] = (np.log10(np.maximum(found, 1e-30), dtype=np.float64) * (evidence.targets[rows] >= 0)).sum(axis=1)
+        rows = -(-lengths // HALF)
         return np.add.reduceat(total, np.cumsum(rows) - rows) if len(rows) else np.zeros(0)
 
 
-def trained(model: Attention, vocabulary: Vocabulary, tokens: DataFrame) -> Attention:
-    """The model after EPOCHS rounds over all packed training tokens (payload: ids, and how many each text has).
+def slots_of(counts: np.ndarray) -> np.ndarray:
+    """The slot of each token: the most frequent have one each, the others share as many."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    return np.where(rank < SLOTS // 2, rank, SLOTS // 2 + rank % (SLOTS // 2))
+
+
+class Ready:
+    """A chunk with all that its scores need, as one payload of integers."""
+
+    names = ("ids", "sizes", "training", "pairs", "triples", "doc_id", "no_id", "n_words", "known", "base")
+
+    @staticmethod
+    def pack(**arrays: np.ndarray) -> bytes:
+        return squeeze(*(arrays[n] for n in Ready.names))
+
+    def __init__(self, payload: bytes):
+        self.__dict__.update(zip(self.names, unsqueeze(payload), strict=True))
+
+    def evidence(self, counts: np.ndarray, slots: np.ndarray, training: bool) -> tuple[Evidence, np.ndarray]:
+        """Rows of all texts, or of those for training; and how many tokens each text has."""
+        tokens = ChunkTokens(self.ids.astype(np.int64), self.sizes, len(counts))
+        pairs, triples, own = self.pairs.astype(np.int64), self.triples.astype(np.int64), self.training[tokens.doc].astype(np.int64)
+        if training:
+            keep = self.training.astype(bool)
+            inside = keep[tokens.doc]
+            ids = self.ids[np.repeat(keep, self.sizes)].astype(np.int64)
+            tokens, pairs, triples, own = ChunkTokens(ids, self.sizes[keep], len(counts)), pairs[inside], triples[inside], own[inside]
+        return Evidence.of(tokens, pairs, triples, own, counts, slots), tokens.lengths
+
+
+def trained(ready: DataFrame, counts: np.ndarray) -> Attention:
+    """The model after len(RATES) rounds over all training texts.
 
     A round's result is the mean of the chunks' weights by their tokens, so it doesn't depend on which task has which
     chunk. It is summed in a tree: one set of weights for each task, and few of these at the driver.
     """
-    context, rows = tokens.sparkSession.sparkContext, tokens.select("payload").rdd
-    words, end = context.broadcast(vocabulary), len(vocabulary.kind) - 1
-    for epoch in range(EPOCHS):
+    context, rows = ready.sparkSession.sparkContext, ready.where("tokens > 0").select("payload").rdd
+    known, model = context.broadcast((counts, slots_of(counts))), Attention()
+    for epoch, rate in enumerate(RATES):
         now = context.broadcast(model)
 
-        def learn(part, now=now, epoch=epoch):
+        def learn(part, now=now, epoch=epoch, rate=rate):
             total, weights = 0, None
             for row in part:
-                ids, sizes = unsqueeze(bytes(row.payload))
-                inputs, targets, follows = blocks_of(ids.astype(np.int64), sizes, end)
-                kinds = np.where(targets >= 0, words.value.kind[np.maximum(targets, 0)], -1)
+                evidence, lengths = Ready(bytes(row.payload)).evidence(*known.value, training=True)
                 own = Attention()
                 own.w = {k: x.copy() for k, x in now.value.w.items()}
-                own.fit(words.value.slot[inputs], kinds, follows, epoch)
-                n = len(ids) + len(sizes)
+                own.fit(evidence, rate, epoch)
+                n = int(lengths.sum())
                 mine = {k: n * x.astype(np.float64) for k, x in own.w.items()}
                 total, weights = total + n, mine if weights is None else {k: x + mine[k] for k, x in weights.items()}
             if total:
@@ -200,93 +279,127 @@ def trained(model: Attention, vocabulary: Vocabulary, tokens: DataFrame) -> Atte
     return model
 
 
-RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-
-def attention_scores(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Scores every whole text; learns from rows whose column ``training`` is true.
-
-    Returns doc_id, training, n_tokens (words and one end), n_known (of these, found in training), train_tokens,
-    base_score (add-one unigram of words, log10) and score (log10 probability by the attention model, over subwords
-    and one end). Words are lower-cased in A-Z and counted by a 64-bit hash, over all training rows. Null text is
-    empty: one token, the end. With no training rows the counts are zero and the weights untrained. Repeated rows
-    count and score each; doc_id may be null.
-    """
+def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, int]:
+    """Chunks ready to be learned from and scored (one row each), the training counts of tokens (the last: ends), and
+    the number of training words with ends."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file(ranks_path))
     chunks = make_chunks(docs.select("doc_id", "text", F.coalesce("training", F.lit(False)).alias("training")))
-    parts = part_count(chunks)
+    parts = part_count(chunks, PART_BYTES)
     size = len(_encoder(ranks.value, public_tokenizers.PATTERN).ranks) + 1
+    width = -(-size // SLICES)
+
+    def read(texts: Texts) -> tuple:
+        words, training = ChunkWords(texts), np.array(texts.table.column("training"))
+        subwords = _subwords(ranks.value)
+        ids, sizes = subwords.tokens(subwords.numbers(words.distinct)[words.inverse])
+        doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
+        sizes = np.bincount(doc, sizes, len(texts)).astype(np.int64)
+        tokens = ChunkTokens(ids.astype(np.int64), sizes, size)
+        return words, training, doc, ids, sizes, tokens, *tokens.grams()
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, total = _subwords(ranks.value), np.zeros(size, np.int64)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                texts = Texts.of_blob(blob.as_py())
-                words, training = ChunkWords(texts), np.array(texts.table.column("training"))
-                counts = np.bincount(words.inverse, np.repeat(training, np.diff(words.bounds)), len(words.keys)).astype(np.int64)
-                numbers = subwords.numbers(words.distinct)
-                ids, sizes = subwords.tokens(numbers)
-                total += np.bincount(ids, np.repeat(counts, sizes), size).astype(np.int64)
-                total[-1] += int(training.sum())
-                if training.any():
-                    doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-                    mine, each = subwords.tokens(numbers[words.inverse[training[doc]]])
-                    lengths = np.bincount(doc[training[doc]], each, len(texts))[training].astype(np.int64)
-                    yield from rows_of(REQUEST_ARROW, [(-2, chunk, squeeze(mine, lengths))]).to_batches()
+                words, training, doc, ids, sizes, tokens, grams, which = read(Texts.of_blob(blob.as_py()))
+                of_words = np.bincount(words.inverse, training[doc], len(words.keys)).astype(np.int64)
+                counted = training[tokens.doc]
+                of_grams = np.bincount(which, np.concatenate([counted, counted[~tokens.first]]), len(grams)).astype(np.int64)
+                total += np.bincount(tokens.target, counted, size).astype(np.int64)
                 at = spread(words.keys, 63, parts)
-                rows = [
-                    (p, chunk, squeeze(np.diff(words.keys[lo:hi], prepend=np.uint64(0)), counts[lo:hi]))
-                    for p, (lo, hi) in enumerate(zip(at, at[1:], strict=False))
-                    if hi > lo
-                ]
+                order, cuts = in_parts(grams, parts)
+                grams, of_grams = grams[order], of_grams[order]
+                rows = []
+                for p in range(parts):
+                    w, g = slice(at[p], at[p + 1]), slice(cuts[p], cuts[p + 1])
+                    if w.stop > w.start or g.stop > g.start:
+                        steps = (np.diff(x, prepend=np.uint64(0)) for x in (words.keys[w], grams[g]))
+                        rows.append((p, chunk, squeeze(*steps, of_words[w].astype(np.int32), of_grams[g].astype(np.int32))))
                 yield from rows_of(REQUEST_ARROW, rows).to_batches()
-        if total.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "chunk": [""], "payload": [squeeze(total)]})
+        for i in range(SLICES):
+            if total[i * width : (i + 1) * width].any():
+                yield pa.RecordBatch.from_pydict({"part": pa.array([-1 - i], pa.int32()), "chunk": [""], "payload": [squeeze(total[i * width : (i + 1) * width])]})
 
     def add(table: pa.Table) -> pa.Table:
-        sent = [unsqueeze(p.as_py()) for p in table.column("payload")]
         part = table.column("part")[0].as_py()
         if part < 0:
-            return rows_of(COUNTS, [(None, part, squeeze(sum(s[0] for s in sent)), 0, 0)])
-        keys = [np.cumsum(s[0], dtype=np.uint64) for s in sent]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, np.concatenate([s[1] for s in sent]), len(every)).astype(np.int64)
-        at = np.cumsum([0, *map(len, keys)]).tolist()
-        rows = [(c, part, squeeze(total[inverse[a:b]]), 0, 0) for c, a, b in zip(table.column("chunk").to_pylist(), at, at[1:], strict=False)]
-        return rows_of(COUNTS, [*rows, (None, part, None, int(total.sum()), int((total > 0).sum()))])
-
-    requests = checkpointed(chunks.select("chunk", "blob").mapInArrow(send, REQUEST))
-    counted = checkpointed(grouped(requests.where("part >= -1"), parts).applyInArrow(add, "chunk string, part int, payload binary, n long, v long"))
+            return rows_of(COUNTS, [(None, part, squeeze(sum(unsqueeze(p.as_py())[0] for p in table.column("payload"))), 0, 0)])
+        sent = [unsqueeze(p.as_py()) for p in table.column("payload")]
+        answers = []
+        for keys, counts in ((0, 2), (1, 3)):
+            every, inverse = np.unique(np.concatenate([np.cumsum(s[keys], dtype=np.uint64) for s in sent]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([s[counts] for s in sent]), len(every)).astype(np.int64)
+            cuts = np.cumsum([0, *(len(s[keys]) for s in sent)]).tolist()
+            answers.append([total[inverse[a:b]].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)])
+            if not keys:
+                n, v = int(total.sum()), int((total > 0).sum())
+        rows = [(c, part, squeeze(a, b), 0, 0) for c, a, b in zip(table.column("chunk").to_pylist(), *answers, strict=True)]
+        return rows_of(COUNTS, [*rows, (None, part, None, n, v)])
+
+    requests = chunks.select("chunk", "blob").mapInArrow(send, REQUEST)
+    counted = checkpointed(grouped(requests, parts).applyInArrow(add, "chunk string, part int, payload binary, n long, v long"))
     of_words = counted.where("chunk is null").agg(F.sum("n"), F.sum("v")).first()
-    found = counted.where("part = -1").select("payload").collect()
-    of_tokens = unsqueeze(found[0][0])[0] if found else np.zeros(size, np.int64)
+    of_tokens = np.zeros(size, np.int64)
+    for row in counted.where("part < 0").select("part", "payload").collect():
+        at = (-1 - row.part) * width
+        of_tokens[at : at + width] = unsqueeze(row.payload)[0]
     ends = int(of_tokens[-1])
     n, v = (of_words[0] or 0) + ends, (of_words[1] or 0) + (ends > 0)
-    vocabulary, model = Vocabulary.of_counts(of_tokens), Attention()
-    if ends:
-        model = trained(model, vocabulary, requests.where("part = -2"))
-    learned = docs.sparkSession.sparkContext.broadcast((vocabulary, model))
-    schema = StructType([*docs.select(F.col("doc_id").cast("long"), "training").schema.fields, *StructType.fromDDL(RESULT).fields])
-    arrow = to_arrow_schema(schema)
 
-    def use(chunk: str, texts: Texts, replies: pa.Table) -> pa.Table:
-        words, (vocabulary, model) = ChunkWords(texts), learned.value
+    def join(chunk: str, texts: Texts, replies: pa.Table) -> pa.Table:
+        words, training, doc, ids, sizes, tokens, grams, which = read(texts)
         replied = dict(zip(replies.column("part").to_pylist(), replies.column("payload").to_pylist(), strict=True))
-        counts = np.concatenate([np.zeros(0, np.int64), *(unsqueeze(replied[p])[0] for p in sorted(replied))])
-        n_words = np.diff(words.bounds)
-        doc = np.repeat(np.arange(len(texts)), n_words)
-        seen = counts[words.inverse]
+        found = [unsqueeze(replied[p]) for p in sorted(replied)]
+        counts = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+        of_grams = np.empty(len(grams), np.int32)
+        of_grams[in_parts(grams, parts)[0]] = np.concatenate([np.zeros(0, np.int32), *(f[1] for f in found)])
+        of_grams = of_grams[which]
+        triples = np.zeros(len(tokens.target), np.int32)
+        triples[~tokens.first] = of_grams[len(tokens.target) :]
         base = np.bincount(doc, np.log10((counts + 1) / (n + v + 1))[words.inverse], len(texts)) + np.log10((ends + 1) / (n + v + 1))
-        subwords = _subwords(ranks.value)
-        ids, sizes = subwords.tokens(subwords.numbers(words.distinct)[words.inverse])
-        score = model.log10(vocabulary, ids.astype(np.int64), np.bincount(doc, sizes, len(texts)).astype(np.int64))
-        columns = [
-            texts.table.column("doc_id"), texts.table.column("training"), n_words + 1,
-            np.bincount(doc, seen > 0, len(texts)).astype(np.int64) + (ends > 0), np.full(len(texts), n), base, score,
-        ]
-        return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=arrow.names).cast(arrow)
-
-    return answered(chunks, counted.where("chunk is not null").select("chunk", "part", "payload").where("part >= 0"), use, schema)
+        raw_id = texts.table.column("doc_id")
+        payload = Ready.pack(
+            ids=ids.astype(np.int32), sizes=sizes, training=training.astype(np.uint8), pairs=of_grams[: len(tokens.target)], triples=triples,
+            doc_id=texts.ids(), no_id=np.array(raw_id.is_null()).astype(np.uint8), n_words=np.diff(words.bounds).astype(np.int64),
+            known=np.bincount(doc, counts[words.inverse] > 0, len(texts)).astype(np.int64) + (ends > 0), base=base.view(np.int64),
+        )
+        return pa.table({"chunk": [chunk], "tokens": pa.array([int(sizes[training].sum() + training.sum())], pa.int64()), "payload": [payload]})
+
+    replies = counted.where("chunk is not null").select("chunk", "part", "payload")
+    return checkpointed(answered(chunks, replies, join, READY)), of_tokens, n
+
+
+RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def attention_scores(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """Scores every whole text; learns from rows whose column ``training`` is true.
+
+    Returns doc_id, training, n_tokens (words and one end), n_known (of these, found in training), train_tokens,
+    base_score (add-one unigram of words, log10) and score (log10 probability by the attention model, over subwords
+    and one end). Words are lower-cased in A-Z and counted by a 64-bit hash, over all training rows. Null text is
+    empty: one token, the end. With no training rows the counts are zero and the weights untrained. Repeated rows
+    count and score each; doc_id may be null.
+    """
+    ready, counts, n = prepared(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ranks_path)
+    model = trained(ready, counts) if counts[-1] else Attention()
+    learned = docs.sparkSession.sparkContext.broadcast((counts, slots_of(counts), model))
+    schema = StructType.fromDDL("doc_id long, training boolean, " + RESULT)
+    arrow = to_arrow_schema(schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, slots, model = learned.value
+        for batch in batches:
+            for payload in batch.column("payload"):
+                own = Ready(payload.as_py())
+                evidence, lengths = own.evidence(counts, slots, training=False)
+                columns = [
+                    pa.array(own.doc_id, mask=own.no_id.astype(bool)), pa.array(own.training.astype(bool)), pa.array(own.n_words + 1), pa.array(own.known),
+                    pa.array(np.full(len(lengths), n)), pa.array(own.base.view(np.float64)), pa.array(model.log10(evidence, lengths)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return ready.select("payload").mapInArrow(score, schema)
 
 
 def op6_attention_lm(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from millrace.llm.components import components
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.fertility import fertility_rules
 from millrace.llm.langid import identify_language
-from millrace.llm.lm import Attention, attention_scores, blocks_of
+from millrace.llm.lm import LEVELS, Attention, ChunkTokens, Evidence, Ready, attention_scores, prepared, slots_of, trained
 from millrace.llm.ngram_join import ngram_jaccard
 from millrace.llm.quotation import link_quotations
 from millrace.llm.sharding import extendible_shards
@@ -202,26 +202,113 @@ def test_attention_scores(docs):
     assert sorted(found, key=repr) == sorted(expected, key=repr)
 
 
+def some_evidence(rng, size=300):
+    ids, sizes = rng.integers(0, 40, 70), np.array([40, 0, 30])
+    tokens = ChunkTokens(ids, sizes, size)
+    counts = np.bincount(tokens.target, minlength=size)
+    pairs, triples = (np.unique(x, return_inverse=True, return_counts=True)[1:] for x in (tokens.pairs, tokens.triples))
+    of_triples = np.zeros(len(tokens.target), np.int64)
+    of_triples[~tokens.first] = triples[1][triples[0]]
+    return tokens, Evidence.of(tokens, pairs[1][pairs[0]], of_triples, np.zeros(len(tokens.target), np.int64), counts, slots_of(counts))
+
+
 def test_attention_gradient_is_right():
-    rng = np.random.default_rng(0)
-    model = Attention()
+    model, rows = Attention(), np.arange(6)
     model.w = {k: x.astype(np.float64) for k, x in model.w.items()}
-    inputs, targets, follows = blocks_of(rng.integers(0, 2000, 70), np.array([40, 30]), 2001)
-    kinds = np.where(targets >= 0, targets % 32, -1)
-    before = np.roll(inputs, 1, axis=0)
+    _, evidence = some_evidence(np.random.default_rng(0))
+    real = evidence.targets[rows] >= 0
 
     def loss():
-        logp, _ = model.forward(inputs, before, follows)
-        return -np.take_along_axis(logp, np.maximum(kinds, 0)[..., None], 2)[..., 0][kinds >= 0].mean()
+        return -np.log(model.attend(*evidence.batch(rows))[1])[real].mean()
 
-    gradient = model.gradient(inputs, before, follows, kinds)
-    for name, at in (("out", (3, 4)), ("distance", (2,)), ("q", (int(inputs[0, 5]), 1)), ("k", (int(inputs[0, 5]), 1)), ("v", (int(inputs[0, 5]), 2))):
+    gradient = model.gradient(*evidence.batch(rows), real)
+    slot = int(evidence.slots[0, 5])
+    for name, at in (("expert", (1, 4)), ("distance", (2,)), ("q", (slot, 1)), ("k", (slot, 1)), ("level", (1, 2)), ("level", (2, 0))):
         model.w[name][at] += 1e-4
         up = loss()
         model.w[name][at] -= 2e-4
         down = loss()
         model.w[name][at] += 1e-4
-        assert abs((up - down) / 2e-4 - gradient[name][at]) < 1e-4
+        assert abs((up - down) / 2e-4 - gradient[name][at]) < 1e-5
+
+
+def test_attention_gives_probabilities():
+    """Over all tokens that could come next, the model's probabilities sum to one."""
+    size, model = 300, Attention()
+    tokens, evidence = some_evidence(np.random.default_rng(3), size)
+    pairs, triples, counts = collections.Counter(tokens.pairs.tolist()), collections.Counter(tokens.triples.tolist()), np.bincount(tokens.target, minlength=size)
+    ends = size - 1
+    a, _, _, _ = model.attend(*evidence.batch(np.arange(1, 2)))
+    at, said = 20, tokens.target[:20]
+    before = int(tokens.target[at - 1]), int(tokens.target[at - 2])
+    total = 0.0
+    for x in range(size):
+        two, three = pairs[before[0] * size + x], triples[(before[1] + 1) * size * size + before[0] * size + x]
+        # the window of the second row begins with the first token of the text
+        own = a[0, 4, :20] @ (said == x) + a[0, 4, 32] * (counts[x] + 1) / (counts.sum() + size)
+        own += a[0, 4, 33] * two / max(1, counts[before[0]]) + a[0, 4, 34] * three / max(1, pairs[before[1] * size + before[0]])
+        total += own
+    assert abs(total - 1) < 1e-5 and ends not in said
+
+
+def brute_scores(texts, held, model, counts, encode):
+    """The model's log10 probability of each text, token by token."""
+    size, w = len(counts), model.w
+    slots = slots_of(counts)
+    sequences = [[*encode(t), size - 1] for t in texts]
+    pairs, triples = collections.Counter(), collections.Counter()
+    for seq, out in zip(sequences, held, strict=True):
+        if not out:
+            full = [size - 1, *seq]
+            pairs.update(zip(full, full[1:], strict=False))
+            triples.update(zip(full, full[1:], full[2:], strict=False))
+    for seq, out in zip(sequences, held, strict=True):
+        own, full, score = 0 if out else 1, [size - 1, *seq], 0.0
+        for t, x in enumerate(seq):
+            prev = full[t]
+            q = w["q"][slots[prev]]
+            parts = []
+            for j in range(max(0, t // 16 * 16 - 16), t):
+                parts.append((q @ w["k"][slots[full[j]]] + w["distance"][t - j], float(seq[j] == x)))
+            contexts = [1, counts[prev] - own, pairs[full[t - 1], prev] - own if t else 0]
+            shares = [(counts[x] - own + 1) / (counts.sum() - own + size), (pairs[prev, x] - own) / max(1, contexts[1]), (triples[full[t - 1], prev, x] - own) / max(1, contexts[2]) if t else 0]
+            for e in range(3):
+                if contexts[e] > 0:
+                    parts.append((q @ w["expert"][e] + w["level"][e, min(LEVELS - 1, int(math.log2(contexts[e])))], shares[e]))
+            a = np.exp(np.array([p[0] for p in parts], np.float64))
+            score += math.log10(a @ np.array([p[1] for p in parts]) / a.sum())
+        yield score
+
+
+def test_attention_scores_equal_brute_force(spark):
+    texts = ["Red green blue red green blue " * 9, "", "blue red", "one two three " * 30 + "red", "Red green blue one", "two " * 33, "two " * 32, "two " * 31]
+    held = [False, False, False, False, True, False, True, False]
+    rows = spark.createDataFrame([(i, t, not out) for i, (t, out) in enumerate(zip(texts, held, strict=True))], "doc_id long, text string, training boolean")
+    ready, counts, _ = prepared(rows, RANKS)
+    model = trained(ready, counts)
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(RANKS).read_bytes().splitlines())}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = list(brute_scores(texts, held, model, counts, lambda t: [i for w in lower(t) for i in encoding.encode_ordinary(" " + w.decode())]))
+    found = {r.doc_id: r.score for r in attention_scores(rows, RANKS).collect()}
+    assert all(abs(found[i] - x) < 1e-3 * max(1, abs(x)) for i, x in enumerate(expected))
+
+
+def test_attention_beats_bigrams_on_held_out_texts(spark):
+    """By token, against pairs of tokens interpolated with single ones at the best fixed weight for these very texts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id", "text", "crc32(cast(doc_id as string)) % 7 <> 2 as training")
+    ready, counts, _ = prepared(docs, RANKS)
+    own = [Ready(bytes(r.payload)) for r in ready.select("payload").collect()]
+    model, score, pairs, n = trained(ready, counts), 0.0, [], 0
+    for chunk in own:
+        evidence, lengths = chunk.evidence(counts, slots_of(counts), training=False)
+        out = chunk.training == 0
+        score += model.log10(evidence, lengths)[out].sum()
+        n += lengths[out].sum()
+        tokens = ChunkTokens(chunk.ids.astype(np.int64), chunk.sizes, len(counts))
+        at = out[tokens.doc]
+        pairs.append((chunk.pairs[at] / np.maximum(1, counts[tokens.before[at]]), (counts[tokens.target[at]] + 1) / (counts.sum() + len(counts))))
+    two, one = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+    assert score / n > max(np.log10(x * two + (1 - x) * one).mean() for x in np.arange(0.05, 1, 0.05)) + 0.05
 
 
 def test_attention_learns_from_every_training_text_to_its_end(spark):
