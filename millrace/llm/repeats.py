@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.chunks import Texts, ask, checkpointed, combine, spread, squeeze, unsqueeze
-from millrace.llm.symbols import minimizers
+from millrace.llm.symbols import BASE, minimizers, mix
 
 #: What turns a chunk into its symbols and their bounds by document, and what finds anchors in these: places, or rows
 #: that say more of each, and their hashes.
@@ -27,10 +27,11 @@ class Anchors:
         self.bits = min(62, max(32, int(total).bit_length() + 12))
 
     def find(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, bounds, places of anchors, and their short hashes."""
+        """Symbols, bounds, places of anchors, and their short hashes. An anchor's own hash is the least of several, so it
+        is hashed again: parts are ranges of what is spread evenly."""
         symbols, bounds = self.symbols(texts)
         places, hashes = self.choose(symbols, bounds, self.k, self.w)
-        return symbols, bounds, places, hashes >> np.uint64(64 - self.bits)
+        return symbols, bounds, places, mix(hashes + BASE) >> np.uint64(64 - self.bits)
 
     def repeated(self, chunks: DataFrame) -> DataFrame:
         """Replies to each chunk: for its distinct hashes in order, a bit that says whether it occurs again.
