@@ -18,9 +18,11 @@ from millrace.llm.symbols import mix, word_hashes, words_of
 COUNTERS, SLICES = 1 << 20, 16
 #: Entries of the incidence matrix in one block of columns.
 BLOCK_ENTRIES = 400_000
-#: Neighbours in a random order that a document is held against, before all open pairs are.
-NEAR = 64
-#: Bits of a set's parity sketch. Two sketches differ in no more bits than the sets do in n-grams.
+#: Columns of so many documents have all their open pairs listed at once. In larger ones a document is held against so
+#: many neighbours in a random order, before all open pairs are.
+NEAR = 32
+#: Bits of a set's parity sketch, for sets of as many n-grams; larger sets have a finer one besides, of about one bit for
+#: each n-gram. Two sketches differ in no more bits than the sets do in n-grams.
 PARITY_BITS = 512
 #: Entries, each with its document's sketch, in one block of columns that are still open.
 OPEN_ENTRIES = 100_000
@@ -79,16 +81,27 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def parity(own: np.ndarray, bits: int) -> bytes:
+    """For each value of the last bits of some hashes, whether an odd number of them have it."""
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, at the size of the smaller."""
+    x, y = (np.frombuffer(v, np.uint64) for v in sorted((x, y), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum(dtype=np.int64))
+
+
 def features(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n_shingles, sig, prefix, odd): the set's size, a digest of it, its rarest n-grams (so many that two
-    sets that agree enough share one of them), and for each value of its hashes' last bits the parity of their count."""
+    """(doc_id, n_shingles, sig, prefix, odd, fine): the set's size, a digest of it, its rarest n-grams (so many that two
+    sets that agree enough share one of them), and its parity sketches (fine: null for small sets)."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value.astype(np.uint64) << np.uint64(56)
         for batch in batches:
             for part in slices(batch):
-                sizes, sigs, prefixes, odds = [], [], [], []
+                sizes, sigs, prefixes, odds, fine = [], [], [], [], []
                 for own in shingle_sets(Texts(part), n):
                     keys = level[(own >> np.uint64(44)).astype(np.int64)] | (own >> np.uint64(8))
                     keep = len(own) - (percent * len(own) + 99) // 100 + 1 if len(own) else 0
@@ -96,14 +109,14 @@ def features(docs: DataFrame, n: int, percent: int, sketch: np.ndarray) -> DataF
                     sizes.append(len(own))
                     sigs.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     prefixes.append(first.tobytes())
-                    last = (own & np.uint64(PARITY_BITS - 1)).astype(np.int64)
-                    odds.append(np.packbits(np.bincount(last, minlength=PARITY_BITS) & 1).tobytes())
+                    odds.append(parity(own, PARITY_BITS))
+                    fine.append(parity(own, 1 << (len(own) - 1).bit_length()) if len(own) > PARITY_BITS else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (sigs, prefixes, odds))],
-                    ["doc_id", "n_shingles", "sig", "prefix", "odd"],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (sigs, prefixes, odds, fine))],
+                    ["doc_id", "n_shingles", "sig", "prefix", "odd", "fine"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix binary, odd binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig binary, prefix binary, odd binary, fine binary")
 
 
 def packed(own: np.ndarray) -> bytes:
@@ -122,7 +135,7 @@ def alike(na: np.ndarray, nb: np.ndarray, overlap: np.ndarray, percent: int) ->
 
 def block_pairs(keys, nodes, sizes, places, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Pairs of neighbours by size in the columns of one block, with how many columns they share, after the bounds;
-    and all entries of columns that have documents of like size."""
+    and all entries of columns that have documents of like size, with how many entries the column has."""
     order = np.lexsort((nodes, sizes, keys))
     keys, nodes, sizes, places = keys[order], nodes[order], sizes[order], places[order]
     left, right = [], []
@@ -140,7 +153,10 @@ def block_pairs(keys, nodes, sizes, places, percent: int) -> tuple[list[np.ndarr
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
     joined = (keys[1:] == keys[:-1]) & alike(sizes[1:], sizes[:-1], np.minimum(sizes[1:], sizes[:-1]), percent)
     open_ = np.concatenate([[False], joined]) | np.concatenate([joined, [False]]) if len(keys) else np.zeros(0, bool)
-    return [a[new], b[new], np.diff(np.append(new, len(a)))], [keys[open_], nodes[open_], sizes[open_], places[open_]]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    each = np.diff(np.append(starts, len(keys)))
+    many = np.repeat(each, each)
+    return [a[new], b[new], np.diff(np.append(new, len(a)))], [x[open_] for x in (keys, nodes, sizes, places, many)]
 
 
 ENTRY = "a long, b long, shared long, gram long, size long, place long"
@@ -148,7 +164,8 @@ ENTRY = "a long, b long, shared long, gram long, size long, place long"
 
 def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
     """The product of the incidence matrix of rare n-grams with its transpose, in blocks of columns: of the pairs in a
-    column, in order of size, the neighbours (a, b, shared); and the entries (gram, a, size, place) that may make more."""
+    column, in order of size, the neighbours (a, b, shared); and the entries (gram, a, size, place) that may make more, shared being
+    how many the column has."""
     entries = reps.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     parts = max(8, -(-int(entries) // 8 // BLOCK_ENTRIES))
 
@@ -177,10 +194,10 @@ def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
         parts = [unsqueeze(p.as_py()) for p in table.column("payload")]
         keys = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
         nodes, sizes, places = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2, 3))
-        (a, b, shared), (gram, node, size, place) = block_pairs(keys, nodes, sizes, places, percent)
+        (a, b, shared), (gram, node, size, place, many) = block_pairs(keys, nodes, sizes, places, percent)
         none = lambda n: pa.nulls(n, pa.int64())
         pairs = pa.table([pa.array(a), pa.array(b), pa.array(shared), none(len(a)), none(len(a)), none(len(a))], names=ENTRY_NAMES)
-        wide = pa.table([pa.array(node), none(len(node)), none(len(node)), pa.array(gram.view(np.int64)), pa.array(size), pa.array(place)], names=ENTRY_NAMES)
+        wide = pa.table([pa.array(node), none(len(node)), pa.array(many), pa.array(gram.view(np.int64)), pa.array(size), pa.array(place)], names=ENTRY_NAMES)
         return pa.concat_tables([pairs, wide])
 
     blocks = reps.select("node", "n_shingles", "prefix").mapInArrow(send, REQUEST)
@@ -190,48 +207,111 @@ def candidate_pairs(reps: DataFrame, percent: int) -> DataFrame:
 ENTRY_NAMES = [c.split()[0] for c in ENTRY.split(", ")]
 
 
-def open_pairs(entries: DataFrame, odds: DataFrame, labels: DataFrame, percent: int, seed: int | None, blocks: int) -> DataFrame:
-    """Pairs in a column, within the bounds, of documents that are not yet known to belong together: all of them, or,
-    with a seed, for each document the most alike of its near neighbours in an order that is random for each column,
-    which joins most of a large group of near copies. The bounds are those of sizes, of places, and of the bits in
-    which parity sketches (odds: node, odd) differ. Columns whose documents are all of one component have no pairs."""
-    known = odds.join(labels, "node", "left").select("node", "odd", F.coalesce("component", "node").alias("label"))
-    own = entries.join(known, entries.a == known.node).withColumn("block", F.pmod("gram", F.lit(blocks)))
+def close(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart): of pairs those whose parity sketches allow the similarity, and in how many bits these differ."""
+    for side in ("a", "b"):
+        sketch = F.coalesce("fine", "odd").alias(f"odd_{side}")
+        pairs = pairs.join(reps.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), sketch), side)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            found = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch.column("odd_a"), batch.column("odd_b"), strict=True)], np.int64)
+            good = pa.array(alike(na, nb, (na + nb - found) // 2, percent))
+            yield pa.RecordBatch.from_arrays([*batch.select(["a", "b"]).columns, pa.array(found)], ["a", "b", "apart"]).filter(good)
+
+    return pairs.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(compare, "a long, b long, apart long")
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """(a, b): for each document of some pairs the one that it is least apart from."""
+    both = pairs.select("a", "b", "apart").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart"))
+    chosen = both.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("to"))
+    return chosen.select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct()
+
+
+def labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries with the component that their document is known to be of."""
+    return entries.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("component", "a")).drop("component")
+
+
+def small_columns(entries: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """All pairs (a, b) in a column, within the bounds of size and place, of documents not yet of one component."""
 
     def pair(table: pa.Table) -> pa.Table:
         gram, node, size, place, label = (table.column(c).to_numpy() for c in ("gram", "a", "size", "place", "label"))
+        order = np.lexsort((size, gram))
+        gram, node, size, place, label = gram[order], node[order], size[order], place[order], label[order]
+        found, left, step = [], np.arange(len(order)), 1
+        while len(left):
+            left = left[left + step < len(order)]
+            left = left[(gram[left] == gram[left + step]) & (percent * size[left + step] <= 100 * size[left])]
+            i, j = left, left + step
+            good = (label[i] != label[j]) & alike(size[i], size[j], np.minimum(size[i] - place[i], size[j] - place[j]), percent)
+            found.append((np.minimum(node[i], node[j])[good], np.maximum(node[i], node[j])[good]))
+            step += 1
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        new = np.unique(np.stack([a, b]), axis=1)
+        return pa.table({"a": pa.array(new[0]), "b": pa.array(new[1])})
+
+    own = entries.select(F.pmod("gram", F.lit(blocks)).alias("block"), "gram", "a", "size", "place", "label")
+    return own.groupBy("block").applyInArrow(pair, "a long, b long").distinct()
+
+
+def large_columns(entries: DataFrame, reps: DataFrame, percent: int, seed: int | None) -> DataFrame:
+    """Pairs (a, b, apart) in large columns, within the bounds of size, place and sketches, of documents not yet of one
+    component: all of them, or, with a seed, for each document the least apart of its neighbours in a random order, which
+    joins most of a large group of near copies.
+
+    A column above OPEN_ENTRIES is dealt over several blocks. With a seed, each has a random share of it. Without, each
+    has a share of its largest component and all others: pairs of these others are the first block's, and there are none
+    inside the component.
+    """
+    mixed = entries.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram")
+    own = entries.join(mixed, "gram", "left_semi")
+    deals = F.ceil(F.col("shared") / OPEN_ENTRIES).cast("int")
+    share = F.pmod(F.xxhash64("a", F.lit(seed or 0)), deals).cast("int")
+    if seed is None:
+        hot = own.where(f"shared > {OPEN_ENTRIES}").groupBy("gram", "label").agg(F.count("*").alias("k"))
+        own = own.join(hot.groupBy("gram").agg(F.max_by("label", F.struct("k", "label")).alias("most")), "gram", "left")
+        own = own.withColumn("other", F.coalesce(F.col("label") != F.col("most"), F.lit(True)))
+        share = F.explode(F.when(F.col("other"), F.sequence(F.lit(0), deals - 1)).otherwise(F.array(share)))
+    else:
+        own = own.withColumn("other", F.lit(False))
+    own = checkpointed(own.select("gram", "a", "size", "place", "label", "other", share.alias("share")))
+    blocks = max(8, -(-own.count() // OPEN_ENTRIES))
+    own = own.join(reps.select(F.col("node").alias("a"), "odd"), "a").withColumn("block", F.pmod(F.xxhash64("gram", "share"), F.lit(blocks)))
+
+    def pair(table: pa.Table) -> pa.Table:
+        gram, node, size, place, label, share, other = (table.column(c).to_numpy() for c in ("gram", "a", "size", "place", "label", "share", "other"))
         odd = np.frombuffer(b"".join(x.as_py() for x in table.column("odd")), np.uint64).reshape(len(node), -1)
         chance = mix((node ^ gram).view(np.uint64) + np.uint64(seed or 0))
-        order = np.lexsort((size if seed is None else chance, gram))
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(gram[order]) != 0]))
-        mixed = np.minimum.reduceat(label[order], starts) != np.maximum.reduceat(label[order], starts)
-        order = order[np.repeat(mixed, np.diff(starts, append=len(order)))]
-        gram, node, size, place, label, odd = gram[order], node[order], size[order], place[order], label[order], odd[order]
-        found, left, step = [], np.arange(len(order)), 1
+        order = np.lexsort((size if seed is None else chance, share, gram))
+        gram, node, size, place, label, share, other, odd = (x[order] for x in (gram, node, size, place, label, share, other, odd))
+        found, left, step = [(np.zeros(0, np.int64),) * 3], np.arange(len(order)), 1
         while len(left) and (seed is None or step <= NEAR):
             left = left[left + step < len(order)]
-            left = left[gram[left] == gram[left + step]]
+            left = left[(gram[left] == gram[left + step]) & (share[left] == share[left + step])]
             if seed is None:
                 # In order of size, a document too large for this one is followed by larger ones only.
                 left = left[percent * size[left + step] <= 100 * size[left]]
             i, j = left, left + step
-            rest = np.minimum(size[i] - place[i], size[j] - place[j])
-            good = (label[i] != label[j]) & alike(size[i], size[j], rest, percent)
+            good = (label[i] != label[j]) & alike(size[i], size[j], np.minimum(size[i] - place[i], size[j] - place[j]), percent)
+            good &= ~(other[i] & other[j] & (share[i] > 0))
             i, j = i[good], j[good]
-            apart = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
-            good = alike(size[i], size[j], (size[i] + size[j] - apart) // 2, percent)
-            found.append((i[good], j[good], apart[good]))
+            differ = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            good = alike(size[i], size[j], (size[i] + size[j] - differ) // 2, percent)
+            found.append((i[good], j[good], differ[good]))
             step += 1
-        i, j, apart = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.arange(0),) * 3
+        i, j, differ = (np.concatenate(x) for x in zip(*found, strict=True))
         if seed is not None:
-            by = np.lexsort((apart, i))
-            i, j = i[by], j[by]
-            best = np.flatnonzero(np.diff(i, prepend=-1))
-            i, j = i[best], j[best]
-        return pa.table({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j]))})
+            by = np.lexsort((differ, node[i]))
+            best = by[np.flatnonzero(np.diff(node[i][by], prepend=-1))]
+            i, j, differ = i[best], j[best], differ[best]
+        return pa.table({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j])), "apart": pa.array(differ)})
 
-    own = own.select("block", "gram", "a", "size", "place", "label", "odd")
-    return own.groupBy("block").applyInArrow(pair, "a long, b long").distinct()
+    found = own.select("block", "gram", "a", "size", "place", "label", "share", "other", "odd").groupBy("block").applyInArrow(pair, "a long, b long, apart long")
+    return found.distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -276,23 +356,29 @@ def ngram_jaccard(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sketch = frequency_sketch(docs, n)
     found = checkpointed(features(docs, n, percent, sketch))
     classes = checkpointed(found.where("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("node")))
-    reps = found.select("doc_id", "sig", "n_shingles", "prefix", "odd").join(
-        classes.select("sig", F.col("node").alias("doc_id")), ["sig", "doc_id"], "left_semi"
-    )
-    reps = reps.withColumnRenamed("doc_id", "node").dropDuplicates(["sig"])
+    reps = found.join(classes, "sig").where("doc_id = node").dropDuplicates(["sig"])
+    reps = checkpointed(reps.select("node", "n_shingles", "prefix", "odd", "fine"))
     entries = candidate_pairs(reps, percent)
-    pairs = entries.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).select("a", "b")
-    links = verified(pairs, docs, n, percent)
-    entries = entries.where("gram is not null")
-    blocks = max(64, -(-entries.count() // OPEN_ENTRIES))
-    odds = checkpointed(reps.select("node", "odd").join(entries.select(F.col("a").alias("node")), "node", "left_semi"))
-    for seed in (1, 2, None):
-        labels = components(links)
+    links = None
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The components that the links so far make with those among some pairs."""
+        nonlocal links
+        more = verified(checkpointed(pairs.select("a", "b")), docs, n, percent)
+        labels = components(more if links is None else links.unionByName(more))
         # Stars say what all links so far say, in fewer rows and partitions.
         links = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        more = checkpointed(open_pairs(entries, odds, labels, percent, seed, blocks))
-        if not more.isEmpty():
-            links = checkpointed(links.unionByName(verified(more, docs, n, percent)))
+        return labels
+
+    labels = verify(best_of(checkpointed(close(entries.where("b is not null").select("a", "b").distinct(), reps, percent))))
+    entries = entries.where("gram is not null").select("gram", "a", "size", "place", "shared")
+    small, large = entries.where(F.col("shared") <= NEAR), entries.where(F.col("shared") > NEAR)
+    blocks = max(8, -(-small.count() // OPEN_ENTRIES))
+    labels = verify(close(small_columns(labelled(small, labels), percent, blocks), reps, percent))
+    for seed in (1, 2, None) if not large.isEmpty() else ():
+        pairs = large_columns(labelled(large, labels), reps, percent, seed)
+        pairs = close(pairs.select("a", "b").distinct(), reps, percent)
+        labels = verify(pairs if seed is None else best_of(checkpointed(pairs)))
     own = found.select("doc_id", F.col("sig").alias("own"))
     doubles = own.join(classes, own.own == classes.sig).where("doc_id <> node")
     repeated = doubles.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
