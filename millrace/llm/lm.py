@@ -11,34 +11,36 @@ training texts and others are scored alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from millrace.llm.bpe import _encoder, rank_file
-from millrace.llm.chunks import REQUEST, REQUEST_ARROW, Texts, answered, checkpointed, grouped, make_chunks, part_count, rows_of, spread, squeeze, unsqueeze, with_ids
+from millrace.llm.chunks import REQUEST, REQUEST_ARROW, Texts, checkpointed, grouped, part_count, rows_of, slices, spread, squeeze, unsqueeze, with_ids
 from millrace.llm.langid import held_out
 from millrace.llm.symbols import LOWER, mix, word_hashes, words_of
 from millrace.llm.wordtokens import WordTokens
 
 #: Tokens in a row of a window, whose context is the row before and its own earlier tokens; width of queries and keys;
 #: tokens with a query and key each (rarer ones share the second half); levels of how often a context was seen.
-HALF, WIDTH, SLOTS, LEVELS = 16, 16, 2048, 16
-#: What is fitted: rounds over all training texts, the step of each, and rows of a batch.
-RATES, BATCH = (0.03, 0.01), 512
+HALF, WIDTH, SLOTS, LEVELS = 16, 8, 2048, 16
+#: The step of each round over all training texts, and rows of a batch.
+RATES, BATCH = (0.02,), 512
 #: Text for one part of the counts; slices of the counts of single tokens.
 PART_BYTES, SLICES = 8 << 20, 16
 EXPERTS = 3
 COUNTS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("payload", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
 READY = "chunk string, tokens long, payload binary"
+READY_ARROW = pa.schema([("chunk", pa.string()), ("tokens", pa.int64()), ("payload", pa.binary())])
 
 
 @lru_cache(maxsize=1)
@@ -47,16 +49,52 @@ def _subwords(ranks: bytes) -> WordTokens:
     return WordTokens(lambda words: encoder.encode_pieces([b" " + w for w in words]))
 
 
-class ChunkWords:
-    """Words of a chunk in lower case: their hashes, the distinct ones in order, and which each word is."""
+class Tokenised:
+    """Some texts as tokens: ids, which of them begin a word (words in lower case, each encoded after a space), how many
+    tokens and words each text has, whether it is for training, and its doc_id."""
 
-    def __init__(self, texts: Texts):
+    names = ("ids", "begins", "sizes", "training", "doc_id", "no_id")
+
+    def __init__(self, payload: bytes):
+        self.__dict__.update(zip(self.names, unsqueeze(payload), strict=True))
+        self.begins = np.unpackbits(self.begins, count=len(self.ids)).astype(bool)
+        self.training = self.training.astype(bool)
+        starts = np.flatnonzero(self.begins)
+        #: The text of each word, a hash of each distinct word, and which of these each word is.
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[starts]
+        self.n_words = np.bincount(self.doc, minlength=len(self.sizes)).astype(np.int64)
+        wide = self.ids.itemsize
+        hashes = word_hashes(self.ids.view(np.uint8), wide * starts, wide * np.append(starts[1:], len(self.ids))[: len(starts)])
+        self.keys, self.inverse = np.unique(hashes >> np.uint64(1), return_inverse=True)
+
+    @staticmethod
+    def pack(texts: Texts, training: np.ndarray, subwords: WordTokens, size: int) -> bytes:
         data = LOWER[texts.data]
-        self.starts, ends, self.bounds = words_of(data, texts.bounds)
-        hashes = word_hashes(data, self.starts, ends) >> np.uint64(1)
-        self.keys, first, self.inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        starts, ends, bounds = words_of(data, texts.bounds)
+        _, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        self.distinct = [raw[a:b] for a, b in zip(self.starts[first].tolist(), ends[first].tolist(), strict=True)]
+        ids, each = subwords.tokens(subwords.numbers([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])[inverse])
+        begins = np.zeros(len(ids), bool)
+        begins[np.cumsum(each) - each] = True
+        total = np.concatenate([[0], np.cumsum(each)])[bounds]
+        no_id = np.array(texts.table.column("doc_id").is_null()).astype(np.uint8)
+        kind = np.uint16 if size <= 1 << 16 else np.int32
+        return squeeze(ids.astype(kind), np.packbits(begins), np.diff(total), training.astype(np.uint8), texts.ids(), no_id)
+
+
+def tokenised(docs: DataFrame, subwords: Callable[[], WordTokens], size: int) -> DataFrame:
+    """Documents (doc_id, text, training) as checkpointed chunks of tokens: (chunk, size, payload)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for rows in slices(batch):
+                texts = Texts(rows)
+                payload = Tokenised.pack(texts, np.array(rows.column("training")), subwords(), size)
+                yield pa.RecordBatch.from_pydict({"chunk": [f"{task}-{n}"], "size": [len(texts.data)], "payload": [payload]})
+                n += 1
+
+    return checkpointed(docs.mapInArrow(pack, "chunk string, size long, payload binary"))
 
 
 class ChunkTokens:
@@ -84,10 +122,10 @@ class ChunkTokens:
 
 
 def in_parts(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of grams by part, and where each part begins in it."""
+    """The order of grams by part, and where each part begins and the last ends in it."""
     part = (mix(grams) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    return order, np.searchsorted(part[order], np.arange(parts + 1)).tolist()
 
 
 def as_rows(values: np.ndarray, lengths: np.ndarray, fill) -> np.ndarray:
@@ -135,7 +173,7 @@ class Evidence:
         before = np.maximum(rows - 1, 0)
         window = np.concatenate([self.slots[before], self.slots[rows]], axis=1)
         said = np.concatenate([self.targets[before], self.targets[rows]], axis=1)
-        same = said[:, None, :] == self.targets[rows][:, :, None]
+        same = (said[:, None, :] == self.targets[rows][:, :, None]).astype(np.float32)
         allowed = np.broadcast_to(EARLIER, (len(rows), *EARLIER.shape)).copy()
         allowed[~self.follows[rows], :, :HALF] = False
         return self.slots[rows], window, same, self.shares[rows], self.levels[rows], allowed
@@ -157,29 +195,31 @@ class Attention:
         }
 
     def attend(self, slots, window, same, shares, levels, allowed):
-        """Attention weights over places, then experts; the probability that it gives to each token; and q and k."""
+        """Attention weights over places, then experts; these times the probability that each finds for the token; the
+        sum of that; and q and k."""
         w = self.w
         q, k = w["q"][slots], w["k"][window]
         scores = np.empty((*slots.shape, 2 * HALF + EXPERTS), w["q"].dtype)
-        np.matmul(q, k.transpose(0, 2, 1), out=scores[..., : 2 * HALF])
-        scores[..., : 2 * HALF] += w["distance"][DISTANCE]
-        np.putmask(scores[..., : 2 * HALF], ~allowed, -1e9)
-        experts = q @ w["expert"].T + w["level"][np.arange(EXPERTS), np.maximum(levels, 0)]
-        scores[..., 2 * HALF :] = np.where(levels >= 0, experts, -1e9)
+        places, experts = scores[..., : 2 * HALF], scores[..., 2 * HALF :]
+        np.matmul(q, k.transpose(0, 2, 1), out=places)
+        places += np.where(allowed, w["distance"][DISTANCE], -1e9).astype(scores.dtype)
+        np.matmul(q, w["expert"].T, out=experts)
+        experts += np.where(levels >= 0, w["level"][np.arange(EXPERTS), np.maximum(levels, 0)], -1e9).astype(scores.dtype)
         scores -= scores.max(axis=2, keepdims=True)
         np.exp(scores, out=scores)
         scores /= scores.sum(axis=2, keepdims=True)
-        found = (scores[..., : 2 * HALF] * same).sum(axis=2) + (scores[..., 2 * HALF :] * shares).sum(axis=2)
-        return scores, found, q, k
+        found = np.empty_like(scores)
+        np.multiply(places, same, out=found[..., : 2 * HALF])
+        np.multiply(experts, shares, out=found[..., 2 * HALF :])
+        return scores, found, found.sum(axis=2), q, k
 
     def gradient(self, slots, window, same, shares, levels, allowed, real) -> dict[str, np.ndarray]:
         """Of the mean of -log probability over real tokens."""
-        a, found, q, k = self.attend(slots, window, same, shares, levels, allowed)
-        scale = real / (max(1, int(real.sum())) * np.maximum(found, 1e-30))
-        d = a.copy()
-        d *= real[..., None] / max(1, int(real.sum()))
-        d[..., : 2 * HALF] -= a[..., : 2 * HALF] * same * scale[..., None]
-        d[..., 2 * HALF :] -= a[..., 2 * HALF :] * shares * scale[..., None]
+        d, found, total, q, k = self.attend(slots, window, same, shares, levels, allowed)
+        weight = (real / max(1, int(real.sum()))).astype(d.dtype)
+        d *= weight[..., None]
+        found *= (weight / np.maximum(total, 1e-30))[..., None]
+        d -= found
         places, experts = d[..., : 2 * HALF], d[..., 2 * HALF :]
         flat = experts.reshape(-1, EXPERTS)
         level = np.maximum(levels, 0).reshape(-1, EXPERTS) + np.arange(EXPERTS) * LEVELS
@@ -189,8 +229,8 @@ class Attention:
             "distance": np.bincount(DISTANCE.ravel(), places.sum(axis=0).ravel(), 2 * HALF),
         }
         for name, at, g in (("q", slots, places @ k + experts @ self.w["expert"]), ("k", window, places.transpose(0, 2, 1) @ q)):
-            at, g = at.ravel(), g.reshape(-1, WIDTH)
-            out[name] = np.stack([np.bincount(at, g[:, j], SLOTS) for j in range(WIDTH)], axis=1)
+            at, g = at.ravel(), g.reshape(-1, WIDTH).T
+            out[name] = np.stack([np.bincount(at, column, SLOTS) for column in g], axis=1)
         return {name: g.astype(self.w[name].dtype) for name, g in out.items()}
 
     def fit(self, evidence: Evidence, rate: float, seed: int) -> None:
@@ -211,7 +251,7 @@ class Attention:
         total = np.zeros(len(evidence.slots))
         for at in range(0, len(total), BATCH):
             rows = np.arange(at, min(at + BATCH, len(total)))
-            _, found, _, _ = self.attend(*evidence.batch(rows))
+            found = self.attend(*evidence.batch(rows))[2]
             total[rows] = (np.log10(np.maximum(found, 1e-30), dtype=np.float64) * (evidence.targets[rows] >= 0)).sum(axis=1)
         rows = -(-lengths // HALF)
         return np.add.reduceat(total, np.cumsum(rows) - rows) if len(rows) else np.zeros(0)
@@ -283,38 +323,32 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
     """Chunks ready to be learned from and scored (one row each), the training counts of tokens (the last: ends), and
     the number of training words with ends."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file(ranks_path))
-    chunks = make_chunks(docs.select("doc_id", "text", F.coalesce("training", F.lit(False)).alias("training")))
-    parts = part_count(chunks, PART_BYTES)
     size = len(_encoder(ranks.value, public_tokenizers.PATTERN).ranks) + 1
+    docs = docs.select("doc_id", "text", F.coalesce("training", F.lit(False)).alias("training"))
+    chunks = tokenised(docs, lambda: _subwords(ranks.value), size)
+    parts = part_count(chunks, PART_BYTES)
     width = -(-size // SLICES)
 
-    def read(texts: Texts) -> tuple:
-        words, training = ChunkWords(texts), np.array(texts.table.column("training"))
-        subwords = _subwords(ranks.value)
-        ids, sizes = subwords.tokens(subwords.numbers(words.distinct)[words.inverse])
-        doc = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-        sizes = np.bincount(doc, sizes, len(texts)).astype(np.int64)
-        tokens = ChunkTokens(ids.astype(np.int64), sizes, size)
-        return words, training, doc, ids, sizes, tokens, *tokens.grams()
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                words, training, doc, ids, sizes, tokens, grams, which = read(Texts.of_blob(blob.as_py()))
-                of_words = np.bincount(words.inverse, training[doc], len(words.keys)).astype(np.int64)
-                counted = training[tokens.doc]
-                of_grams = np.bincount(which, np.concatenate([counted, counted[~tokens.first]]), len(grams)).astype(np.int64)
+            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
+                texts = Tokenised(payload.as_py())
+                tokens = ChunkTokens(texts.ids.astype(np.int64), texts.sizes, size)
+                grams, which = tokens.grams()
+                of_words = np.bincount(texts.inverse, texts.training[texts.doc], len(texts.keys)).astype(np.int32)
+                counted = texts.training[tokens.doc]
+                of_grams = np.bincount(which, np.concatenate([counted, counted[~tokens.first]]), len(grams)).astype(np.int32)
                 total += np.bincount(tokens.target, counted, size).astype(np.int64)
-                at = spread(words.keys, 63, parts)
+                at = spread(texts.keys, 63, parts)
                 order, cuts = in_parts(grams, parts)
                 grams, of_grams = grams[order], of_grams[order]
                 rows = []
                 for p in range(parts):
                     w, g = slice(at[p], at[p + 1]), slice(cuts[p], cuts[p + 1])
                     if w.stop > w.start or g.stop > g.start:
-                        steps = (np.diff(x, prepend=np.uint64(0)) for x in (words.keys[w], grams[g]))
-                        rows.append((p, chunk, squeeze(*steps, of_words[w].astype(np.int32), of_grams[g].astype(np.int32))))
+                        steps = (np.diff(x, prepend=np.uint64(0)) for x in (texts.keys[w], grams[g]))
+                        rows.append((p, chunk, squeeze(*steps, of_words[w], of_grams[g])))
                 yield from rows_of(REQUEST_ARROW, rows).to_batches()
         for i in range(SLICES):
             if total[i * width : (i + 1) * width].any():
@@ -336,7 +370,7 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
         rows = [(c, part, squeeze(a, b), 0, 0) for c, a, b in zip(table.column("chunk").to_pylist(), *answers, strict=True)]
         return rows_of(COUNTS, [*rows, (None, part, None, n, v)])
 
-    requests = chunks.select("chunk", "blob").mapInArrow(send, REQUEST)
+    requests = chunks.select("chunk", "payload").mapInArrow(send, REQUEST)
     counted = checkpointed(grouped(requests, parts).applyInArrow(add, "chunk string, part int, payload binary, n long, v long"))
     of_words = counted.where("chunk is null").agg(F.sum("n"), F.sum("v")).first()
     of_tokens = np.zeros(size, np.int64)
@@ -346,27 +380,33 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
     ends = int(of_tokens[-1])
     n, v = (of_words[0] or 0) + ends, (of_words[1] or 0) + (ends > 0)
 
-    def join(chunk: str, texts: Texts, replies: pa.Table) -> pa.Table:
-        words, training, doc, ids, sizes, tokens, grams, which = read(texts)
-        replied = dict(zip(replies.column("part").to_pylist(), replies.column("payload").to_pylist(), strict=True))
-        found = [unsqueeze(replied[p]) for p in sorted(replied)]
-        counts = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
-        of_grams = np.empty(len(grams), np.int32)
-        of_grams[in_parts(grams, parts)[0]] = np.concatenate([np.zeros(0, np.int32), *(f[1] for f in found)])
-        of_grams = of_grams[which]
-        triples = np.zeros(len(tokens.target), np.int32)
-        triples[~tokens.first] = of_grams[len(tokens.target) :]
-        base = np.bincount(doc, np.log10((counts + 1) / (n + v + 1))[words.inverse], len(texts)) + np.log10((ends + 1) / (n + v + 1))
-        raw_id = texts.table.column("doc_id")
-        payload = Ready.pack(
-            ids=ids.astype(np.int32), sizes=sizes, training=training.astype(np.uint8), pairs=of_grams[: len(tokens.target)], triples=triples,
-            doc_id=texts.ids(), no_id=np.array(raw_id.is_null()).astype(np.uint8), n_words=np.diff(words.bounds).astype(np.int64),
-            known=np.bincount(doc, counts[words.inverse] > 0, len(texts)).astype(np.int64) + (ends > 0), base=base.view(np.int64),
-        )
-        return pa.table({"chunk": [chunk], "tokens": pa.array([int(sizes[training].sum() + training.sum())], pa.int64()), "payload": [payload]})
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload"), strict=True):
+            texts = Tokenised(payload.as_py())
+            tokens = ChunkTokens(texts.ids.astype(np.int64), texts.sizes, size)
+            grams, which = tokens.grams()
+            replied = dict(zip(right.column("part").to_pylist(), right.column("payload"), strict=True))
+            found = [unsqueeze(replied[p].as_py()) for p in sorted(replied)]
+            counts = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+            of_grams = np.empty(len(grams), np.int32)
+            of_grams[in_parts(grams, parts)[0]] = np.concatenate([np.zeros(0, np.int32), *(f[1] for f in found)])
+            of_grams = of_grams[which]
+            triples = np.zeros(len(tokens.target), np.int32)
+            triples[~tokens.first] = of_grams[len(tokens.target) :]
+            n_texts = len(texts.sizes)
+            base = np.bincount(texts.doc, np.log10((counts + 1) / (n + v + 1))[texts.inverse], n_texts) + np.log10((ends + 1) / (n + v + 1))
+            known = np.bincount(texts.doc, counts[texts.inverse] > 0, n_texts).astype(np.int64) + (ends > 0)
+            ready = Ready.pack(
+                ids=texts.ids, sizes=texts.sizes, training=texts.training.astype(np.uint8), pairs=of_grams[: len(tokens.target)], triples=triples,
+                doc_id=texts.doc_id, no_id=texts.no_id, n_words=texts.n_words, known=known, base=base.view(np.int64),
+            )
+            rows.append((chunk, int(texts.sizes[texts.training].sum() + texts.training.sum()), ready))
+        return rows_of(READY_ARROW, rows)
 
     replies = counted.where("chunk is not null").select("chunk", "part", "payload")
-    return checkpointed(answered(chunks, replies, join, READY)), of_tokens, n
+    ready = chunks.select("chunk", "payload").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(join, READY)
+    return checkpointed(ready), of_tokens, n
 
 
 RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"

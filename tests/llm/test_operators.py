@@ -219,7 +219,7 @@ def test_attention_gradient_is_right():
     real = evidence.targets[rows] >= 0
 
     def loss():
-        return -np.log(model.attend(*evidence.batch(rows))[1])[real].mean()
+        return -np.log(model.attend(*evidence.batch(rows))[2][real]).mean()
 
     gradient = model.gradient(*evidence.batch(rows), real)
     slot = int(evidence.slots[0, 5])
@@ -238,7 +238,7 @@ def test_attention_gives_probabilities():
     tokens, evidence = some_evidence(np.random.default_rng(3), size)
     pairs, triples, counts = collections.Counter(tokens.pairs.tolist()), collections.Counter(tokens.triples.tolist()), np.bincount(tokens.target, minlength=size)
     ends = size - 1
-    a, _, _, _ = model.attend(*evidence.batch(np.arange(1, 2)))
+    a = model.attend(*evidence.batch(np.arange(1, 2)))[0]
     at, said = 20, tokens.target[:20]
     before = int(tokens.target[at - 1]), int(tokens.target[at - 2])
     total = 0.0
