@@ -8,6 +8,7 @@ answer, facts as a few bytes a symbol, and no task holds more than one chunk or
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,14 +30,22 @@ REPLY_ARROW = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("payload
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written to the session's shared checkpoint folder; a folder of our own only where none is set."""
+    """The frame, written to the session's shared checkpoint folder. Where none is set: on one machine to a folder of our
+    own; on a cluster that is an error, as executors don't see each other's disks."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-"))
     return df.checkpoint()
 
 
+def own_columns(df: DataFrame, *fresh: str) -> Column:
+    """All columns of a frame but those of the given names as one struct, ``own``, so that no name can clash."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in fresh)).alias("own")
+
+
 def with_ids(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of documents, doc_id as long and text as string."""
     kinds = {"doc_id": "long", "text": "string"}

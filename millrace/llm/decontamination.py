@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import checkpointed
+from millrace.llm.chunks import checkpointed, own_columns
 
-#: Most distinct window hashes, and documents with hits, that are broadcast; with more, the join shuffles.
-BROADCAST_WINDOWS, BROADCAST_ROWS = 200_000, 200_000
+#: Most bytes that are broadcast, of window hashes (eight each) or of documents' keys with their hits (sixteen a hit and
+#: forty a document); with more, the join shuffles.
+BROADCAST_BYTES = 16 << 20
+RESULT = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: ASCII other than digits and letters (A-Z are lower case by then).
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -48,7 +50,7 @@ def occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
     known = checkpointed(grams.select("n", F.xxhash64("n", "gram").alias("h"), "gram").distinct())
     sizes = [r.n for r in known.select("n").distinct().orderBy("n").collect()]
     hashes = known.select("h").distinct()
-    if hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+    if 8 * hashes.count() <= BROADCAST_BYTES:
         hashes = F.broadcast(hashes)
 
     def hashed(n: int) -> Column:
@@ -59,7 +61,7 @@ def occurrences(docs: DataFrame, grams: DataFrame) -> DataFrame:
     found = docs.select("row", F.explode(every).alias("w")).select("row", "w.place", "w.n", "w.h")
     found = found.join(hashes, "h", "left_semi").groupBy("row").agg(F.collect_set(F.struct("place", "n")).alias("hits"))
     found = checkpointed(found)
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = (found.agg(F.sum(40 + 16 * F.size("hits"))).first()[0] or 0) <= BROADCAST_BYTES
     read = docs.join(F.broadcast(found) if few else found, "row").select("row", "words", F.explode("hits").alias("w"))
     read = read.select("row", "w.place", "w.n", F.slice("words", F.col("w.place"), F.col("w.n")).alias("gram"))
     return read.join(known.select("n", "gram"), ["n", "gram"], "left_semi").distinct()
@@ -90,27 +92,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     hit, joined by one space, where any is hit; else the text as it is. Columns of these names in the input are
     replaced. Null text has no words; items without words are ignored; an item_id that is null counts for hits but
     not among the items. Rows that share doc_id and text are equal and get equal results. An empty benchmark
-    contaminates nothing.
+    contaminates nothing; an empty table gives an empty one.
     """
-    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text")
-    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
-    split = docs.select(key.alias("row"), normal_words(F.col("text")).alias("words"))
-    hits = benchmark_hits(split, benchmark, width).dropDuplicates(["row"])
-    counted = docs.withColumns({"n_words": F.size(normal_words(F.col("text"))).cast("long"), "__row": key})
-    joined = counted.join(hits.withColumnRenamed("row", "__row"), "__row", "left")
+    text = F.col("text").cast("string")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h")).alias("row")
+    hits = benchmark_hits(docs.select(key, normal_words(text).alias("words")), benchmark, width).dropDuplicates(["row"])
+    counted = docs.select(own_columns(docs, *RESULT), key, F.size(normal_words(text)).cast("long").alias("n_words"))
+    joined = counted.join(hits, "row", "left")
+    text = F.col("own.text").cast("string")
     left = F.filter(
-        F.transform(normal_words(F.col("text")), lambda w, i: F.when(~F.array_contains("hit_words", i + 1), w)),
+        F.transform(normal_words(text), lambda w, i: F.when(~F.array_contains("hit_words", i + 1), w)),
         lambda w: w.isNotNull(),
     )
-    return joined.select(
-        *docs.columns,
+    found = joined.select(
+        "own",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
-        F.when(F.col("n_hit") > 0, F.array_join(left, " ")).otherwise(F.col("text")).alias("clean_text"),
+        F.when(F.col("n_hit") > 0, F.array_join(left, " ")).otherwise(text).alias("clean_text"),
     )
+    return found.select("own.*", *RESULT)
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

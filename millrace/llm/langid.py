@@ -14,12 +14,14 @@ from pyspark.sql.types import StructType
 
 from millrace.llm.automaton import SuffixAutomaton
 from millrace.llm.chunks import Texts, slices, with_ids
-from millrace.llm.symbols import words_of
 
-#: Bounds of what is learned: labelled documents and bytes of their words for each language, and languages.
-SAMPLE_DOCS, SAMPLE_BYTES, MOST_LANGUAGES = 64, 24_000, 64
-#: Longest piece of a word that is parsed at once.
-PIECE = 32
+#: Bounds of what is learned: labelled documents and bytes of text for each language, and bytes in all, which many
+#: languages share.
+SAMPLE_DOCS, SAMPLE_BYTES, ALL_BYTES = 64, 24_000, 256_000
+#: Bytes that are parsed at once: a longer text is parsed in pieces, each from its own beginning.
+PIECE = 256
+#: Longest phrases, on average, that a language's own text is taken to have.
+LONGEST = 20
 RESULT = "lang_pred string, score double"
 
 
@@ -29,28 +31,36 @@ LETTERS[128:] = np.arange(128, 256)
 LETTERS[97:123] = LETTERS[65:91] = np.arange(97, 123)
 
 
+def running_text(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of all texts, what else there is between them as one space; and where each text begins."""
+    data = LETTERS[texts.data]
+    space = data == 32
+    after = np.concatenate([[True], space[:-1]]) if len(space) else space
+    after[texts.bounds[:-1][texts.bounds[:-1] < len(data)]] = True
+    keep = ~(space & after)
+    return data[keep], np.concatenate([[0], np.cumsum(keep)])[texts.bounds]
+
+
 class Parser:
-    """For one language, a table of the states of a suffix automaton over its words, each ended by a space."""
+    """For one language, a table of the states of a suffix automaton over its text."""
 
     def __init__(self, sample: bytes):
-        words = sample.split()
         self.symbol = np.zeros(256, np.int64)
-        used = sorted(set(b" ".join(words)))
+        used = sorted(set(sample))
         self.symbol[used] = np.arange(1, len(used) + 1)
         automaton = SuffixAutomaton()
-        for word in dict.fromkeys(words):
-            automaton.add(word + b" ")
+        automaton.add(sample)
         self.next = np.zeros((len(automaton.next), len(used) + 1), np.int32)
         for state, edges in enumerate(automaton.next):
             for byte, to in edges.items():
                 self.next[state, self.symbol[byte]] = to
-        #: Phrases a byte that the language's own text needs with words that the table has not seen: measured on
-        #: the sample's words in two halves, each parsed with the other.
+        #: Phrases a byte that the language's own text needs: measured on the sample's second half, parsed with the first,
+        #: but no fewer than one in LONGEST bytes.
         self.own = 1.0
 
     def phrases(self, padded: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Of each row of bytes: phrases of a parse that takes the longest match each time. A byte that the
-        language never uses is a phrase of its own."""
+        """Of each row of bytes: phrases of a parse that takes the longest match each time, across words. A byte that the
+        language never uses is a phrase of its own. Any part of a phrase is one too, so no parse has fewer."""
         state = np.zeros(len(padded), np.int64)
         count = np.zeros(len(padded), np.int64)
         for i in range(padded.shape[1]):
@@ -70,75 +80,66 @@ class Parser:
 def _parsers(samples: tuple[tuple[str, bytes], ...]) -> dict[str, Parser]:
     out = {}
     for lang, sample in samples:
-        words = list(dict.fromkeys(sample.split()))
         out[lang] = Parser(sample)
-        if len(words) > 1:
-            half = Parser(b" ".join(words[::2]))
-            padded, lengths = as_rows([w + b" " for w in words[1::2]])
-            out[lang].own = max(1e-9, float(half.phrases(padded, lengths).sum() / lengths.sum()))
+        half = len(sample) // 2
+        if half:
+            padded, lengths, _ = as_rows(np.frombuffer(sample[half:], np.uint8), np.array([0, len(sample) - half]))
+            out[lang].own = max(1 / LONGEST, float(Parser(sample[:half]).phrases(padded, lengths).sum() / lengths.sum()))
     return out
 
 
-def as_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(w) for w in words], np.int64)
-    padded = np.zeros((len(words), int(lengths.max(initial=0))), np.uint8)
-    padded[np.arange(padded.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-    return padded, lengths
+def as_rows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of texts as padded rows, the shorter ones first; their lengths; and whose they are."""
+    sizes = np.diff(bounds)
+    pieces = -(-sizes // PIECE)
+    first = np.repeat(bounds[:-1], pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    lengths = np.minimum(first + PIECE, np.repeat(bounds[1:], pieces)) - first
+    order = np.argsort(lengths, kind="stable")
+    first, lengths = first[order], lengths[order]
+    padded = np.concatenate([data, np.zeros(PIECE, np.uint8)])[first[:, None] + np.arange(int(lengths.max(initial=0)))]
+    return padded, lengths, np.repeat(np.arange(len(sizes)), pieces)[order]
 
 
 def rates(texts: Texts, parsers: dict[str, Parser]) -> np.ndarray:
     """Phrases a byte of each text by language, relative to what the language's own text needs."""
-    data = LETTERS[texts.data]
-    starts, ends, bounds = words_of(data, texts.bounds)
-    sizes = ends - starts
-    pieces = np.maximum(1, -(-sizes // PIECE))
-    first = np.repeat(starts, pieces) + PIECE * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    lengths = np.minimum(first + PIECE, np.repeat(ends, pieces)) - first
-    of_doc = np.repeat(np.repeat(np.arange(len(texts)), np.diff(bounds)), pieces)
-    total = np.bincount(of_doc, lengths + 1, len(texts))
+    data, bounds = running_text(texts)
+    padded, lengths, of_doc = as_rows(data, bounds)
     out = np.zeros((len(parsers), len(texts)))
-    padded_data = np.concatenate([data, np.zeros(PIECE + 1, np.uint8)])
-    order = np.argsort(lengths, kind="stable")
-    for at in range(0, len(order), 1 << 16):
-        rows = order[at : at + (1 << 16)]
-        steps = np.arange(int(lengths[rows].max()) + 1)
-        block = padded_data[first[rows, None] + steps]
-        block[steps >= lengths[rows, None]] = 32
+    for at in range(0, len(lengths), 1 << 13):
+        rows = slice(at, at + (1 << 13))
+        block = padded[rows, : int(lengths[rows].max())]
         for i, parser in enumerate(parsers.values()):
-            out[i] += np.bincount(of_doc[rows], parser.phrases(block, lengths[rows] + 1), len(texts))
+            out[i] += np.bincount(of_doc[rows], parser.phrases(block, lengths[rows]), len(texts))
     own = np.array([p.own for p in parsers.values()])
-    return out / np.maximum(total, 1) / own[:, None]
+    return out / np.maximum(np.diff(bounds), 1) / own[:, None]
 
 
-def learned_samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES) -> tuple[tuple[str, bytes], ...]:
+def learned_samples(labelled: DataFrame, docs: int = SAMPLE_DOCS, most: int = SAMPLE_BYTES, in_all: int = ALL_BYTES) -> tuple[tuple[str, bytes], ...]:
     """Text of some documents for each language, chosen by a hash of doc_id: at most ``docs`` of them and ``most``
-    bytes. Fails beyond MOST_LANGUAGES languages."""
+    bytes. Many languages share ``in_all`` bytes."""
     labelled = labelled.where("lang is not null and text is not null")
-    ranked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    )
-    chosen = ranked.where(F.col("rank") <= docs).select("lang", "doc_id", "rank")
-    text = labelled.select("lang", "doc_id", F.substring("text", 1, most).alias("text"))
-    rows = text.join(F.broadcast(chosen), ["lang", "doc_id"]).dropDuplicates(["lang", "rank"])
+    most = max(1, min(most, in_all // max(1, labelled.select("lang").distinct().count())))
+    each = Window.partitionBy("lang")
+    ranked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("rank", F.row_number().over(each.orderBy("h", "doc_id")))
+    chosen = ranked.where(F.col("rank") <= docs).select("lang", "doc_id", "rank", F.ceil(F.lit(most) / F.count("*").over(each)).cast("int").alias("share"))
+    text = labelled.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"])
+    rows = text.select("lang", "rank", "share", F.expr("substring(text, 1, share + 1)").alias("text")).dropDuplicates(["lang", "rank"])
     found: dict[str, list] = {}
     for r in rows.collect():
-        found.setdefault(r.lang, []).append((r.rank, r.text))
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+        found.setdefault(r.lang, []).append((r.rank, first_words(r.text.lower().encode(), r.share)))
     out = []
     for lang, texts in sorted(found.items()):
-        share = -(-most // len(texts))
-        joined = b" ".join(first_words(t.lower().encode(), share) for _, t in sorted(texts))
-        if joined.translate(LETTERS.tobytes()).split():
-            out.append((lang, joined.translate(LETTERS.tobytes())))
+        raw = b" ".join(b for _, b in sorted(texts)).translate(LETTERS.tobytes())
+        if raw.split():
+            out.append((lang, b" ".join(raw.split())))
     return tuple(out)
 
 
 def identify_language(docs: DataFrame, labelled: DataFrame, unknown: str = "und") -> DataFrame:
     """Adds lang_pred and score to documents, having learned from ``labelled`` (doc_id, text, lang).
 
-    Each whole text is parsed, word by word, into the fewest phrases that occur in a language's sample, for each
-    language; the language that needs the fewest, relative to its own text, wins (ties: the first by name). score
+    Each whole text, its letters with one space for all else between them, is parsed into the fewest phrases that occur in a
+    language's sample, for each language; the language that needs the fewest, relative to its own text, wins (ties: the first by name). score
     is the margin to the others: one less the winner's rate over the mean of the others', between 0 and 1; 1 if
     there is but one language. A text that is null or has no letter gets ``unknown`` and score 0, as do all if
     nothing was learned. Columns of these names in the input are replaced; repeated rows get equal results.

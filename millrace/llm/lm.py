@@ -27,7 +27,7 @@ from pyspark.sql.types import StructType
 from millrace.llm.bpe import _encoder, rank_file
 from millrace.llm.chunks import REQUEST, REQUEST_ARROW, Texts, checkpointed, grouped, part_count, rows_of, slices, spread, squeeze, unsqueeze, with_ids
 from millrace.llm.langid import held_out
-from millrace.llm.symbols import LOWER, mix, word_hashes, words_of
+from millrace.llm.symbols import BASE, LOWER, mix, word_hashes, words_of
 from millrace.llm.wordtokens import WordTokens
 
 #: Tokens in a row of a window, whose context is the row before and its own earlier tokens; width of queries and keys;
@@ -116,16 +116,15 @@ class ChunkTokens:
         self.triples = ((np.roll(self.before, 1) + 1) * size * size + self.pairs)[~self.first]
         self.doc = np.repeat(np.arange(len(sizes)), self.lengths)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct pairs and triples in order, and which of these each pair, then each triple, is."""
-        return np.unique(np.concatenate([self.pairs, self.triples]).astype(np.uint64), return_inverse=True)
+    def grams(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs and triples, by so many bits of their hash, in order; and which each pair, then each triple, is."""
+        every = mix(np.concatenate([self.pairs, self.triples]).astype(np.uint64) + BASE)
+        return np.unique(every >> np.uint64(64 - bits), return_inverse=True)
 
 
-def in_parts(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of grams by part, and where each part begins and the last ends in it."""
-    part = (mix(grams) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+def gram_bits(size: int) -> int:
+    """Bits of hash by which pairs and triples are told: so many that about one in 2,000 in this much text meets another."""
+    return min(63, max(36, size.bit_length() + 11))
 
 
 def as_rows(values: np.ndarray, lengths: np.ndarray, fill) -> np.ndarray:
@@ -155,7 +154,7 @@ class Evidence:
         after_two = np.where(tokens.first, 0, np.roll(pairs, 1)) - own * ~tokens.first
         contexts = [np.full(len(own), 1), counts[tokens.before] - own, after_two]
         found = [(counts[tokens.target] - own + 1) / np.maximum(1, total - own + len(counts))]
-        found += [(c - own * (c > 0)) / np.maximum(1, context) for c, context in zip((pairs, triples), contexts[1:], strict=True)]
+        found += [np.minimum(1, (c - own * (c > 0)) / np.maximum(1, context)) for c, context in zip((pairs, triples), contexts[1:], strict=True)]
         seen = [np.where(c > 0, np.minimum(LEVELS - 1, np.log2(np.maximum(1, c)).astype(np.int64)), -1) for c in contexts]
         lengths = tokens.lengths
         rows = -(-lengths // HALF)
@@ -267,7 +266,7 @@ def slots_of(counts: np.ndarray) -> np.ndarray:
 class Ready:
     """A chunk with all that its scores need, as one payload of integers."""
 
-    names = ("ids", "sizes", "training", "pairs", "triples", "doc_id", "no_id", "n_words", "known", "base")
+    names = ("ids", "sizes", "training", "bits", "counts", "doc_id", "no_id", "n_words", "known", "base")
 
     @staticmethod
     def pack(**arrays: np.ndarray) -> bytes:
@@ -279,7 +278,8 @@ class Ready:
     def evidence(self, counts: np.ndarray, slots: np.ndarray, training: bool) -> tuple[Evidence, np.ndarray]:
         """Rows of all texts, or of those for training; and how many tokens each text has."""
         tokens = ChunkTokens(self.ids.astype(np.int64), self.sizes, len(counts))
-        pairs, triples, own = self.pairs.astype(np.int64), self.triples.astype(np.int64), self.training[tokens.doc].astype(np.int64)
+        pairs, triples = self.gram_counts(tokens)
+        own = self.training[tokens.doc].astype(np.int64)
         if training:
             keep = self.training.astype(bool)
             inside = keep[tokens.doc]
@@ -287,6 +287,13 @@ class Ready:
             tokens, pairs, triples, own = ChunkTokens(ids, self.sizes[keep], len(counts)), pairs[inside], triples[inside], own[inside]
         return Evidence.of(tokens, pairs, triples, own, counts, slots), tokens.lengths
 
+    def gram_counts(self, tokens: ChunkTokens) -> tuple[np.ndarray, np.ndarray]:
+        """How often the pair and the triple that each token ends occur in training (triples: 0 for a text's first)."""
+        of_grams = self.counts[tokens.grams(int(self.bits[0]))[1]].astype(np.int64)
+        triples = np.zeros(len(tokens.target), np.int64)
+        triples[~tokens.first] = of_grams[len(tokens.target) :]
+        return of_grams[: len(tokens.target)], triples
+
 
 def trained(ready: DataFrame, counts: np.ndarray) -> Attention:
     """The model after len(RATES) rounds over all training texts.
@@ -326,7 +333,7 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
     size = len(_encoder(ranks.value, public_tokenizers.PATTERN).ranks) + 1
     docs = docs.select("doc_id", "text", F.coalesce("training", F.lit(False)).alias("training"))
     chunks = tokenised(docs, lambda: _subwords(ranks.value), size)
-    parts = part_count(chunks, PART_BYTES)
+    parts, bits = part_count(chunks, PART_BYTES), gram_bits(int(chunks.agg(F.sum("size")).first()[0] or 0))
     width = -(-size // SLICES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,14 +342,12 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
                 texts = Tokenised(payload.as_py())
                 tokens = ChunkTokens(texts.ids.astype(np.int64), texts.sizes, size)
-                grams, which = tokens.grams()
+                grams, which = tokens.grams(bits)
                 of_words = np.bincount(texts.inverse, texts.training[texts.doc], len(texts.keys)).astype(np.int32)
                 counted = texts.training[tokens.doc]
                 of_grams = np.bincount(which, np.concatenate([counted, counted[~tokens.first]]), len(grams)).astype(np.int32)
                 total += np.bincount(tokens.target, counted, size).astype(np.int64)
-                at = spread(texts.keys, 63, parts)
-                order, cuts = in_parts(grams, parts)
-                grams, of_grams = grams[order], of_grams[order]
+                at, cuts = spread(texts.keys, 63, parts), spread(grams, bits, parts)
                 rows = []
                 for p in range(parts):
                     w, g = slice(at[p], at[p + 1]), slice(cuts[p], cuts[p + 1])
@@ -384,22 +389,15 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
         rows = []
         for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload"), strict=True):
             texts = Tokenised(payload.as_py())
-            tokens = ChunkTokens(texts.ids.astype(np.int64), texts.sizes, size)
-            grams, which = tokens.grams()
             replied = dict(zip(right.column("part").to_pylist(), right.column("payload"), strict=True))
             found = [unsqueeze(replied[p].as_py()) for p in sorted(replied)]
             counts = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
-            of_grams = np.empty(len(grams), np.int32)
-            of_grams[in_parts(grams, parts)[0]] = np.concatenate([np.zeros(0, np.int32), *(f[1] for f in found)])
-            of_grams = of_grams[which]
-            triples = np.zeros(len(tokens.target), np.int32)
-            triples[~tokens.first] = of_grams[len(tokens.target) :]
             n_texts = len(texts.sizes)
             base = np.bincount(texts.doc, np.log10((counts + 1) / (n + v + 1))[texts.inverse], n_texts) + np.log10((ends + 1) / (n + v + 1))
             known = np.bincount(texts.doc, counts[texts.inverse] > 0, n_texts).astype(np.int64) + (ends > 0)
             ready = Ready.pack(
-                ids=texts.ids, sizes=texts.sizes, training=texts.training.astype(np.uint8), pairs=of_grams[: len(tokens.target)], triples=triples,
-                doc_id=texts.doc_id, no_id=texts.no_id, n_words=texts.n_words, known=known, base=base.view(np.int64),
+                ids=texts.ids, sizes=texts.sizes, training=texts.training.astype(np.uint8), bits=np.array([bits]),
+                counts=np.concatenate([np.zeros(0, np.int32), *(f[1] for f in found)]), doc_id=texts.doc_id, no_id=texts.no_id, n_words=texts.n_words, known=known, base=base.view(np.int64),
             )
             rows.append((chunk, int(texts.sizes[texts.training].sum() + texts.training.sum()), ready))
         return rows_of(READY_ARROW, rows)

@@ -9,7 +9,7 @@ from millrace.llm.langid import op10_language_id
 from millrace.llm.lm import op6_attention_lm
 from millrace.llm.ngram_join import OP4_SQL, op4_ngram_join
 from millrace.llm.quotation import OP9_SQL, op9_quotation
-from millrace.llm.sharding import OP5_SQL, op5_sharding
+from millrace.llm.sharding import OP5_SQL, SMALL_SHARDS_SQL, op5_sharding, small_shards
 from millrace.llm.substring_dedup import op7_substring_dedup
 from millrace.llm.suffix_dedup import op2_suffix_dedup
 
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quotation": op9_quotation,
     "op10_language_id": op10_language_id,
+    "small_shards": small_shards,
 }
-ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op5_sharding": OP5_SQL, "op8_decontamination": OP8_SQL, "op9_quotation": OP9_SQL}
+ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op5_sharding": OP5_SQL, "small_shards": SMALL_SHARDS_SQL, "op8_decontamination": OP8_SQL, "op9_quotation": OP9_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import checkpointed
+from millrace.llm.chunks import checkpointed, own_columns
 
 MARKS = r"^(?:[ \t]*>)+"
 #: Lines that announce a quotation, dropped where one follows.
@@ -71,10 +71,11 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     linked passage quotes) and thread_turn (where the chain of parents begins; a message without a parent begins its
     own), partitioned and sorted by conv_id, thread_turn, turn: each thread from its beginning, replies after what
     they quote. Columns of these names in the input are replaced. Null text has an empty body and no quotations;
-    messages with a null conv_id or turn are never linked; of messages that share both, each gets the links of all.
+    messages with a null conv_id or turn are never linked; of messages that share both, each gets the links of all. An empty
+    table gives an empty one.
     """
-    conversations = conversations.drop(*RESULT)
-    messages = conversations.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    text = F.col("text").cast("string")
+    messages = conversations.select(own_columns(conversations, *RESULT), "conv_id", "turn", text.alias("text"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
     messages = messages.withColumn("body", _body("lines"))
     quotes = checkpointed(passages(messages.select("conv_id", "turn", "text", "lines")))
     said = messages.where("body <> ''").select(
@@ -94,16 +95,16 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     )
     counted = checkpointed(counted)
     roots = _roots(counted.where("parent_turn is not null").select("conv_id", "turn", F.col("parent_turn").alias("up")))
-    out = messages.drop("lines").join(counted, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
+    out = messages.select("own", "conv_id", "turn", "body").join(counted, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
     out = out.select(
-        *conversations.columns,
+        "own",
         "body",
         F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
         F.coalesce("max_level", F.lit(0)).alias("max_level"),
         "parent_turn",
         F.coalesce("up", "turn").alias("thread_turn"),
-    )
+    ).select("own.*", *RESULT)
     return out.repartitionByRange("conv_id", "thread_turn", "turn").sortWithinPartitions("conv_id", "thread_turn", "turn")
 
 

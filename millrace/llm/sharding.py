@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.chunks import checkpointed
+from millrace.llm.chunks import checkpointed, own_columns
 
+RESULT = ("n_bytes", "shard", "depth", "page", "shard_bytes", "shard_docs")
 #: Bits of the directory that are settled in one pass, and in all.
 STEP, MOST_BITS = 12, 48
 
@@ -59,43 +60,61 @@ def extendible_shards(docs: DataFrame, limit: int) -> DataFrame:
     many rows as fit. A text above the limit is a shard or page of its own. Null text has no bytes. An empty
     table gives an empty one.
     """
-    docs = docs.drop("n_bytes", "shard", "depth", "page", "shard_bytes", "shard_docs")
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumns({
-        "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
-        "hash": F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"),
-    })
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
+    keyed = docs.select(
+        own_columns(docs, *RESULT), F.octet_length(text).cast("long").alias("n_bytes"), F.conv(F.substring(digest, 1, 12), 16, 10).cast("long").alias("hash")
+    )
     sums = checkpointed(keyed.groupBy("hash").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs")))
     leaves = directory(sums, limit)
     depths = [r.depth for r in leaves.select("depth").distinct().orderBy("depth").collect()]
-    place = sums.select("hash", "docs", F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("depth"))
+    place = sums.select("hash", F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("depth"))
     place = place.withColumn("prefix", F.expr(f"shiftright(hash, {MOST_BITS} - depth)"))
     place = place.join(leaves, ["depth", "prefix"]).select(
-        "hash", "depth", "shard_bytes", "shard_docs",
+        "hash", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs",
         F.expr("substring(lpad(bin(prefix), depth, '0'), 1, depth)").alias("shard"),
     )
     out = keyed.join(place, "hash")
-    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1)))).cast("long")
-    shown = [
-        *docs.columns, "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "page", "shard_bytes", "shard_docs"
-    ]
     alike = (F.col("depth") == MOST_BITS) & (F.col("shard_bytes") > limit)
+    shown = ["own.*", *RESULT]
+    first_page = F.lit(0).cast("long").alias("page")
     if leaves.where(alike).isEmpty():
-        return out.withColumn("page", F.lit(0).cast("long")).select(*shown)
-    nth = F.row_number().over(Window.partitionBy("hash").orderBy("n_bytes")) - 1
-    paged = out.where(alike).withColumn("page", F.floor(nth / each).cast("long")).select(*shown)
-    return out.where(~alike).withColumn("page", F.lit(0).cast("long")).select(*shown).unionByName(paged)
+        return out.select("*", first_page).select(*shown)
+    return out.where(~alike).select("*", first_page).select(*shown).unionByName(paged(checkpointed(out.where(alike)), limit).select(*shown))
 
 
-SHARD_BYTES = 16 << 20
+def paged(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows that share a hash, as many on a page as fit. They are numbered within each partition of the checkpointed
+    frame, after the numbers of the partitions before it, so that no task has all rows of a hash."""
+    rows = rows.withColumn("dealt", F.spark_partition_id())
+    counts = rows.groupBy("hash", "dealt").agg(F.count("*").alias("k"), F.max("n_bytes").alias("most"))
+    before = F.sum("k").over(Window.partitionBy("hash").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("hash", "dealt", F.coalesce(before, F.lit(0)).alias("before"), F.max("most").over(Window.partitionBy("hash")).alias("most"))
+    rows = rows.join(counts, ["hash", "dealt"])
+    nth = F.row_number().over(Window.partitionBy("hash", "dealt").orderBy("n_bytes")) - 1 + F.col("before")
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("most", F.lit(1)))).cast("long")
+    return rows.withColumn("page", F.floor(nth / each).cast("long"))
 
 
-def op5_sharding(spark, sf_dir: str) -> DataFrame:
+SHARD_BYTES, SMALL_BYTES = 16 << 20, 48 << 10
+
+
+def shards_of_documents(spark, sf_dir: str, limit: int) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string"))
-    return extendible_shards(docs, SHARD_BYTES).drop("text")
+    return extendible_shards(docs, limit).drop("text")
+
+
+def op5_sharding(spark, sf_dir: str) -> DataFrame:
+    return shards_of_documents(spark, sf_dir, SHARD_BYTES)
+
+
+def small_shards(spark, sf_dir: str) -> DataFrame:
+    """The same operator with a limit that small tables exceed many times."""
+    return shards_of_documents(spark, sf_dir, SMALL_BYTES)
 
 
-OP5_SQL = f"""
+#: With {limit} for the bytes of a shard; right where no shard has pages.
+SHARDS_SQL = """
 WITH rows AS (
   SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 12))::BIGINT AS hash
@@ -106,9 +125,10 @@ nodes AS (
 leaf AS (
   SELECT hash, min(depth) AS depth FROM (
     SELECT DISTINCT hash, n.depth FROM rows JOIN nodes n
-    ON rows.hash >> (48 - n.depth) = n.prefix AND (n.shard_bytes <= {SHARD_BYTES} OR n.depth = 48)) GROUP BY 1)
+    ON rows.hash >> (48 - n.depth) = n.prefix AND (n.shard_bytes <= {limit} OR n.depth = 48)) GROUP BY 1)
 SELECT r.doc_id, r.n_bytes,
        CASE WHEN l.depth = 0 THEN '' ELSE right(lpad(bin(n.prefix), 48, '0'), l.depth) END AS shard,
        l.depth, 0::BIGINT AS page, n.shard_bytes, n.shard_docs
 FROM rows r JOIN leaf l USING (hash) JOIN nodes n ON n.depth = l.depth AND n.prefix = r.hash >> (48 - l.depth)
 """
+OP5_SQL, SMALL_SHARDS_SQL = (SHARDS_SQL.replace("{limit}", str(limit)) for limit in (SHARD_BYTES, SMALL_BYTES))

@@ -237,19 +237,19 @@ def covered_bytes(texts: Texts, replies: pa.Table, anchors: Anchors, suffixes: S
     return (np.cumsum(starts - ends) > 0)[: len(texts.data)]
 
 
-RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept "
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
     """Removes every byte covered by ``length`` bytes in a row that also start in a document of smaller id.
 
     Returns the documents' columns with n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and
-    kept (the remaining bytes, which may begin or end inside a character); columns of these names in the input
-    are replaced. Null text counts as empty; a null doc_id is above all others; rows of one doc_id never
+    kept (the remaining bytes, which may begin or end inside a character; as_text: as a string, without bytes that are no
+    whole character); columns of these names in the input are replaced. Null text counts as empty; a null doc_id is above all others; rows of one doc_id never
     remove each other's bytes, whether equal or not; an empty table gives an empty one. Windows never cross
     documents and are judged on the input.
     """
-    fresh = StructType.fromDDL(RESULT)
+    fresh = StructType.fromDDL(RESULT + ("string" if as_text else "binary"))
     docs = docs.drop(*fresh.names)
     schema = StructType([*docs.schema.fields, *fresh.fields])
     typed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
@@ -264,7 +264,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
             cut = gone[lo:hi]
             spans = int(np.count_nonzero(cut[1:] & ~cut[:-1])) + int(hi > lo and cut[0])
             kept = texts.data[lo:hi][~cut].tobytes() if spans else texts.data[lo:hi].tobytes()
-            rows.append((hi - lo, int(np.count_nonzero(cut)), spans, hashlib.sha256(kept).hexdigest(), kept))
+            rows.append((hi - lo, int(np.count_nonzero(cut)), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if as_text else kept))
         out = texts.table
         for name, column in zip(fresh.names, zip(*rows, strict=True) if rows else [[]] * 5, strict=True):
             out = out.append_column(name, pa.array(column))

@@ -19,17 +19,17 @@ class WordTokens:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.size = 0
+        self.held = 0
         self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """A number for each word, good until the next call."""
         new = list(set(words).difference(self.known))
-        if new and (len(self.known) + len(new) > REMEMBERED or self.size > REMEMBERED_BYTES):
+        if new and (len(self.known) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES):
             self.forget()
             new = list(set(words))
         if new:
-            self.size += sum(map(len, new))
+            self.held += sum(map(len, new))
             found = self.encode(new)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             sizes = np.fromiter(map(len, found), np.int64, len(found))

@@ -9,26 +9,31 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
+import sentencepiece
 import tiktoken
+from pyspark.sql import functions as F
 
 from millrace.llm import queries
 from millrace.llm.automaton import SuffixAutomaton
 from millrace.llm.bpe import byte_bpe, decode_tokens
+from millrace.llm.chunks import Texts
 from millrace.llm.components import components
 from millrace.llm.decontamination import decontaminate
-from millrace.llm.fertility import fertility_rules
-from millrace.llm.langid import identify_language
+from millrace.llm.fertility import MARGIN, MOST_DOUBLINGS, STEP, TAIL, WIDE, fertility_rules, fitted_bands
+from millrace.llm.langid import Parser, as_rows, identify_language, learned_samples, running_text
 from millrace.llm.lm import LEVELS, Attention, ChunkTokens, Evidence, Ready, attention_scores, prepared, slots_of, trained
 from millrace.llm.ngram_join import ngram_jaccard
 from millrace.llm.quotation import link_quotations
-from millrace.llm.sharding import extendible_shards
+from millrace.llm.sharding import SHARDS_SQL, extendible_shards
 from millrace.llm.substring_dedup import substring_dedup
 from millrace.llm.suffix_dedup import suffix_dedup
 
 DATA = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(4000))
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
 ROWS = [
@@ -119,6 +124,10 @@ def test_automaton_counts():
     assert automaton.finish().occurrences("abcab", 2) == [3, 4, 2, 3]
 
 
+def lower_text(text):
+    return (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def lower(text):
     return (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
 
@@ -158,7 +167,7 @@ def test_components_of_a_path(spark):
 
 
 def test_fertility_base_rules(docs):
-    for r in fertility_rules(docs, public_tokenizers.path("piece_bpe_32k.model")).collect():
+    for r in fertility_rules(docs, PIECES, RANKS).collect():
         raw = (r.text or "").encode()
         words, lines, dup, seen = raw.split(), raw.split(b"\n"), 0, set()
         for line in lines:
@@ -174,6 +183,84 @@ def test_fertility_base_rules(docs):
         assert not (r.base_failed and r.kept)
 
 
+def entropy(ids):
+    return sum(-n / len(ids) * math.log2(n / len(ids)) for n in collections.Counter(ids).values()) if ids else 0.0
+
+
+def test_fertility_equals_brute_force(spark):
+    """Tokens, fallback, entropy and the verdict, of whole texts, by the tokenizers' own libraries."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").collect()}
+    bands = fitted_bands(docs.where(docs.doc_id.isin(*good)), PIECES, RANKS)
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(RANKS).read_bytes().splitlines())}
+    bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fit, found = [], fertility_rules(docs, PIECES, RANKS, bands).collect()
+    for r in found:
+        words = [w.decode() for w in (r.text or "").encode().split()]
+        ids = [i for w in words for i in model.encode(w)]
+        other = [i for w in words for i in bpe.encode_ordinary(" " + w)]
+        chars = sum(map(len, words))
+        own = {
+            "chars": chars / max(1, len(ids)), "bpe_chars": chars / max(1, len(other)), "bytes": sum(map(model.is_byte, ids)) / max(1, len(ids)),
+            "rest": entropy(ids) - STEP * min(MOST_DOUBLINGS, math.log2(max(1, len(ids)))), "bpe_rest": entropy(other) - STEP * min(MOST_DOUBLINGS, math.log2(max(1, len(other)))),
+        }
+        assert (r.n_tokens, r.bpe_tokens) == (len(ids), len(other))
+        assert np.allclose([r.chars_per_token, r.chars_per_bpe_token, r.byte_share, r.token_entropy, r.bpe_entropy], [own["chars"], own["bpe_chars"], own["bytes"], entropy(ids), entropy(other)])
+        b = bands.get(r.script, WIDE)
+        inside = b.least_chars <= own["chars"] <= b.most_chars and b.least_bpe_chars <= own["bpe_chars"] <= b.most_bpe_chars
+        inside = inside and own["bytes"] <= b.most_bytes and own["rest"] >= b.least_rest - 1e-9 and own["bpe_rest"] >= b.least_bpe_rest - 1e-9
+        assert r.kept == (not r.base_failed and inside)
+        if r.doc_id in good and not r.base_failed and r.script == "latin":
+            fit.append(own)
+    low, high = (np.quantile([f["chars"] for f in fit], q) for q in (TAIL, 1 - TAIL))
+    assert abs(bands["latin"].least_chars - (low - MARGIN * (high - low))) < 1e-9 and abs(bands["latin"].most_chars - (high + MARGIN * (high - low))) < 1e-9
+    kept = sum(r.kept for r in found if r.doc_id in good and not r.base_failed)
+    assert kept >= 0.98 * len(fit)
+
+
+def test_parse_has_the_fewest_phrases():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sample = bytes(rng.choice(list(b"ab c"), 60).tolist())
+        text = bytes(rng.choice(list(b"ab cd"), 40).tolist())
+        fewest = [0] + [len(text)] * len(text)
+        for j in range(1, len(text) + 1):
+            fewest[j] = min(fewest[i] + 1 for i in range(j) if text[i:j] in sample or i == j - 1)
+        padded, lengths, _ = as_rows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert Parser(sample).phrases(padded, lengths).sum() == fewest[-1]
+
+
+def test_language_equals_brute_force(spark):
+    """Predictions by a parse over whole texts that looks up every phrase in the samples as strings."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    samples = learned_samples(docs)
+
+    def parse(text, sample):
+        at = n = 0
+        while at < len(text):
+            size = 1
+            while at + size < len(text) and text[at : at + size + 1] in sample:
+                size += 1
+            at, n = at + size, n + 1
+        return n
+
+    own = {lang: max(1 / 20, sum(parse(s[len(s) // 2 :][i : i + 256], s[: len(s) // 2]) for i in range(0, len(s) - len(s) // 2, 256)) / (len(s) - len(s) // 2)) for lang, s in samples}
+    for r in identify_language(docs.orderBy("doc_id").limit(40), docs).collect():
+        text = running_text(Texts(pa.table({"text": [(r.text or "").lower()]})))[0].tobytes()
+        rate = {lang: sum(parse(text[i : i + 256], s) for i in range(0, len(text), 256)) / max(1, len(text)) / own[lang] for lang, s in samples}
+        expected = min(sorted(rate), key=rate.get) if any(map(str.isalpha, r.text or "")) else "und"
+        assert r.lang_pred == expected
+
+
+def test_many_languages(spark):
+    rows = [(i, "".join(chr(97 + (i * k) % 26) for k in range(1, 30)), f"l{i:03}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = learned_samples(docs, in_all=900)
+    assert len(samples) == 90 and all(len(s) <= 10 for _, s in samples)
+    assert identify_language(docs, docs).where("lang_pred is null").count() == 0
+
+
 def test_language_held_out_accuracy(spark):
     found = queries.QUERIES["op10_language_id"](spark, DATA).join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id")
     rows = found.where("held_out and lang is not null").collect()
@@ -306,7 +393,7 @@ def test_attention_beats_bigrams_on_held_out_texts(spark):
         n += lengths[out].sum()
         tokens = ChunkTokens(chunk.ids.astype(np.int64), chunk.sizes, len(counts))
         at = out[tokens.doc]
-        pairs.append((chunk.pairs[at] / np.maximum(1, counts[tokens.before[at]]), (counts[tokens.target[at]] + 1) / (counts.sum() + len(counts))))
+        pairs.append((chunk.gram_counts(tokens)[0][at] / np.maximum(1, counts[tokens.before[at]]), (counts[tokens.target[at]] + 1) / (counts.sum() + len(counts))))
     two, one = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
     assert score / n > max(np.log10(x * two + (1 - x) * one).mean() for x in np.arange(0.05, 1, 0.05)) + 0.05
 
@@ -358,6 +445,49 @@ def test_shards_fit_their_limit(spark, docs):
     assert extendible_shards(docs.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("limit", [3000, 20_000])
+def test_many_shards_equal_sql(spark, duck, limit):
+    found = extendible_shards(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), limit).drop("text")
+    other = duck.sql(SHARDS_SQL.replace("{limit}", str(limit)))
+    assert found.select("shard").distinct().count() > 20
+    assert keyed(found, *sorted(found.columns)) == sorted((tuple(r[other.columns.index(c)] for c in sorted(found.columns)) for r in other.fetchall()), key=repr)
+
+
+CLASHES = ("hash", "lines", "up", "hit_words", "row", "own", "words", "body_", "h", "place", "part", "chunk", "label", "prefix", "bytes", "hits", "first")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Rows with columns named as operators' own are, all of the value 'mine'."""
+    rows = [(1, f"> x\n{PASSAGE}", "user"), (1, f"{PASSAGE} too", "user"), (2, None, "user"), (None, "", "user")]
+    df = spark.createDataFrame([(i, n, t, r, i) for n, (i, t, r) in enumerate(rows)], "doc_id long, turn long, text string, role string, conv_id long")
+    for c in CLASHES:
+        df = df.withColumn(c, F.lit("mine"))
+    return df
+
+
+def test_clashing_names(spark, clashing):
+    benchmark = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    plain = clashing.drop(*CLASHES).withColumn("lang", F.lit("en"))
+    lang = plain.select("doc_id", "text", "lang")
+    for operator in (
+        lambda d: byte_bpe(d, RANKS), lambda d: suffix_dedup(d, 50), lambda d: fertility_rules(d, PIECES, RANKS), lambda d: extendible_shards(d, 100),
+        lambda d: substring_dedup(d, 35), lambda d: decontaminate(d, benchmark, 10), link_quotations, lambda d: identify_language(d, lang),
+    ):
+        found, expected = operator(clashing), operator(clashing.drop(*CLASHES))
+        assert {tuple(r[c] for c in CLASHES) for r in found.select(*(f"`{c}`" for c in CLASHES)).collect()} == {("mine",) * len(CLASHES)}
+        assert keyed(found, *expected.columns) == keyed(expected, *expected.columns)
+    for operator in (lambda d: ngram_jaccard(d, 3, 90), lambda d: attention_scores(d.withColumn("training", F.lit(True)), RANKS).drop("score")):
+        assert keyed(operator(clashing), "doc_id") == keyed(operator(plain), "doc_id")
+
+
+def test_rows_of_one_id(clashing, spark):
+    benchmark = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    rows = spark.createDataFrame([(5, PASSAGE), (5, "clean words"), (5, PASSAGE), (None, PASSAGE)], "doc_id long, text string")
+    assert keyed(decontaminate(rows, benchmark, 10), "doc_id", "n_hit") == sorted([(5, 0), (5, 60), (5, 60), (None, 60)], key=repr)
+    assert identify_language(rows.selectExpr("doc_id", "text"), rows.selectExpr("doc_id", "text", "'en' as lang")).where("lang_pred = 'en'").count() == 4
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "How does it  work?\nTell me"), (1, 1, "assistant", "> how does it work?\n> tell me\nLike this."),
@@ -387,18 +517,73 @@ def test_quotations_of_a_part(spark):
     assert found[2, 1].parent_turn is None and found[2, 2].parent_turn is None
 
 
-def test_empty_tables(docs):
-    none = docs.limit(0)
+def test_empty_tables(spark, docs):
+    none, benchmark = docs.limit(0), spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert suffix_dedup(none).count() == substring_dedup(none).count() == ngram_jaccard(none).count() == 0
-    assert byte_bpe(none, RANKS).count() == 0
+    assert byte_bpe(none, RANKS).count() == fertility_rules(none, PIECES, RANKS).count() == decontaminate(none, benchmark).count() == 0
+    assert identify_language(none, none).count() == 0 and fitted_bands(none, PIECES, RANKS) == {}
+    assert link_quotations(none.selectExpr("doc_id as conv_id", "doc_id as turn", "'user' as role", "text")).count() == 0
     assert attention_scores(none.selectExpr("doc_id", "text", "true as training"), RANKS).count() == 0
 
 
-def test_pipeline_keeps_one_of_each_group(spark):
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage on what the one before kept, against plain loops over the same rows."""
     import corpus_pipeline
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "repeated_passages", "decontamination", "tokens"]
-    found = corpus_pipeline.run(spark, DATA).collect()
-    documents = spark.read.parquet(f"{DATA}/documents.parquet")
-    assert len(found) <= documents.select("text").distinct().count()
-    assert len({r.doc_id for r in found}) == len(found) > 100
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    extra = [(9001, "Ein \ufffd Zeichen " + PASSAGE, "de", "web", 9), (9002, "\ufffd davor " + PASSAGE + " ".join(f" danach{i}" for i in range(90)), "de", "web", 9), (9003, None, None, None, None), (9004, "a b c d e", "en", "web", 9), (9004, "a b c d e", "en", "web", 9), (9004, "quite another text", "en", "web", 9), (None, "a b c d e", "en", "web", 9)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text) for r in kept.collect()]
+        kept = stage(spark, kept, DATA)
+        kept.write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        after = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) if "text" in kept.columns else None
+        if name == "language_id":
+            expected = [(i, t) for i, t in before if any(map(str.isalpha, t or ""))]
+        elif name == "near_duplicates":
+            sets, up = brute_components([(n, t) for n, (_, t) in enumerate(before)], 5, 80)
+            least = {}
+            for n, (i, _) in enumerate(before):
+                rank = (i is None, i or 0)
+                least[up[n]] = min(least.get(up[n], rank), rank)
+            expected, seen = [], set()
+            for n, (i, t) in enumerate(before):
+                if (i is None, i or 0) == least[up[n]] and up[n] not in seen:
+                    seen.add(up[n])
+                    expected.append((i, t))
+            assert len(after) == len(expected) and {i for i, _ in after} == {i for i, _ in expected}
+            continue
+        elif name == "repeated_passages":
+            first = {}
+            for i, t in sorted(before, key=lambda r: math.inf if r[0] is None else r[0]):
+                b = t.encode()
+                for p in range(len(b) - 99):
+                    first.setdefault(b[p : p + 100], math.inf if i is None else i)
+            expected = []
+            for i, t in before:
+                b = t.encode()
+                gone = bytearray(len(b))
+                for p in range(len(b) - 99):
+                    if first[b[p : p + 100]] < (math.inf if i is None else i):
+                        gone[p : p + 100] = b"\1" * 100
+                left = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode(errors="ignore")
+                if not any(gone) or left.strip(" "):
+                    expected.append((i, left if any(gone) else t))
+            assert any(t.startswith("\ufffd davor") and "shared3" not in t for _, t in after)
+        elif name == "decontamination":
+            def normal(t):
+                return "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in lower_text(t)).split(" ")
+            items = [[w for w in normal(r.text) if w] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+            grams = {tuple(w[p : p + min(10, len(w))]) for w in items for p in range(len(w) - min(10, len(w)) + 1)}
+            expected = []
+            for i, t in before:
+                w = [x for x in normal(t) if x]
+                if not any(tuple(w[p : p + n]) in grams for n in {len(g) for g in grams} for p in range(len(w) - n + 1)):
+                    expected.append((i, t))
+        else:
+            assert kept.count() == len(before)
+            continue
+        assert after == sorted(expected, key=repr)
