@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.operators import corpus, finance, graph, ledger, passages, retrieval, series, sessions
+from millrace.operators import corpus, finance, graph, ledger, passages, quality, retrieval, series, sessions
 
-FAMILIES = (ledger, finance, series, corpus, passages, retrieval, graph, sessions)
+FAMILIES = (ledger, finance, series, quality, corpus, passages, retrieval, graph, sessions)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
