@@ -326,9 +326,9 @@ def trained(ready: DataFrame, counts: np.ndarray) -> Attention:
     return model
 
 
-def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, int]:
+def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, tuple[int, int]]:
     """Chunks ready to be learned from and scored (one row each), the training counts of tokens (the last: ends), and
-    the number of training words with ends."""
+    how many training words there are and how many distinct ones."""
     ranks = docs.sparkSession.sparkContext.broadcast(rank_file(ranks_path))
     size = len(_encoder(ranks.value, public_tokenizers.PATTERN).ranks) + 1
     docs = docs.select("doc_id", "text", F.coalesce("training", F.lit(False)).alias("training"))
@@ -362,7 +362,7 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
     def add(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         if part < 0:
-            return rows_of(COUNTS, [(None, part, squeeze(sum(unsqueeze(p.as_py())[0] for p in table.column("payload"))), 0, 0)])
+            return rows_of(COUNTS, [("", part, squeeze(sum(unsqueeze(p.as_py())[0] for p in table.column("payload"))), 0, 0)])
         sent = [unsqueeze(p.as_py()) for p in table.column("payload")]
         answers = []
         for keys, counts in ((0, 2), (1, 3)):
@@ -373,28 +373,24 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
             if not keys:
                 n, v = int(total.sum()), int((total > 0).sum())
         rows = [(c, part, squeeze(a, b), 0, 0) for c, a, b in zip(table.column("chunk").to_pylist(), *answers, strict=True)]
-        return rows_of(COUNTS, [*rows, (None, part, None, n, v)])
+        return rows_of(COUNTS, [*rows, ("", part, None, n, v)])
 
-    requests = chunks.select("chunk", "payload").mapInArrow(send, REQUEST)
-    counted = checkpointed(grouped(requests, parts).applyInArrow(add, "chunk string, part int, payload binary, n long, v long"))
-    of_words = counted.where("chunk is null").agg(F.sum("n"), F.sum("v")).first()
-    of_tokens = np.zeros(size, np.int64)
-    for row in counted.where("part < 0").select("part", "payload").collect():
-        at = (-1 - row.part) * width
-        of_tokens[at : at + width] = unsqueeze(row.payload)[0]
-    ends = int(of_tokens[-1])
-    n, v = (of_words[0] or 0) + ends, (of_words[1] or 0) + (ends > 0)
+    def totals(right: pa.Table) -> list[tuple]:
+        """What the group without a chunk holds: slices of the counts of tokens, and each part's words and distinct ones."""
+        rows = right.to_pylist()
+        slices_of = [(f"{-1 - r['part']}", 0, r["payload"]) for r in rows if r["part"] < 0]
+        return [*slices_of, ("words", 0, squeeze(np.array([sum(r["n"] for r in rows), sum(r["v"] for r in rows)])))]
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        rows = [] if left.num_rows else totals(right)
         for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload"), strict=True):
             texts = Tokenised(payload.as_py())
             replied = dict(zip(right.column("part").to_pylist(), right.column("payload"), strict=True))
             found = [unsqueeze(replied[p].as_py()) for p in sorted(replied)]
             counts = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
             n_texts = len(texts.sizes)
-            base = np.bincount(texts.doc, np.log10((counts + 1) / (n + v + 1))[texts.inverse], n_texts) + np.log10((ends + 1) / (n + v + 1))
-            known = np.bincount(texts.doc, counts[texts.inverse] > 0, n_texts).astype(np.int64) + (ends > 0)
+            base = np.bincount(texts.doc, np.log10(counts + 1)[texts.inverse], n_texts)
+            known = np.bincount(texts.doc, counts[texts.inverse] > 0, n_texts).astype(np.int64)
             ready = Ready.pack(
                 ids=texts.ids, sizes=texts.sizes, training=texts.training.astype(np.uint8), bits=np.array([bits]),
                 counts=np.concatenate([np.zeros(0, np.int32), *(f[1] for f in found)]), doc_id=texts.doc_id, no_id=texts.no_id, n_words=texts.n_words, known=known, base=base.view(np.int64),
@@ -402,9 +398,17 @@ def prepared(docs: DataFrame, ranks_path: str) -> tuple[DataFrame, np.ndarray, i
             rows.append((chunk, int(texts.sizes[texts.training].sum() + texts.training.sum()), ready))
         return rows_of(READY_ARROW, rows)
 
-    replies = counted.where("chunk is not null").select("chunk", "part", "payload")
-    ready = chunks.select("chunk", "payload").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(join, READY)
-    return checkpointed(ready), of_tokens, n
+    requests = chunks.select("chunk", "payload").mapInArrow(send, REQUEST)
+    counted = grouped(requests, parts).applyInArrow(add, "chunk string, part int, payload binary, n long, v long")
+    ready = checkpointed(chunks.select("chunk", "payload").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(join, READY))
+    of_tokens, words = np.zeros(size, np.int64), (0, 0)
+    for row in ready.where("chunk not like '%-%'").select("chunk", "payload").collect():
+        found = unsqueeze(row.payload)[0]
+        if row.chunk == "words":
+            words = tuple(found.tolist())
+        else:
+            of_tokens[int(row.chunk) * width :][: len(found)] = found
+    return ready.where("chunk like '%-%'"), of_tokens, words
 
 
 RESULT = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -419,7 +423,9 @@ def attention_scores(docs: DataFrame, ranks_path: str) -> DataFrame:
     empty: one token, the end. With no training rows the counts are zero and the weights untrained. Repeated rows
     count and score each; doc_id may be null.
     """
-    ready, counts, n = prepared(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ranks_path)
+    ready, counts, (n, v) = prepared(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ranks_path)
+    ends = int(counts[-1])
+    n, v = n + ends, v + (ends > 0)
     model = trained(ready, counts) if counts[-1] else Attention()
     learned = docs.sparkSession.sparkContext.broadcast((counts, slots_of(counts), model))
     schema = StructType.fromDDL("doc_id long, training boolean, " + RESULT)
@@ -432,8 +438,9 @@ def attention_scores(docs: DataFrame, ranks_path: str) -> DataFrame:
                 own = Ready(payload.as_py())
                 evidence, lengths = own.evidence(counts, slots, training=False)
                 columns = [
-                    pa.array(own.doc_id, mask=own.no_id.astype(bool)), pa.array(own.training.astype(bool)), pa.array(own.n_words + 1), pa.array(own.known),
-                    pa.array(np.full(len(lengths), n)), pa.array(own.base.view(np.float64)), pa.array(model.log10(evidence, lengths)),
+                    pa.array(own.doc_id, mask=own.no_id.astype(bool)), pa.array(own.training.astype(bool)), pa.array(own.n_words + 1), pa.array(own.known + (ends > 0)),
+                    pa.array(np.full(len(lengths), n)), pa.array(own.base.view(np.float64) + np.log10(ends + 1) - (own.n_words + 1) * np.log10(n + v + 1)),
+                    pa.array(model.log10(evidence, lengths)),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
