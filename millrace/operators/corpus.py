@@ -97,10 +97,10 @@ def url_normalize_dedup(spark, d):
 
 
 def source_diversity(spark, d):
-    """The first two pages of each host."""
+    """Pages by their place among those of their host, and whether that is after the second."""
     host = F.regexp_extract(url_key(F.col("url")), r"^[^/]+", 0)
     pages = table(spark, d, "pages").select("page_id", host.alias("host"))
-    return pages.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).where("nth <= 2")
+    return pages.withColumn("nth", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).withColumn("overflow", F.col("nth") > 2)
 
 
 def doc_sentences(spark, d):
@@ -135,7 +135,7 @@ ORACLE_SQL = {
     "pii_counts": f"SELECT * FROM (SELECT doc_id, {_n(EMAIL)}::INT AS emails, {_n(IBAN)}::INT AS ibans, {_n(DATE)}::INT AS dates FROM documents) WHERE emails + ibans + dates > 0",
     "pii_masked": f"SELECT doc_id, md5(m) AS masked_md5, m <> text AS changed FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g'), '{IBAN}', '<IBAN>', 'g') AS m FROM documents)",
     "url_normalize_dedup": f"SELECT {_KEY} AS key, min(page_id) AS page_id, count(*) AS copies FROM pages GROUP BY 1",
-    "source_diversity": f"SELECT page_id, host, nth::INT AS nth FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS nth FROM (SELECT page_id, regexp_extract({_KEY}, '^[^/]+') AS host FROM pages)) WHERE nth <= 2",
+    "source_diversity": f"SELECT page_id, host, nth::INT AS nth, nth > 2 AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS nth FROM (SELECT page_id, regexp_extract({_KEY}, '^[^/]+') AS host FROM pages))",
     "doc_sentences": r"SELECT doc_id, len(s)::BIGINT AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::BIGINT AS longest FROM (SELECT doc_id, list_filter(string_split_regex(text, '[.!?]+\s+'), lambda x: x <> '') AS s FROM documents)",
     "query_snippet": "SELECT doc_id, substr(text, instr(text, ' the '), 60) AS snippet FROM documents WHERE instr(text, ' the ') > 0",
 }

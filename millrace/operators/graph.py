@@ -12,12 +12,12 @@ def triples(spark, d):
     """(subject, predicate, object, confidence): one for each order."""
     rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.select(
-        F.concat(F.lit("c"), (F.col("o_custkey") % 200).cast("string")).alias("subject"), F.col("o_orderpriority").alias("predicate"),
-        F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("object"), (F.col("o_orderkey") % 7 / 10).alias("confidence"), F.col("o_orderkey").alias("triple_id"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("subject"), F.col("o_orderpriority").alias("predicate"),
+        F.concat(F.lit("n"), (F.col("c_nationkey") * 4 + F.col("o_orderkey") % 4).cast("string")).alias("object"), (F.col("o_orderkey") % 7 / 10).alias("confidence"), F.col("o_orderkey").alias("triple_id"),
     )
 
 
-T = """WITH triples AS (SELECT 'c' || (o_custkey % 200) AS subject, o_orderpriority AS predicate, 'n' || c_nationkey AS object,
+T = """WITH triples AS (SELECT 'c' || o_custkey AS subject, o_orderpriority AS predicate, 'n' || (c_nationkey * 4 + o_orderkey % 4) AS object,
   (o_orderkey % 7) / 10 AS confidence, o_orderkey AS triple_id FROM orders JOIN customer ON o_custkey = c_custkey)
 """
 
@@ -60,9 +60,9 @@ def node_degree(spark, d):
 
 
 def kg_two_hop(spark, d):
-    """Entities two steps from some seeds: how many paths lead to each."""
+    """Entities two steps from the customers whose key is divisible by 100: how many paths lead to each."""
     e = edges(spark, d)
-    seeds = e.where("subject in ('c1', 'c2', 'c3')").select(F.col("subject").alias("seed"), "object")
+    seeds = e.where("cast(substring(subject, 2) as bigint) % 100 = 0").select(F.col("subject").alias("seed"), "object")
     back = e.select("object", F.col("subject").alias("entity"))
     return seeds.join(back, "object").where("seed <> entity").groupBy("seed", "entity").agg(F.count("*").alias("paths"))
 
@@ -74,5 +74,5 @@ ORACLE_SQL = {
     "entity_frequency": T + "SELECT entity, count(*) AS frequency FROM (SELECT subject AS entity FROM triples UNION ALL SELECT object FROM triples) GROUP BY 1",
     "kg_contradictions": T + "SELECT subject, predicate, object, triple_id FROM (SELECT *, min(object) OVER w AS lo, max(object) OVER w AS hi, row_number() OVER (PARTITION BY subject, predicate ORDER BY confidence DESC, triple_id) AS i FROM triples WINDOW w AS (PARTITION BY subject, predicate)) WHERE lo <> hi AND i = 1",
     "node_degree": T + "SELECT node, count(*) AS degree FROM (SELECT DISTINCT subject AS node, object AS other FROM triples UNION ALL SELECT DISTINCT object, subject FROM triples) GROUP BY 1",
-    "kg_two_hop": T + ", e AS (SELECT DISTINCT subject, object FROM triples) SELECT a.subject AS seed, b.subject AS entity, count(*) AS paths FROM e a JOIN e b USING (object) WHERE a.subject IN ('c1', 'c2', 'c3') AND a.subject <> b.subject GROUP BY 1, 2",
+    "kg_two_hop": T + ", e AS (SELECT DISTINCT subject, object FROM triples) SELECT a.subject AS seed, b.subject AS entity, count(*) AS paths FROM e a JOIN e b USING (object) WHERE substr(a.subject, 2)::BIGINT % 100 = 0 AND a.subject <> b.subject GROUP BY 1, 2",
 }

@@ -109,14 +109,14 @@ def two_hops(rows: DataFrame, seeds: DataFrame, first: int = 5, second: int = 10
 
 
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(node, community) by propagation of labels: in each round a node takes the label that most of its neighbours have (ties: the least),
-    or keeps its own if that is as frequent. The number of rounds is fixed, so the plan is."""
+    """(node, community) by propagation of labels: in each round a node takes the label that it and its neighbours have most often (ties: the
+    least). The number of rounds is fixed, so the plan is."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    both = both.unionByName(labels.select(F.col("node").alias("a"), F.col("node").alias("b")))
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.count("*").alias("k"))
-        best = votes.groupBy("node").agg(F.max_by("label", F.struct("k", F.negative(F.xxhash64("label")))).alias("to"))
-        labels = labels.join(best, "node").select("node", F.least("to", "label").alias("label"))
+        labels = votes.groupBy("node").agg(F.min(F.struct(F.negative("k").alias("k"), "label"))["label"].alias("label"))
     return labels.withColumnRenamed("label", "community")
 
 

@@ -120,15 +120,21 @@ def prior_balance(spark, d):
 
 
 def statement_consistency(spark, d):
-    """Four checks a statement against its bookings and the statement before: passed, failed or skipped."""
-    sums = ledger(spark, d).groupBy("account_id", "month").agg(F.sum("amount_cents").alias("moved"))
+    """Four checks of a statement against its bookings and the statement before: credits, debits, the chain of balances, the link to the
+    balance before; each passed, failed or skipped."""
+    sums = ledger(spark, d).groupBy("account_id", "month").agg(
+        F.sum(F.greatest("amount_cents", F.lit(0))).alias("gained"), F.sum(F.least("amount_cents", F.lit(0))).alias("spent")
+    )
     joined = statements(spark, d).join(sums, ["account_id", "month"], "left")
-    prior = F.lag("closing").over(Window.partitionBy("account_id").orderBy("month"))
-    joined = joined.withColumn("prior", prior)
-    chain = F.col("opening") + F.col("moved") == F.col("closing")
-    link = F.when(F.col("prior").isNull(), "skipped").when(F.col("prior") == F.col("opening"), "passed").otherwise("failed")
-    state = joined.select("account_id", "month", F.when(chain, "passed").otherwise("failed").alias("chain"), link.alias("link"))
-    overall = F.when((F.col("chain") == "failed") | (F.col("link") == "failed"), "failed").otherwise("passed")
+    joined = joined.withColumn("prior", F.lag("closing").over(Window.partitionBy("account_id").orderBy("month")))
+    check = lambda known, good: F.when(known.isNull(), "skipped").when(good, "passed").otherwise("failed")
+    state = joined.select(
+        "account_id", "month",
+        check(F.col("credits"), F.col("credits") == F.col("gained")).alias("credit_check"), check(F.col("debits"), F.col("debits") == F.col("spent")).alias("debit_check"),
+        check(F.col("closing"), F.col("opening") + F.col("gained") + F.col("spent") == F.col("closing")).alias("chain"), check(F.col("prior"), F.col("prior") == F.col("opening")).alias("link"),
+    )
+    checks = F.array("credit_check", "debit_check", "chain", "link")
+    overall = F.when(F.array_contains(checks, "failed"), "failed").when(F.array_contains(checks, "passed"), "passed").otherwise("skipped")
     return state.withColumn("overall", overall)
 
 
@@ -178,15 +184,19 @@ def trend_break(spark, d):
 
 
 def ols_trend(spark, d):
+    """Least squares over the months of a currency; with fewer than three, their mean and no slope."""
     t = F.row_number().over(Window.partitionBy("currency").orderBy("month")) - 1
     rows = monthly_expense(spark, d).withColumn("t", t)
-    return rows.groupBy("currency").agg(F.round(F.regr_slope("spent", "t"), 2).alias("slope"), F.round(F.regr_intercept("spent", "t"), 2).alias("intercept"), F.count("*").alias("n"))
+    few = F.count("*") < 3
+    slope, base = F.when(few, 0.0).otherwise(F.regr_slope("spent", "t")), F.when(few, F.avg("spent")).otherwise(F.regr_intercept("spent", "t"))
+    return rows.groupBy("currency").agg(F.round(slope, 2).alias("slope"), F.round(base, 2).alias("intercept"), F.count("*").alias("n"))
 
 
 def seasonal_index(spark, d):
+    """Each month's mean over the mean of all, for currencies that have all twelve and spend at all."""
+    each = Window.partitionBy("currency")
     rows = monthly_expense(spark, d).withColumn("mm", F.substring("month", 6, 2))
-    overall = F.avg("spent").over(Window.partitionBy("currency"))
-    rows = rows.withColumn("overall", overall)
+    rows = rows.withColumns({"overall": F.avg("spent").over(each), "kinds": F.size(F.collect_set("mm").over(each))}).where("kinds = 12 and overall > 0")
     return rows.groupBy("currency", "mm").agg(F.round(F.avg("spent") / F.first("overall"), 6).alias("index"))
 
 
@@ -255,13 +265,13 @@ ORACLE_SQL = {
     "non_transfer_ledger": f"{UNIQUE_SQL} SELECT event_id, user_id, cents FROM ev WHERE event_id NOT IN (SELECT out_id FROM uniq UNION SELECT in_id FROM uniq)",
     "balance_asof": f"{WS}, last AS (SELECT account_id, arg_max(opening, period_start) AS opening, max(period_start) AS period_start FROM statements WHERE period_start <= DATE '1998-06-15' GROUP BY 1) SELECT account_id, (any_value(opening) + sum(amount_cents))::BIGINT AS balance FROM ledger JOIN last USING (account_id) WHERE booking_date BETWEEN period_start AND DATE '1998-06-15' GROUP BY 1",
     "prior_balance": f"{WS} SELECT account_id, month, closing, lag(closing) OVER (PARTITION BY account_id ORDER BY period_end) AS prior_closing FROM statements",
-    "statement_consistency": f"{WS}, s AS (SELECT account_id, month, CASE WHEN opening + moved = closing THEN 'passed' ELSE 'failed' END AS chain, CASE WHEN prior IS NULL THEN 'skipped' WHEN prior = opening THEN 'passed' ELSE 'failed' END AS link FROM (SELECT *, lag(closing) OVER (PARTITION BY account_id ORDER BY month) AS prior FROM statements LEFT JOIN (SELECT account_id, month, sum(amount_cents) AS moved FROM ledger GROUP BY 1, 2) USING (account_id, month))) SELECT *, CASE WHEN 'failed' IN (chain, link) THEN 'failed' ELSE 'passed' END AS overall FROM s",
+    "statement_consistency": f"{WS}, s AS (SELECT account_id, month, CASE WHEN credits = gained THEN 'passed' ELSE 'failed' END AS credit_check, CASE WHEN debits = spent THEN 'passed' ELSE 'failed' END AS debit_check, CASE WHEN opening + gained + spent = closing THEN 'passed' ELSE 'failed' END AS chain, CASE WHEN prior IS NULL THEN 'skipped' WHEN prior = opening THEN 'passed' ELSE 'failed' END AS link FROM (SELECT *, lag(closing) OVER (PARTITION BY account_id ORDER BY month) AS prior FROM statements LEFT JOIN (SELECT account_id, month, sum(greatest(amount_cents, 0)) AS gained, sum(least(amount_cents, 0)) AS spent FROM ledger GROUP BY 1, 2) USING (account_id, month))) SELECT *, CASE WHEN 'failed' IN (credit_check, debit_check, chain, link) THEN 'failed' ELSE 'passed' END AS overall FROM s",
     "budget_status": f"{SPENT_SQL}, b AS (SELECT currency, floor(avg(spent))::BIGINT AS budget FROM spent GROUP BY 1) SELECT currency, month, spent, budget, spent - budget AS over FROM spent JOIN b USING (currency) WHERE spent > budget",
     "recurring_groups": f"{W}, g AS (SELECT currency, counterparty, count(*) AS n, count(DISTINCT month) AS months, (-sum(amount_cents))::BIGINT AS total, greatest(0, 1 - least(1, stddev_pop(amount_cents) / avg(-amount_cents))) AS st, (SELECT count(DISTINCT month) FROM ledger WHERE amount_cents < 0) AS am FROM ledger WHERE amount_cents < 0 GROUP BY 1, 2) SELECT currency, counterparty, n, months, total, round(months / am, 6) AS coverage, round(st, 6)::DOUBLE AS stability, months / am >= 0.6 AND st >= 0.8 AS is_fixed FROM g",
     "expense_zscore": f"{SPENT_SQL} SELECT currency, month, spent, round(z, 6) AS z FROM (SELECT *, (spent - avg(spent) OVER w) / stddev_pop(spent) OVER w AS z, count(*) OVER w AS k FROM spent WINDOW w AS (PARTITION BY currency)) WHERE k >= 3 AND abs(round(z, 6)) >= 1.5",
     "trend_break": f"{SPENT_SQL}, c AS (SELECT currency, avg(spent) FILTER (i <= floor(k / 2)) AS e, avg(spent) FILTER (i > floor(k / 2)) AS l FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY month) AS i, count(*) OVER (PARTITION BY currency) AS k FROM spent) WHERE k >= 6 GROUP BY 1) SELECT currency, round((l - e) / e, 6) AS change, abs((l - e) / e) >= 0.1 AS breaks FROM c",
-    "ols_trend": f"{SPENT_SQL} SELECT currency, round(regr_slope(spent, t), 2) AS slope, round(regr_intercept(spent, t), 2) AS intercept, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY month) - 1 AS t FROM spent) GROUP BY 1",
-    "seasonal_index": f"{SPENT_SQL} SELECT currency, mm, round(avg(spent) / any_value(o), 6) AS index FROM (SELECT *, month[6:7] AS mm, avg(spent) OVER (PARTITION BY currency) AS o FROM spent) GROUP BY 1, 2",
+    "ols_trend": f"{SPENT_SQL} SELECT currency, round(CASE WHEN count(*) < 3 THEN 0 ELSE regr_slope(spent, t) END, 2) AS slope, round(CASE WHEN count(*) < 3 THEN avg(spent) ELSE regr_intercept(spent, t) END, 2) AS intercept, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY month) - 1 AS t FROM spent) GROUP BY 1",
+    "seasonal_index": f"{SPENT_SQL} SELECT currency, mm, round(avg(spent) / any_value(o), 6) AS index FROM (SELECT *, month[6:7] AS mm, avg(spent) OVER (PARTITION BY currency) AS o, count(DISTINCT month[6:7]) OVER (PARTITION BY currency) AS k FROM spent) WHERE k = 12 AND o > 0 GROUP BY 1, 2",
     "rolling_mean_forecast": f"{SPENT_SQL}, r AS (SELECT currency, round(avg(spent), 2) AS forecast, max(month) AS last FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY month DESC) AS i FROM spent) WHERE i <= 6 GROUP BY 1) SELECT currency, strftime((last || '-01')::DATE + to_months(h::INT), '%Y-%m') AS month, forecast FROM r, range(1, 4) t(h)",
     "running_balance": f"{W} SELECT tx_id, account_id, sum(amount_cents) OVER (PARTITION BY account_id ORDER BY booking_date, tx_id ROWS UNBOUNDED PRECEDING)::BIGINT AS balance FROM ledger",
     "price_change": "WITH r AS (SELECT p_brand, l_shipdate, l_orderkey, l_linenumber, floor(l_extendedprice / l_quantity / 1000)::BIGINT AS price FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT *, lag(price, 1) OVER w AS before, lag(price, 2) OVER w AS two FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY l_shipdate, l_orderkey, l_linenumber)) SELECT p_brand, count(*) AS changes, max(price) AS highest FROM s WHERE before = two AND price <> before GROUP BY 1",

@@ -159,31 +159,38 @@ def content_quality(text: Column, query: str | None = None) -> Column:
     return F.when(t == "", 0.0).otherwise(F.round(F.least(F.lit(1.0), 0.3 * size + 0.3 * depth + 0.2 * noise + 0.2 * fits), 6))
 
 
+def _spans(kind: str, pattern: str, score: float) -> Column:
+    """The hits of a pattern in column ``text``: each begins where the parts that hits cut the text into, and the hits before it, end."""
+    hits, parts = F.regexp_extract_all("text", F.lit(pattern), 0), F.split("text", pattern)
+    length = lambda found, n: F.aggregate(F.slice(found, F.lit(1), n), F.lit(0), lambda s, p: s + F.length(p))
+
+    def span(hit: Column, i: Column) -> Column:
+        start = length(parts, i + 1) + length(hits, i)
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), F.lit(score).alias("score"), hit.alias("found"))
+
+    return F.transform(hits, span)
+
+
 def pii_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, score, found): personal data of texts; of two that overlap the one of higher score, then the one
     that begins first, stays. Places count characters from 0."""
-    each = []
-    for kind, pattern, score in KINDS:
-        hits = F.regexp_extract_all("text", F.lit(pattern), 0)
-        # Every hit begins where the text before it, cut at hits, and the hits before it end.
-        parts = F.split("text", pattern)
-        at = lambda i, parts=parts, hits=hits: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda s, p: s + F.length(p)) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p))
-        span = F.transform(hits, lambda h, i, at=at, kind=kind, score=score: F.struct(F.lit(kind).alias("kind"), at(i).alias("start"), (at(i) + F.length(h)).alias("end"), F.lit(score).alias("score"), h.alias("found")))
-        each.append(span)
+    each = [_spans(*kind) for kind in KINDS]
     spans = docs.where("text is not null").select("doc_id", F.explode(F.concat(*each)).alias("s")).select("doc_id", "s.*")
     others = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "score", "kind")).alias("all_spans"))
     beats = lambda o: (o["start"] < F.col("end")) & (o["end"] > F.col("start")) & ((o["score"] > F.col("score")) | ((o["score"] == F.col("score")) & (F.struct(o["start"], o["kind"]) < F.struct("start", "kind"))))
     return spans.join(others, "doc_id").where(~F.exists("all_spans", beats)).drop("all_spans")
 
 
+def _digest(kind: str, salt: str):
+    return lambda hit: F.concat(F.lit(f"<{kind}:"), F.substring(F.sha2(F.concat(F.lit(salt), hit), 256), 1, 12), F.lit(">"))
+
+
 def anonymised(text: Column, mode: str = "replace", salt: str = "") -> Column:
     """A text without personal data: by placeholders (replace), nothing (redact), stars (mask), a salted digest (hash)."""
     for kind, pattern, _ in KINDS:
         if mode == "hash":
             hits, parts = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern)
-            marks = F.transform(hits, lambda h, kind=kind: F.concat(F.lit(f"<{kind}:"), F.substring(F.sha2(F.concat(F.lit(salt), h), 256), 1, 12), F.lit(">")))
-            pieces = F.zip_with(parts, marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit(""))))
-            text = F.array_join(pieces, "")
+            text = F.array_join(F.zip_with(parts, F.transform(hits, _digest(kind, salt)), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
         else:
             text = F.regexp_replace(text, pattern, {"replace": f"<{kind}>", "redact": "", "mask": "****"}[mode])
     return text

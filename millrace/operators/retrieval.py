@@ -15,19 +15,25 @@ def terms(rows, key: str):
     return rows.select(key, F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERMS), 0)).alias("term"))
 
 
-def bm25(spark, d):
-    """(item_id, doc_id, score): benchmark items as queries against all documents, by their distinct terms."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    tf = terms(docs, "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+def matches(spark, d):
+    """(item_id, doc_id, bm25, overlap): benchmark items as queries against all documents, by their distinct terms: the score, and how many
+    terms both have. Only terms that are asked for leave the scan; a document's length is the size of its array of terms."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit(TERMS), 0)
+    docs = table(spark, d, "documents").select("doc_id", found.alias("terms")).withColumn("dl", F.size("terms")).where("dl > 0")
     asked = terms(table(spark, d, "benchmark"), "item_id").distinct()
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    size = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    size = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    wanted = docs.select("doc_id", "dl", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = wanted.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.join(F.broadcast(size)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")
-    scored = wanted.join(weights, "term").join(length, "doc_id")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.select("doc_id", "term", part.alias("w")).join(asked, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    scored = wanted.join(weights, "term").select("doc_id", "term", part.alias("w")).join(asked, "term")
+    return scored.groupBy("item_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("bm25"), F.count("*").alias("overlap"))
+
+
+def bm25(spark, d):
+    """(item_id, doc_id, score)."""
+    return matches(spark, d).select("item_id", "doc_id", F.col("bm25").alias("score"))
 
 
 def best(scored, k: int, by: str = "item_id", key: str = "doc_id"):
@@ -46,15 +52,15 @@ def quality_gate(spark, d):
 
 def overlap(spark, d):
     """(item_id, doc_id, score): distinct terms in common."""
-    docs = terms(table(spark, d, "documents").select("doc_id", "text"), "doc_id").distinct()
-    asked = terms(table(spark, d, "benchmark"), "item_id").distinct()
-    return docs.join(F.broadcast(asked), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    return matches(spark, d).select("item_id", "doc_id", F.col("overlap").alias("score"))
 
 
-def rrf_fusion(spark, d, k: int = 60):
-    """Reciprocal ranks of two rankings, summed."""
-    ranked = best(bm25(spark, d), 20).select("item_id", "doc_id", "rank").unionByName(best(overlap(spark, d), 20).select("item_id", "doc_id", "rank"))
-    fused = ranked.groupBy("item_id", "doc_id").agg(F.round(F.sum(1 / (F.lit(k) + F.col("rank"))), 9).alias("score"))
+def rrf_fusion(spark, d, k: int = 60, depth: int = 20):
+    """Reciprocal ranks of two rankings, summed; both are windows over one frame."""
+    place = lambda c: F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc(c), "doc_id"))
+    ranked = matches(spark, d).withColumns({"a": place("bm25"), "b": place("overlap")})
+    part = lambda c: F.when(F.col(c) <= depth, 1 / (F.lit(k) + F.col(c))).otherwise(0.0)
+    fused = ranked.where((F.col("a") <= depth) | (F.col("b") <= depth)).select("item_id", "doc_id", F.round(part("a") + part("b"), 9).alias("score"))
     return best(fused, 10)
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.operators import corpus, finance, graph, knowledge, ledger, passages, quality, retrieval, series, sessions
+from millrace.operators import corpus, feedback, finance, graph, knowledge, ledger, passages, quality, ranking, retrieval, series, sessions
 
-FAMILIES = (ledger, finance, series, quality, corpus, passages, retrieval, graph, knowledge, sessions)
+FAMILIES = (ledger, finance, series, quality, corpus, passages, retrieval, ranking, graph, knowledge, sessions, feedback)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}

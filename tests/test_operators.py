@@ -1,0 +1,128 @@
+"""Operators without SQL against plain loops on whole small tables, and edge cases of parameters."""
+
+import collections
+import random
+import re
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from millrace.operators import finance, knowledge, quality, ranking, series
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_spans_of_personal_data(spark):
+    rows = [(1, "Mail a.b@c.de or +49 171 1234567, due 3.4.2024; DE89 3704 0044 0532 0130 00!"), (2, None), (3, ""), (4, "x@y.com x@y.com"), (5, "01.02.2023 0049 30 123456")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = collections.defaultdict(set)
+    for r in quality.pii_spans(docs).collect():
+        text = dict(rows)[r.doc_id]
+        assert text[r.start : r.end] == r.found
+        found[r.doc_id].add((r.kind, r.start))
+    for i, text in rows:
+        spans = [(-score, m.start(), m.end(), kind) for kind, pattern, score in quality.KINDS for m in re.finditer(pattern, text or "")]
+        kept = {(s[3], s[1]) for s in spans if not any(o[1] < s[2] and o[2] > s[1] and (o[0], o[1], o[3]) < (s[0], s[1], s[3]) for o in spans)}
+        assert found[i] == kept
+    hashed = {r.doc_id: r.t for r in docs.select("doc_id", quality.anonymised(F.col("text"), "hash", "salt").alias("t")).collect()}
+    assert hashed[4].count("<EMAIL:") == 2 and len(set(re.findall("<EMAIL:([0-9a-f]{12})>", hashed[4]))) == 1 and hashed[2] is None
+    replaced = docs.where("doc_id = 4").select(quality.anonymised(F.col("text")).alias("t")).first().t
+    assert replaced == "<EMAIL> <EMAIL>"
+
+
+def test_like_needles():
+    assert [finance.like_needle(x) for x in ("'Rent*2024?'", "%%", " shop ")] == ["%Rent%2024_%", "%%", "%shop%"]
+
+
+def test_iban_and_cents(spark):
+    rows = spark.createDataFrame([("DE89 3704 0044 0532 0130 00", 1.005), ("DE00370400440532013000", -1.005), ("hello", 2.675), (None, None)], "iban string, amount double")
+    found = [(r.r, r.c) for r in rows.select(finance.iban_remainder(F.col("iban")).alias("r"), finance.cents(F.col("amount")).alias("c")).collect()]
+    assert found[0] == (1, 101) and found[1][0] != 1 and found[1][1] == -101 and found[2] == (None, 268) and found[3] == (None, None)
+
+
+def test_cadences(spark):
+    cases = {
+        "week": ["2024-01-01", "2024-01-08", "2024-01-15", "2024-01-23"], "month": ["2024-01-31", "2024-02-29", "2024-03-31", "2024-04-30"],
+        "year": ["2022-05-05", "2023-05-05", "2024-05-06"], "two": ["2024-01-01", "2024-01-15", "2024-02-12"], "none": ["2024-01-01", "2024-01-04"], "one": ["2024-01-01"],
+    }
+    rows = spark.createDataFrame(list(cases.items()), "name string, dates array<string>").select("name", F.transform("dates", lambda x: x.cast("date")).alias("dates"))
+    found = {r["name"]: r.c and (r.c.unit, r.c.every, r.c.confidence) for r in rows.select("name", series.cadence(F.col("dates")).alias("c")).collect()}
+    assert found == {"week": ("week", 1, "high"), "month": ("month", 1, "high"), "year": ("month", 12, "medium"), "two": ("week", 2, "medium"), "none": None, "one": None}
+
+
+def test_series_end_of_month(spark):
+    specs = spark.createDataFrame([("a", "month", 1, "2024-01-31", 31, -100), ("b", "month", 2, "2024-01-15", 15, -5)], "key string, unit string, every int, anchor_date string, anchor_day int, amount_cents long")
+    specs = specs.withColumn("anchor_date", F.col("anchor_date").cast("date"))
+    odd = spark.createDataFrame([("a", "2024-02-29", "move", "2024-03-02", None), ("b", "2024-03-15", "skip", None, None), ("b", "2024-05-15", "amount", None, -7)], "key string, o string, kind string, n string, new_amount long")
+    odd = odd.select("key", F.col("o").cast("date").alias("original"), "kind", F.col("n").cast("date").alias("new_date"), "new_amount")
+    found = sorted((r.key, str(r.due_date), r.amount_cents) for r in series.expand_series(specs, odd, "2024-01-01", "2024-05-31").collect())
+    assert found == [("a", "2024-01-31", -100), ("a", "2024-03-02", -100), ("a", "2024-03-31", -100), ("a", "2024-04-30", -100), ("a", "2024-05-31", -100), ("b", "2024-01-15", -5), ("b", "2024-05-15", -7)]
+
+
+def test_forecast_interval_equals_brute_force(spark):
+    flows = collections.defaultdict(dict)
+    for r in series.monthly_flows(finance.bookings(spark, DATA)).collect():
+        flows[r.currency][r.month] = r.net
+    found = {r.currency: (r.point, r.low, r.high) for r in series.forecast_interval(finance.bookings(spark, DATA)).collect()}
+    for currency, months in flows.items():
+        y = np.array([months[m] for m in sorted(months)[-36:]], float)
+        b, a = np.polyfit(np.arange(len(y)), y, 1)
+        rest, rng = list(y - a - b * np.arange(len(y))), random.Random(42)
+        means = sorted(sum(rng.choice(rest) for _ in rest) / len(rest) for _ in range(1000))
+        assert np.allclose(found[currency], (a + b * len(y), a + b * len(y) + means[99], a + b * len(y) + means[900]), rtol=1e-6, atol=1)
+
+
+def test_communities_of_two_cliques(spark):
+    pairs = [(f"a{i}", f"a{j}") for i in range(5) for j in range(i)] + [(f"b{i}", f"b{j}") for i in range(5) for j in range(i)] + [("a0", "b0")]
+    edges = spark.createDataFrame([tuple(sorted(p)) for p in pairs], "a string, b string")
+    found = {r.node: r.community for r in knowledge.communities(edges).collect()}
+    assert {found[f"a{i}"] for i in range(5)} != {found[f"b{i}"] for i in range(5)} and len(set(found.values())) == 2
+    metrics = {r.community: (r.nodes, r.edges, r.density) for r in knowledge.community_metrics(edges, knowledge.communities(edges)).collect()}
+    assert set(metrics.values()) == {(5, 10, 1.0)}
+
+
+def vectors(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    data = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in rows.collect()}
+    return rows, data
+
+
+def test_index_recall(spark):
+    rows, data = vectors(spark)
+    queries = rows.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    best = {q: {v for _, v in sorted((-float(data[q] @ x), v) for v, x in data.items() if v != q)[:5]} for q in data if q % 10 == 0}
+
+    def recall(probes):
+        found = collections.defaultdict(set)
+        for r in ranking.approximate_topk(rows, queries, 5, probes, 16).collect():
+            found[r.query_id].add(r.vec_id)
+        return sum(len(best[q] & found[q]) for q in best) / sum(map(len, best.values()))
+
+    assert recall(16) == 1.0 and recall(10) >= 0.9
+
+
+def test_near_vectors_recall(spark):
+    rows, data = vectors(spark)
+    moved = rows.select((F.col("vec_id") + 10_000).alias("vec_id"), F.transform("embedding", lambda x, i: x + F.when(i % 7 == 0, 0.02).otherwise(0.0)).alias("embedding"))
+    both = rows.unionByName(moved)
+    every = {r.vec_id: np.array(r.embedding) / np.linalg.norm(r.embedding) for r in both.collect()}
+    ids, m = sorted(every), np.array([every[i] for i in sorted(every)])
+    sims = m @ m.T
+    expected = {(ids[i], ids[j]) for i, j in zip(*np.where(np.triu(sims, 1) >= 0.9), strict=True)}
+    found = {(r.a, r.b) for r in ranking.vector_near_copies(both, 0.9).collect()}
+    assert found <= expected and len(found) >= 0.95 * len(expected) > 0
+
+
+def test_greedy_equals_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select(F.col("label").cast("long").alias("query_id"), "vec_id", (F.col("vec_id") % 13 / 13).alias("score"), "embedding")
+    groups = collections.defaultdict(list)
+    for r in rows.collect():
+        groups[r.query_id].append((-r.score, r.vec_id, np.array(r.embedding, float) / np.linalg.norm(r.embedding)))
+    expected = set()
+    for q, group in groups.items():
+        kept = []
+        for _, v, x in sorted(group, key=lambda g: g[:2]):
+            if all(x @ y < 0.6 for y in kept):
+                kept.append(x)
+                expected.add((q, v))
+    assert {tuple(r) for r in ranking.greedy_distinct(rows, 0.6).collect()} == expected
