@@ -191,7 +191,7 @@ def test_fertility_equals_brute_force(spark):
     """Tokens, fallback, entropy and the verdict, of whole texts, by the tokenizers' own libraries."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     good = {r.doc_id for r in spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1").collect()}
-    bands = fitted_bands(docs.where(docs.doc_id.isin(*good)), PIECES, RANKS)
+    bands = fitted_bands(docs, docs.where(docs.doc_id.isin(*good)).select("doc_id"), PIECES, RANKS)
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(RANKS).read_bytes().splitlines())}
     bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -521,7 +521,7 @@ def test_empty_tables(spark, docs):
     none, benchmark = docs.limit(0), spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
     assert suffix_dedup(none).count() == substring_dedup(none).count() == ngram_jaccard(none).count() == 0
     assert byte_bpe(none, RANKS).count() == fertility_rules(none, PIECES, RANKS).count() == decontaminate(none, benchmark).count() == 0
-    assert identify_language(none, none).count() == 0 and fitted_bands(none, PIECES, RANKS) == {}
+    assert identify_language(none, none).count() == 0 and fitted_bands(none, none, PIECES, RANKS) == {}
     assert link_quotations(none.selectExpr("doc_id as conv_id", "doc_id as turn", "'user' as role", "text")).count() == 0
     assert attention_scores(none.selectExpr("doc_id", "text", "true as training"), RANKS).count() == 0
 
