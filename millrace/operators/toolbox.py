@@ -183,7 +183,7 @@ ORACLE_SQL = {
     "row_sentences": "SELECT n_nationkey, 'n_nationkey is ' || n_nationkey || '; n_name is ' || n_name || '; n_regionkey is ' || n_regionkey AS sentence FROM nation",
     "calculator": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + sqrt(l_quantity) - pow(l_tax, 2), 4) AS value FROM lineitem",
     "remediation": f"{_T}{_KIND}, z AS (SELECT doc_id, CASE WHEN flags <> '' THEN 'auto' WHEN doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) THEN 'recommended' WHEN score < 0.7 THEN 'observe' END AS tier FROM s) SELECT * FROM z WHERE tier IS NOT NULL",
-    "cache_hits": "SELECT event_id AS item_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN 30 ELSE 60 END * 60000000, false) AS hit FROM events",
+    "cache_hits": "SELECT event_id AS item_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN 30 ELSE 60 END * 60000000::BIGINT, false) AS hit FROM events",
     "fetch_gate": "SELECT 'u' || user_id AS url, NOT (count(*) FILTER (event_type = 'error') >= 3 AND max(ts) + INTERVAL 1 DAY > TIMESTAMP '2024-01-31') AS fetch FROM events GROUP BY user_id",
     "nearest_prototype": "WITH p AS (SELECT label, k, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY k) AS centre FROM p GROUP BY 1) SELECT vec_id, label, score FROM (SELECT vec_id, c.label, round(list_cosine_similarity(embedding::DOUBLE[], centre), 5) AS score FROM embeddings, c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) = 1",
 }
