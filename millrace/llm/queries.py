@@ -5,6 +5,7 @@ from __future__ import annotations
 from millrace.llm.bpe import op1_byte_bpe
 from millrace.llm.decontamination import OP8_SQL, op8_decontamination
 from millrace.llm.fertility import op3_fertility
+from millrace.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from millrace.llm.langid import op10_language_id
 from millrace.llm.lm import op6_attention_lm
 from millrace.llm.ngram_join import OP4_SQL, op4_ngram_join
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_quotation": op9_quotation,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
     "small_shards": small_shards,
 }
-ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op5_sharding": OP5_SQL, "small_shards": SMALL_SHARDS_SQL, "op8_decontamination": OP8_SQL, "op9_quotation": OP9_SQL}
+ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op5_sharding": OP5_SQL, "small_shards": SMALL_SHARDS_SQL, "op8_decontamination": OP8_SQL, "op9_quotation": OP9_SQL, "op11_hard_negatives": OP11_SQL}
