@@ -13,6 +13,7 @@ from millrace.llm.quotation import OP9_SQL, op9_quotation
 from millrace.llm.sharding import OP5_SQL, SMALL_SHARDS_SQL, op5_sharding, small_shards
 from millrace.llm.substring_dedup import op7_substring_dedup
 from millrace.llm.suffix_dedup import op2_suffix_dedup
+from millrace.llm.token_counts import op12_token_counts
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quotation": op9_quotation,
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_token_counts": op12_token_counts,
     "small_shards": small_shards,
 }
 ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op5_sharding": OP5_SQL, "small_shards": SMALL_SHARDS_SQL, "op8_decontamination": OP8_SQL, "op9_quotation": OP9_SQL, "op11_hard_negatives": OP11_SQL}
