@@ -5,6 +5,7 @@ from __future__ import annotations
 from millrace.llm.bpe import op1_byte_bpe
 from millrace.llm.decontamination import OP8_SQL, op8_decontamination
 from millrace.llm.fertility import op3_fertility
+from millrace.llm.filter_audit import OP13_SQL, op13_filter_audit
 from millrace.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from millrace.llm.langid import op10_language_id
 from millrace.llm.lm import op6_attention_lm
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_token_counts": op12_token_counts,
+    "op13_filter_audit": op13_filter_audit,
     "small_shards": small_shards,
 }
-ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op5_sharding": OP5_SQL, "small_shards": SMALL_SHARDS_SQL, "op8_decontamination": OP8_SQL, "op9_quotation": OP9_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLE_SQL = {"op4_ngram_join": OP4_SQL, "op5_sharding": OP5_SQL, "small_shards": SMALL_SHARDS_SQL, "op8_decontamination": OP8_SQL, "op9_quotation": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_filter_audit": OP13_SQL}
