@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.passages import ORACLE_SQL as PASSAGES_SQL
 from millrace.operators.passages import doc_simhash
 from millrace.operators.quality import terms
-from millrace.operators.retrieval import dot
 from millrace.sources.tables import table
 
 # Bands, weights and lists that results depend on.
@@ -127,89 +122,6 @@ def evicted(rows: DataFrame, most: int, share: float = 0.8) -> DataFrame:
     return gone.where((F.col("total") > most) & (F.col("total") - F.col("ahead") > share * most)).select("item_id")
 
 
-def unit_vectors(rows: DataFrame) -> DataFrame:
-    """Vectors (vec_id, embedding) of length one; those of length zero stay as they are."""
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
-    return rows.withColumn("embedding", F.when(norm > 0, F.transform("embedding", lambda x: x / norm)).otherwise(F.col("embedding")))
-
-
-class Cells:
-    """An index of vectors by the nearest of some centres, which are fitted on a bounded sample of them."""
-
-    def __init__(self, vectors: DataFrame, cells: int = 16, sample: int = 4096, rounds: int = 8):
-        rows = vectors.select("embedding").orderBy(F.xxhash64("vec_id")).limit(sample).collect()
-        data = np.array([r.embedding for r in rows], np.float32)
-        centres = data[: min(cells, len(data))].copy()
-        for _ in range(rounds):
-            nearest = (data @ centres.T).argmax(axis=1)
-            for c in range(len(centres)):
-                own = data[nearest == c]
-                if len(own):
-                    mean = own.mean(axis=0)
-                    centres[c] = mean / max(1e-9, float(np.linalg.norm(mean)))
-        self.centres = centres
-
-    def assign(self, vectors: DataFrame, most: int = 1) -> DataFrame:
-        """Vectors with ``cell``: the nearest, or one row for each of the ``most`` nearest."""
-        centres = self.centres
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data = np.array(batch.column("embedding").to_pylist(), np.float32).reshape(batch.num_rows, -1)
-                near = np.argsort(-(data @ centres.T), axis=1, kind="stable")[:, :most] if batch.num_rows else np.zeros((0, most), int)
-                at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(at)).columns, pa.array(near.ravel().astype(np.int32))], [*batch.schema.names, "cell"])
-
-        return vectors.mapInArrow(run, vectors.withColumn("cell", F.lit(0)).schema)
-
-
-def approximate_topk(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 6, cells: int = 16) -> DataFrame:
-    """(query_id, vec_id, score): for each query (query_id, embedding) the best of the vectors in its nearest cells. Every vector is in a
-    cell; with as many probes as cells the result is exact."""
-    units = unit_vectors(vectors)
-    index = Cells(units, cells)
-    asked = index.assign(unit_vectors(queries.withColumnRenamed("query_id", "vec_id")), min(probes, cells)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), "cell")
-    pairs = index.assign(units).join(asked, "cell").where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(dot(F.col("embedding"), F.col("asked")), 5).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
-
-
-def vector_near_copies(vectors: DataFrame, least: float, bits: int = 6, tables: int = 24, seed: int = 3) -> DataFrame:
-    """(a, b, score): vectors at least so alike by cosine, among those that fall on one side of some random planes together in any of
-    several tables; each candidate is checked."""
-    units = unit_vectors(vectors)
-    width = len(units.first().embedding) if not units.isEmpty() else 0
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, width)).astype(np.float32)
-    power = 1 << np.arange(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = np.array(batch.column("embedding").to_pylist(), np.float32).reshape(batch.num_rows, width)
-            sides = (data @ planes.T > 0).reshape(batch.num_rows, tables, bits) @ power
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array((sides + np.arange(tables) * (1 << bits)).astype(np.int64).tolist(), pa.list_(pa.int64()))], ["vec_id", "buckets"])
-
-    keys = units.select("vec_id", "embedding").mapInArrow(run, "vec_id long, buckets array<bigint>").select("vec_id", F.explode("buckets").alias("bucket"))
-    pairs = keys.select(F.col("vec_id").alias("a"), "bucket").join(keys.select(F.col("vec_id").alias("b"), "bucket"), "bucket").where("a < b").select("a", "b").distinct()
-    pairs = pairs.join(units.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), "a").join(units.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), "b")
-    return pairs.select("a", "b", F.round(dot(F.col("x"), F.col("y")), 5).alias("score")).where(F.col("score") >= least)
-
-
-def greedy_distinct(rows: DataFrame, most: float = 0.92) -> DataFrame:
-    """Results of each query without those too like a better one that stays: one query's results, best first, in a task."""
-
-    def run(group: pa.Table) -> pa.Table:
-        order = group.sort_by([("score", "descending"), ("vec_id", "ascending")])
-        data = np.array(order.column("embedding").to_pylist(), np.float64)
-        data /= np.maximum(np.linalg.norm(data, axis=1, keepdims=True), 1e-12)
-        kept: list[int] = []
-        for i in range(len(data)):
-            if not kept or float((data[kept] @ data[i]).max()) < most:
-                kept.append(i)
-        return order.take(pa.array(kept)).select(["query_id", "vec_id"])
-
-    return rows.select("query_id", "vec_id", "score", "embedding").groupBy("query_id").applyInArrow(run, "query_id long, vec_id long")
-
-
 def simhash_pairs(prints: DataFrame, most: int = 3) -> DataFrame:
     """(a, b, distance): fingerprints (doc_id, simhash) that differ in at most three bits, so that one of their four quarters is equal. Equal
     prints are joined as one, with the least id of each; a quarter that very many prints share is one key."""
@@ -278,10 +190,6 @@ def pages(spark, d: str) -> DataFrame:
     return table(spark, d, "pages").select((F.col("page_id") % 7).alias("query_id"), F.col("page_id").alias("item_id"), (F.length("html") % 97 / 97).alias("score"), "url", site(F.col("url")).alias("site"))
 
 
-def _vectors(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-
-
 def _answers(s, d):
     items = table(s, d, "benchmark").select(F.col("item_id").alias("answer_id"), "text")
     docs = table(s, d, "documents").select((F.col("doc_id") % 20).alias("answer_id"), F.col("doc_id").alias("evidence_id"), "text")
@@ -305,9 +213,6 @@ QUERIES = {
     "merged_results": lambda s, d: merged_results(R(s, d).where("kind = 'view'").drop("kind"), R(s, d).where("kind <> 'view'").drop("kind"), 10).select("query_id", "item_id", "kind", "rank"),
     "score_trend": lambda s, d: score_trend(R(s, d)),
     "evicted": lambda s, d: evicted(table(s, d, "events").select(F.col("event_id").alias("item_id"), F.floor("value").cast("long").alias("size"), F.col("ts").alias("used_at")), 20_000),
-    "approximate_topk": lambda s, d: approximate_topk(_vectors(s, d), _vectors(s, d).where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 5),
-    "vector_near_copies": lambda s, d: vector_near_copies(_vectors(s, d), 0.6),
-    "greedy_distinct": lambda s, d: greedy_distinct(table(s, d, "embeddings").select(F.col("label").cast("long").alias("query_id"), "vec_id", (F.col("vec_id") % 13 / 13).alias("score"), "embedding"), 0.6),
     "simhash_pairs": lambda s, d: simhash_pairs(doc_simhash(s, d)),
     "compressed": lambda s, d: compressed(table(s, d, "documents").select("doc_id", "text"), ["the", "und", "les", "los", "and", "die"]),
     "temporal_boost": lambda s, d: temporal_boost(table(s, d, "documents").select("doc_id", "text", (F.col("n_chars") % 100 / 100).alias("score"), (F.col("n_chars") % 50 + 1980).cast("int").alias("year")), 1990, 2005).select("doc_id", "score"),

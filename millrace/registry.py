@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from millrace.operators import corpus, feedback, finance, graph, knowledge, ledger, passages, quality, ranking, retrieval, series, sessions, toolbox
+from millrace.operators import communities, corpus, entities, feedback, finance, graph, knowledge, ledger, passages, quality, ranking, reconcile, retrieval, series, sessions, toolbox, vectors
 
-FAMILIES = (ledger, finance, series, quality, corpus, passages, retrieval, ranking, graph, knowledge, sessions, feedback, toolbox)
+FAMILIES = (ledger, finance, series, quality, corpus, passages, retrieval, ranking, graph, knowledge, sessions, feedback, toolbox, communities, vectors, entities, reconcile)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
