@@ -58,52 +58,58 @@ def url_share(text: Column) -> Column:
     return F.length(F.array_join(F.regexp_extract_all(text, F.lit(URL), 0), "")) / F.greatest(F.length(text), F.lit(1))
 
 
-def content_type(text: Column) -> Column:
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Documents with ``m``: all counts that kinds, defects and scores of a text are made of, each taken once. Words are a column of
+    their own first, and the counts come out of a one-row generator: the optimiser puts neither a text nor a count in
+    again where it is used."""
+    rows = docs.withColumn("plain_text", plain(F.col(text))).withColumn("plain_words", words(F.col("plain_text")))
+    t, own = F.col("plain_text"), F.col("plain_words")
+    counts = {
+        "n": F.length(t), "words": F.size(own), "formulas": count(t, FORMULA), "tables": count(t, TABLE), "definitions": count(t, DEFINITION), "legal": count(t, LEGAL),
+        "code": count(t, CODE), "garbage": count(t, GARBAGE), "cookies": count(t, COOKIE), "separators": count(t, SEPARATORS), "crumbs": count(t, CRUMBS),
+        "sentences": count(t, SENTENCE), "boilerplate": count(t, BOILERPLATE), "urls": url_share(t), "letters": letters(t, r"[^\p{L}]"), "ends": t.rlike(r"[.!?]$"),
+        "distinct": F.size(F.array_distinct(F.transform(own, F.lower))), "named": F.size(F.filter(own, lambda w: w.rlike(r"^\p{Lu}."))), "numbers": F.size(F.filter(own, lambda w: w.rlike(r"[0-9]"))),
+    }
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(F.struct(*(c.alias(n) for n, c in counts.items())))).alias("m"))
+
+
+def kind_of(m: Column) -> Column:
     """formula, table, definition, legal, code or prose: the first whose signs are enough. Null and short texts are prose."""
-    t = plain(text)
-    formulas = count(t, FORMULA)
     return (
-        F.when(F.length(t) < 5, "prose")
-        .when((formulas >= 3) | (formulas > 0.05 * F.greatest(F.size(words(t)), F.lit(1))), "formula")
-        .when(count(t, TABLE) >= 2, "table").when((count(t, DEFINITION) >= 1) & (F.length(t) < 500), "definition")
-        .when(count(t, LEGAL) >= 2, "legal").when(count(t, CODE) >= 3, "code").otherwise("prose")
+        F.when(m["n"] < 5, "prose")
+        .when((m["formulas"] >= 3) | (m["formulas"] > 0.05 * F.greatest(m["words"], F.lit(1))), "formula")
+        .when(m["tables"] >= 2, "table").when((m["definitions"] >= 1) & (m["n"] < 500), "definition")
+        .when(m["legal"] >= 2, "legal").when(m["code"] >= 3, "code").otherwise("prose")
     )
 
 
-def defect_flags(text: Column) -> Column:
+def flags_of(m: Column) -> Column:
     """Which hard defects a text has: trivial (alone), encoding_garbage, cookie_banner, pure_navigation, url_dump."""
-    t = plain(text)
-    n, garbage = F.length(t), count(t, GARBAGE)
-    signs = F.when(count(t, SEPARATORS) >= 2, 2).otherwise(0) + F.when(count(t, CRUMBS) >= 2, 2).otherwise(0)
+    signs = F.when(m["separators"] >= 2, 2).otherwise(0) + F.when(m["crumbs"] >= 2, 2).otherwise(0)
     found = F.array(
-        F.when((garbage >= 3) | ((garbage >= 1) & (n < 100)), "encoding_garbage"),
-        F.when(count(t, COOKIE) >= 3, "cookie_banner"),
-        F.when((count(t, SENTENCE) == 0) & (signs >= 2), "pure_navigation"),
-        F.when(url_share(t) > 0.6, "url_dump"),
+        F.when((m["garbage"] >= 3) | ((m["garbage"] >= 1) & (m["n"] < 100)), "encoding_garbage"),
+        F.when(m["cookies"] >= 3, "cookie_banner"),
+        F.when((m["sentences"] == 0) & (signs >= 2), "pure_navigation"),
+        F.when(m["urls"] > 0.6, "url_dump"),
     )
-    return F.when(n < 15, F.array(F.lit("trivial"))).otherwise(F.array_compact(found))
+    return F.when(m["n"] < 15, F.array(F.lit("trivial"))).otherwise(F.array_compact(found))
 
 
-def structural_score(text: Column) -> Column:
+def score_of(m: Column, kind: Column, flags: Column) -> Column:
     """From 1.0 less what eight signs cost, some of them for prose only; hard defects decide alone."""
-    t = plain(text)
-    n, kind, flags, own = F.length(t), content_type(text), defect_flags(text), words(t)
-    k = F.greatest(F.size(own), F.lit(1))
+    n, k = m["n"], F.greatest(m["words"], F.lit(1))
     cost = lambda *cases: _first(cases)
-    share = letters(t, r"[^\p{L}]") / F.greatest(n, F.lit(1))
+    share = m["letters"] / F.greatest(n, F.lit(1))
     terse, dense = kind.isin("formula", "definition", "table"), kind.isin("formula", "table", "code")
-    pattern, url = count(t, BOILERPLATE), url_share(t)
-    named = F.size(F.filter(own, lambda w: w.rlike(r"^\p{Lu}.")))
-    numbers = F.size(F.filter(own, lambda w: w.rlike(r"[0-9]")))
     score = 1.0 - (
         cost((terse & (n < 15), 0.2), (terse, 0.0), ((kind == "code") & (n < 20), 0.3), (kind == "code", 0.0), (n < 30, 0.4), (n < 80, 0.2), (n < 150, 0.05))
         + cost((dense & (share < 0.10), 0.15), (dense, 0.0), (share < 0.40, 0.4), (share < 0.55, 0.15))
-        + cost(((kind == "prose") & (count(t, SENTENCE) == 0) & ~t.rlike(r"[.!?]$") & (n > 100), 0.15))
-        + cost((pattern >= 3, 0.5), (pattern >= 2, 0.3), (pattern >= 1, 0.15))
-        + cost((url > 0.5, 0.45), (url > 0.3, 0.25))
-        + cost((count(t, SEPARATORS) >= 2, 0.35))
-        + cost((~kind.isin("formula", "code") & (F.size(F.array_distinct(F.transform(own, F.lower))) < 0.3 * k) & (k > 20), 0.2))
-        + cost(((kind == "prose") & (named + numbers < 0.02 * k) & (k > 30), 0.1))
+        + cost(((kind == "prose") & (m["sentences"] == 0) & ~m["ends"] & (n > 100), 0.15))
+        + cost((m["boilerplate"] >= 3, 0.5), (m["boilerplate"] >= 2, 0.3), (m["boilerplate"] >= 1, 0.15))
+        + cost((m["urls"] > 0.5, 0.45), (m["urls"] > 0.3, 0.25))
+        + cost((m["separators"] >= 2, 0.35))
+        + cost((~kind.isin("formula", "code") & (m["distinct"] < 0.3 * k) & (k > 20), 0.2))
+        + cost(((kind == "prose") & (m["named"] + m["numbers"] < 0.02 * k) & (k > 30), 0.1))
     )
     has = lambda flag: F.array_contains(flags, flag)
     return (
@@ -120,8 +126,13 @@ def _first(cases: tuple) -> Column:
     return out.otherwise(0.0)
 
 
-def is_noise(text: Column, least: float = 0.2) -> Column:
-    return (F.length(plain(text)) < 10) | (F.size(defect_flags(text)) > 0) | (structural_score(text) < least)
+def rated(docs: DataFrame, text: str = "text", least: float = 0.2) -> DataFrame:
+    """Documents with content_type, flags, score and noise (too short, a defect, or a score below ``least``) of a text, from
+    one pass over it. Null texts are empty: prose, trivial, 0, noise."""
+    m = F.col("m")
+    rows = measured(docs, text).withColumn("content_type", kind_of(m)).withColumn("flags", flags_of(m))
+    rows = rows.withColumn("score", score_of(m, F.col("content_type"), F.col("flags")))
+    return rows.withColumn("noise", (m["n"] < 10) | (F.size("flags") > 0) | (F.col("score") < least)).drop("m")
 
 
 def boilerplate(docs: DataFrame, least_docs: int = 5, least_part: float = 0.01, least_share: float = 0.3) -> DataFrame:
@@ -181,18 +192,11 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     return spans.join(others, "doc_id").where(~F.exists("all_spans", beats)).drop("all_spans")
 
 
-def _digest(kind: str, salt: str):
-    return lambda hit: F.concat(F.lit(f"<{kind}:"), F.substring(F.sha2(F.concat(F.lit(salt), hit), 256), 1, 12), F.lit(">"))
-
-
-def anonymised(text: Column, mode: str = "replace", salt: str = "") -> Column:
-    """A text without personal data: by placeholders (replace), nothing (redact), stars (mask), a salted digest (hash)."""
+def anonymised(text: Column, mode: str = "replace") -> Column:
+    """A text without personal data, kind after kind: by placeholders (replace), nothing (redact), stars (mask). For resolved spans,
+    digests and numbered placeholders see ``pseudonyms``."""
     for kind, pattern, _ in KINDS:
-        if mode == "hash":
-            hits, parts = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern)
-            text = F.array_join(F.zip_with(parts, F.transform(hits, _digest(kind, salt)), lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-        else:
-            text = F.regexp_replace(text, pattern, {"replace": f"<{kind}>", "redact": "", "mask": "****"}[mode])
+        text = F.regexp_replace(text, pattern, {"replace": f"<{kind}>", "redact": "", "mask": "****"}[mode])
     return text
 
 
@@ -263,11 +267,32 @@ def token_estimate(text: Column, per_token: float = 4.0) -> Column:
 
 def audit(docs: DataFrame) -> DataFrame:
     """One row of figures on a corpus: documents, mean score, how many have each defect, are noise, or repeat another."""
-    rows = docs.select("doc_id", structural_score(F.col("text")).alias("score"), defect_flags(F.col("text")).alias("flags"), is_noise(F.col("text")).alias("noise"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    rows = rated(docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest")))
     flags = [F.count_if(F.array_contains("flags", f)).alias(f) for f in ("trivial", "encoding_garbage", "cookie_banner", "pure_navigation", "url_dump")]
     return rows.agg(F.count("*").alias("docs"), F.round(F.avg("score"), 6).alias("mean_score"), *flags, F.count_if("noise").alias("noise"), (F.count("*") - F.countDistinct("digest")).alias("repeats"))
 
 
+#: What the queries put before a text, by doc_id, so that every kind, defect and cost occurs; without a text where ``alone``.
+MARKS = (
+    ("f(x) = sin(x) + 2 * x; y = 3 + 4; z = 5", True), ("|a|b|c| and |d|e|f| with |g|h|i|", True), ("Definition: a lemma refers to a thing that is small", True),
+    ("pursuant to Art. 5 and in accordance with Art. 6 ", False), ("def f(x): return {x} import y; class A -> B :: c ", False), ("â€ Ã¤ Ã¶ broken ", False), ("Ã¼ alone", True),
+    ("We use cookies. Accept all? Reject? Privacy policy. ", False), ("Home | Start | Kontakt | About | Menu | Contact", True), ("https://a.example/x https://b.example/y", True),
+    ("https://a.example/x/long/way/to/go is where it stands, as told here", True), ("tiny", True), ("a bit more than tiny", True), ("12345 67890 ------ 4321 ++++ 999 8 7 6 5 4", True),
+    ("all rights reserved ", False), ("contact and copyright ", False), ("sign in, log in or contact ", False), ("one two " * 30, True), ("no sentence in lower case but many words " * 4, True),
+    ("a / b / c / d and on. And so forth ", False),
+)
+EVERY = 60
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """Whole documents, one in three of them with a mark."""
+    text = F.coalesce("text", F.lit(""))
+    out = text
+    for i, (mark, alone) in enumerate(MARKS):
+        out = F.when(F.col("doc_id") % EVERY == i, F.lit(mark) if alone else F.concat(F.lit(mark), text)).otherwise(out)
+    return docs.select("doc_id", out.alias("text"))
+
+
 def _docs(s, d):
     return table(s, d, "documents")
 
@@ -283,10 +308,10 @@ def _bench_pairs(s, d):
 
 
 QUERIES = {
-    "content_types": _each("content_type", content_type),
-    "defect_flags": _each("flags", lambda t: F.array_join(defect_flags(t), ",")),
-    "structural_scores": _each("score", structural_score),
-    "noise_gate": lambda s, d: _docs(s, d).where(is_noise(F.col("text"))).select("doc_id"),
+    "content_types": lambda s, d: rated(marked(_docs(s, d))).select("doc_id", "content_type"),
+    "defect_flags": lambda s, d: rated(marked(_docs(s, d))).select("doc_id", F.array_join("flags", ",").alias("flags")),
+    "structural_scores": lambda s, d: rated(marked(_docs(s, d))).select("doc_id", "score"),
+    "noise_gate": lambda s, d: rated(marked(_docs(s, d))).where("noise").select("doc_id"),
     "short_texts": lambda s, d: _docs(s, d).where((F.length(F.coalesce("text", F.lit(""))) < 50) | ((F.length("text") >= 20) & (url_share(F.col("text")) >= 0.5))).select("doc_id"),
     "boilerplate_documents": lambda s, d: boilerplate(_docs(s, d), 3, 0.001, 0.0),
     "text_quality": _each("quality", text_quality),
@@ -302,7 +327,7 @@ QUERIES = {
     "word_overlap": lambda s, d: _bench_pairs(s, d).select("a_id", "b_id", F.round(jaccard(terms(F.col("a_text")), terms(F.col("b_text"))), 6).alias("jaccard"), F.round(containment(terms(F.col("a_text")), terms(F.col("b_text"))), 6).alias("containment")),
     "query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(terms(F.col("text")), "|").alias("tokens"), F.array_join(bigrams(terms(F.col("text"))), "|").alias("pairs")),
     "token_estimates": _each("tokens", token_estimate),
-    "quality_audit": lambda s, d: audit(_docs(s, d)),
+    "quality_audit": lambda s, d: audit(marked(_docs(s, d))),
 }
 
 
@@ -314,7 +339,8 @@ def _n(pattern: str) -> str:
     return f"len(regexp_extract_all(t, '{q(pattern)}'))"
 
 
-_T = r"WITH d AS (SELECT *, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents), "
+_MARKED = "SELECT doc_id, CASE doc_id % " + str(EVERY) + " " + " ".join(f"WHEN {i} THEN '{q(mark)}'" + ("" if alone else " || coalesce(text, '')") for i, (mark, alone) in enumerate(MARKS)) + " ELSE coalesce(text, '') END AS text FROM documents"
+_T = r"WITH marked AS (" + _MARKED + r"), d AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM marked), "
 _W = f"regexp_extract_all(t, '{WORD}')"
 _URLS = f"length(array_to_string(regexp_extract_all(t, '{URL}'), '')) / greatest(length(t), 1)"
 _KIND = f"""k AS (SELECT *, length(t) AS n, {_W} AS w, greatest(len({_W}), 1) AS wc, {_URLS} AS url, CASE WHEN length(t) < 5 THEN 'prose' WHEN {_n(FORMULA)} >= 3 OR {_n(FORMULA)} > 0.05 * greatest(len({_W}), 1) THEN 'formula' WHEN {_n(TABLE)} >= 2 THEN 'table'

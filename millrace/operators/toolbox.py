@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.quality import _KIND, _T, defect_flags, structural_score
+from millrace.operators.quality import _KIND, _T, marked, rated
 from millrace.operators.retrieval import dot
 from millrace.sources.tables import LEDGER_SQL, ledger, table
 
@@ -100,8 +100,8 @@ def calculated(formula: str) -> Column:
 
 def remediation(docs: DataFrame) -> DataFrame:
     """(doc_id, tier): auto for hard defects, recommended for texts that an earlier document has, observe for low scores."""
-    rows = docs.select("doc_id", F.size(defect_flags(F.col("text"))).alias("flags"), structural_score(F.col("text")).alias("score"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    rows = rated(docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))).select("doc_id", F.size("flags").alias("flags"), "score", "digest")
+    first = docs.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("digest")).agg(F.min("doc_id").alias("first_id"))
     tier = F.when(F.col("flags") > 0, "auto").when(F.col("doc_id") > F.col("first_id"), "recommended").when(F.col("score") < 0.7, "observe")
     return rows.join(first, "digest").select("doc_id", tier.alias("tier")).where("tier is not null")
 
@@ -163,7 +163,7 @@ QUERIES = {
     "schema_catalog": schema_catalog,
     "row_sentences": lambda s, d: table(s, d, "nation").select("n_nationkey", row_sentences(table(s, d, "nation")).alias("sentence")),
     "calculator": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(calculated("l_extendedprice * (1 - l_discount) + sqrt(l_quantity) - pow(l_tax, 2)"), 4).alias("value")),
-    "remediation": lambda s, d: remediation(table(s, d, "documents")),
+    "remediation": lambda s, d: remediation(marked(table(s, d, "documents"))),
     "cache_hits": lambda s, d: cache_hits(table(s, d, "events").select(F.col("event_id").alias("item_id"), F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "ts")),
     "fetch_gate": _gate,
     "nearest_prototype": lambda s, d: nearest_prototype(table(s, d, "embeddings"), prototypes(table(s, d, "embeddings"))),

@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import communities, entities, finance, knowledge, quality, reconcile, series, vectors
+from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, reconcile, series, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_spans_of_personal_data(spark):
         spans = [(-score, m.start(), m.end(), kind) for kind, pattern, score in quality.KINDS for m in re.finditer(pattern, text or "")]
         kept = {(s[3], s[1]) for s in spans if not any(o[1] < s[2] and o[2] > s[1] and (o[0], o[1], o[3]) < (s[0], s[1], s[3]) for o in spans)}
         assert found[i] == kept
-    hashed = {r.doc_id: r.t for r in docs.select("doc_id", quality.anonymised(F.col("text"), "hash", "salt").alias("t")).collect()}
+    hashed = {r.doc_id: r.text for r in pseudonyms.anonymised(docs, "hash", "salt").collect()}
     assert hashed[4].count("<EMAIL:") == 2 and len(set(re.findall("<EMAIL:([0-9a-f]{12})>", hashed[4]))) == 1 and hashed[2] is None
     replaced = docs.where("doc_id = 4").select(quality.anonymised(F.col("text")).alias("t")).first().t
     assert replaced == "<EMAIL> <EMAIL>"
@@ -274,3 +274,51 @@ def test_modularity_communities(spark):
     spread = {r.node: r.community for r in knowledge.communities(edges, 3).collect()}
     assert q_of(pairs, found) >= q_of(pairs, spread) and q_of(pairs, found) >= 0.9 * loop_communities(pairs, 50)
     assert communities.modularity_communities(edges.limit(0)).collect() == []
+
+
+def test_pseudonyms_round_trip(spark):
+    """All texts come back, with look-alikes of placeholders, overlaps, repeated values, nulls; other columns stay; no digest is cut again."""
+    rows = [(i, t, i * 2) for i, t in enumerate(["a@b.com, c@d.com and a@b.com", "<EMAIL_1> x@y.de <EMAIL_7> <PHONE_2>", None, "", "call 0171 1234567 on 03.04.2024", "no data", "+49 171 1234567 a@b.de 0171 1234567 DE89 3704 0044 0532 0130 00", "é😀 a@b.de 日本"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
+    docs = docs.withColumnRenamed("spans", "more")
+    replaced, entries = pseudonyms.pseudonymised(docs)
+    texts = {r.doc_id: r.text for r in replaced.collect()}
+    assert texts[0] == "<EMAIL_1>, <EMAIL_2> and <EMAIL_1>" and texts[1] == "<EMAIL_1> <EMAIL_8> <EMAIL_7> <PHONE_2>" and texts[7] == "é😀 <EMAIL_1> 日本"
+    assert sorted(map(tuple, pseudonyms.restored(replaced, entries).select("doc_id", "text", "more").collect())) == sorted(rows)
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("to user"), "id", F.lit("@mail.com now")).alias("text"))
+    hashed = pseudonyms.anonymised(many, "hash", "s")
+    assert hashed.where(F.col("text").rlike("^to <EMAIL:[0-9a-f]{12}> now$")).count() == 20_000
+    masked = {r.doc_id: r.text for r in pseudonyms.anonymised(docs, "mask").collect()}
+    assert masked[0] == "a******, c****** and a******"
+
+
+def test_linked_data_of_odd_shapes(spark):
+    """Nested lists and graphs, scalars, broken and empty blocks, no page."""
+    html = lambda *bodies: "".join(f"<SCRIPT id=1 TYPE = 'application/ld+json'>{b}</script>" for b in bodies)
+    rows = [(1, html('{"@graph":[{"@type":"A","p":{"q":[1,{"r":null}]}},7,"x"]}')), (2, html("[]", "[1]", "nope", "")), (3, None), (4, "no data"), (5, html('[{"@type":["B","C"],"openingHours":"Mo"},{"openingHours":"Tu"}]', '{"a":1.5}'))]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    blocks = sorted((r.page_id, r.block, r.valid) for r in linked_data.json_ld_blocks(pages).collect())
+    assert blocks == [(1, 0, True), (2, 0, True), (2, 1, True), (2, 2, False), (2, 3, False), (5, 0, True), (5, 1, True)]
+    found = {(r.page_id, r.block, r.type, r.property): r.value for r in linked_data.json_ld_properties(pages).collect()}
+    assert found[1, 0, "A", "p"] == '{"q":[1,{"r":null}]}' and found[5, 0, "B", "openingHours"] == "Mo" and found[5, 1, None, "a"] == "1.5"
+    assert {k[:3] for k in found} == {(1, 0, None), (1, 0, "A"), (5, 0, "B"), (5, 0, None), (5, 1, None)}
+    assert [tuple(r) for r in linked_data.opening_hours(pages).collect()] == [(5, "Mo")]
+
+
+def test_sections_of_pages(spark):
+    """Ranges about hits, merged where they touch, equal a plain loop over whole texts."""
+    rng = random.Random(2)
+    rows = [(i, "<p>" + " ".join(rng.choice(["word", "CHF 12.50", "EUR 3", "x" * 400]) for _ in range(rng.randrange(12))) + "</p>") for i in range(30)]
+    found = collections.defaultdict(list)
+    for r in linked_data.relevant_sections(spark.createDataFrame(rows, "page_id long, html string"), "price?", radius=60).orderBy("page_id", "nth").collect():
+        found[r.page_id].append(r.section)
+    for i, html in rows:
+        text = re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", html))
+        merged = []
+        for m in re.finditer(linked_data.PRICE, text):
+            a, b = max(0, m.start() - 60), min(len(text), m.end() + 60)
+            if merged and merged[-1][1] >= a:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        assert found[i] == [s for s in (text[a:b].strip() for a, b in merged) if len(s) > 50][:10]
