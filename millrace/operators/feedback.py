@@ -102,12 +102,12 @@ def percentile_report(rows: DataFrame, accuracy: int | None = None) -> DataFrame
 
 
 def extraction_report(rows: DataFrame, since: str, until: str, least: float = 0.05) -> DataFrame:
-    """(kind, n, mean, trend): a window of time against the one as long before it."""
+    """(kind, n, mean, trend): a window of time against the one as long before it; stable if that has no rows or a mean of 0."""
     a, b = F.lit(since).cast("timestamp_ntz"), F.lit(until).cast("timestamp_ntz")
     now = (F.col("ts") >= a) & (F.col("ts") < b)
     old = (F.col("ts") >= a - (b - a)) & (F.col("ts") < a)
     sums = rows.groupBy("kind").agg(F.count_if(now).alias("n"), F.avg(F.when(now, F.col("value"))).alias("m"), F.avg(F.when(old, F.col("value"))).alias("o"))
-    change = F.col("m") / F.col("o") - 1
+    change = F.try_divide("m", "o") - 1
     return sums.where("n > 0").select("kind", "n", F.round("m", 6).alias("mean"), F.when(change > least, "improving").when(change < -least, "declining").otherwise("stable").alias("trend"))
 
 

@@ -215,10 +215,10 @@ def cents(amount: Column) -> Column:
 
 
 def goal_progress(goals: DataFrame, contributions: DataFrame, day: str) -> DataFrame:
-    """(goal_id, target, saved, percent) by a day: what was put aside for each goal, at most all of it."""
+    """(goal_id, target, saved, percent) by a day: what was put aside for each goal, at most all of it; a goal of 0 is reached."""
     until = contributions.where(F.col("booking_date") <= day).groupBy("goal_id").agg(F.sum("cents").alias("saved"))
     saved = F.coalesce("saved", F.lit(0))
-    return goals.join(until, "goal_id", "left").select("goal_id", "target", saved.alias("saved"), F.round(F.least(F.lit(100.0), 100 * saved / F.col("target")), 6).alias("percent"))
+    return goals.join(until, "goal_id", "left").select("goal_id", "target", saved.alias("saved"), F.round(F.least(F.lit(100.0), F.coalesce(F.try_divide(100 * saved, F.col("target")), F.lit(100.0))), 6).alias("percent"))
 
 
 def monthly_rate(contributions: DataFrame, day: str, most: int = 12) -> DataFrame:

@@ -17,7 +17,7 @@ from millrace.sources.tables import LEDGER_SQL, ledger, table
 PASSAGE = 800
 MONTHS = 6
 #: Elements whose text is not of the page's own, and such whose end closes a line.
-ASIDE = {"script", "style", "nav", "aside", "footer", "form", "noscript", "template"}
+ASIDE = {"script", "style", "nav", "aside", "footer", "form", "noscript", "template", "iframe", "svg"}
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "div", "tr", "article", "section", "blockquote", "pre"}
 
 

@@ -12,6 +12,8 @@ from millrace.sources.tables import table
 
 # Bands, weights and lists that results depend on.
 TRACKING = r"(^|&)(?:utm_[^=&]*|ref|fbclid|gclid)=[^&]*"
+#: Suffixes of two labels under which names are given away, as country code registries do.
+SHARED = r"(?:co|com|net|org|gov|ac|edu|or|ne|go)\.(?:uk|au|nz|za|jp|kr|in|br|mx|ar|tr|cn|tw|hk|sg|il|th|id|my|ke|ng|eg|ua|pl|at)"
 
 
 def ranked(rows: DataFrame, by: str = "query_id", score: str = "score", item: str = "item_id") -> DataFrame:
@@ -34,18 +36,23 @@ def relevance_bands(rows: DataFrame, sure: float = 0.5, maybe: float = 0.3, web_
 
 
 def host(url: Column) -> Column:
-    return F.regexp_extract(F.lower(url), r"^[a-z]+://([^/?#:]+)", 1)
+    return F.regexp_extract(F.lower(F.trim(url)), r"^(?:[a-z][a-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:@]+)", 1)
 
 
 def site(url: Column) -> Column:
-    """The registrable domain: the last two labels of the host."""
-    return F.regexp_extract(host(url), r"([^.]+\.[^.]+)$", 1)
+    """The registrable domain: the last two labels of the host, three under a shared suffix as co.uk."""
+    name = host(url)
+    wide = F.regexp_extract(name, r"([^.]+\." + SHARED + r")$", 1)
+    return F.when(wide != "", wide).otherwise(F.regexp_extract(name, r"([^.]+\.[^.]+)$", 1))
 
 
 def normal_url(url: Column) -> Column:
-    """https, without www, tracking parameters, fragment and closing slash."""
-    bare = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"^[A-Za-z]+://(www\.)?", "https://")
-    path, asked = F.substring_index(bare, "?", 1), F.when(F.locate("?", bare) > 0, F.substring(bare, F.locate("?", bare) + 1, F.length(bare))).otherwise("")
+    """https, the host in lower case without www, without tracking parameters, fragment and closing slash; also where no scheme stood."""
+    bare = F.regexp_replace(F.trim(url), r"#.*$", "")
+    rest = F.regexp_replace(F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"^(?i)www\.", "")
+    name = F.regexp_extract(rest, r"^([^/?]*)", 1)
+    rest = F.concat(F.lit("https://"), F.lower(name), F.substring(rest, F.length(name) + 1, F.length(rest)))
+    path, asked = F.substring_index(rest, "?", 1), F.when(F.locate("?", rest) > 0, F.substring(rest, F.locate("?", rest) + 1, F.length(rest))).otherwise("")
     kept = F.regexp_replace(F.regexp_replace(asked, TRACKING, ""), "^&", "")
     return F.concat(F.regexp_replace(path, "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
@@ -173,11 +180,13 @@ def welch(rows: DataFrame, z: float = 1.96) -> DataFrame:
     g = rows.groupBy("group").agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
     pick = lambda c, k: F.max(F.when(F.col("group") == k, F.col(c)))
     one = g.agg((pick("m", 1) - pick("m", 0)).alias("d"), F.sqrt(pick("v", 1) / pick("n", 1) + pick("v", 0) / pick("n", 0)).alias("se"), pick("m", 0).alias("base"))
-    t = F.abs(F.col("d") / F.col("se"))
+    # Without any spread there is no t: p is 1.
+    ratio = F.try_divide("d", "se")
+    t = F.coalesce(F.abs(ratio), F.lit(0.0))
     # The tail of the normal distribution by a fixed polynomial (Abramowitz and Stegun 26.2.17).
     k = 1 / (1 + 0.2316419 * t)
     tail = F.exp(-t * t / 2) / 2.5066282746310002 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
-    return one.select(F.round(F.col("d") / F.col("se"), 6).alias("t"), F.round(2 * tail, 6).alias("p"), F.round(F.col("d") - z * F.col("se"), 4).alias("low"), F.round(F.col("d") + z * F.col("se"), 4).alias("high"), (F.col("d") <= -0.2 * F.col("base")).alias("alert"))
+    return one.select(F.round(F.coalesce(ratio, F.lit(0.0)), 6).alias("t"), F.round(F.when(ratio.isNull(), 1.0).otherwise(2 * tail), 6).alias("p"), F.round(F.col("d") - z * F.col("se"), 4).alias("low"), F.round(F.col("d") + z * F.col("se"), 4).alias("high"), (F.col("d") <= -0.2 * F.col("base")).alias("alert"))
 
 
 def results(spark, d: str) -> DataFrame:
@@ -202,7 +211,7 @@ CLICKS = lambda s, d: results(s, d).where("kind <> 'error'").select("query_id",
 QUERIES = {
     "adaptive_relevance": lambda s, d: adaptive_relevance(R(s, d)).select("query_id", "item_id", "rank"),
     "relevance_bands": lambda s, d: relevance_bands(R(s, d)).select("query_id", "item_id", "band", "needs_web"),
-    "normal_urls": lambda s, d: table(s, d, "pages").select("page_id", normal_url(F.col("url")).alias("url"), host(F.col("url")).alias("host"), site(F.col("url")).alias("site")),
+    "normal_urls": lambda s, d: table(s, d, "pages").select("page_id", F.when(F.col("page_id") % 4 == 1, F.regexp_replace(F.upper("url"), "^[A-Z]+://", "")).when(F.col("page_id") % 4 == 2, F.regexp_replace("url", r"^(https?://)([^/]+)", "$1WWW.$2.co.uk")).otherwise(F.col("url")).alias("raw")).select("page_id", normal_url(F.col("raw")).alias("url"), host(F.col("raw")).alias("host"), site(F.col("raw")).alias("site")),
     "allowed_pages": lambda s, d: allowed(P(s, d), ["example.com"]).select("item_id"),
     "diverse_pages": lambda s, d: diverse(P(s, d)).select("query_id", "item_id", "overflow", "place"),
     "fair_quota": lambda s, d: fair_quota(R(s, d), 12).select("query_id", "item_id", "place"),
@@ -226,7 +235,7 @@ _TERM = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[\\p{L}\\p{N}
 ORACLE_SQL = {
     "adaptive_relevance": f"{_R} SELECT query_id, item_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, CASE WHEN count(*) OVER w >= 3 THEN greatest(0.3, avg(score) OVER w - stddev_pop(score) OVER w) ELSE 0.3 END AS low FROM r WINDOW w AS (PARTITION BY query_id)) WHERE score >= low OR rank = 1",
     "relevance_bands": f"{_R} SELECT query_id, item_id, CASE WHEN score >= 0.5 THEN 'relevant' WHEN score >= 0.3 THEN 'ambiguous' ELSE 'irrelevant' END AS band, share < 0.5 AS needs_web FROM (SELECT *, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0 END) OVER (PARTITION BY query_id) AS share, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM r) WHERE score >= 0.3 OR rank = 1",
-    "normal_urls": r"WITH b AS (SELECT page_id, url AS raw, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://(www\.)?', 'https://') AS u FROM pages), q AS (SELECT *, regexp_replace(string_split(u, '?')[1], '/+$', '') AS path, regexp_replace(regexp_replace(CASE WHEN contains(u, '?') THEN substr(u, instr(u, '?') + 1) ELSE '' END, '(^|&)(?:utm_[^=&]*|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS asked, regexp_extract(lower(raw), '^[a-z]+://([^/?#:]+)', 1) AS host FROM b) SELECT page_id, path || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS url, host, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS site FROM q",
+    "normal_urls": r"WITH b AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN regexp_replace(upper(url), '^[A-Z]+://', '') WHEN 2 THEN regexp_replace(url, '^(https?://)([^/]+)', '\1WWW.\2.co.uk') ELSE url END AS raw FROM pages), c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(raw, '#.*$', ''), '^[A-Za-z]+://', ''), '^(?i)www\.', '') AS rest, regexp_extract(lower(raw), '^(?:[a-z]+://)?([^/?#:]+)', 1) AS host FROM b), u AS (SELECT *, 'https://' || lower(regexp_extract(rest, '^([^/?]*)', 1)) || substr(rest, length(regexp_extract(rest, '^([^/?]*)', 1)) + 1) AS u FROM c), q AS (SELECT *, regexp_replace(string_split(u, '?')[1], '/+$', '') AS path, regexp_replace(regexp_replace(CASE WHEN contains(u, '?') THEN substr(u, instr(u, '?') + 1) ELSE '' END, '(^|&)(?:utm_[^=&]*|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '') AS asked FROM u) SELECT page_id, path || CASE WHEN asked <> '' THEN '?' || asked ELSE '' END AS url, host, CASE WHEN host LIKE '%.co.uk' THEN regexp_extract(host, '([^.]+\.co\.uk)$', 1) ELSE regexp_extract(host, '([^.]+\.[^.]+)$', 1) END AS site FROM q",
     "allowed_pages": f"{_P} SELECT item_id FROM p WHERE site <> 'example.com'",
     "diverse_pages": f"{_P} SELECT query_id, item_id, overflow, row_number() OVER (PARTITION BY query_id ORDER BY overflow, score DESC, item_id)::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, site ORDER BY score DESC, item_id) > 2 AS overflow FROM p)",
     "fair_quota": f"{_R} SELECT * FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY owed DESC, score DESC, item_id)::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, item_id) <= 4 AS owed FROM r)) WHERE place <= 12",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.operators.vectors import dot
 from millrace.sources.tables import table
 
 K1, B = 1.2, 0.75
@@ -64,10 +65,6 @@ def rrf_fusion(spark, d, k: int = 60, depth: int = 20):
     return best(fused, 10)
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def vector_topk(spark, d, k: int = 5):
     """Nearest vectors, by cosine, of every hundredth one: a fixed query set, in blocks against all rows."""
     vectors = table(spark, d, "embeddings").withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
@@ -86,13 +83,13 @@ def eval_f1(spark, d):
 
 
 def ttest(spark, d):
-    """Welch's t for the length of good and bad documents."""
+    """Welch's t for the length of good and bad documents; null where neither spreads."""
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").groupBy("quality").agg(
         F.avg("n_chars").alias("m"), F.var_samp("n_chars").alias("v"), F.count("*").alias("n")
     )
     pick = lambda c, q: F.max(F.when(F.col("quality") == q, F.col(c)))
     se = F.sqrt(pick("v", 1) / pick("n", 1) + pick("v", 0) / pick("n", 0))
-    return rows.agg(F.round((pick("m", 1) - pick("m", 0)) / se, 6).alias("t"), F.sum("n").alias("n"))
+    return rows.agg(F.round(F.try_divide(pick("m", 1) - pick("m", 0), se), 6).alias("t"), F.sum("n").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (bm25_topk, quality_gate, rrf_fusion, vector_topk, eval_f1, ttest)}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.quality import _KIND, _T, marked, rated
-from millrace.operators.retrieval import dot
+from millrace.operators.vectors import dot
 from millrace.sources.tables import LEDGER_SQL, ledger, table
 
 # Patterns, formats and words that results depend on.
@@ -16,7 +16,17 @@ TITLE, HEADING = r"(?is)<title[^>]*>(.*?)</title>", r"(?is)<h1[^>]*>(.*?)</h1>"
 CANONICAL, LANGUAGE = r"(?i)<link[^>]*rel=\"canonical\"[^>]*href=\"([^\"]*)\"", r"(?i)<html[^>]*lang=\"([A-Za-z-]*)\""
 META, LINKED = r"(?i)<meta[^>]*(?:name|property)=", r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 FORMATS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "yyyyMMdd")
-WRITES = r"(?i)\b(insert|update|delete|drop|alter|create|truncate|merge|grant|replace|call|set|use|load|cache|refresh)\b"
+FUNCTIONS = frozenset(
+    "abs array array_agg avg bool_and bool_or cast ceil coalesce collect_list collect_set concat concat_ws contains corr count count_if current_date date_add date_diff date_format date_sub "
+    "date_trunc datediff day dayofweek dense_rank element_at exp explode first first_value floor greatest hour if ifnull initcap instr isnull lag last last_value lead least left length ln "
+    "locate log log10 lower lpad ltrim max max_by mean median min min_by minute mod month months_between named_struct nullif nvl percentile position pow power quarter rank regexp_count "
+    "regexp_extract regexp_like regexp_replace repeat replace reverse right round row_number rpad rtrim second sequence sign size split sqrt startswith std stddev stddev_pop stddev_samp "
+    "struct substr substring sum to_date to_timestamp trim trunc try_cast try_divide upper var_pop var_samp variance weekofyear year".split()
+)
+#: Words that stand before a bracket without being functions.
+BEFORE = frozenset("select where and or not in on as over from join by having when then else case exists any all union intersect except with values distinct between like rlike filter using within order partition group limit".split())
+ENDS = frozenset("where group having order limit union intersect except window qualify offset".split())
+REFUSED = frozenset("insert update delete merge overwrite transform map reduce into".split())
 TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 RECENT, PAST, CHANGE = ("recent", "aktuell", "today", "heute"), ("history", "früher", "historical"), ("evolution", "entwicklung", "trend")
 
@@ -71,18 +81,74 @@ def matching_lines(docs: DataFrame, pattern: str, context: int = 1) -> DataFrame
     return each.select("doc_id", (F.col("at") + 1).alias("line"), "found", around.alias("around"))
 
 
-def read_only_sql(spark: SparkSession, text: str, args: dict | None = None, limit: int = 100) -> DataFrame:
-    """The rows of one SELECT or WITH, 1 to 500 of them; anything else is refused before it is planned."""
-    plain = text.strip().rstrip(";").strip()
-    if ";" in plain or not re.match(r"(?i)(select|with)\b", plain) or re.search(WRITES, re.sub(r"'[^']*'", "", plain)):
+def statement_words(text: str) -> list[str]:
+    """Words, brackets, commas and dots of a statement in lower case; texts in quotes as one mark, comments left out. Quoted names are
+    refused: they could hold a path."""
+    found = re.findall(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`|[A-Za-z_]\w*|[0-9][\w.]*|\S", text, re.S)
+    if "`" in found:
+        raise ValueError("no quoted names")
+    return ["''" if t[0] in "'\"" else t.lower() for t in found if not t.startswith(("--", "/*"))]
+
+
+def read_relations(found: list[str]) -> set[str]:
+    """Names that a statement reads from, those of its own WITH included: what stands after FROM, JOIN and each comma of a FROM clause.
+    Names in parts are refused, as they reach files and catalogs."""
+    out: set[str] = set()
+    for start in (i for i, t in enumerate(found) if t == "from"):
+        depth, expected = 0, True
+        for i in range(start + 1, len(found)):
+            t = found[i]
+            depth += {"(": 1, ")": -1}.get(t, 0)
+            if depth < 0 or (depth == 0 and t in ENDS):
+                break
+            if expected and t != "lateral":
+                if t != "(":
+                    if found[i + 1 : i + 2] in (["."], ["("]) or not re.fullmatch(r"[a-z_]\w*", t):
+                        raise ValueError(f"can't read from {t}")
+                    out.add(t)
+                expected = False
+            elif depth == 0 and t in (",", "join"):
+                expected = True
+    return out
+
+
+def read_only_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], args: dict | None = None, limit: int = 100) -> DataFrame:
+    """The rows of one SELECT or WITH over the given tables, 1 to 500 of them; anything else is refused before it is planned.
+
+    Only names of ``tables`` and of the statement's own WITH are read, only functions of a list are called, no word changes
+    data or runs a script. FROM inside a function (extract, trim) and quoted names are refused too. The tables are put in
+    for their names as named parameters can't be: under names of this call alone, which are dropped again.
+    """
+    found = statement_words(text.strip().rstrip(";"))
+    if ";" in found or not found or found[0] not in ("select", "with") or REFUSED & {t for i, t in enumerate(found) if found[i - 1 : i] != ["."]} - {"map"} or ("using", "''") in zip(found, found[1:], strict=False):
         raise ValueError("one SELECT or WITH only")
-    return spark.sql(plain, args=args or {}).limit(min(500, max(1, limit)))
-
-
-def schema_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """(table_name, column_name) of all tables: read from their schemas, not their rows."""
-    rows = [(t, c) for t in TABLES for c in table(spark, d, t).columns]
-    return spark.createDataFrame(rows, "table_name string, column_name string")
+    called = {t for t, after in zip(found, found[1:], strict=False) if after == "(" and re.fullmatch(r"[a-z_]\w*", t)}
+    named = {t for i, t in enumerate(found) if found[i + 1 : i + 3] == ["as", "("] and found[i - 1] in ("with", ",", "recursive")}
+    if unknown := called - FUNCTIONS - BEFORE - named:
+        raise ValueError(f"unknown functions: {', '.join(sorted(unknown))}")
+    wanted = read_relations(found) - named
+    if unknown := wanted - {t.lower() for t in tables}:
+        raise ValueError(f"unknown tables: {', '.join(sorted(unknown))}")
+    try:
+        for name, df in tables.items():
+            if name.lower() in wanted:
+                df.createOrReplaceTempView(name)
+        return spark.sql(text.strip().rstrip(";"), args=args or {}).limit(min(500, max(1, limit)))
+    finally:
+        for name in tables:
+            if name.lower() in wanted:
+                spark.catalog.dropTempView(name)
+
+
+def schema_catalog(spark: SparkSession, d: str, names: tuple[str, ...] = TABLES) -> DataFrame:
+    """(table_name, column_name, type, rows) of tables: columns and types from their schemas, rows counted by a job over each."""
+    columns = [(t, f.name, f.dataType.simpleString()) for t in names for f in table(spark, d, t).schema.fields]
+    described = spark.createDataFrame(columns, "table_name string, column_name string, type string")
+    counts = None
+    for t in names:
+        one = table(spark, d, t).agg(F.count("*").alias("rows")).select(F.lit(t).alias("table_name"), "rows")
+        counts = one if counts is None else counts.unionByName(one)
+    return described.join(counts, "table_name").select("table_name", "column_name", "type", "rows")
 
 
 def row_sentences(rows: DataFrame) -> Column:
@@ -142,9 +208,9 @@ def _dates(s, d):
 
 
 def _adhoc(s, d):
-    for name in ("orders", "customer"):
-        table(s, d, name).createOrReplaceTempView(f"millrace_{name}")
-    return read_only_sql(s, "WITH t AS (SELECT c_mktsegment AS segment, count(*) AS n FROM millrace_orders JOIN millrace_customer ON o_custkey = c_custkey WHERE o_totalprice > :least GROUP BY 1) SELECT * FROM t;", {"least": 1000.0})
+    tables = {name: table(s, d, name) for name in ("orders", "customer", "nation")}
+    text = "WITH t AS (SELECT c_mktsegment AS segment, replace(n_name, 'A', 'a') AS nation, count(*) AS n FROM orders o JOIN customer ON o_custkey = c_custkey, nation WHERE n_nationkey = c_nationkey AND o_totalprice > :least GROUP BY 1, 2) SELECT * FROM t ORDER BY n DESC, segment, nation;"
+    return read_only_sql(s, text, tables, {"least": 1000.0}, 60)
 
 
 def _gate(s, d):
@@ -161,7 +227,7 @@ QUERIES = {
     "matching_lines": lambda s, d: matching_lines(table(s, d, "documents"), "(?i)license").select("doc_id", "line", F.md5("around").alias("around_md5")),
     "adhoc_sql": _adhoc,
     "schema_catalog": schema_catalog,
-    "row_sentences": lambda s, d: table(s, d, "nation").select("n_nationkey", row_sentences(table(s, d, "nation")).alias("sentence")),
+    "row_sentences": lambda s, d: table(s, d, "part").select("p_partkey", row_sentences(table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).alias("sentence")),
     "calculator": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(calculated("l_extendedprice * (1 - l_discount) + sqrt(l_quantity) - pow(l_tax, 2)"), 4).alias("value")),
     "remediation": lambda s, d: remediation(marked(table(s, d, "documents"))),
     "cache_hits": lambda s, d: cache_hits(table(s, d, "events").select(F.col("event_id").alias("item_id"), F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "ts")),
@@ -178,9 +244,9 @@ ORACLE_SQL = {
     "shifted_months": "WITH " + LEDGER_SQL + " SELECT DISTINCT month, strftime((month || '-01')::DATE - INTERVAL 5 MONTH, '%Y-%m') AS before, strftime((month || '-01')::DATE + INTERVAL 13 MONTH, '%Y-%m') AS after FROM ledger",
     "temporal_classes": f"SELECT doc_id, CASE WHEN y >= 2 THEN 'range' WHEN y = 1 THEN 'year' WHEN {_HAS(CHANGE)} THEN 'evolution' WHEN {_HAS(PAST)} THEN 'historical' WHEN {_HAS(RECENT)} THEN 'recent' ELSE 'none' END AS kind FROM (SELECT doc_id, t, len(list_distinct(regexp_extract_all(t, '\\b(?:19|20)[0-9]{{2}}\\b'))) AS y FROM (SELECT doc_id, lower(text || CASE WHEN doc_id % 3 = 0 THEN ' trend of 1999' ELSE ' today' END) AS t FROM documents))",
     "matching_lines": "SELECT doc_id, line::INT AS line, md5(array_to_string(l[greatest(line - 1, 1):line + 1], chr(10))) AS around_md5 FROM (SELECT doc_id, l, generate_subscripts(l, 1) AS line, unnest(l) AS found FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE regexp_matches(found, '(?i)license')",
-    "adhoc_sql": "SELECT c_mktsegment AS segment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1",
-    "schema_catalog": f"SELECT DISTINCT table_name, column_name FROM information_schema.columns WHERE table_name IN {TABLES}",
-    "row_sentences": "SELECT n_nationkey, 'n_nationkey is ' || n_nationkey || '; n_name is ' || n_name || '; n_regionkey is ' || n_regionkey AS sentence FROM nation",
+    "adhoc_sql": "SELECT c_mktsegment AS segment, replace(n_name, 'A', 'a') AS nation, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 1000 GROUP BY 1, 2 ORDER BY n DESC, segment, nation LIMIT 60",
+    "schema_catalog": "WITH n AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows FROM {t}" for t in TABLES) + f") SELECT table_name, column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE data_type END AS type, rows FROM information_schema.columns JOIN n USING (table_name) WHERE table_name IN {TABLES}",
+    "row_sentences": "SELECT p_partkey, 'p_partkey is ' || p_partkey || '; p_name is ' || p_name || '; p_brand is ' || p_brand || '; p_type is ' || p_type || '; p_size is ' || p_size AS sentence FROM part",
     "calculator": "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) + sqrt(l_quantity) - pow(l_tax, 2), 4) AS value FROM lineitem",
     "remediation": f"{_T}{_KIND}, z AS (SELECT doc_id, CASE WHEN flags <> '' THEN 'auto' WHEN doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) THEN 'recommended' WHEN score < 0.7 THEN 'observe' END AS tier FROM s) SELECT * FROM z WHERE tier IS NOT NULL",
     "cache_hits": "SELECT event_id AS item_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN 30 ELSE 60 END * 60000000::BIGINT, false) AS hit FROM events",

@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, reconcile, series, vectors
+from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, ranking, reconcile, series, toolbox, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -322,3 +322,46 @@ def test_sections_of_pages(spark):
             else:
                 merged.append([a, b])
         assert found[i] == [s for s in (text[a:b].strip() for a, b in merged) if len(s) > 50][:10]
+
+
+def test_sql_guard(spark):
+    """Reads the given tables only, calls listed functions only, and leaves no view behind."""
+    tables = {"t": spark.createDataFrame([(1, "ab", 2), (2, "b", 3)], "id int, name string, set int"), "u": spark.createDataFrame([(1, "x")], "id int, use string")}
+    good = {
+        "SELECT replace(name, 'a', ';drop') AS r FROM t ORDER BY id": [";dropb", "b"],
+        "WITH t2 AS (SELECT id, set FROM t -- a comment\n) SELECT sum(set) FROM t2;": [5],
+        "SELECT use FROM t a JOIN u USING (id), (SELECT max(id) AS m FROM t) z WHERE m = 2 AND a.id = 1": ["x"],
+        "SELECT 'from text.x' || name FROM t WHERE id IN (SELECT id FROM u)": ["from text.xab"],
+    }
+    for text, rows in good.items():
+        assert [r[0] for r in toolbox.read_only_sql(spark, text, tables).collect()] == rows
+    bad = [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.x", "SELECT * FROM t, csv.x", "SELECT 1; SELECT 2",
+        "DROP TABLE t", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x", "SELECT * FROM t JOIN u ON t.id = u.id, other", "SELECT TRANSFORM(name) USING 'cat' FROM t", "SELECT java_method('a', 'b')",
+        "SELECT * FROM (SELECT * FROM t, json.y) z", "SELECT * FROM range(5)", "SELECT input_file_name() FROM t", "", "SELECT * FROM t UNION SELECT * FROM secret",
+    ]
+    for text in bad:
+        try:
+            toolbox.read_only_sql(spark, text, tables)
+            raise AssertionError(text)
+        except ValueError:
+            pass
+    assert not spark.catalog.tableExists("t") and len(toolbox.read_only_sql(spark, "SELECT * FROM t", tables, limit=1).collect()) == 1
+
+
+def test_sites_and_addresses(spark):
+    cases = {
+        "https://a.co.uk/x": ("https://a.co.uk/x", "a.co.uk"), "http://WWW.B.co.uk": ("https://b.co.uk", "b.co.uk"), "a.de/x/?utm_source=q&b=1#top": ("https://a.de/x?b=1", "a.de"),
+        "https://WWW.Shop.Example.COM:8080/A/": ("https://shop.example.com:8080/A", "example.com"), "ftp://user@x.org": ("https://user@x.org", "x.org"),
+    }
+    rows = spark.createDataFrame([(u,) for u in cases], "url string").select("url", ranking.normal_url(F.col("url")).alias("n"), ranking.site(F.col("url")).alias("s"))
+    assert {r.url: (r.n, r.s) for r in rows.collect()} == cases
+    kept = ranking.allowed(rows.select("url"), ["b.co.uk"])
+    assert {r.url for r in kept.collect()} == set(cases) - {"http://WWW.B.co.uk"}
+
+
+def test_divisions_by_nothing(spark):
+    same = spark.createDataFrame([(k, 5.0) for k in (0, 0, 1, 1)], "group int, value double")
+    assert tuple(ranking.welch(same).first())[:2] == (0.0, 1.0)
+    goals, none = spark.createDataFrame([(1, 0)], "goal_id long, target long"), spark.createDataFrame([], "goal_id long, booking_date date, cents long")
+    assert finance.goal_progress(goals, none, "2024-01-01").first().percent == 100.0
