@@ -23,8 +23,8 @@ NONE = np.int32(2**31 - 1)
 TWO_SPACES = re.compile(r"\s\s")
 #: Longest piece in a matrix; longer ones are merged with a heap.
 WIDEST = 256
-#: Words whose encoding a worker remembers; it forgets all when there are more.
-REMEMBERED = 200_000
+#: Words, and bytes of these, whose encoding a worker remembers; it forgets all when there are more.
+REMEMBERED, REMEMBERED_BYTES = 200_000, 8 << 20
 
 
 def cut_at_spaces(text: str) -> list[str]:
@@ -79,6 +79,8 @@ class BytePairs:
     def __init__(self, rank_file: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.pattern = regex.compile(pattern)
+        #: Words are cut at spaces and plain ones taken whole by what the usual pattern does.
+        self.usual = pattern == public_tokenizers.PATTERN
         self.names = {rank: str(rank) for rank in self.ranks.values()}
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
@@ -93,6 +95,7 @@ class BytePairs:
         self.pairs = PairTable(np.array([k for k, _ in pairs], np.int64), np.array([r for _, r in pairs], np.int64))
         self.known: dict[str, tuple[int, str, bytes]] = {}
         self.known_pieces: dict[str, tuple[int, str, bytes]] = {}
+        self.held = 0
 
     def encode_pieces(self, pieces: Sequence[bytes]) -> list[list[int]]:
         """Token ids of each piece."""
@@ -174,14 +177,17 @@ class BytePairs:
     def texts(self, texts: Sequence[str]) -> Iterator[tuple[int, str, bytes]]:
         """For each text: how many tokens, their ids joined by commas, and the bytes that these decode to.
 
-        Where no two white spaces meet, no piece reaches over a space but at its front, so texts are cut before
-        each space and what follows is looked up; other texts are split as they are.
+        By the usual pattern, where no two white spaces meet, no piece reaches over a space but at its front, so texts are
+        cut before each space and what follows is looked up; other texts are split as they are.
         """
-        split = [self.pattern.findall(t) if TWO_SPACES.search(t) else cut_at_spaces(t) for t in texts]
+        split = [cut_at_spaces(t) if self.usual and not TWO_SPACES.search(t) else self.pattern.findall(t) for t in texts]
         new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
+            self.known_pieces.clear()
+            self.held = 0
             new = list(set().union(*split))
+        self.held += sum(map(len, new))
         self._learn(new)
         for parts in split:
             counts, ids, raw = zip(*map(self.known.__getitem__, parts), strict=True) if parts else ((), (), ())
@@ -205,10 +211,10 @@ class BytePairs:
                 self.known[part] = (sum(counts), ",".join(ids), b"".join(raw))
 
     def _pieces(self, part: str) -> list[str]:
-        """The pieces of a word after a space; plain words need no pattern."""
-        if part[0] == " " and part[1:].isalpha():
+        """The pieces of a word after a space; by the usual pattern plain words need no match."""
+        if self.usual and part[0] == " " and part[1:].isalpha():
             return [part]
-        if part[0] == " " and part[-1] in ".," and part[1:-1].isalpha():
+        if self.usual and part[0] == " " and part[-1] in ".," and part[1:-1].isalpha():
             return [part[:-1], part[-1]]
         return self.pattern.findall(part)
 

@@ -10,6 +10,9 @@ from millrace.llm.chunks import checkpointed, own_columns
 RESULT = ("n_bytes", "shard", "depth", "page", "shard_bytes", "shard_docs")
 #: Bits of the directory that are settled in one pass, and in all.
 STEP, MOST_BITS = 12, 48
+#: Hashes whose rows alone exceed the limit, that are broadcast so that their rows aren't shuffled by hash; each stands for more
+#: than the limit in bytes. Beyond so many of them the join by hash is left to Spark, which splits a large partition.
+MOST_ALIKE = 100_000
 
 
 def _prefix(bits: int):
@@ -74,13 +77,16 @@ def extendible_shards(docs: DataFrame, limit: int) -> DataFrame:
         "hash", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_docs",
         F.expr("substring(lpad(bin(prefix), depth, '0'), 1, depth)").alias("shard"),
     )
-    out = keyed.join(place, "hash")
     alike = (F.col("depth") == MOST_BITS) & (F.col("shard_bytes") > limit)
     shown = ["own.*", *RESULT]
     first_page = F.lit(0).cast("long").alias("page")
-    if leaves.where(alike).isEmpty():
-        return out.select("*", first_page).select(*shown)
-    return out.where(~alike).select("*", first_page).select(*shown).unionByName(paged(checkpointed(out.where(alike)), limit).select(*shown))
+    large = checkpointed(place.where(alike))
+    many = large.count()
+    if not many:
+        return keyed.join(place, "hash").select("*", first_page).select(*shown)
+    hot = F.broadcast(large) if many <= MOST_ALIKE else large
+    rest = keyed.join(hot.select("hash"), "hash", "left_anti").join(place, "hash").select("*", first_page)
+    return rest.select(*shown).unionByName(paged(checkpointed(keyed.join(hot, "hash")), limit).select(*shown))
 
 
 def paged(rows: DataFrame, limit: int) -> DataFrame:

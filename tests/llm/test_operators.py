@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import queries
 from millrace.llm.automaton import SuffixAutomaton
-from millrace.llm.bpe import byte_bpe, decode_tokens
+from millrace.llm.bpe import REMEMBERED_BYTES, BytePairs, byte_bpe, decode_tokens
 from millrace.llm.chunks import Texts
 from millrace.llm.components import components
 from millrace.llm.decontamination import decontaminate
@@ -78,6 +78,22 @@ def test_bpe_equals_tiktoken(docs):
     assert all((r.text or "").encode() == bytes(r.decoded) for r in decode_tokens(found, RANKS).collect())
 
 
+def test_bpe_by_another_pattern(docs, spark):
+    """A pattern that parts capitals, and one that leaves spaces alone; a memory that is often full."""
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(RANKS).read_bytes().splitlines())}
+    odd = spark.createDataFrame([(1, "say HelloWorldAgain now"), (2, "a  b\n c"), (3, "é HelloWorld")], "doc_id long, text string")
+    for pattern in (r"\s+|[A-Z][a-z]*|[^A-Z\s]+", r" ?[^ ]+| +"):
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for r in byte_bpe(docs.select("doc_id", "text").unionByName(odd), RANKS, pattern).collect():
+            assert r.token_ids == encoding.encode_ordinary(r.text or "")
+    pairs = BytePairs(Path(RANKS).read_bytes(), public_tokenizers.PATTERN)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for i in range(4):
+        text = " ".join(f"w{i}{j}" + "x" * 400 for j in range(9000))
+        assert [n for n, _, _ in pairs.texts([text])] == [len(encoding.encode_ordinary(text))]
+        assert pairs.held <= 9000 * 420 + REMEMBERED_BYTES
+
+
 def brute_suffix(rows, length):
     first = {}
     for i, t, *_ in sorted(rows, key=lambda r: math.inf if r[0] is None else r[0]):
@@ -440,6 +456,9 @@ def test_shards_fit_their_limit(spark, docs):
     rows = collections.Counter((r.shard, r.page) for r in found)
     assert all(b <= 4000 or rows[k] == 1 for k, b in pages.items())
     alike = spark.createDataFrame([(1, "z" * 100)] * 50, "doc_id long, text string")
+    assert extendible_shards(alike.repartition(7), 1000).count() == alike.count()
+    pages = collections.Counter(r.page for r in extendible_shards(alike.repartition(7), 1000).collect())
+    assert sorted(pages) == list(range(len(pages)))
     pages = collections.Counter(r.page for r in extendible_shards(alike, 1000).collect())
     assert sorted(pages.values()) == [10] * 5
     assert extendible_shards(docs.limit(0), 10).count() == 0
