@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, ranking, reconcile, series, toolbox, vectors
+from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, ranking, reconcile, search_index, selection, series, store, subgraphs, toolbox, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -365,3 +365,126 @@ def test_divisions_by_nothing(spark):
     assert tuple(ranking.welch(same).first())[:2] == (0.0, 1.0)
     goals, none = spark.createDataFrame([(1, 0)], "goal_id long, target long"), spark.createDataFrame([], "goal_id long, booking_date date, cents long")
     assert finance.goal_progress(goals, none, "2024-01-01").first().percent == 100.0
+
+
+def loop_selection(notes, n, first):
+    """Of one group's notes (item, score, words, category, type): the loop over all by score, then the loop over what must be covered."""
+    def near(x, y):
+        if not x or not y or x & set(selection.NEGATIONS) != y & set(selection.NEGATIONS):
+            return False
+        return len(x & y) / min(len(x), len(y)) >= 0.85 or len(x & y) / len(x | y) >= 0.72
+
+    kept = []
+    for note in sorted(notes, key=lambda r: (-r[1], r[0])):
+        if not any(near(set(note[2]), set(k[2])) for k in kept):
+            kept.append(note)
+    chosen = []
+    for fits in [*(lambda r, c=c: r[3] == c for c in first), *(lambda r, t=t: r[4] == t for t in sorted({r[4] for r in kept if r[4]})), *[lambda r: True] * n]:
+        best = next((r for r in kept if r not in chosen and fits(r)), None)
+        if best and len(chosen) < n:
+            chosen.append(best)
+    return {r[0] for r in kept}, [r[0] for r in chosen]
+
+
+def test_selection_equals_the_loop(spark):
+    """One group of all notes and several; copies, subsets, negations, notes without words, a category that has none."""
+    rng, rows = random.Random(8), []
+    words = [f"w{i}" for i in range(40)]
+    for i in range(160):
+        own = rng.sample(words, rng.randrange(0, 14)) if not rows or rng.random() < 0.4 else [*rows[rng.randrange(len(rows))][3], *rng.sample([*words, "not", "nie"], rng.randrange(3))]
+        rows.append((i, i % 3, rng.randrange(50) / 10, own, rng.choice(["a", "b", "c"]), rng.choice([None, "", "x", "y", "z"])))
+    docs = spark.createDataFrame(rows, "item long, g long, score double, words array<string>, category string, type string")
+    for by in (F.col("g"), F.lit(0).cast("long")):
+        frame = docs.withColumn("group", by)
+        kept, found = collections.defaultdict(set), collections.defaultdict(list)
+        for r in selection.distinct_notes(frame).collect():
+            kept[r.group].add(r.item)
+        for r in selection.hybrid_selection(frame, 9, ("b", "none", "a")).orderBy("group", "place").collect():
+            found[r.group].append(r.item)
+        for group in kept:
+            own = [(i, s, w, c, t) for i, g, s, w, c, t in rows if by is not None and (len(kept) == 1 or g == group)]
+            want = loop_selection(own, 9, ("b", "none", "a"))
+            assert len(want[0]) < len(own) and (kept[group], found[group]) == want
+    assert selection.hybrid_selection(docs.withColumn("group", F.col("g")).limit(0), 3, ("a",)).collect() == []
+
+
+def test_index_reads_its_buckets_only(spark, tmp_path, capsys):
+    """Words, prefixes and phrases on odd texts; a search opens the folders of its words' buckets."""
+    rows = [(1, "Rent of the flat, May"), (2, "the flat rent"), (3, None), (4, ""), (5, "rental rent Rent"), (6, "straße_1 été"), (7, "a b c")]
+    search_index.write_index(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "the FLAT"), (2, "ren"), (3, "été straße"), (4, ""), (5, None), (6, "zz top")], "query_id long, text string")
+    found = collections.defaultdict(list)
+    for r in search_index.search_index(spark, str(tmp_path / "index"), asked).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.id, r.phrase))
+    assert sorted(found[1]) == [(1, True), (2, True)] and found[2][0] == (5, False) and {i for i, _ in found[2]} == {1, 2, 5} and found[3] == [(6, False)]
+    assert set(found) == {1, 2, 3}
+    one = asked.where("query_id = 2")
+    held = search_index.postings(spark, str(tmp_path / "index"), [r.bucket for r in search_index.asked_words(one).collect()])
+    capsys.readouterr()
+    held.explain()
+    assert "PartitionFilters: [" in (plan := capsys.readouterr().out) and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert held.select("bucket").distinct().count() == 1
+    assert search_index.like_pattern("hat_Angst  vor 5%") == "%hat%Angst%vor%5\\%%"
+
+
+def test_store_survives_its_writers(spark, tmp_path, monkeypatch):
+    """Two batches of changes and deletions, old versions, a writer that dies half way, conflicts, a batch that comes twice."""
+    path = str(tmp_path / "store")
+    make = lambda: store.Store(spark, path, "id long, name string", ["id"], 4)
+    frame = lambda *rows, more="": spark.createDataFrame(list(rows), "id long, name string" + more)
+    rows = lambda v=None: sorted(tuple(r) for r in make().read(v).collect())
+    assert make().version() == 0 and rows() == [] and rows(0) == []
+    assert make().apply(frame((1, "a"), (2, "b"), (3, None)), "one") == 1
+    assert make().apply(frame((2, "B", False, 1), (4, "d", False, 0), (1, None, True, None), more=", deleted boolean, was long"), "two", expected=1) == 2
+    last = [(2, "B", 2), (3, None, 1), (4, "d", 1)]
+    assert rows() == last and rows(1) == [(1, "a", 1), (2, "b", 1), (3, None, 1)]
+
+    def dies(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_commit", dies)
+        try:
+            make().apply(frame((2, "lost")), "three")
+        except OSError:
+            pass
+    assert make().version() == 2 and rows() == last
+    assert make().apply(frame((2, "x")), "one") == 1 and rows() == last
+    for changes, expected in ((frame((9, "x"), (9, "y")), None), (frame((None, "x")), None), (frame((2, "x")), 1), (frame((2, "x", 1), more=", was long"), None), (frame((9, "x", 1), more=", was long"), None)):
+        try:
+            make().apply(changes, "bad", expected)
+            raise AssertionError("no conflict")
+        except store.Conflict:
+            pass
+    other = make()
+    monkeypatch.setattr(store.Store, "_manifests", lambda self, now=make()._manifests().collect(): spark.createDataFrame(now, store.MANIFEST))
+    assert other.apply(frame((7, "seven")), "first there") == 3
+    try:
+        other.apply(frame((8, "eight")), "too late")
+        raise AssertionError("no conflict")
+    except store.Conflict:
+        pass
+    monkeypatch.undo()
+    assert rows() == sorted([*last, (7, "seven", 1)])
+    gone = store.deletions(make().read(), frame((2, "")), ["id"])
+    assert make().apply(gone, "cascade") == 4 and (2, "B", 2) not in rows() and make().history().count() == 4
+
+
+def test_subgraphs_of_hubs_and_strangers(spark):
+    """Steps are the least, hubs hand out so many, seeds that the graph doesn't know stay alone."""
+    edges = spark.createDataFrame([("hub", f"x{i:02}") for i in range(30)] + [("x00", "far"), ("far", "end"), ("s", "hub")], "a string, b string")
+    seeds = spark.createDataFrame([(1, "s"), (2, "nobody"), (3, "x00"), (3, "end")], "seed long, node string")
+    found = collections.defaultdict(dict)
+    for r in subgraphs.subgraph_nodes(edges, seeds, 2, 5).collect():
+        assert r.node not in found[r.seed]
+        found[r.seed][r.node] = r.hop
+    assert found[1] == {"s": 0, "hub": 1, "x00": 2, "x01": 2, "x02": 2, "x03": 2} and found[2] == {"nobody": 0}
+    assert found[3] == {"x00": 0, "end": 0, "far": 1, "hub": 1, "s": 2, "x01": 2, "x02": 2, "x03": 2}
+
+
+def test_reads_of_other_users(spark):
+    rows = spark.createDataFrame([(1, 10, 7), (2, 11, 7), (3, None, 7), (4, 12, 8)], "id long, owner_id long, user_id long")
+    owners = spark.createDataFrame([(10, 7), (11, 8), (None, 7), (12, 7), (10, 7)], "owner_id long, user_id long")
+    assert sorted(r.id for r in store.owned(rows, owners, spark.createDataFrame([(7,), (7,)], "user_id long")).collect()) == [1, 4]
+    chunks = spark.createDataFrame([(1, None, None), (2, "clinical", "blocked"), (3, "finance", "safe")], "id long, corpus_domain string, safety_flag string")
+    assert [r.id for r in store.visible(chunks, ["general", "finance"], ("review",)).collect()] == [3]
