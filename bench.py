@@ -13,8 +13,8 @@ from millrace import registry
 
 HEADLINE = (
     "cashflow_by_month", "top1_category", "transfer_candidates", "balance_asof", "running_balance", "recurring_groups",
-    "ols_trend", "price_change", "doc_structural_score", "doc_exact_dedup", "doc_language", "bm25_topk", "rrf_fusion",
-    "vector_topk", "kg_noisy_or", "kg_two_hop", "latency_percentiles", "session_windows", "rate_limit_window",
+    "ols_trend", "price_changes", "structural_scores", "quality_audit", "doc_exact_dedup", "doc_language", "bm25_topk", "rrf_fusion",
+    "vector_topk", "kg_noisy_or", "two_hops", "approximate_topk", "simhash_pairs", "cash_flow_forecast", "booking_search", "latency_percentiles", "session_windows", "rate_limit_window",
 )
 
 

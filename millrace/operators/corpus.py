@@ -17,16 +17,6 @@ WORDS = {
 }
 
 
-def doc_content_type(spark, d):
-    docs = table(spark, d, "documents")
-    c = lambda p: F.regexp_count("text", F.lit(p))
-    kind = (
-        F.when(c(r"[=+*/^]") > 20, "formula").when(c(r"\|") > 6, "table").when(c(r"(?i)rights reserved|license|copyright") > 0, "legal")
-        .when(c(r"[{};]") > 10, "code").otherwise("prose")
-    )
-    return docs.select("doc_id", kind.alias("content_type"))
-
-
 def defects(text):
     n = F.length(text)
     symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
@@ -40,32 +30,12 @@ def defects(text):
     )
 
 
-def doc_defects(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(defects(F.col("text")), ",").alias("defects"))
-
-
-def doc_structural_score(spark, d):
-    text = F.col("text")
-    n = F.length(text)
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    score = F.lit(100) - F.when(n < 100, 30).otherwise(0) - F.when(F.regexp_count(text, F.lit(r"[A-Z]")) * 2 > n, 20).otherwise(0)
-    score = score - F.when(F.regexp_count(text, F.lit(r"[0-9]")) * 5 > n, 15).otherwise(0) - F.when(F.regexp_count(text, F.lit(r"[#*$%&|<>]")) * 20 > n, 25).otherwise(0)
-    return table(spark, d, "documents").select("doc_id", words.cast("long").alias("words"), score.cast("long").alias("score"))
-
-
 def doc_exact_dedup(spark, d):
     """The first document of each text, told by a hash of its normal form, and how many share it."""
     key = F.md5(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")))
     return table(spark, d, "documents").groupBy(key.alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-def doc_boilerplate(spark, d):
-    """Openings that many documents of one corpus share."""
-    mark = F.substring(F.regexp_replace(F.lower("text"), r"\s+", " "), 1, 60)
-    marks = table(spark, d, "documents").select(F.md5(mark).alias("fingerprint"), "doc_id").groupBy("fingerprint")
-    return marks.agg(F.countDistinct("doc_id").alias("docs")).where("docs >= 5")
-
-
 def doc_language(spark, d):
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"[\s.,]+", " "), F.lit(" "))
     docs = table(spark, d, "documents").select("doc_id", padded.alias("t"))
@@ -109,13 +79,7 @@ def doc_sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), F.coalesce(F.array_max(F.transform(s, F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
-def query_snippet(spark, d):
-    """Up to 60 characters from the first place of a needle on."""
-    docs = table(spark, d, "documents").withColumn("at", F.locate(" the ", F.col("text")))
-    return docs.where("at > 0").select("doc_id", F.expr("substring(text, at, 60)").alias("snippet"))
-
-
-QUERIES = {f.__name__: f for f in (doc_content_type, doc_defects, doc_structural_score, doc_exact_dedup, doc_boilerplate, doc_language, pii_counts, pii_masked, url_normalize_dedup, source_diversity, doc_sentences, query_snippet)}
+QUERIES = {f.__name__: f for f in (doc_exact_dedup, doc_language, pii_counts, pii_masked, url_normalize_dedup, source_diversity, doc_sentences)}
 
 
 def _n(pattern: str) -> str:
@@ -126,16 +90,11 @@ _HITS = ", ".join("(" + " + ".join(f"(CASE WHEN contains(t, '{w}') THEN 1 ELSE 0
 _NORMAL = r"regexp_replace(lower(text), '\s+', ' ', 'g')"
 _KEY = r"regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?|[?#].*$', '', 'g'), '/+$', '', 'g')"
 ORACLE_SQL = {
-    "doc_content_type": f"SELECT doc_id, CASE WHEN {_n('[=+*/^]')} > 20 THEN 'formula' WHEN {_n('[|]')} > 6 THEN 'table' WHEN {_n('(?i)rights reserved|license|copyright')} > 0 THEN 'legal' WHEN {_n('[{};]')} > 10 THEN 'code' ELSE 'prose' END AS content_type FROM documents",
-    "doc_defects": f"SELECT doc_id, concat_ws(',', CASE WHEN length(text) < 50 THEN 'trivial' END, CASE WHEN {_n('[#*$%&|<>]')} * 20 > length(text) THEN 'symbols' END, CASE WHEN {_n('https?://')} > 5 THEN 'url_dump' END, CASE WHEN contains(lower(text), 'cookie') THEN 'cookie_banner' END) AS defects FROM documents",
-    "doc_structural_score": f"SELECT doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS words, (100 - CASE WHEN length(text) < 100 THEN 30 ELSE 0 END - CASE WHEN {_n('[A-Z]')} * 2 > length(text) THEN 20 ELSE 0 END - CASE WHEN {_n('[0-9]')} * 5 > length(text) THEN 15 ELSE 0 END - CASE WHEN {_n('[#*$%&|<>]')} * 20 > length(text) THEN 25 ELSE 0 END)::BIGINT AS score FROM documents",
     "doc_exact_dedup": f"SELECT md5(trim({_NORMAL})) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "doc_boilerplate": f"SELECT md5(substr({_NORMAL}, 1, 60)) AS fingerprint, count(DISTINCT doc_id) AS docs FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5",
     "doc_language": f"SELECT doc_id, CASE WHEN hits < 2 THEN 'unknown' {' '.join(f'WHEN {x} = hits THEN {chr(39)}{x}{chr(39)}' for x in WORDS)} END AS language, hits FROM (SELECT *, greatest({', '.join(WORDS)}) AS hits FROM (SELECT doc_id, {_HITS} FROM (SELECT doc_id, ' ' || regexp_replace(lower(text), '[\\s.,]+', ' ', 'g') || ' ' AS t FROM documents)))",
     "pii_counts": f"SELECT * FROM (SELECT doc_id, {_n(EMAIL)}::INT AS emails, {_n(IBAN)}::INT AS ibans, {_n(DATE)}::INT AS dates FROM documents) WHERE emails + ibans + dates > 0",
     "pii_masked": f"SELECT doc_id, md5(m) AS masked_md5, m <> text AS changed FROM (SELECT doc_id, text, regexp_replace(regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g'), '{IBAN}', '<IBAN>', 'g') AS m FROM documents)",
     "url_normalize_dedup": f"SELECT {_KEY} AS key, min(page_id) AS page_id, count(*) AS copies FROM pages GROUP BY 1",
     "source_diversity": f"SELECT page_id, host, nth::INT AS nth, nth > 2 AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS nth FROM (SELECT page_id, regexp_extract({_KEY}, '^[^/]+') AS host FROM pages))",
     "doc_sentences": r"SELECT doc_id, len(s)::BIGINT AS sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::BIGINT AS longest FROM (SELECT doc_id, list_filter(string_split_regex(text, '[.!?]+\s+'), lambda x: x <> '') AS s FROM documents)",
-    "query_snippet": "SELECT doc_id, substr(text, instr(text, ' the '), 60) AS snippet FROM documents WHERE instr(text, ' the ') > 0",
 }

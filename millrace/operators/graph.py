@@ -59,20 +59,11 @@ def node_degree(spark, d):
     return both.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def kg_two_hop(spark, d):
-    """Entities two steps from the customers whose key is divisible by 100: how many paths lead to each."""
-    e = edges(spark, d)
-    seeds = e.where("cast(substring(subject, 2) as bigint) % 100 = 0").select(F.col("subject").alias("seed"), "object")
-    back = e.select("object", F.col("subject").alias("entity"))
-    return seeds.join(back, "object").where("seed <> entity").groupBy("seed", "entity").agg(F.count("*").alias("paths"))
-
-
-QUERIES = {f.__name__: f for f in (kg_noisy_or, predicate_idf, entity_frequency, kg_contradictions, node_degree, kg_two_hop)}
+QUERIES = {f.__name__: f for f in (kg_noisy_or, predicate_idf, entity_frequency, kg_contradictions, node_degree)}
 ORACLE_SQL = {
     "kg_noisy_or": T + "SELECT subject, predicate, object, round(least(0.99, greatest(max(confidence), 1 - exp(sum(ln(1 - confidence))))), 12) AS confidence, count(*) AS mentions FROM triples GROUP BY 1, 2, 3",
     "predicate_idf": T + "SELECT predicate, round(CASE WHEN i <= 0.05 THEN 0 ELSE least(i, 1) END, 6)::DOUBLE AS idf FROM (SELECT lower(trim(predicate)) AS predicate, ln(((SELECT count(*) FROM triples) + 1) / (count(*) + 1)) / ln(((SELECT count(*) FROM triples) + 1) / 2) AS i FROM triples GROUP BY 1)",
     "entity_frequency": T + "SELECT entity, count(*) AS frequency FROM (SELECT subject AS entity FROM triples UNION ALL SELECT object FROM triples) GROUP BY 1",
     "kg_contradictions": T + "SELECT subject, predicate, object, triple_id FROM (SELECT *, min(object) OVER w AS lo, max(object) OVER w AS hi, row_number() OVER (PARTITION BY subject, predicate ORDER BY confidence DESC, triple_id) AS i FROM triples WINDOW w AS (PARTITION BY subject, predicate)) WHERE lo <> hi AND i = 1",
     "node_degree": T + "SELECT node, count(*) AS degree FROM (SELECT DISTINCT subject AS node, object AS other FROM triples UNION ALL SELECT DISTINCT object, subject FROM triples) GROUP BY 1",
-    "kg_two_hop": T + ", e AS (SELECT DISTINCT subject, object FROM triples) SELECT a.subject AS seed, b.subject AS entity, count(*) AS paths FROM e a JOIN e b USING (object) WHERE substr(a.subject, 2)::BIGINT % 100 = 0 AND a.subject <> b.subject GROUP BY 1, 2",
 }

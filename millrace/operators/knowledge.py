@@ -197,9 +197,17 @@ def _lifecycle(s, d):
     return triples(s, d).select("triple_id", F.round(score, 6).alias("score"))
 
 
+def _odd(s, d, each: int = 4):
+    """Statements, ``each`` of a document, of which some speak of nothing, of a pronoun, of a number, of themselves, or say nothing."""
+    k = F.col("triple_id") % 17
+    subject = F.when(k == 0, "").when(k == 1, "He").when(k == 2, F.col("object")).when(k == 3, " x ").when(k == 4, "12 345.6").when(k == 5, F.lit(None)).when(k == 9, "unknown").otherwise(F.col("subject"))
+    rows = triples(s, d).withColumn("doc_id", F.floor(F.col("triple_id") / each))
+    return rows.withColumns({"subject": subject, "predicate": F.when(k == 6, "IS").when(k == 7, "y").otherwise(F.col("predicate")), "object": F.when(k == 8, F.repeat(F.lit("word "), 9)).otherwise(F.col("object")), "confidence": F.col("triple_id") * 7 % 20 / 20})
+
+
 QUERIES = {
-    "valid_triples": lambda s, d: valid_triples(triples(s, d)).select("triple_id"),
-    "quality_triples": lambda s, d: quality_triples(triples(s, d)).select("triple_id", "confidence"),
+    "valid_triples": lambda s, d: valid_triples(_odd(s, d)).select("triple_id"),
+    "quality_triples": lambda s, d: quality_triples(_odd(s, d)).select("triple_id", "confidence"),
     "bad_sources": lambda s, d: bad_documents(triples(s, d)),
     "top_entities": lambda s, d: top_entities(triples(s, d)),
     "resolved_contradictions": lambda s, d: resolved_contradictions(triples(s, d)),
@@ -208,19 +216,22 @@ QUERIES = {
     "two_hops": lambda s, d: two_hops(triples(s, d), _seeds(s, d)).select("seed", "triple_id", "hop"),
     "communities": lambda s, d: communities(graph_edges(triples(s, d)), 3),
     "community_metrics": lambda s, d: community_metrics(graph_edges(triples(s, d)), table(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), F.concat(F.lit("n"), "c_nationkey").alias("community")).unionByName(graph_edges(triples(s, d)).select(F.col("b").alias("node")).distinct().withColumn("community", F.concat(F.lit("n"), F.floor(F.substring("node", 2, 9).cast("int") / 4))))),
-    "triangles": lambda s, d: triangles(table(s, d, "lineitem").select(F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("a"), F.concat(F.lit("p"), F.col("l_suppkey") % 50).alias("b")).where("a < b").distinct()),
+    "triangles": lambda s, d: triangles(table(s, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("p"), "l_suppkey").alias("b")).where("a < b").distinct()),
     "entity_merges": lambda s, d: entity_merges(triples(s, d).withColumn("subject", F.concat(F.when(F.col("triple_id") % 3 == 0, "Dr. ").otherwise(""), "subject"))),
     "consistent_frequency": lambda s, d: consistent(triples(s, d))[1],
-    "with_context": lambda s, d: with_context(table(s, d, "labels").select("doc_id"), triples(s, d)),
+    "with_context": lambda s, d: with_context(table(s, d, "labels").select("doc_id"), _odd(s, d, 9)),
     "source_join": lambda s, d: source_join(_sourced(s, d), _chunks(s, d)),
     "latest_statements": lambda s, d: latest(triples(s, d), ["subject"], "valid_from").select("triple_id", "subject"),
 }
+_ODD = T + f""", odd AS (SELECT triple_id, CASE triple_id % 17 WHEN 0 THEN '' WHEN 1 THEN 'He' WHEN 2 THEN object WHEN 3 THEN ' x ' WHEN 4 THEN '12 345.6' WHEN 5 THEN NULL WHEN 9 THEN 'unknown' ELSE subject END AS subject, CASE triple_id % 17 WHEN 6 THEN 'IS' WHEN 7 THEN 'y' ELSE predicate END AS predicate,
+  CASE triple_id % 17 WHEN 8 THEN repeat('word ', 9) ELSE object END AS object, triple_id * 7 % 20 / 20 AS confidence, triple_id // 4 AS doc_id FROM triples),
+valid AS (SELECT * FROM odd WHERE length(trim(subject)) >= 2 AND length(trim(object)) >= 2 AND length(trim(predicate)) >= 2 AND lower(trim(subject)) <> lower(trim(object)) AND lower(trim(subject)) NOT IN {NOTHING + PRONOUNS} AND lower(trim(object)) NOT IN {NOTHING + PRONOUNS})"""
 _EDGES = T + ", edges AS (SELECT least(subject, object) AS a, greatest(subject, object) AS b, arg_max(predicate, triple_id) AS predicate FROM triples GROUP BY 1, 2)"
 _ENDS = T + ", ends AS (SELECT triple_id, subject AS entity, object AS other FROM triples UNION ALL SELECT triple_id, object, subject FROM triples)"
-_PP = "WITH edges AS (SELECT DISTINCT 'p' || (l_partkey % 50) AS a, 'p' || (l_suppkey % 50) AS b FROM lineitem WHERE 'p' || (l_partkey % 50) < 'p' || (l_suppkey % 50)), two AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges)"
+_PP = "WITH edges AS (SELECT DISTINCT 'p' || l_partkey AS a, 'p' || l_suppkey AS b FROM lineitem WHERE 'p' || l_partkey < 'p' || l_suppkey), two AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges)"
 ORACLE_SQL = {
-    "valid_triples": f"{T} SELECT triple_id FROM triples WHERE length(subject) >= 2 AND length(object) >= 2 AND lower(subject) <> lower(object)",
-    "quality_triples": f"{T}, s AS (SELECT * FROM triples WHERE confidence >= 0.25 AND length(subject) >= 2 AND length(object) >= 2), k AS (SELECT *, max(confidence >= 0.5) OVER (PARTITION BY doc_id) AS sure FROM s) SELECT triple_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, object ORDER BY confidence DESC, triple_id) AS nth FROM k WHERE confidence >= 0.5 OR NOT sure) WHERE nth = 1",
+    "valid_triples": f"{_ODD} SELECT triple_id FROM valid",
+    "quality_triples": f"{_ODD}, s AS (SELECT * FROM valid WHERE confidence >= 0.25 AND NOT regexp_matches(subject, '^[0-9.,\\s]+$') AND length(subject) <= 80 AND length(object) <= 80 AND len(string_split_regex(object, '\\s+')) <= 8 AND lower(predicate) NOT IN {GENERIC}), k AS (SELECT *, max(confidence >= 0.5) OVER (PARTITION BY doc_id) AS sure FROM s) SELECT triple_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY lower(subject), lower(predicate), lower(object) ORDER BY confidence DESC, triple_id) AS nth FROM k WHERE confidence >= 0.5 OR NOT sure) WHERE nth = 1",
     "bad_sources": f"{T} SELECT subject, count(*) AS n, count(*) FILTER (confidence < 0.3) AS failed FROM triples GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (confidence < 0.3) >= 0.5 * count(*)",
     "top_entities": f"{T} SELECT object AS entity, count(*) AS n FROM triples GROUP BY 1 ORDER BY n DESC, entity LIMIT 20",
     "resolved_contradictions": f"{T}, b AS (SELECT subject, predicate, arg_max(triple_id, (confidence, valid_from, triple_id)) AS id FROM triples GROUP BY 1, 2 HAVING count(DISTINCT object) > 1) SELECT t.triple_id, CASE WHEN t.object = w.object THEN 'kept' WHEN t.valid_from <= w.valid_to AND t.valid_to >= w.valid_from THEN CASE WHEN w.confidence - t.confidence >= 0.15 THEN 'contradicted' ELSE 'disputed' END ELSE 'superseded' END AS state FROM triples t JOIN b USING (subject, predicate) JOIN triples w ON w.triple_id = b.id",
@@ -231,7 +242,7 @@ ORACLE_SQL = {
     "triangles": f"{_PP}, g AS (SELECT a AS node, count(*) AS degree FROM two GROUP BY 1), t AS (SELECT x.a AS node, count(*) // 2 AS triangles FROM two x JOIN two y ON x.b = y.a JOIN two z ON y.b = z.a AND z.b = x.a GROUP BY 1) SELECT node, degree, coalesce(triangles, 0) AS triangles, round(CASE WHEN degree > 1 THEN 2 * coalesce(triangles, 0) / (degree * (degree - 1)) ELSE 0 END, 6)::DOUBLE AS clustering FROM g LEFT JOIN t USING (node)",
     "entity_merges": f"{T}, k AS (SELECT entity, count(*) AS k FROM (SELECT CASE WHEN triple_id % 3 = 0 THEN 'Dr. ' ELSE '' END || subject AS entity FROM triples UNION ALL SELECT object FROM triples) GROUP BY 1), f AS (SELECT *, replace(entity, 'Dr. ', '') AS form FROM k), b AS (SELECT form, arg_max(entity, (k, entity)) AS canonical FROM f GROUP BY 1 HAVING count(*) > 1) SELECT entity, canonical FROM f JOIN b USING (form) WHERE entity <> canonical",
     "consistent_frequency": f"{T}, k AS (SELECT DISTINCT subject, predicate, object FROM triples WHERE length(subject) >= 2 AND length(object) >= 2) SELECT entity, count(*) AS frequency FROM (SELECT subject AS entity FROM k UNION ALL SELECT object FROM k) GROUP BY 1",
-    "with_context": f"{T} SELECT l.doc_id, subject || ' ' || predicate || ' ' || object AS context FROM labels l LEFT JOIN triples t USING (doc_id)",
+    "with_context": f"{_ODD}, n AS (SELECT *, row_number() OVER (PARTITION BY triple_id // 9 ORDER BY confidence DESC, triple_id) AS nth FROM odd), c AS (SELECT triple_id // 9 AS doc_id, string_agg(concat_ws(' ', subject, predicate, object), '; ' ORDER BY nth) AS context FROM n WHERE nth <= 5 GROUP BY 1) SELECT l.doc_id, context FROM labels l LEFT JOIN c USING (doc_id)",
     "source_join": f"{T} SELECT triple_id, unnest(CASE WHEN predicate = '1-URGENT' THEN [doc_id * 2] ELSE [doc_id * 2, doc_id * 2 + 1] END) AS chunk_id FROM triples",
     "latest_statements": f"{T} SELECT triple_id, subject FROM triples QUALIFY rank() OVER (PARTITION BY subject ORDER BY valid_from DESC) = 1",
 }

@@ -119,13 +119,22 @@ def prior_balance(spark, d):
     return statements(spark, d).select("account_id", "month", "closing", prior.alias("prior_closing"))
 
 
+def reported(rows):
+    """Statements as some bank might report them: a few with credits too high, no debits, a wrong closing or opening balance."""
+    k = (F.col("account_id") + F.substring("month", 6, 2).cast("int")) % 11
+    return rows.withColumns({
+        "credits": F.col("credits") + F.when(k == 0, 1).otherwise(0), "debits": F.when(k != 1, F.col("debits")),
+        "closing": F.col("closing") + F.when(k == 2, 5).otherwise(0), "opening": F.col("opening") - F.when(k == 3, 7).otherwise(0),
+    })
+
+
 def statement_consistency(spark, d):
     """Four checks of a statement against its bookings and the statement before: credits, debits, the chain of balances, the link to the
     balance before; each passed, failed or skipped."""
     sums = ledger(spark, d).groupBy("account_id", "month").agg(
         F.sum(F.greatest("amount_cents", F.lit(0))).alias("gained"), F.sum(F.least("amount_cents", F.lit(0))).alias("spent")
     )
-    joined = statements(spark, d).join(sums, ["account_id", "month"], "left")
+    joined = reported(statements(spark, d)).join(sums, ["account_id", "month"], "left")
     joined = joined.withColumn("prior", F.lag("closing").over(Window.partitionBy("account_id").orderBy("month")))
     check = lambda known, good: F.when(known.isNull(), "skipped").when(good, "passed").otherwise("failed")
     state = joined.select(
@@ -165,13 +174,6 @@ SPENT_SQL = W + """,
 spent AS (SELECT currency, month, (-sum(amount_cents))::BIGINT AS spent FROM ledger WHERE amount_cents < 0 GROUP BY 1, 2)"""
 
 
-def expense_zscore(spark, d, least: float = 1.5):
-    w = Window.partitionBy("currency")
-    rows = monthly_expense(spark, d).withColumns({"mean": F.avg("spent").over(w), "sd": F.stddev_pop("spent").over(w), "k": F.count("*").over(w)})
-    z = (F.col("spent") - F.col("mean")) / F.col("sd")
-    return rows.where("k >= 3 and sd > 0").select("currency", "month", "spent", F.round(z, 6).alias("z")).where(F.abs("z") >= least)
-
-
 def trend_break(spark, d):
     w = Window.partitionBy("currency").orderBy("month")
     rows = monthly_expense(spark, d).withColumns({"i": F.row_number().over(w), "k": F.count("*").over(Window.partitionBy("currency"))})
@@ -213,16 +215,6 @@ def running_balance(spark, d):
     return ledger(spark, d).select("tx_id", "account_id", F.sum("amount_cents").over(w).alias("balance"))
 
 
-def price_change(spark, d):
-    """Brands whose last price differs from a run of at least two equal ones before it; prices in whole hundreds."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") / 1000).cast("long")
-    w = Window.partitionBy("p_brand").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    rows = lines.select("p_brand", "l_shipdate", "l_orderkey", "l_linenumber", price.alias("price"))
-    rows = rows.withColumns({"before": F.lag("price", 1).over(w), "two": F.lag("price", 2).over(w)})
-    return rows.where("before = two and price <> before").groupBy("p_brand").agg(F.count("*").alias("changes"), F.max("price").alias("highest"))
-
-
 def cadence_gaps(spark, d):
     """Mean and deviation of days between bookings of an account, where there are at least three."""
     days = ledger(spark, d).select("account_id", "booking_date").distinct()
@@ -251,7 +243,7 @@ QUERIES = {
     for f in (
         cashflow_by_month, cashflow_rollup, filtered_ledger_topk, top1_category, transfer_candidates, unique_transfers,
         non_transfer_ledger, balance_asof, prior_balance, statement_consistency, budget_status, recurring_groups,
-        expense_zscore, trend_break, ols_trend, seasonal_index, rolling_mean_forecast, running_balance, price_change,
+        trend_break, ols_trend, seasonal_index, rolling_mean_forecast, running_balance,
         cadence_gaps, month_spine, primary_account,
     )
 }
@@ -265,16 +257,14 @@ ORACLE_SQL = {
     "non_transfer_ledger": f"{UNIQUE_SQL} SELECT event_id, user_id, cents FROM ev WHERE event_id NOT IN (SELECT out_id FROM uniq UNION SELECT in_id FROM uniq)",
     "balance_asof": f"{WS}, last AS (SELECT account_id, arg_max(opening, period_start) AS opening, max(period_start) AS period_start FROM statements WHERE period_start <= DATE '1998-06-15' GROUP BY 1) SELECT account_id, (any_value(opening) + sum(amount_cents))::BIGINT AS balance FROM ledger JOIN last USING (account_id) WHERE booking_date BETWEEN period_start AND DATE '1998-06-15' GROUP BY 1",
     "prior_balance": f"{WS} SELECT account_id, month, closing, lag(closing) OVER (PARTITION BY account_id ORDER BY period_end) AS prior_closing FROM statements",
-    "statement_consistency": f"{WS}, s AS (SELECT account_id, month, CASE WHEN credits = gained THEN 'passed' ELSE 'failed' END AS credit_check, CASE WHEN debits = spent THEN 'passed' ELSE 'failed' END AS debit_check, CASE WHEN opening + gained + spent = closing THEN 'passed' ELSE 'failed' END AS chain, CASE WHEN prior IS NULL THEN 'skipped' WHEN prior = opening THEN 'passed' ELSE 'failed' END AS link FROM (SELECT *, lag(closing) OVER (PARTITION BY account_id ORDER BY month) AS prior FROM statements LEFT JOIN (SELECT account_id, month, sum(greatest(amount_cents, 0)) AS gained, sum(least(amount_cents, 0)) AS spent FROM ledger GROUP BY 1, 2) USING (account_id, month))) SELECT *, CASE WHEN 'failed' IN (credit_check, debit_check, chain, link) THEN 'failed' ELSE 'passed' END AS overall FROM s",
+    "statement_consistency": f"{WS}, rep AS (SELECT account_id, month, credits + (k = 0)::INT AS credits, CASE WHEN k <> 1 THEN debits END AS debits, closing + 5 * (k = 2)::INT AS closing, opening - 7 * (k = 3)::INT AS opening FROM (SELECT *, (account_id + month[6:7]::INT) % 11 AS k FROM statements)), s AS (SELECT account_id, month, CASE WHEN credits = gained THEN 'passed' ELSE 'failed' END AS credit_check, CASE WHEN debits IS NULL THEN 'skipped' WHEN debits = spent THEN 'passed' ELSE 'failed' END AS debit_check, CASE WHEN opening + gained + spent = closing THEN 'passed' ELSE 'failed' END AS chain, CASE WHEN prior IS NULL THEN 'skipped' WHEN prior = opening THEN 'passed' ELSE 'failed' END AS link FROM (SELECT *, lag(closing) OVER (PARTITION BY account_id ORDER BY month) AS prior FROM rep LEFT JOIN (SELECT account_id, month, sum(greatest(amount_cents, 0)) AS gained, sum(least(amount_cents, 0)) AS spent FROM ledger GROUP BY 1, 2) USING (account_id, month))) SELECT *, CASE WHEN 'failed' IN (credit_check, debit_check, chain, link) THEN 'failed' ELSE 'passed' END AS overall FROM s",
     "budget_status": f"{SPENT_SQL}, b AS (SELECT currency, floor(avg(spent))::BIGINT AS budget FROM spent GROUP BY 1) SELECT currency, month, spent, budget, spent - budget AS over FROM spent JOIN b USING (currency) WHERE spent > budget",
     "recurring_groups": f"{W}, g AS (SELECT currency, counterparty, count(*) AS n, count(DISTINCT month) AS months, (-sum(amount_cents))::BIGINT AS total, greatest(0, 1 - least(1, stddev_pop(amount_cents) / avg(-amount_cents))) AS st, (SELECT count(DISTINCT month) FROM ledger WHERE amount_cents < 0) AS am FROM ledger WHERE amount_cents < 0 GROUP BY 1, 2) SELECT currency, counterparty, n, months, total, round(months / am, 6) AS coverage, round(st, 6)::DOUBLE AS stability, months / am >= 0.6 AND st >= 0.8 AS is_fixed FROM g",
-    "expense_zscore": f"{SPENT_SQL} SELECT currency, month, spent, round(z, 6) AS z FROM (SELECT *, (spent - avg(spent) OVER w) / stddev_pop(spent) OVER w AS z, count(*) OVER w AS k FROM spent WINDOW w AS (PARTITION BY currency)) WHERE k >= 3 AND abs(round(z, 6)) >= 1.5",
     "trend_break": f"{SPENT_SQL}, c AS (SELECT currency, avg(spent) FILTER (i <= floor(k / 2)) AS e, avg(spent) FILTER (i > floor(k / 2)) AS l FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY month) AS i, count(*) OVER (PARTITION BY currency) AS k FROM spent) WHERE k >= 6 GROUP BY 1) SELECT currency, round((l - e) / e, 6) AS change, abs((l - e) / e) >= 0.1 AS breaks FROM c",
     "ols_trend": f"{SPENT_SQL} SELECT currency, round(CASE WHEN count(*) < 3 THEN 0 ELSE regr_slope(spent, t) END, 2) AS slope, round(CASE WHEN count(*) < 3 THEN avg(spent) ELSE regr_intercept(spent, t) END, 2) AS intercept, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY month) - 1 AS t FROM spent) GROUP BY 1",
     "seasonal_index": f"{SPENT_SQL} SELECT currency, mm, round(avg(spent) / any_value(o), 6) AS index FROM (SELECT *, month[6:7] AS mm, avg(spent) OVER (PARTITION BY currency) AS o, count(DISTINCT month[6:7]) OVER (PARTITION BY currency) AS k FROM spent) WHERE k = 12 AND o > 0 GROUP BY 1, 2",
     "rolling_mean_forecast": f"{SPENT_SQL}, r AS (SELECT currency, round(avg(spent), 2) AS forecast, max(month) AS last FROM (SELECT *, row_number() OVER (PARTITION BY currency ORDER BY month DESC) AS i FROM spent) WHERE i <= 6 GROUP BY 1) SELECT currency, strftime((last || '-01')::DATE + to_months(h::INT), '%Y-%m') AS month, forecast FROM r, range(1, 4) t(h)",
     "running_balance": f"{W} SELECT tx_id, account_id, sum(amount_cents) OVER (PARTITION BY account_id ORDER BY booking_date, tx_id ROWS UNBOUNDED PRECEDING)::BIGINT AS balance FROM ledger",
-    "price_change": "WITH r AS (SELECT p_brand, l_shipdate, l_orderkey, l_linenumber, floor(l_extendedprice / l_quantity / 1000)::BIGINT AS price FROM lineitem JOIN part ON l_partkey = p_partkey), s AS (SELECT *, lag(price, 1) OVER w AS before, lag(price, 2) OVER w AS two FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY l_shipdate, l_orderkey, l_linenumber)) SELECT p_brand, count(*) AS changes, max(price) AS highest FROM s WHERE before = two AND price <> before GROUP BY 1",
     "cadence_gaps": f"{W}, g AS (SELECT account_id, booking_date - lag(booking_date) OVER (PARTITION BY account_id ORDER BY booking_date) AS gap FROM (SELECT DISTINCT account_id, booking_date FROM ledger)) SELECT account_id, count(gap) AS k, round(avg(gap), 6) AS mean_gap, round(stddev_pop(gap) / avg(gap), 6) AS cv FROM g GROUP BY 1 HAVING count(gap) >= 3",
     "month_spine": f"{SPENT_SQL}, e AS (SELECT currency, (min(month) || '-01')::DATE AS a, (max(month) || '-01')::DATE AS b FROM spent GROUP BY 1), s AS (SELECT currency, strftime(unnest(generate_series(a, b, INTERVAL 1 MONTH)), '%Y-%m') AS month FROM e) SELECT currency, month, coalesce(spent, 0) AS spent FROM s LEFT JOIN spent USING (currency, month)",
     "primary_account": f"{W} SELECT counterparty, account_id, n FROM (SELECT counterparty, account_id, count(*) AS n FROM ledger GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY counterparty ORDER BY n DESC, account_id) = 1",

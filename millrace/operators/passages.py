@@ -15,7 +15,6 @@ from millrace.sources.tables import LEDGER_SQL, ledger, table
 
 #: Most characters of a passage.
 PASSAGE = 800
-MONTHS = 6
 #: Elements whose text is not of the page's own, and such whose end closes a line.
 ASIDE = {"script", "style", "nav", "aside", "footer", "form", "noscript", "template", "iframe", "svg"}
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "div", "tr", "article", "section", "blockquote", "pre"}
@@ -118,14 +117,6 @@ def doc_simhash(spark, d) -> DataFrame:
     return found.groupBy("doc_id").agg(*votes).select("doc_id", value.alias("simhash"))
 
 
-def series_occurrences(spark, d) -> DataFrame:
-    """Due dates of a monthly series from each account's first booking on; from the 29th on it means the month's end."""
-    first = ledger(spark, d).groupBy("account_id").agg(F.min("booking_date").alias("anchor"))
-    due = F.add_months("anchor", F.col("n"))
-    due = F.when(F.dayofmonth("anchor") >= 29, F.last_day(due)).otherwise(due)
-    return first.select("account_id", "anchor", F.explode(F.sequence(F.lit(0), F.lit(MONTHS - 1))).alias("n")).select("account_id", "n", due.alias("due_date"))
-
-
 def debounce(spark, d) -> DataFrame:
     """Events of a user and type that none follows within half an hour."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
@@ -134,19 +125,18 @@ def debounce(spark, d) -> DataFrame:
 
 
 def sequence_gaps(spark, d) -> DataFrame:
-    """Turns that do not follow on the one before in their conversation."""
+    """Turns that do not follow on the one before in their conversation; one in five turns is taken out first, as if lost."""
     before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    turns = table(spark, d, "conversations").withColumn("before", before)
+    turns = table(spark, d, "conversations").where("(conv_id + turn) % 5 <> 3").withColumn("before", before)
     return turns.where("before is not null and turn <> before + 1").groupBy("conv_id", "before", "turn").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, page_extract, doc_simhash, series_occurrences, debounce, sequence_gaps)}
+QUERIES = {f.__name__: f for f in (chunk_documents, page_extract, doc_simhash, debounce, sequence_gaps)}
 
 _VOTES = ", ".join(f"sum(((h{i // 32} >> {i % 32}) & 1) * 2 - 1) AS v{i}" for i in range(64))
 _BITS = " + ".join(f"(CASE WHEN v{i} > 0 THEN {1 << i if i < 63 else '(-9223372036854775807 - 1)'}::BIGINT ELSE 0 END)" for i in range(63, -1, -1))
 ORACLE_SQL = {
     "doc_simhash": f"SELECT doc_id, ({_BITS})::BIGINT AS simhash FROM (SELECT doc_id, {_VOTES} FROM (SELECT doc_id, ('0x' || substr(m, 1, 8))::BIGINT AS h0, ('0x' || substr(m, 9, 8))::BIGINT AS h1 FROM (SELECT doc_id, md5(unnest(regexp_extract_all(lower(text), '{TERMS}'))) AS m FROM documents)) GROUP BY doc_id)",
-    "series_occurrences": f"WITH {LEDGER_SQL.strip()}, f AS (SELECT account_id, min(booking_date) AS anchor FROM ledger GROUP BY 1) SELECT account_id, n::INT AS n, (CASE WHEN day(anchor) >= 29 THEN last_day(date_trunc('month', anchor) + to_months(n::INT)) ELSE anchor + to_months(n::INT) END)::DATE AS due_date FROM f, range({MONTHS}) t(n)",
     "debounce": "SELECT event_id, user_id, event_type FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS next FROM events) WHERE next IS NULL OR next - ts >= INTERVAL 30 MINUTE",
-    "sequence_gaps": "SELECT conv_id, before, turn, count(*) AS n FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations) WHERE before IS NOT NULL AND turn <> before + 1 GROUP BY 1, 2, 3",
+    "sequence_gaps": "SELECT conv_id, before, turn, count(*) AS n FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations WHERE (conv_id + turn) % 5 <> 3) WHERE before IS NOT NULL AND turn <> before + 1 GROUP BY 1, 2, 3",
 }

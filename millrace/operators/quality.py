@@ -282,6 +282,8 @@ MARKS = (
     ("a / b / c / d and on. And so forth ", False),
 )
 EVERY = 60
+#: What one in three documents begins with, where boilerplate is looked for: more characters than are compared.
+OPENING = "This page is served by a shared host and says so at great length. " * 8
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -313,16 +315,16 @@ QUERIES = {
     "structural_scores": lambda s, d: rated(marked(_docs(s, d))).select("doc_id", "score"),
     "noise_gate": lambda s, d: rated(marked(_docs(s, d))).where("noise").select("doc_id"),
     "short_texts": lambda s, d: _docs(s, d).where((F.length(F.coalesce("text", F.lit(""))) < 50) | ((F.length("text") >= 20) & (url_share(F.col("text")) >= 0.5))).select("doc_id"),
-    "boilerplate_documents": lambda s, d: boilerplate(_docs(s, d), 3, 0.001, 0.0),
+    "boilerplate_documents": lambda s, d: boilerplate(_docs(s, d).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(OPENING), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))),
     "text_quality": _each("quality", text_quality),
     "content_quality": _each("quality", lambda t: content_quality(t, "the und los")),
     "pii_spans": lambda s, d: pii_spans(_docs(s, d)),
     "pii_redacted": _each("redacted_md5", lambda t: F.md5(anonymised(t, "redact"))),
     "pii_starred": _each("masked_md5", lambda t: F.md5(anonymised(t, "mask"))),
     "claims": lambda s, d: claims(_docs(s, d)).select("doc_id", "nth", F.md5("claim").alias("claim_md5")),
-    "grounding": lambda s, d: _docs(s, d).select("doc_id", grounded(F.col("source"), F.lit("the und les los"), F.col("text")).alias("grounded")),
+    "grounding": lambda s, d: _docs(s, d).select("doc_id", grounded(F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.get(F.split("text", " "), 0)), F.when(F.col("doc_id") % 4 == 1, "zzzz qqqq").otherwise("the und les los"), F.col("text")).alias("grounded")),
     "domain_authority": lambda s, d: table(s, d, "pages").select("page_id", authority(F.col("url")).alias("authority")),
-    "contradictions": lambda s, d: contradictions(_bench_pairs(s, d).withColumns({"a_text": F.concat("a_text", F.lit(" "), F.col("a_id")), "b_text": F.concat("b_text", F.lit(" no "), F.col("b_id"))})),
+    "contradictions": lambda s, d: contradictions(_bench_pairs(s, d).withColumns({"a_text": F.concat_ws(" ", "a_text", F.col("a_id") % 7 * 10 + 10, F.when(F.col("a_id") % 2 == 0, "ja")), "b_text": F.concat_ws(" ", "b_text", F.col("b_id") % 7 * 10 + 8, F.when(F.col("b_id") % 3 == 0, "no"))})),
     "snippets": _each("snippet_md5", lambda t: F.md5(snippet(t, " the "))),
     "word_overlap": lambda s, d: _bench_pairs(s, d).select("a_id", "b_id", F.round(jaccard(terms(F.col("a_text")), terms(F.col("b_text"))), 6).alias("jaccard"), F.round(containment(terms(F.col("a_text")), terms(F.col("b_text"))), 6).alias("containment")),
     "query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(terms(F.col("text")), "|").alias("tokens"), F.array_join(bigrams(terms(F.col("text"))), "|").alias("pairs")),
@@ -374,15 +376,15 @@ ORACLE_SQL = {
     "structural_scores": f"{_T}{_KIND} SELECT doc_id, score FROM s",
     "noise_gate": f"{_T}{_KIND} SELECT doc_id FROM s WHERE {_NOISE}",
     "short_texts": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id FROM d WHERE length(t) < 50 OR (length(t) >= 20 AND {_URLS} >= 0.5)",
-    "boilerplate_documents": "WITH m AS (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 500)), '\\s+', ' ', 'g')) AS o FROM documents), s AS (SELECT o, count(DISTINCT doc_id) AS docs FROM m WHERE length(o) > 50 GROUP BY 1) SELECT doc_id, md5(o) AS fingerprint, docs FROM m JOIN s USING (o) WHERE docs >= greatest(3, 0.001 * (SELECT count(DISTINCT doc_id) FROM documents))",
+    "boilerplate_documents": f"WITH m AS (SELECT doc_id, trim(regexp_replace(lower(substr(CASE WHEN doc_id % 3 = 0 THEN '{OPENING}' || coalesce(text, '') ELSE text END, 1, 500)), '\\s+', ' ', 'g')) AS o FROM documents), s AS (SELECT o, count(DISTINCT doc_id) AS docs FROM m WHERE length(o) > 50 GROUP BY 1) SELECT doc_id, md5(o) AS fingerprint, docs FROM m JOIN s USING (o) WHERE docs >= greatest(5, 0.3 * (SELECT count(DISTINCT doc_id) FROM documents))",
     "text_quality": f"SELECT doc_id, CASE WHEN t = '' THEN 0.0 ELSE round(least(1, 0.3::DOUBLE * least(1, length(t) / 500) + 0.3::DOUBLE * least(1, (length(regexp_replace(t, '[^.!?]', '', 'g')) / 10 + len(string_split(t, chr(10) || chr(10))) / 3) / 2) + 0.2::DOUBLE * (1 - least(1, 10 * length(regexp_replace(t, '[\\p{{L}}\\p{{N}}_\\s.,!?;:\\-]', '', 'g')) / greatest(length(t), 1))) + CASE WHEN len(w) > 10 THEN 0.2::DOUBLE * least(1, 2 * len(list_distinct(w)) / len(w)) ELSE 0.1 END), 6) END::DOUBLE AS quality FROM (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents)",
     "content_quality": "SELECT doc_id, CASE WHEN t = '' THEN 0.0 ELSE round(least(1, 0.3::DOUBLE * CASE WHEN n > 2000 THEN 1.0 WHEN n > 500 THEN 0.8 WHEN n > 200 THEN 0.6 WHEN n > 100 THEN 0.4 ELSE 0.2 END + 0.3::DOUBLE * least(1, length(regexp_replace(t, '[^.!?]', '', 'g')) * 0.1::DOUBLE + len(string_split(t, chr(10) || chr(10))) * 0.2::DOUBLE) + 0.2::DOUBLE * greatest(0, 1 - 0.2::DOUBLE * (" + " + ".join(f"contains(lower(t), '{w}')::INT" for w in NOISE) + ")) + 0.2::DOUBLE * ((contains(lower(t), 'the')::INT + contains(lower(t), 'und')::INT + contains(lower(t), 'los')::INT) / 3)), 6) END::DOUBLE AS quality FROM (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM documents)",
     "pii_redacted": f"SELECT doc_id, md5({_without('')}) AS redacted_md5 FROM documents",
     "pii_starred": f"SELECT doc_id, md5({_without('****')}) AS masked_md5 FROM documents",
     "claims": r"WITH c AS (SELECT doc_id, flatten(list_transform(list_filter(string_split_regex(trim(text), '[.!?]+\s+'), lambda s: length(s) >= 15), lambda s: CASE WHEN length(s) <= 100 THEN [s] ELSE list_filter(string_split_regex(s, ',? (?:und|sowie|aber|jedoch|während|and|but|while) '), lambda p: length(p) > 15) END)) AS c FROM documents) SELECT doc_id, (generate_subscripts(c, 1) - 1)::INT AS nth, md5(unnest(c)) AS claim_md5 FROM c",
-    "grounding": "SELECT doc_id, contains(lower(coalesce(text, '')), lower(source)) AND (contains(lower(text), 'the') OR contains(lower(text), 'und') OR contains(lower(text), 'les') OR contains(lower(text), 'los')) AS grounded FROM documents",
+    "grounding": "SELECT doc_id, (doc_id % 3 <> 0 OR contains(t, lower(source))) AND CASE WHEN doc_id % 4 = 1 THEN contains(t, 'zzzz') OR contains(t, 'qqqq') ELSE contains(t, 'the') OR contains(t, 'und') OR contains(t, 'les') OR contains(t, 'los') END AS grounded FROM (SELECT *, lower(coalesce(text, '')) AS t FROM documents)",
     "domain_authority": "SELECT page_id, CASE WHEN " + " OR ".join(f"contains(lower(url), '{x}')" for x in HIGH) + " THEN 0.15 WHEN " + " OR ".join(f"contains(lower(url), '{x}')" for x in MEDIUM) + " THEN 0.08 ELSE 0 END::DOUBLE AS authority FROM pages",
-    "contradictions": f"{_PAIRS} SELECT a_id, b_id, CASE WHEN abs(a_id - b_id) > 0.2 * a_id AND a_id > 0 THEN 'numerical' ELSE 'factual' END AS kind FROM p WHERE (abs(a_id - b_id) > 0.2 * a_id AND a_id > 0) OR len(list_intersect(regexp_extract_all(lower(a_text), '{WORD}'), {list(YES)})) > 0 OR (len(list_intersect(regexp_extract_all(lower(a_text), '{WORD}'), {list(NO)})) > 0 AND len(list_intersect(regexp_extract_all(lower(b_text), '{WORD}'), {list(YES)})) > 0)",
+    "contradictions": f"{_PAIRS}, t AS (SELECT a_id, b_id, concat_ws(' ', a_text, a_id % 7 * 10 + 10, CASE WHEN a_id % 2 = 0 THEN 'ja' END) AS x, concat_ws(' ', b_text, b_id % 7 * 10 + 8, CASE WHEN b_id % 3 = 0 THEN 'no' END) AS y FROM p), n AS (SELECT *, list_transform(regexp_extract_all(x, '[0-9]+(?:\\.[0-9]+)?')[1:3], lambda v: v::DOUBLE) AS nx, list_transform(regexp_extract_all(y, '[0-9]+(?:\\.[0-9]+)?')[1:3], lambda v: v::DOUBLE) AS ny, regexp_extract_all(lower(x), '{WORD}') AS wx, regexp_extract_all(lower(y), '{WORD}') AS wy FROM t), k AS (SELECT a_id, b_id, CASE WHEN len(list_filter(nx, lambda u: u > 0 AND len(list_filter(ny, lambda v: abs(u - v) > 0.2 * u)) > 0)) > 0 THEN 'numerical' WHEN (len(list_intersect(wx, {list(YES)})) > 0 AND len(list_intersect(wy, {list(NO)})) > 0) OR (len(list_intersect(wx, {list(NO)})) > 0 AND len(list_intersect(wy, {list(YES)})) > 0) THEN 'factual' END AS kind FROM n) SELECT * FROM k WHERE kind IS NOT NULL",
     "snippets": "WITH s AS (SELECT doc_id, coalesce(text, '') AS t, instr(lower(coalesce(text, '')), ' the ') AS k FROM documents), r AS (SELECT *, greatest(k - 500, 1) AS a, least(k + 4 + 1500, length(t)) AS b FROM s) SELECT doc_id, md5(CASE WHEN k > 0 THEN CASE WHEN a > 1 THEN '...' ELSE '' END || substr(t, a, b - a + 1) || CASE WHEN b < length(t) THEN '...' ELSE '' END ELSE substr(t, 1, 8000) END) AS snippet_md5 FROM r",
     "word_overlap": f"{_PAIRS}, s AS (SELECT a_id, b_id, {_TERMS.replace('{c}', 'a_text')} AS a, {_TERMS.replace('{c}', 'b_text')} AS b FROM p), n AS (SELECT *, len(list_intersect(a, b)) AS k FROM s) SELECT a_id, b_id, round(k / (len(a) + len(b) - k), 6) AS jaccard, round(k / least(len(a), len(b)), 6) AS containment FROM n",
     "query_terms": f"SELECT item_id, array_to_string(w, '|') AS tokens, array_to_string(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), '|') AS pairs FROM (SELECT item_id, {_FIRST('text')} AS w FROM benchmark)",

@@ -196,7 +196,7 @@ def results(spark, d: str) -> DataFrame:
 
 
 def pages(spark, d: str) -> DataFrame:
-    return table(spark, d, "pages").select((F.col("page_id") % 7).alias("query_id"), F.col("page_id").alias("item_id"), (F.length("html") % 97 / 97).alias("score"), "url", site(F.col("url")).alias("site"))
+    return table(spark, d, "pages").select(F.floor(F.col("page_id") / 25).alias("query_id"), F.col("page_id").alias("item_id"), (F.length("html") % 97 / 97).alias("score"), "url", site(F.col("url")).alias("site"))
 
 
 def _answers(s, d):
@@ -229,7 +229,7 @@ QUERIES = {
     "welch": lambda s, d: welch(table(s, d, "labels").join(table(s, d, "documents"), "doc_id").select(F.col("quality").alias("group"), F.col("n_chars").alias("value"))),
 }
 _R = "WITH r AS (SELECT user_id AS query_id, event_id AS item_id, round(least(value / 200, 1), 6) AS score, event_type AS kind, ts, event_type || ' ' || substr(props, 1, 8) AS text FROM events)"
-_P = r"WITH u AS (SELECT page_id, url, length(html) AS n, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages), p AS (SELECT page_id % 7 AS query_id, page_id AS item_id, n % 97 / 97 AS score, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS site FROM u)"
+_P = r"WITH u AS (SELECT page_id, url, length(html) AS n, regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages), p AS (SELECT page_id // 25 AS query_id, page_id AS item_id, n % 97 / 97 AS score, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS site FROM u)"
 _BOTH = _R + ", v AS (SELECT query_id, item_id, score AS x FROM r WHERE kind = 'view'), c AS (SELECT query_id, item_id, round(1 - score, 6) AS y FROM r WHERE kind <> 'error'), j AS (SELECT query_id, item_id, x, y FROM v FULL JOIN c USING (query_id, item_id))"
 _TERM = "list_distinct(list_filter(regexp_extract_all(lower({c}), '[\\p{L}\\p{N}_]+'), lambda x: length(x) >= 3))"
 ORACLE_SQL = {

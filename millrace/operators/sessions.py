@@ -69,15 +69,6 @@ def wilson_utility(spark, d, z: float = 1.96):
     return rows.select("source", "n", F.round(low, 6).alias("utility"))
 
 
-def mood_trend(spark, d):
-    """Mean and weighted slope of a user's last five values, the later the heavier; weights count squared."""
-    w = Window.partitionBy("user_id").orderBy(F.desc("us"), F.desc("event_id"))
-    rows = events(spark, d).withColumn("age", F.row_number().over(w) - 1).where("age < 5")
-    rows = rows.withColumns({"w": F.pow(F.lit(0.81), F.col("age")), "x": -F.col("age")})
-    s = rows.groupBy("user_id").agg(F.count("*").alias("k"), F.sum("w").alias("s"), F.sum(F.expr("w * x")).alias("sx"), F.sum(F.expr("w * value")).alias("sy"), F.sum(F.expr("w * x * x")).alias("sxx"), F.sum(F.expr("w * x * value")).alias("sxy"))
-    return s.where("k = 5").select("user_id", F.round(F.expr("sy / s"), 6).alias("mean"), F.round(F.expr("(s * sxy - sx * sy) / (s * sxx - sx * sx)"), 6).alias("slope"))
-
-
 def age_distribution(spark, d):
     """Orders by age at a reference day."""
     age = F.datediff(F.lit("2001-08-01").cast("date"), F.to_date("o_orderdate"))
@@ -85,7 +76,7 @@ def age_distribution(spark, d):
     return table(spark, d, "orders").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (latency_percentiles, session_stats, message_search, dup_suppression_30s, rate_limit_window, session_windows, tumbling_counts, satisfaction, wilson_utility, mood_trend, age_distribution)}
+QUERIES = {f.__name__: f for f in (latency_percentiles, session_stats, message_search, dup_suppression_30s, rate_limit_window, session_windows, tumbling_counts, satisfaction, wilson_utility, age_distribution)}
 ORACLE_SQL = {
     "latency_percentiles": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1",
     "session_stats": "SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user, count(*) FILTER (role = 'assistant') AS assistant, count(*) FILTER (role = 'system') AS system FROM conversations GROUP BY 1",
@@ -96,6 +87,5 @@ ORACLE_SQL = {
     "tumbling_counts": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "satisfaction": "SELECT source, count(*) AS n, round(avg(quality), 6) AS satisfaction, sum(toxic)::BIGINT AS toxic FROM labels JOIN documents USING (doc_id) GROUP BY 1",
     "wilson_utility": "SELECT source, n, round((p + 3.8416 / (2 * n) - 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n)) / (1 + 3.8416 / n), 6) AS utility FROM (SELECT source, count(*) AS n, avg(quality) AS p FROM labels JOIN documents USING (doc_id) GROUP BY 1)",
-    "mood_trend": "SELECT user_id, round(sy / s, 6) AS mean, round((s * sxy - sx * sy) / (s * sxx - sx * sx), 6) AS slope FROM (SELECT user_id, count(*) AS k, sum(w) AS s, sum(w * x) AS sx, sum(w * value) AS sy, sum(w * x * x) AS sxx, sum(w * x * value) AS sxy FROM (SELECT user_id, value, pow(0.81, age) AS w, -age AS x FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS age FROM events) WHERE age < 5) GROUP BY 1) WHERE k = 5",
     "age_distribution": "SELECT CASE WHEN a < 30 THEN 'month' WHEN a < 90 THEN 'quarter' WHEN a < 365 THEN 'year' WHEN a < 1095 THEN 'three' ELSE 'older' END AS bucket, count(*) AS n FROM (SELECT DATE '2001-08-01' - o_orderdate::DATE AS a FROM orders) GROUP BY 1",
 }

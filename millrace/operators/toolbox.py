@@ -218,9 +218,16 @@ def _gate(s, d):
     return fetch_gate(rows.withColumn("next_retry", F.expr("last + interval 1 day")), "2024-01-31 00:00:00")
 
 
+def _worn(s, d):
+    """Pages of which some have lost their titles, descriptions or language, or nearly all."""
+    k, html = F.col("page_id") % 7, F.col("html")
+    html = F.when(k == 0, F.regexp_replace(html, "(?is)<(title|h1)[^>]*>.*?</(title|h1)>", "")).when(k == 1, F.concat(html, F.lit('<meta name="description" content="x">'))).when(k == 2, F.regexp_replace(html, '(?i) lang="[^"]*"', "")).when(k == 3, "<p>x</p>").otherwise(html)
+    return table(s, d, "pages").withColumn("html", html)
+
+
 QUERIES = {
     "page_metadata": lambda s, d: page_metadata(table(s, d, "pages")),
-    "extraction_quality": lambda s, d: extraction_quality(page_metadata(table(s, d, "pages")).join(table(s, d, "pages").select("page_id", F.length("html").alias("size")), "page_id"), F.col("size")),
+    "extraction_quality": lambda s, d: extraction_quality(page_metadata(_worn(s, d)).join(_worn(s, d).select("page_id", F.length("html").alias("size")), "page_id"), F.col("size")),
     "flexible_dates": _dates,
     "shifted_months": lambda s, d: ledger(s, d).select("month").distinct().select("month", shifted_month(F.col("month"), -5).alias("before"), shifted_month(F.col("month"), 13).alias("after")),
     "temporal_classes": lambda s, d: table(s, d, "documents").select("doc_id", temporal_class(F.concat("text", F.when(F.col("doc_id") % 3 == 0, " trend of 1999").otherwise(" today"))).alias("kind")),
@@ -236,10 +243,11 @@ QUERIES = {
 }
 _IN = lambda p: f"trim(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '{p}', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 _META = f"WITH m AS (SELECT page_id, CASE WHEN {_IN(HEADING)} <> '' THEN {_IN(HEADING)} ELSE {_IN(TITLE)} END AS title, regexp_extract(html, '{CANONICAL}', 1) AS canonical, lower(regexp_extract(html, '{LANGUAGE}', 1)) AS language, len(regexp_extract_all(html, '{META}'))::INT AS metas, len(regexp_extract_all(html, '{LINKED}'))::INT AS blocks, length(html) AS size FROM pages)"
+_WORN = _META.replace("FROM pages)", "FROM worn)").replace("WITH m AS", """WITH worn AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN regexp_replace(html, '(?is)<(title|h1)[^>]*>.*?</(title|h1)>', '', 'g') WHEN 1 THEN html || '<meta name="description" content="x">' WHEN 2 THEN regexp_replace(html, '(?i) lang="[^"]*"', '', 'g') WHEN 3 THEN '<p>x</p>' ELSE html END AS html FROM pages), m AS""")
 _HAS = lambda names: " OR ".join(f"contains(t, '{n}')" for n in names)
 ORACLE_SQL = {
     "page_metadata": f"{_META} SELECT page_id, title, canonical, language, metas, blocks FROM m",
-    "extraction_quality": f"{_META} SELECT page_id, round(CASE WHEN title <> '' THEN 0.3 ELSE 0 END + CASE WHEN size > 100 THEN 0.3 ELSE 0 END + CASE WHEN metas > 0 THEN 0.2 ELSE 0 END + CASE WHEN language <> '' THEN 0.2 ELSE 0 END, 6)::DOUBLE AS quality FROM m",
+    "extraction_quality": f"{_WORN} SELECT page_id, round(CASE WHEN title <> '' THEN 0.3 ELSE 0 END + CASE WHEN size > 100 THEN 0.3 ELSE 0 END + CASE WHEN metas > 0 THEN 0.2 ELSE 0 END + CASE WHEN language <> '' THEN 0.2 ELSE 0 END, 6)::DOUBLE AS quality FROM m",
     "flexible_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 < 4 THEN o_orderdate::DATE END AS day FROM orders",
     "shifted_months": "WITH " + LEDGER_SQL + " SELECT DISTINCT month, strftime((month || '-01')::DATE - INTERVAL 5 MONTH, '%Y-%m') AS before, strftime((month || '-01')::DATE + INTERVAL 13 MONTH, '%Y-%m') AS after FROM ledger",
     "temporal_classes": f"SELECT doc_id, CASE WHEN y >= 2 THEN 'range' WHEN y = 1 THEN 'year' WHEN {_HAS(CHANGE)} THEN 'evolution' WHEN {_HAS(PAST)} THEN 'historical' WHEN {_HAS(RECENT)} THEN 'recent' ELSE 'none' END AS kind FROM (SELECT doc_id, t, len(list_distinct(regexp_extract_all(t, '\\b(?:19|20)[0-9]{{2}}\\b'))) AS y FROM (SELECT doc_id, lower(text || CASE WHEN doc_id % 3 = 0 THEN ' trend of 1999' ELSE ' today' END) AS t FROM documents))",
