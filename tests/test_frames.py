@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, ranking, reconcile, search_index, selection, series, store, subgraphs, toolbox, vectors
+from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, ranking, reconcile, search_index, selection, series, store, subgraphs, toolbox, tools, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -488,3 +488,20 @@ def test_reads_of_other_users(spark):
     assert sorted(r.id for r in store.owned(rows, owners, spark.createDataFrame([(7,), (7,)], "user_id long")).collect()) == [1, 4]
     chunks = spark.createDataFrame([(1, None, None), (2, "clinical", "blocked"), (3, "finance", "safe")], "id long, corpus_domain string, safety_flag string")
     assert [r.id for r in store.visible(chunks, ["general", "finance"], ("review",)).collect()] == [3]
+
+
+def test_expansions_and_tools(spark):
+    """Rules in their order, no doubles but for case, a limit; schemas as rows; core tools for every question."""
+    rows = [(1, "Was ist Depression?"), (2, "Wirkung und Wirksamkeit von EMDR"), (3, "was ist x"), (4, None), (5, "mindfulness achtsamkeit"), (6, "Achtsamkeit")]
+    found = collections.defaultdict(list)
+    for r in tools.expansions(spark.createDataFrame(rows, "query_id long, text string"), 2).orderBy("query_id", "nth").collect():
+        found[r.query_id].append(r.query)
+    assert found == {1: ["depression treatment", "depression?"], 2: ["Wirkung und Wirksamkeit von EMDR Studie Evidenz", "EMDR therapy effectiveness"], 5: ["mindfulness"], 6: ["mindfulness"]}
+    schema = {"type": "function", "function": {"name": "web_search", "description": "Finds pages.", "parameters": {"properties": {"num_results": {"description": "how many"}}, "required": ["query"]}}}
+    row = tools.tool_catalog(spark, [schema, {"name": "calc"}]).where("tool = 'web_search'").first()
+    assert row.description == "web search Finds pages. num results how many" and row.required == ["query"]
+    catalog = spark.createDataFrame([(1, True), (2, False), (3, False), (4, True), (5, False)], "id long, core boolean")
+    ranks = [spark.createDataFrame([(1, 3, 1), (1, 2, 2), (1, 1, 3)], "query_id long, id long, rank int"), spark.createDataFrame([(1, 2, 1)], "query_id long, id long, rank int")]
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    placed = sorted((r.query_id, r.place, r.id, r.part) for r in tools.ranked_tools(catalog, ranks, asked, 2).collect())
+    assert placed == [(1, 1, 1, "core"), (1, 2, 4, "core"), (1, 3, 2, "ranked"), (1, 4, 3, "ranked"), (2, 1, 1, "core"), (2, 2, 4, "core")]
