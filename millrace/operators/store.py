@@ -144,7 +144,7 @@ def _customers(s, d):
 
 def _lived(s, d) -> Store:
     """All customers, then the suppliers over them, then some customers gone, then one batch again."""
-    store = Store(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}", "id long, name string, place long", ["id"])
+    store = Store(s, f"{shared_folder(s)}/store-{uuid.uuid4().hex}", "id long, name string, place long", ["id"], 8)
     store.apply(_customers(s, d), "customers")
     suppliers = table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("place"))
     store.apply(suppliers.withColumn("was", F.lit(None).cast("long")), "suppliers", expected=1)

@@ -14,6 +14,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("P
 def spark():
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
