@@ -505,3 +505,16 @@ def test_expansions_and_tools(spark):
     asked = spark.createDataFrame([(1,), (2,)], "query_id long")
     placed = sorted((r.query_id, r.place, r.id, r.part) for r in tools.ranked_tools(catalog, ranks, asked, 2).collect())
     assert placed == [(1, 1, 1, "core"), (1, 2, 4, "core"), (1, 3, 2, "ranked"), (1, 4, 3, "ranked"), (2, 1, 1, "core"), (2, 2, 4, "core")]
+
+
+def test_entities_most_alike(spark):
+    """Names, scores and recall against a loop over all; none below the least likeness; a query may be an entity itself."""
+    rows, data = units(spark)
+    named = rows.select(F.concat(F.lit("e"), "vec_id").alias("entity"), "embedding")
+    found = collections.defaultdict(list)
+    for r in subgraphs.entity_topk(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), named, 4, 0.2).orderBy("query_id", "rank").collect():
+        assert abs(r.score - float(data[r.query_id] @ data[int(r.entity[1:])])) < 1e-4 and r.score > 0.2
+        found[r.query_id].append(r.entity)
+    best = {q: [f"e{v}" for s, v in sorted((-round(float(data[q] @ x), 5), v) for v, x in data.items())[:4] if -s > 0.2] for q in data if q % 20 == 0}
+    assert all(found[q][0] == f"e{q}" for q in best)
+    assert sum(len(set(found[q]) & set(own)) for q, own in best.items()) >= 0.9 * sum(map(len, best.values()))
