@@ -299,6 +299,13 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
+def _dealt(s, d):
+    """Documents over all cores: a table of a single file is one task, and the rules take far longer than to deal its rows out. A
+    table that is read in as many partitions as there are cores, as any large one, stays as it is."""
+    docs, cores = _docs(s, d).select("doc_id", "text"), s.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def _each(name: str, rule):
     return lambda s, d: _docs(s, d).select("doc_id", rule(F.col("text")).alias(name))
 
@@ -310,10 +317,10 @@ def _bench_pairs(s, d):
 
 
 QUERIES = {
-    "content_types": lambda s, d: rated(marked(_docs(s, d))).select("doc_id", "content_type"),
-    "defect_flags": lambda s, d: rated(marked(_docs(s, d))).select("doc_id", F.array_join("flags", ",").alias("flags")),
-    "structural_scores": lambda s, d: rated(marked(_docs(s, d))).select("doc_id", "score"),
-    "noise_gate": lambda s, d: rated(marked(_docs(s, d))).where("noise").select("doc_id"),
+    "content_types": lambda s, d: rated(marked(_dealt(s, d))).select("doc_id", "content_type"),
+    "defect_flags": lambda s, d: rated(marked(_dealt(s, d))).select("doc_id", F.array_join("flags", ",").alias("flags")),
+    "structural_scores": lambda s, d: rated(marked(_dealt(s, d))).select("doc_id", "score"),
+    "noise_gate": lambda s, d: rated(marked(_dealt(s, d))).where("noise").select("doc_id"),
     "short_texts": lambda s, d: _docs(s, d).where((F.length(F.coalesce("text", F.lit(""))) < 50) | ((F.length("text") >= 20) & (url_share(F.col("text")) >= 0.5))).select("doc_id"),
     "boilerplate_documents": lambda s, d: boilerplate(_docs(s, d).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(OPENING), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))),
     "text_quality": _each("quality", text_quality),
@@ -329,7 +336,7 @@ QUERIES = {
     "word_overlap": lambda s, d: _bench_pairs(s, d).select("a_id", "b_id", F.round(jaccard(terms(F.col("a_text")), terms(F.col("b_text"))), 6).alias("jaccard"), F.round(containment(terms(F.col("a_text")), terms(F.col("b_text"))), 6).alias("containment")),
     "query_terms": lambda s, d: table(s, d, "benchmark").select("item_id", F.array_join(terms(F.col("text")), "|").alias("tokens"), F.array_join(bigrams(terms(F.col("text"))), "|").alias("pairs")),
     "token_estimates": _each("tokens", token_estimate),
-    "quality_audit": lambda s, d: audit(marked(_docs(s, d))),
+    "quality_audit": lambda s, d: audit(marked(_dealt(s, d))),
 }
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.quality import _KIND, _T, marked, rated
+from millrace.operators.quality import _KIND, _T, _dealt, marked, rated
 from millrace.operators.vectors import dot
 from millrace.sources.tables import LEDGER_SQL, ledger, table
 
@@ -236,7 +236,7 @@ QUERIES = {
     "schema_catalog": schema_catalog,
     "row_sentences": lambda s, d: table(s, d, "part").select("p_partkey", row_sentences(table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")).alias("sentence")),
     "calculator": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(calculated("l_extendedprice * (1 - l_discount) + sqrt(l_quantity) - pow(l_tax, 2)"), 4).alias("value")),
-    "remediation": lambda s, d: remediation(marked(table(s, d, "documents"))),
+    "remediation": lambda s, d: remediation(marked(_dealt(s, d))),
     "cache_hits": lambda s, d: cache_hits(table(s, d, "events").select(F.col("event_id").alias("item_id"), F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "ts")),
     "fetch_gate": _gate,
     "nearest_prototype": lambda s, d: nearest_prototype(table(s, d, "embeddings"), prototypes(table(s, d, "embeddings"))),
