@@ -1,12 +1,14 @@
 """Records of two sources matched one to one in stages, each of which takes what the last has left, and what a difference costs.
 
 A stage pairs rows of equal keys in a fixed order: the k-th of one source with the k-th of the other where all that counts is equal, or,
-where words decide, the pairs of most words in common first, in rounds of mutual best choices. All of it is joins on keys, so
-that sources of any size are matched; hot keys whose rows can't be told apart are paired by number, without listing their pairs.
+where words decide, the pairs of most words in common first, key by key. All of it is joins and groups by keys, so that sources
+of any size are matched; rows of a key that can't be told apart are one class, whose pairs are never listed.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,42 +40,51 @@ def without(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 def best_words(a: DataFrame, b: DataFrame, keys: list[str], least: int) -> DataFrame:
     """(a_id, b_id): one to one, of rows of equal keys those with most words in common first (ties: least a, then least b), at least
-    ``least`` of them. Rows with the same words are one class, so that a key with very many equal rows lists few pairs;
-    classes choose each other in rounds, and within two classes rows pair by number."""
-    classes = lambda rows, c: rows.groupBy(*keys, "words").agg(F.min("id").alias(c), F.count("*").alias(f"{c}_n"))
-    x, y = settled(classes(a, "a")), settled(classes(b, "b"))
-    other = y.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("words").alias("words_"), "b")
-    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
-    met = x.select(*keys, "words", "a").join(other, same).withColumn("common", F.size(F.array_intersect("words", "words_")))
-    open_pairs = settled(met.where(F.col("common") >= least).select("a", "b", "common"))
-    left_a, left_b = x.select("a", F.col("a_n").alias("n")), y.select("b", F.col("b_n").alias("n"))
-    taken = None
-    while not open_pairs.isEmpty():
-        order = F.struct(F.negative("common").alias("common"), "a", "b")
-        by_a = open_pairs.groupBy("a").agg(F.min(order).alias("best")).select("best.a", "best.b")
-        by_b = open_pairs.groupBy("b").agg(F.min(order).alias("best")).select("best.a", "best.b")
-        chosen = by_a.join(by_b, ["a", "b"]).join(left_a.withColumnRenamed("n", "an"), "a").join(left_b.withColumnRenamed("n", "bn"), "b")
-        chosen = settled(chosen.select("a", "b", F.least("an", "bn").alias("n")))
-        taken = chosen if taken is None else settled(taken.unionByName(chosen))
-        lessen = lambda left, c: settled(left.join(chosen.select(c, F.col("n").alias("used")), c, "left").select(c, (F.col("n") - F.coalesce("used", F.lit(0))).alias("n")).where("n > 0"))  # noqa: B023, E731
-        left_a, left_b = lessen(left_a, "a"), lessen(left_b, "b")
-        open_pairs = settled(open_pairs.join(left_a.select("a"), "a", "left_semi").join(left_b.select("b"), "b", "left_semi").join(chosen.select("a", "b"), ["a", "b"], "left_anti"))
-    if taken is None:
-        return a.sparkSession.createDataFrame([], "a_id long, b_id long")
-
-    def numbered(rows: DataFrame, found: DataFrame, c: str, other_side: str) -> DataFrame:
-        """Rows of a class dealt to its partners, in the order of these, as (pair a, pair b, id, nth)."""
-        row = F.row_number().over(Window.partitionBy(*keys, "words").orderBy("id"))
-        rows = rows.withColumn("row", row).withColumn("key", F.struct(*keys, "words")).select("id", "row", "key")
-        ends = F.sum("n").over(Window.partitionBy(c).orderBy(other_side).rowsBetween(Window.unboundedPreceding, 0))
-        spans = taken.withColumn("end", ends).withColumn("start", F.col("end") - F.col("n"))
-        named = found.select(c, F.struct(*keys, "words").alias("of")).join(spans, c)
-        met = rows.join(named, F.col("key").eqNullSafe(F.col("of"))).where((F.col("row") > F.col("start")) & (F.col("row") <= F.col("end")))
-        return met.select("a", "b", "id", (F.col("row") - F.col("start")).alias("nth"))
-
-    left = numbered(a, x, "a", "b").withColumnRenamed("id", "a_id")
-    right = numbered(b, y, "b", "a").withColumnRenamed("id", "b_id")
-    return left.join(right, ["a", "b", "nth"]).select("a_id", "b_id")
+    ``least`` of them. Rows with the same words are one class, so that a key with very many equal rows lists few pairs: a key is
+    one group of classes with their ids, and the rows of a class take part in the order of these."""
+    key = F.struct(*keys).alias("key")
+    classes = lambda rows: rows.groupBy(key, "words").agg(F.array_sort(F.collect_list("id")).alias("ids")).groupBy("key")
+    return classes(a).cogroup(classes(b)).applyInArrow(lambda x, y: _best_words(x, y, least), "a_id long, b_id long")
+
+
+def _best_words(x: pa.Table, y: pa.Table, least: int) -> pa.Table:
+    """The pairs of one key. From the most words in common down, each row of the one side in the order of ids takes, of the classes of
+    the other that have as many with its own, the row of the least id that is left."""
+    a, b = ([np.asarray(ids, dtype=np.int64) for ids in side["ids"].to_pylist()] if side.num_rows else [] for side in (x, y))
+    a_ids, b_ids = [], []
+    if a and b:
+        held = {}
+        for j, words in enumerate(y["words"].to_pylist()):
+            for word in words or ():
+                held.setdefault(word, []).append(j)
+        common = np.zeros((len(a), len(b)), dtype=np.uint16)
+        for i, words in enumerate(x["words"].to_pylist()):
+            for word in words or ():
+                common[i, held.get(word, [])] += 1
+        end = np.iinfo(np.int64).max
+        heads, at = np.array([ids[0] for ids in b]), [0] * len(b)
+        for level in sorted((int(c) for c in np.unique(common) if c >= least), reverse=True):
+            near = {i: np.flatnonzero(row) for i, row in enumerate(common == level) if len(a[i]) and row.any()}
+            if not near:
+                continue
+            order = np.concatenate([a[i] for i in near])
+            owner = np.repeat(list(near), [len(a[i]) for i in near])
+            left = {i: [] for i in near}
+            by_id = np.argsort(order, kind="stable")
+            for one, i in zip(order[by_id].tolist(), owner[by_id].tolist()):
+                best = near[i]
+                j = int(best[heads[best].argmin()]) if len(best) else -1
+                if j < 0 or heads[j] == end:
+                    near[i] = best[:0]
+                    left[i].append(one)
+                    continue
+                a_ids.append(one)
+                b_ids.append(int(heads[j]))
+                at[j] += 1
+                heads[j] = b[j][at[j]] if at[j] < len(b[j]) else end
+            for i, ids in left.items():
+                a[i] = np.asarray(ids, dtype=np.int64)
+    return pa.table({"a_id": pa.array(a_ids, pa.int64()), "b_id": pa.array(b_ids, pa.int64())})
 
 
 def reconciled(truth: DataFrame, stored: DataFrame, least: int = LEAST) -> DataFrame:

@@ -233,6 +233,23 @@ def test_reconciled_stages(spark):
     assert sorted(hot) == [(i, 1000 + i) for i in range(200)]
 
 
+def test_reconciled_rows_of_a_class_take_turns(spark):
+    """Pairs by words against a loop over all pairs in order: rows with the same words, between others that have as many in common."""
+    day = __import__("datetime").date(2024, 1, 1)
+    schema = "id long, scope long, booking_date date, value_date date, amount_cents long, words array<string>"
+    rng = __import__("random").Random(3)
+    some = lambda: rng.sample(["one", "two", "six", "ten"], 3)
+    truth = [(i, i % 3 or None, day, day, 100, some()) for i in range(60)]
+    stored = [(100 + i, i % 3 or None, day, None, 100, some()) for i in range(50)]
+    pairs = sorted((-len(set(x[5]) & set(y[5])), x[0], y[0]) for x in truth for y in stored if x[1] == y[1])
+    kept = []
+    for _, x, y in pairs:
+        if all(x != k[0] and y != k[1] for k in kept):
+            kept.append((x, y))
+    found = reconcile.reconciled(spark.createDataFrame(truth, schema), spark.createDataFrame(stored, schema)).where("outcome = 'matched_by_words'")
+    assert sorted((r.truth_id, r.stored_id) for r in found.collect()) == sorted(kept)
+
+
 def q_of(pairs, member, resolution=1.0):
     m2 = 2 * sum(pairs.values())
     inside, total = collections.Counter(), collections.Counter()
