@@ -16,6 +16,9 @@ FORMULA = (
     r"|\b[a-z]\s*=\s*[a-z0-9+\-*/^()\s]+|\$[^$]+\$|\\(?:frac|sqrt|sum|prod|int|partial|alpha|beta|gamma|delta|epsilon|theta|lambda|mu|sigma|omega)\b)"
 )
 TABLE = r"(?:(?:\|[^|]+){2,}\||\t[^\t]+\t)"
+#: The same rows, told apart without a step back: Java's group of open width takes a frame of the stack for each cell, and the stack's
+#: end ends the executor.
+TABLE_RUNS = r"(?:\|[^|]++\|(?:[^|]++\|)++|\t[^\t]++\t)"
 CODE = r"(?i)(?:(?:def|class|function|return|import|from|if|else|for|while|try|except)\s|(?:public|private|static|void|int|string|bool)\s|\{[^}]*\}|(?:=>|->|::|\.\.|\.\.\.))"
 DEFINITION = r"(?i)(?:\b(?:Definition|Def\.|Satz|Theorem|Lemma|Korollar|Axiom|Postulat)\s*[:0-9.]|\b(?:bezeichnet|definiert als|heißt|ist definiert|wird definiert|means|is defined as|refers to)\b)"
 LEGAL = r"(?i)(?:§\s*[0-9]+|\b(?:Abs\.|Absatz|Artikel|Art\.)\s*[0-9]+|\b(?:gemäß|laut|nach Maßgabe|vorbehaltlich|unbeschadet)\b|\b(?:pursuant to|in accordance with|notwithstanding|hereinafter)\b)"
@@ -65,7 +68,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.withColumn("plain_text", plain(F.col(text))).withColumn("plain_words", words(F.col("plain_text")))
     t, own = F.col("plain_text"), F.col("plain_words")
     counts = {
-        "n": F.length(t), "words": F.size(own), "formulas": count(t, FORMULA), "tables": count(t, TABLE), "definitions": count(t, DEFINITION), "legal": count(t, LEGAL),
+        "n": F.length(t), "words": F.size(own), "formulas": count(t, FORMULA), "tables": count(t, TABLE_RUNS), "definitions": count(t, DEFINITION), "legal": count(t, LEGAL),
         "code": count(t, CODE), "garbage": count(t, GARBAGE), "cookies": count(t, COOKIE), "separators": count(t, SEPARATORS), "crumbs": count(t, CRUMBS),
         "sentences": count(t, SENTENCE), "boilerplate": count(t, BOILERPLATE), "urls": url_share(t), "letters": letters(t, r"[^\p{L}]"), "ends": t.rlike(r"[.!?]$"),
         "distinct": F.size(F.array_distinct(F.transform(own, F.lower))), "named": F.size(F.filter(own, lambda w: w.rlike(r"^\p{Lu}."))), "numbers": F.size(F.filter(own, lambda w: w.rlike(r"[0-9]"))),

@@ -250,6 +250,17 @@ def test_reconciled_rows_of_a_class_take_turns(spark):
     assert sorted((r.truth_id, r.stored_id) for r in found.collect()) == sorted(kept)
 
 
+def test_kinds_of_texts_with_very_long_tables(spark):
+    """As many cells as a text has words: told apart without a stack frame for each, and as the plain pattern tells them."""
+    import random
+
+    rng = random.Random(5)
+    texts = ["|a" * 60_000 + "|", "\t b" * 60_000] + ["".join(rng.choice("||\ta ") for _ in range(rng.randrange(40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.n for r in docs.select("doc_id", quality.count(F.col("text"), quality.TABLE_RUNS).alias("n")).collect()}
+    assert found == {i: len(re.findall(quality.TABLE, t)) for i, t in enumerate(texts)}
+
+
 def q_of(pairs, member, resolution=1.0):
     m2 = 2 * sum(pairs.values())
     inside, total = collections.Counter(), collections.Counter()
