@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -34,7 +35,7 @@ class WordTokens:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-            flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
             self.ids = np.concatenate([self.ids, flat])
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 

@@ -22,7 +22,7 @@ from millrace.llm.bpe import REMEMBERED_BYTES, BytePairs, byte_bpe, decode_token
 from millrace.llm.chunks import Texts
 from millrace.llm.components import components
 from millrace.llm.decontamination import decontaminate
-from millrace.llm.fertility import MARGIN, MOST_DOUBLINGS, STEP, TAIL, WIDE, fertility_rules, fitted_bands
+from millrace.llm.fertility import MARGIN, MOST_DOUBLINGS, STEP, TAIL, WIDE, bands_of, fertility_rules, fitted_bands
 from millrace.llm.langid import Parser, as_rows, identify_language, learned_samples, running_text
 from millrace.llm.lm import LEVELS, Attention, ChunkTokens, Evidence, Ready, attention_scores, prepared, slots_of, trained
 from millrace.llm.ngram_join import ngram_jaccard
@@ -203,6 +203,17 @@ def entropy(ids):
     return sum(-n / len(ids) * math.log2(n / len(ids)) for n in collections.Counter(ids).values()) if ids else 0.0
 
 
+def test_bands_are_fitted_on_all_good_documents(spark):
+    """More good documents than were once looked at, of which the last have other values."""
+    rows = [(i, False, "latin", 2.0 + i / 10_000 + (3.0 if i >= 5000 else 0.0), 0.25) for i in range(6000)]
+    found = spark.createDataFrame(rows, "doc_id long, base_failed boolean, script string, chars_per_token double, byte_share double")
+    found = found.selectExpr("*", "chars_per_token + 1e-7 * (doc_id % 3) as chars_per_bpe_token", "100L as n_tokens", "100L as bpe_tokens", "chars_per_token as token_entropy", "5.0D as bpe_entropy")
+    bands = bands_of(found, spark.range(6000).withColumnRenamed("id", "doc_id"))
+    low, high = np.quantile([r[3] for r in rows], [TAIL, 1 - TAIL])
+    assert np.allclose([bands["latin"].least_chars, bands["latin"].most_chars], [low - MARGIN * (high - low), high + MARGIN * (high - low)], rtol=1e-12)
+    assert bands["latin"].most_bytes == 0.26 and bands_of(found, spark.range(30).withColumnRenamed("id", "doc_id")) == {}
+
+
 def test_fertility_equals_brute_force(spark):
     """Tokens, fallback, entropy and the verdict, of whole texts, by the tokenizers' own libraries."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
