@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +21,8 @@ NEGATIONS = ("nicht", "kein", "keine", "nie", "not", "no", "never")
 HALF_LIFE, LONG_LIFE, LEAST_AGE = 180.0, 365.0, 0.35
 #: What word sets of near copies share at least, of the smaller: by containment, or as follows from the Jaccard bound.
 SHARED = min(CONTAINED, 2 * JACCARD / (1 + JACCARD))
+#: Words of the sets of a share at most; words of a share, up to so many shares, where there are few.
+SHARE, PART, FEW = 16_000_000, 500_000, 6
 
 
 def note_score(confidence: Column, mentions: Column, age_days: Column, half_life: Column, relevance: Column) -> Column:
@@ -26,24 +34,121 @@ def note_score(confidence: Column, mentions: Column, age_days: Column, half_life
 
 def near_word_sets(rows: DataFrame) -> DataFrame:
     """(a, b): items (group, item, words) of a group whose word sets are near copies: one holds 85 % of the smaller, or they overlap by
-    72 %, and they agree in negations. Exact: a set's rarest words, so many that no near copy can miss all of them, are
-    looked up among all words of larger sets. Sets are distinct: equal ones should be one item."""
-    sized = rows.select("group", "item", F.array_distinct("words").alias("words")).withColumn("n", F.size("words")).where("n > 0")
-    each = sized.select("group", "item", "n", F.explode("words").alias("word"))
-    rare = each.groupBy("group", "word").agg(F.count("*").alias("df"))
-    placed = each.join(rare, ["group", "word"]).withColumn("at", F.row_number().over(Window.partitionBy("group", "item").orderBy("df", "word")))
-    needed = F.col("n") - F.ceil(F.col("n") * SHARED - 1e-9) + 1
-    probe = placed.where(F.col("at") <= needed).select("group", "word", F.col("item").alias("a"), F.col("n").alias("na"))
-    larger = each.select("group", "word", F.col("item").alias("b"), F.col("n").alias("nb"))
-    met = probe.join(larger, ["group", "word"]).where((F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") > F.col("a"))))
-    pairs = met.select("group", "a", "b").distinct()
-    x, y = (sized.select("group", F.col("item").alias(c), F.col("words").alias(f"w{c}")) for c in "ab")
-    pairs = pairs.join(x, ["group", "a"]).join(y, ["group", "b"])
-    both, least = F.size(F.array_intersect("wa", "wb")), F.least(F.size("wa"), F.size("wb"))
-    every = F.size("wa") + F.size("wb") - both
-    turns = lambda c: F.array_sort(F.array_intersect(F.col(c), F.array(*map(F.lit, NEGATIONS))))
-    near = (both / least >= CONTAINED) | (both / every >= JACCARD)
-    return pairs.where(near & (turns("wa") == turns("wb"))).select("a", "b")
+    72 %, and they agree in negations. Sets are distinct: equal ones should be one item.
+
+    Exact, with words by 64-bit hashes. Sets of a group that agree in negations are dealt into shares, each two of which meet in one task, whole:
+    a set goes once to each share, and only near pairs leave the task, so that no candidate is ever shuffled."""
+    words = F.array_distinct("words")
+    turns = F.array_join(F.array_sort(F.array_intersect(words, F.array(*map(F.lit, NEGATIONS)))), " ")
+    sized = rows.select(F.struct("group", turns.alias("turns")).alias("key"), "item", F.transform(words, lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") > 0)
+    held = sized.groupBy("key").agg(F.sum(F.size("hashes")).alias("held"))
+    shares = F.greatest(F.ceil(F.col("held") / SHARE), F.least(F.lit(FEW), F.ceil(F.col("held") / PART))).cast("int")
+    dealt = sized.join(settled(held.select("key", shares.alias("shares"))), "key").withColumn("own", F.pmod(F.xxhash64("item"), F.col("shares")).cast("int"))
+    left = dealt.select("key", F.col("own").alias("s"), F.explode(F.sequence("own", F.col("shares") - 1)).alias("t"), "item", "hashes")
+    right = dealt.where("own > 0").select(F.col("key").alias("to_key"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("to_s"), F.col("own").alias("to_t"), F.col("item").alias("to_item"), F.col("hashes").alias("to_hashes"))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        met = []
+        if x.num_rows:
+            alone = x.column("s")[0] == x.column("t")[0]
+            x = WordSets(x.column("item"), x.column("hashes"))
+            if alone:
+                met = [near_of(x, x)]
+            elif y.num_rows:
+                y = WordSets(y.column("to_item"), y.column("to_hashes"))
+                met = [near_of(x, y), near_of(y, x)]
+        return pa.table({c: np.concatenate([np.zeros(0, np.int64), *(m[i] for m in met)]) for i, c in enumerate("ab")})
+
+    return left.groupBy("key", "s", "t").cogroup(right.groupBy("to_key", "to_s", "to_t")).applyInArrow(run, "a long, b long")
+
+
+class WordSets:
+    """Sets of word hashes of one share, from the least to the largest, with an index by word and sketches of some bits."""
+
+    def __init__(self, items: pa.ChunkedArray, hashes: pa.ChunkedArray):
+        ids, sizes = items.to_numpy().astype(np.int64), pc.list_value_length(hashes).to_numpy().astype(np.int64)
+        flat = pc.list_flatten(hashes).to_numpy()
+        order = np.lexsort((ids, sizes))
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        owner = np.repeat(place, sizes)
+        by_owner = np.argsort(owner, kind="stable")
+        self.ids, self.sizes, self.words, self.owner = ids[order], sizes[order], flat[by_owner], owner[by_owner]
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.missing = self.sizes - np.ceil(self.sizes * SHARED - 1e-9).astype(np.int64)
+        self.known, code = np.unique(self.words, return_inverse=True)
+        # Places of the sets that have a word, word by word: sorted, so that whether a set has a word is one search.
+        self.held = np.sort(code * len(self.ids) + self.owner)
+        self.starts = np.searchsorted(self.held, np.arange(len(self.known) + 1) * len(self.ids))
+
+    @functools.lru_cache  # noqa: B019
+    def sketches(self, bits: int) -> np.ndarray:
+        out = np.empty((len(self.ids), bits // 64), np.uint64)
+        at = (self.words & (bits - 1)).astype(np.int64)
+        for i in range(0, len(self.ids), 4096):
+            part = np.zeros((min(4096, len(self.ids) - i), bits), bool)
+            rows = slice(self.first[i], self.first[i + len(part)])
+            part[self.owner[rows] - i, at[rows]] = True
+            out[i : i + len(part)] = np.packbits(part, axis=1).view(np.uint64)
+        return out
+
+
+def near_of(x: WordSets, y: WordSets) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of near copies of which the smaller (ties: the lesser id) is in x, the larger in y. A set's words that are rarest in y, so many that no near
+    copy can miss all of them, name the candidates; words in sketches of them that the larger one has not rule most of these out."""
+    none = np.zeros(0, np.int64)
+    n = len(y.ids)
+    if not n or not len(x.ids):
+        return none, none
+    code = np.minimum(np.searchsorted(y.known, x.words), len(y.known) - 1)
+    df = np.where(y.known[code] == x.words, y.starts[code + 1] - y.starts[code], 0)
+    order = np.argsort((x.owner << 32) + df, kind="stable")
+    rare = order[(np.arange(len(order)) - x.first[x.owner] <= x.missing[x.owner]) & (df[order] > 0)]
+    # The first of y's sets that are larger.
+    bounds = np.searchsorted(y.sizes, x.sizes, "left"), np.searchsorted(y.sizes, x.sizes, "right")
+    larger = np.array([lo + np.searchsorted(y.ids[lo:hi], i, "right") for lo, hi, i in zip(*bounds, x.ids, strict=True)], np.int64)
+    lo = np.searchsorted(y.held, code[rare] * n + larger[x.owner[rare]])
+    count = np.maximum(y.starts[code[rare] + 1] - lo, 0)
+    met = [], []
+    for rows in _parted(count):
+        at = _ranges(lo[rows], count[rows])
+        pairs = np.unique(np.repeat(x.owner[rare[rows]], count[rows]) * n + y.held[at] % n)
+        a, b = pairs // n, pairs % n
+        for bits in (1024, 8192):
+            sa, sb = x.sketches(bits), y.sketches(bits)
+            fits = np.concatenate([np.zeros(0, bool), *(np.bitwise_count(sa[a[i : i + 8192]] & ~sb[b[i : i + 8192]]).sum(axis=1, dtype=np.int64) <= x.missing[a[i : i + 8192]] for i in range(0, len(a), 8192))])
+            a, b = a[fits], b[fits]
+        for part in _parted(x.sizes[a]):
+            pa_, pb_ = a[part], b[part]
+            size = x.sizes[pa_]
+            words = _ranges(x.first[pa_], size)
+            key = code[words] * n + np.repeat(pb_, size)
+            found = np.minimum(np.searchsorted(y.held, key), len(y.held) - 1)
+            has = (y.held[found] == key) & (df[words] > 0)
+            both = np.bincount(np.repeat(np.arange(len(pa_)), size), has, len(pa_))
+            near = (both / size >= CONTAINED) | (both / (size + y.sizes[pb_] - both) >= JACCARD)
+            met[0].append(x.ids[pa_[near]])
+            met[1].append(y.ids[pb_[near]])
+    a, b = (np.concatenate([none, *m]) for m in met)
+    # A pair that two parts have is one.
+    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All numbers from each first one on, so many as are counted."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + count, count)
+
+
+def _parted(count: np.ndarray, most: int = 2_000_000) -> Iterator[slice]:
+    """Slices of rows of about ``most`` counted things, or one row."""
+    ends = np.cumsum(count)
+    start = 0
+    while start < len(count):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield slice(start, stop)
+        start = stop
 
 
 def distinct_notes(rows: DataFrame) -> DataFrame:

@@ -471,6 +471,34 @@ def loop_selection(notes, n, first):
     return {r[0] for r in kept}, [r[0] for r in chosen]
 
 
+def test_word_sets_meet_in_shares(spark):
+    """Shares of a few sets give all pairs, also of a null group and of a word that most sets have; candidates never leave a task."""
+    rng, rows = random.Random(4), []
+    words = [f"w{i}" for i in range(300)]
+    for i in range(240):
+        own = {"all", *rng.sample(words, rng.randrange(0, 30))} if i < 80 or rng.random() < 0.3 else {*rows[rng.randrange(len(rows))][2], *rng.sample([*words, "not"], rng.randrange(3))}
+        rows.append((rng.choice([None, 1, 2]), i, sorted(own)))
+    rows = [*{(g, tuple(w)): (g, i, w) for g, i, w in rows}.values()]
+
+    def near(x, y):
+        same = len(x & y)
+        return x & {*selection.NEGATIONS} == y & {*selection.NEGATIONS} and (same / min(len(x), len(y)) >= 0.85 or same / len(x | y) >= 0.72)
+
+    want = {frozenset((i, j)) for g, i, x in rows for h, j, y in rows if i < j and g == h and near({*x}, {*y})}
+    frame = spark.createDataFrame(rows, "group long, item long, words array<string>")
+    before = selection.SHARE, selection.PART, selection.FEW
+    for few in ((16_000_000, 500_000, 6), (300, 100, 3)):
+        selection.SHARE, selection.PART, selection.FEW = few
+        try:
+            made = selection.near_word_sets(frame)
+            found = [frozenset(r) for r in made.collect()]
+        finally:
+            selection.SHARE, selection.PART, selection.FEW = before
+        assert len(found) == len(set(found)) and set(found) == want
+        top = made._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+        assert "FlatMapCoGroupsInArrow" in top
+
+
 def test_selection_equals_the_loop(spark):
     """One group of all notes and several; copies, subsets, negations, notes without words, a category that has none."""
     rng, rows = random.Random(8), []
