@@ -87,14 +87,14 @@ def accepted(members: DataFrame, least: float, sure: float, lexical: float) -> D
     return rows.where((F.col("score") >= sure) | ((F.col("score") >= least) & (F.col("words") >= lexical)))
 
 
-def resolve_entities(names: DataFrame, least: float = 0.92, sure: float | None = None, lexical: float = 0.35, recall: float = 0.98) -> DataFrame:
+def resolve_entities(names: DataFrame, least: float = 0.92, sure: float | None = None, lexical: float = 0.35) -> DataFrame:
     """(entity, canonical, reason) of every name that is merged into another: by case, or by a clique; a name that is merged by case
     goes where the one goes that it is merged into.
 
     names: (entity, frequency, embedding), one row for each name. A clique's canonical name is its most frequent (ties: the
     greatest); a member is merged if it is at least ``sure`` alike (by default 0.03 above
     ``least``), or shares ``lexical`` of its words. Names without a vector merge by case only. No name is merged over a third:
-    every accepted member was compared with its canonical name itself. Pairs are found by hashing, with the given recall.
+    every accepted member was compared with its canonical name itself. All pairs are found.
     """
     sure = min(0.995, least + 0.03) if sure is None else sure
     names = settled(names.where("entity is not null").select("entity", F.coalesce("frequency", F.lit(1)).cast("long").alias("frequency"), "embedding"))
@@ -105,7 +105,7 @@ def resolve_entities(names: DataFrame, least: float = 0.92, sure: float | None =
     alone = settled(alone.withColumn("vec_id", F.xxhash64("entity")))
     classes = settled(equal_vectors(unit_vectors(alone.select("vec_id", "embedding"))))
     sizes = classes.groupBy(F.col("first").alias("node")).agg(F.count("*").alias("size"))
-    links = settled(near_pairs(classes.where("vec_id = first"), least, recall))
+    links = settled(near_pairs(classes.where("vec_id = first"), least))
     grouped = cliques(links, settled(sizes)).join(classes.withColumnRenamed("first", "node"), "node").join(alone.drop("embedding"), "vec_id")
     best = F.max_by(F.struct(F.col("entity").alias("canonical"), F.col("embedding").alias("canonical_vector")), F.struct("frequency", "entity"))
     grouped = grouped.join(grouped.groupBy("clique").agg(best.alias("best")), "clique").select("entity", F.col("embedding").alias("vector"), "best.*").where("entity <> canonical")
@@ -140,7 +140,7 @@ def _names(s, d):
 
 
 QUERIES = {
-    "resolve_entities": lambda s, d: resolve_entities(_names(s, d), recall=0.99999),
+    "resolve_entities": lambda s, d: resolve_entities(_names(s, d)),
     "renamed_statements": lambda s, d: renamed(triples(s, d), triples(s, d).select(F.col("object").alias("entity"), F.concat(F.lit("n"), F.floor(F.substring("object", 2, 9).cast("int") / 4)).alias("canonical")).distinct()),
 }
 _T = """WITH triples AS (SELECT o_orderkey AS triple_id, 'c' || o_custkey AS subject, o_orderpriority AS predicate, 'n' || (c_nationkey * 4 + o_orderkey % 4) AS object, (o_orderkey % 10 / 10)::DOUBLE AS confidence FROM orders JOIN customer ON o_custkey = c_custkey)"""

@@ -130,6 +130,28 @@ def test_near_vectors_recall(spark):
         vectors.BUCKET = before
 
 
+def test_near_vectors_meet_in_shares(spark):
+    """All near pairs of each group with shares of a few vectors too; only pairs that are alike leave a task."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(60, 8))
+    data = np.concatenate([base, base + rng.normal(size=(60, 8)) * 0.15, base + rng.normal(size=(60, 8)) * 0.3])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i % 2, i, x) for i, x in enumerate(unit.tolist())], "group long, vec_id long, embedding array<double>")
+    alike = {(i, j) for i, j in zip(*np.where(np.triu(unit @ unit.T, 1) >= 0.9), strict=True)}
+    want = {p for p in alike if p[0] % 2 == p[1] % 2}
+    before = vectors.MEETING, vectors.BUCKET
+    for few in (before, (100, 5)):
+        vectors.MEETING, vectors.BUCKET = few
+        try:
+            made = vectors.near_pairs(rows.drop("group"), 0.9)
+            found, own = [(r.a, r.b) for r in made.collect()], [tuple(r) for r in vectors.alike_in_groups(rows, 0.9).collect()]
+        finally:
+            vectors.MEETING, vectors.BUCKET = before
+        assert len(found) == len(set(found)) and set(found) == alike and len(own) == len(set(own)) and set(own) == want and want < alike
+        above = made._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")
+        assert len(above) == 2 and "Join" not in above[0]
+
+
 def greedy(rows, most):
     groups = collections.defaultdict(list)
     for r in rows.collect():
