@@ -7,7 +7,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, ranking, reconcile, search_index, selection, series, store, subgraphs, toolbox, tools, vectors
+from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, ranking, reconcile, retrieval, search_index, selection, series, store, subgraphs, toolbox, tools, vectors
 
 DATA = "/root/testdata/sf0.001"
 
@@ -493,6 +493,26 @@ def loop_selection(notes, n, first):
     return {r[0] for r in kept}, [r[0] for r in chosen]
 
 
+def test_results_are_ranked_in_shards(spark, tmp_path):
+    """With many shards the rows are those of one, and a result never leaves the shard that it is scored in before it is ranked there."""
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    for name in ("documents", "benchmark"):
+        (folder / f"{name}.parquet").symlink_to(f"{DATA}/{name}.parquet")
+    queries = (retrieval.bm25_topk, retrieval.quality_gate, retrieval.rrf_fusion, retrieval.eval_f1)
+    before, found = retrieval.SHARD, {}
+    for shard in (10**9, 200):
+        retrieval.SHARD = shard
+        try:
+            found[shard] = [sorted(map(tuple, q(spark, str(folder)).collect())) for q in queries]
+            made = retrieval.matches(spark, str(folder))
+        finally:
+            retrieval.SHARD = before
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.lstrip().startswith("AdaptiveSparkPlan") and "Exchange" not in plan.split("Join")[0]
+    assert found[200] == found[10**9] and all(found[200])
+
+
 def test_word_sets_meet_in_shares(spark):
     """Shares of a few sets give all pairs, also of a null group and of a word that most sets have; candidates never leave a task."""
     rng, rows = random.Random(4), []
