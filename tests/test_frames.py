@@ -1,6 +1,7 @@
 """Operators without SQL against plain loops on whole small tables, and edge cases of parameters."""
 
 import collections
+import math
 import random
 import re
 
@@ -598,6 +599,44 @@ def test_index_reads_its_buckets_only(spark, tmp_path, capsys):
     assert search_index.like_pattern("hat_Angst  vor 5%") == "%hat%Angst%vor%5\\%%"
 
 
+def test_search_in_shards(spark, tmp_path, monkeypatch):
+    """Random texts in many shards, queries in many packs: as a loop over all documents; a list is one row for a shard, and only the best leave a shard."""
+    monkeypatch.setattr(search_index, "SHARD_WORDS", 60)
+    monkeypatch.setattr(search_index, "PACK_WORDS", 8)
+    rng = np.random.default_rng(3)
+    vocabulary = ["rent", "rental", "re", "flat", "flats", "may", "ma", "été", "x_1"]
+    draw = lambda most: " ".join(rng.choice(vocabulary, rng.integers(0, most)))
+    texts = {f"d{i:03}": draw(9) if i % 7 else None for i in range(120)} | {None: "rent flat may"}
+    queries = {i: draw(4) for i in range(25)}
+    docs = spark.createDataFrame(list(texts.items()), "id string, text string").repartition(3)
+    search_index.write_index(docs, str(tmp_path / "index"))
+    words = {i: (x or "").split() for i, x in texts.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    expected = set()
+    for q, text in queries.items():
+        asked, parts = text.split(), []
+        for w in asked:
+            parts.append({i: sum(x.startswith(w) for x in own) for i, own in words.items()})
+        if len(asked) > 1:
+            parts.append({i: sum(own[j : j + len(asked)] == asked for j in range(len(own))) for i, own in words.items()})
+        score, phrase = collections.Counter(), set()
+        for at, part in enumerate(parts):
+            df = sum(f > 0 for f in part.values())
+            idf = max(1e-6, math.log((len(words) - df + 0.5) / (df + 0.5)))
+            for i, f in part.items():
+                if f:
+                    score[i] += idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words[i]) / mean))
+                    phrase |= {i} if at == len(asked) else set()
+        order = sorted(score, key=lambda i: (i not in phrase, -round(score[i], 6), i is not None, i or ""))[:5]
+        expected |= {(q, i, round(score[i], 6), i in phrase, rank) for rank, i in enumerate(order, 1)}
+    asked = spark.createDataFrame(list(queries.items()), "query_id int, text string")
+    found = search_index.search_index(spark, str(tmp_path / "index"), asked, 5)
+    assert {tuple(r) for r in found.collect()} == expected and found.count() == len(expected)
+    held = search_index.postings(spark, str(tmp_path / "index"), list(range(64)))
+    shards = held.select("shard").distinct().count()
+    assert shards > 3 and held.count() <= shards * len(vocabulary) < sum(len(set(x)) for x in words.values())
+
+
 def test_store_survives_its_writers(spark, tmp_path, monkeypatch):
     """Two batches of changes and deletions, old versions, a writer that dies half way, conflicts, a batch that comes twice."""
     path = str(tmp_path / "store")
