@@ -16,6 +16,8 @@ from millrace.sources.tables import table
 
 #: Gains are compared to so many decimals, so that equal ones tie on every cluster.
 DECIMALS = 9
+#: Rows of a table that may be broadcast in a round; larger ones would go through the driver in every round.
+BROADCAST_ROWS = 10_000
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -29,14 +31,20 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b", "weight").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
+def by_key(rows: DataFrame, most: int | None) -> DataFrame:
+    """Rows to be joined, at most so many of them: never broadcast beyond BROADCAST_ROWS. None: Spark decides."""
+    return rows if most is None or most <= BROADCAST_ROWS else rows.hint("merge")
+
+
 def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity of a division (node, community) of the nodes of a graph, and how many nodes and communities it has.
     A graph without edges has modularity 0."""
     return _modularity(both_ways(weighted(edges)), members.select("node", "community"), resolution)
 
 
-def _modularity(ways: DataFrame, members: DataFrame, resolution: float) -> DataFrame:
+def _modularity(ways: DataFrame, members: DataFrame, resolution: float, nodes: int | None = None) -> DataFrame:
     own, other = members.select(F.col("node").alias("a"), F.col("community").alias("ca")), members.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    own, other = by_key(own, nodes), by_key(other, nodes)
     parts = ways.join(own, "a").join(other, "b").groupBy(F.col("ca").alias("community")).agg(
         F.sum("weight").alias("total"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside")
     )
@@ -46,17 +54,18 @@ def _modularity(ways: DataFrame, members: DataFrame, resolution: float) -> DataF
     return sums.join(sizes, F.lit(True)).select(F.round(score, DECIMALS).alias("modularity"), "nodes", "communities")
 
 
-def _moved(ways: DataFrame, strength: DataFrame, members: DataFrame, m2: float, turn: int, shares: int, resolution: float) -> DataFrame:
+def _moved(ways: DataFrame, strength: DataFrame, members: DataFrame, m2: float, turn: int, shares: int, resolution: float, nodes: int, groups: int) -> DataFrame:
     """Members after one round, in which one in ``shares`` nodes may move, chosen by a hash of node and round. A node that is
-    alone joins another that is alone only if that has the lesser community, so that they don't change places."""
-    state = members.join(strength, "node")
+    alone joins another that is alone only if that has the lesser community, so that they don't change places. There are so many
+    nodes, and at most so many communities (groups)."""
+    state = members.join(by_key(strength, nodes), "node")
     totals = state.groupBy("community").agg(F.sum("k").alias("total"), F.count("*").alias("size"))
-    links = ways.where("a <> b").join(members.withColumnRenamed("node", "b"), "b")
+    links = ways.where("a <> b").join(by_key(members.withColumnRenamed("node", "b"), nodes), "b")
     links = links.groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("inside"))
     links = links.unionByName(members.select("node", "community", F.lit(0.0).alias("inside"))).groupBy("node", "community").agg(F.sum("inside").alias("inside"))
-    mine = state.join(totals.select("community", F.col("size").alias("own_size")), "community")
+    mine = state.join(by_key(totals.select("community", F.col("size").alias("own_size")), groups), "community")
     mine = mine.select("node", "k", F.col("community").alias("own"), "own_size")
-    options = links.join(totals, "community").join(mine, "node")
+    options = links.join(by_key(totals, groups), "community").join(by_key(mine, nodes), "node")
     rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
     gain = F.round(F.col("inside") - resolution * F.col("k") * rest / m2, DECIMALS)
     stays = F.col("community") == F.col("own")
@@ -79,20 +88,21 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, sweeps: in
     found = settled(ways.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node")))
     if not m2:
         return found
-    best, turn = None, 0
+    best, turn, nodes = None, 0, found.count()
     for _ in range(levels):
         strength = settled(ways.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
         members = strength.select("node", F.col("node").alias("community"))
         if best is None:
-            best = _modularity(ways, members, resolution).first().modularity
-        before, shares = best, 2
+            best = _modularity(ways, members, resolution, nodes).first().modularity
+        # Nodes move to communities that there are: these never become more.
+        before, shares, groups = best, 2, nodes
         for _ in range(sweeps):
-            tried = settled(_moved(ways, strength, members, m2, turn, shares, resolution))
-            tried = settled(_moved(ways, strength, tried, m2, turn + 1, shares, resolution))
+            tried = settled(_moved(ways, strength, members, m2, turn, shares, resolution, nodes, groups))
+            tried = settled(_moved(ways, strength, tried, m2, turn + 1, shares, resolution, nodes, groups))
             turn += 2
-            score = _modularity(ways, tried, resolution).first().modularity
-            if score >= best + least:
-                members, best = tried, score
+            now = _modularity(ways, tried, resolution, nodes).first()
+            if now.modularity >= best + least:
+                members, best, groups = tried, now.modularity, now.communities
             elif shares == 2:
                 shares = 8
             else:
@@ -100,12 +110,12 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, sweeps: in
         if best == before:
             break
         names = members.groupBy("community").agg(F.min("node").alias("name"))
-        members = settled(members.join(names, "community").select("node", F.col("name").alias("community")))
-        found = found.withColumnRenamed("community", "was").join(members.select(F.col("node").alias("was"), "community"), "was")
-        found = settled(found.select("node", "community"))
-        a, b = (members.select(F.col("node").alias(c), F.col("community").alias(f"c{c}")) for c in "ab")
+        members = settled(members.join(by_key(names, groups), "community").select("node", F.col("name").alias("community")))
+        now = by_key(members.select(F.col("node").alias("was"), "community"), nodes)
+        found = settled(found.withColumnRenamed("community", "was").join(now, "was").select("node", "community"))
+        a, b = (by_key(members.select(F.col("node").alias(c), F.col("community").alias(f"c{c}")), nodes) for c in "ab")
         ways = ways.join(a, "a").join(b, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight"))
-        ways = settled(ways)
+        ways, nodes = settled(ways), groups
     return found
 
 

@@ -384,6 +384,18 @@ def test_modularity_communities(spark):
     assert communities.modularity_communities(edges.limit(0)).collect() == []
 
 
+def test_rounds_are_not_broadcast(spark, monkeypatch):
+    """Tables that grow with the graph don't go through the driver in a round, whatever their size in bytes; the division is the same."""
+    pairs = [(f"{k}-{i}", f"{k}-{j}") for k in range(6) for i in range(4) for j in range(i)] + [(f"{k}-0", f"{(k + 1) % 6}-1") for k in range(6)]
+    edges = spark.createDataFrame(pairs, "a string, b string")
+    expected = sorted(tuple(r) for r in communities.modularity_communities(edges).collect())
+    plans, settle = [], communities.settled
+    monkeypatch.setattr(communities, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(communities, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    assert sorted(tuple(r) for r in communities.modularity_communities(edges).collect()) == expected
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_pseudonyms_round_trip(spark):
     """All texts come back, with look-alikes of placeholders, overlaps, repeated values, nulls; other columns stay; no digest is cut again."""
     rows = [(i, t, i * 2) for i, t in enumerate(["a@b.com, c@d.com and a@b.com", "<EMAIL_1> x@y.de <EMAIL_7> <PHONE_2>", None, "", "call 0171 1234567 on 03.04.2024", "no data", "+49 171 1234567 a@b.de 0171 1234567 DE89 3704 0044 0532 0130 00", "é😀 a@b.de 日本"])]
