@@ -82,21 +82,35 @@ class BpeFertility(WordTokens):
         self.size = len(pairs.ranks)
 
         def encode(words: list[bytes]) -> list[list[int]]:
-            pieces = [pairs.pattern.findall(" " + w.decode()) for w in words]
-            found = iter(pairs.encode_pieces([p.encode() for own in pieces for p in own]))
-            return [[i for _ in own for i in next(found)] for own in pieces]
+            texts = [w.decode() for w in words]
+            # By the usual pattern a word of letters is one piece.
+            parted = [i for i, t in enumerate(texts) if not (pairs.usual and t.isalpha())]
+            pieces = [b" " + w for w in words]
+            more = []
+            for i in parted:
+                own = pairs.pattern.findall(" " + texts[i])
+                pieces[i] = own[0].encode()
+                more.append([p.encode() for p in own[1:]])
+            found = pairs.encode_pieces(pieces + [p for own in more for p in own])
+            rest = iter(found[len(words) :])
+            out = found[: len(words)]
+            for i, own in zip(parted, more, strict=True):
+                if own:
+                    out[i] = [*out[i], *(x for _ in own for x in next(rest))]
+            return out
 
         super().__init__(encode)
 
 
 @lru_cache(maxsize=2)
 def _fertility(model: bytes, ranks: bytes) -> tuple[Fertility, BpeFertility]:
-    return Fertility(model), BpeFertility(ranks)
+    first, second = Fertility(model), BpeFertility(ranks)
+    first.follower = second
+    return first, second
 
 
-def token_counts(n: int, words: list[bytes], bounds: np.ndarray, model: WordTokens) -> tuple[np.ndarray, ...]:
-    """Ids of the tokens of n texts, the text of each, how many each text has, their entropy in bits, and the words' numbers."""
-    numbers = model.numbers(words)
+def token_counts(n: int, numbers: np.ndarray, bounds: np.ndarray, model: WordTokens) -> tuple[np.ndarray, ...]:
+    """Ids of the tokens of n texts, the text of each, how many each text has, and their entropy in bits; words are given by numbers."""
     ids, sizes = model.tokens(numbers)
     ids = ids.astype(np.int64)
     doc = np.repeat(np.repeat(np.arange(n), np.diff(bounds)), sizes)
@@ -106,7 +120,7 @@ def token_counts(n: int, words: list[bytes], bounds: np.ndarray, model: WordToke
     counts = np.diff(np.append(first, len(keys)))
     of = keys[first] // model.size
     entropy = np.log2(np.maximum(tokens, 1)) - np.bincount(of, counts * np.log2(counts), n) / np.maximum(tokens, 1)
-    return ids, doc, tokens, np.maximum(entropy, 0), numbers
+    return ids, doc, tokens, np.maximum(entropy, 0)
 
 
 def repeat_words(numbers: np.ndarray) -> int:
@@ -163,8 +177,9 @@ def measured(docs: DataFrame, model_path: str, ranks_path: str) -> DataFrame:
                 n_words = np.diff(bounds)
                 raw = texts.data.tobytes()
                 words = raw_words(raw, texts.bounds)
-                _, _, bpe_tokens, bpe_entropy, _ = token_counts(len(texts), words, bounds, bpe)
-                ids, doc, tokens, entropy, numbers = token_counts(len(texts), words, bounds, model)
+                numbers = model.numbers(words)
+                _, _, bpe_tokens, bpe_entropy = token_counts(len(texts), numbers, bounds, bpe)
+                ids, doc, tokens, entropy = token_counts(len(texts), numbers, bounds, model)
                 fallback = np.bincount(doc, model.is_byte[ids], len(texts))
                 heads = np.zeros(len(texts.data) + 1, np.int64)
                 np.cumsum((texts.data & 0xC0) != 0x80, out=heads[1:])

@@ -214,6 +214,29 @@ def test_bands_are_fitted_on_all_good_documents(spark):
     assert bands["latin"].most_bytes == 0.26 and bands_of(found, spark.range(30).withColumnRenamed("id", "doc_id")) == {}
 
 
+def test_two_vocabularies_share_numbers(monkeypatch):
+    """Words are looked up once for both vocabularies of operator 3, also after they were forgotten; odd words are cut by the pattern."""
+    from millrace.llm import fertility, wordtokens
+    from millrace.llm.bpe import _encoder, rank_file
+
+    monkeypatch.setattr(wordtokens, "REMEMBERED", 12)
+    paths = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    fertility._fertility.cache_clear()
+    model, bpe = fertility._fertility(*map(rank_file, paths))
+    pairs = _encoder(rank_file(paths[1]), public_tokenizers.PATTERN)
+    batches = ["Haus don't x's 3rd a1b2 straße", "été\u0301 naïve, \u00a0x\u2028y x\u00a0 ²x 日本 Ⅷ", "ª'll 'll' ...! Haus Haus ʰa \u0301 we've"]
+    for text in batches * 2:
+        words = [w.encode() for w in text.split(" ")]
+        numbers = model.numbers(words)
+        ids, sizes = bpe.tokens(numbers)
+        expected = [[i for ids in pairs.encode_pieces([p.encode() for p in pairs.pattern.findall(" " + w.decode())]) for i in ids] for w in words]
+        assert sizes.tolist() == list(map(len, expected)) and ids.tolist() == [i for own in expected for i in own]
+        assert len(bpe.bounds) == len(model.bounds) == len(model.known) + 1 and not bpe.known
+        ids, sizes = model.tokens(numbers)
+        assert ids.tolist() == [i for own in model.encode(words) for i in own]
+    fertility._fertility.cache_clear()
+
+
 def test_fertility_equals_brute_force(spark):
     """Tokens, fallback, entropy and the verdict, of whole texts, by the tokenizers' own libraries."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
