@@ -24,7 +24,7 @@ from millrace.llm.components import components
 from millrace.llm.decontamination import decontaminate
 from millrace.llm.fertility import MARGIN, MOST_DOUBLINGS, STEP, TAIL, WIDE, bands_of, fertility_rules, fitted_bands
 from millrace.llm.langid import Parser, as_rows, identify_language, learned_samples, running_text
-from millrace.llm.lm import LEVELS, Attention, ChunkTokens, Evidence, Ready, attention_scores, prepared, slots_of, trained
+from millrace.llm.lm import LEVELS, Attention, ChunkTokens, Evidence, Ready, attention_scores, numbered, prepared, slots_of, trained
 from millrace.llm.ngram_join import ngram_jaccard
 from millrace.llm.quotation import link_quotations
 from millrace.llm.sharding import SHARDS_SQL, extendible_shards
@@ -448,6 +448,30 @@ def test_attention_beats_bigrams_on_held_out_texts(spark):
     assert score / n > max(np.log10(x * two + (1 - x) * one).mean() for x in np.arange(0.05, 1, 0.05)) + 0.05
 
 
+def test_attention_writes_tokens_once_in_whole_chunks(spark):
+    """Small batches make no small chunks, and all passes share one checkpoint: what is ready isn't written again."""
+    rows = spark.createDataFrame([(i, f"red green {i} blue", i % 3 > 0) for i in range(40)], "doc_id long, text string, training boolean").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        attention_scores(rows.limit(1), RANKS).count()
+        folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+        before = set(folder.glob("rdd-*"))
+        assert attention_scores(rows, RANKS).count() == 40
+        assert len(set(folder.glob("rdd-*")) - before) == 1
+        assert prepared(rows, RANKS)[0].count() == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("bits", [5, 36, 50, 63])
+def test_numbered_equals_unique(bits):
+    keys = np.random.default_rng(bits).integers(0, 1 << bits, 30000).astype(np.uint64)
+    keys[:10000] = keys[10000:20000] ^ np.uint64(1)
+    for x in (keys, keys[:1], keys[:0]):
+        for found, expected in zip(numbered(x, bits), np.unique(x, return_inverse=True), strict=True):
+            assert (found == expected).all() and len(found) == len(expected)
+
+
 def test_attention_learns_from_every_training_text_to_its_end(spark):
     def score(texts):
         rows = [(i, t, True) for i, t in enumerate(texts)] + [(9999, "red green blue red green blue", False)]
