@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.retrieval import TERMS, terms
 from millrace.sources.tables import LEDGER_SQL, ledger, table
 
-#: Most characters of a passage.
-PASSAGE = 800
+#: Most characters of a passage; passages that leave a task at once; white space.
+PASSAGE, BATCH = 800, 10_000
+SPACES = re.compile(r"\s*")
 #: Elements whose text is not of the page's own, and such whose end closes a line.
 ASIDE = {"script", "style", "nav", "aside", "footer", "form", "noscript", "template", "iframe", "svg"}
 BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "div", "tr", "article", "section", "blockquote", "pre"}
@@ -24,12 +27,14 @@ def packed(text: str | None, most: int = PASSAGE) -> Iterator[str]:
     """Whole sentences, as many as fit in a passage; a longer sentence is cut at its size. Null or blank text: none."""
     own = ""
     for sentence in re.split(r"(?<=[.!?])\s+", (text or "").strip()):
-        while len(sentence) > most:
+        at = 0
+        while len(sentence) - at > most:
             if own:
                 yield own
                 own = ""
-            yield sentence[:most]
-            sentence = sentence[most:].lstrip()
+            yield sentence[at : at + most]
+            at = SPACES.match(sentence, at + most).end()
+        sentence = sentence[at:]
         if own and len(own) + 1 + len(sentence) > most:
             yield own
             own = sentence
@@ -42,13 +47,15 @@ def packed(text: str | None, most: int = PASSAGE) -> Iterator[str]:
 def chunk_documents(spark, d) -> DataFrame:
     """(doc_id, chunk_id, text): the passages of each document in order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("doc_id", pa.int64()), ("chunk_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                found = list(packed(text))
-                yield pd.DataFrame({"doc_id": [doc_id] * len(found), "chunk_id": range(len(found)), "text": found})
+            found = ((doc_id, k, part) for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True) for k, part in enumerate(packed(text)))
+            while rows := list(itertools.islice(found, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return table(spark, d, "documents").select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_id long, text string")
+    return table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chunk_id long, text string")
 
 
 class Page(HTMLParser):

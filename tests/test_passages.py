@@ -28,6 +28,19 @@ def test_chunks_hold_all_documents(spark):
     assert all(squeezed("".join(found.get(i, []))) == squeezed(t) for i, t in docs.items())
 
 
+def test_chunks_of_documents_without_text(spark, tmp_path):
+    """Null and blank texts have no passage, alone in their file or among others; ids beside a null one stay whole; a sentence of any length."""
+    rows = [(1, None), (2, ""), (3, " \n"), (9007199254740993, "One. Two."), (None, "x" * 2_000_000 + " . y")]
+    folder = tmp_path / "documents.parquet"
+    for part, own in enumerate((rows[:2], rows)):
+        spark.createDataFrame(own, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(folder))
+        found = sorted(((r.doc_id or 0, r.chunk_id, r.text) for r in chunk_documents(spark, str(tmp_path)).collect()))
+        if not part:
+            assert found == []
+    assert found[-1] == (9007199254740993, 0, "One. Two.")
+    assert [r[:2] for r in found[:-1]] == [(0, k) for k in range(2501)] and found[-2][2] == ". y"
+
+
 def test_page_text():
     html = "<title>T &amp; U</title><nav><a href=/>menu</a></nav><script>var t='</p>';</script><div class=ad>buy<div>now</div></div><p>One <b>two</b>.<p>Three <a href=x>four</a>"
     assert read_page(html) == ("T & U", "One two.\nThree four", 1)
