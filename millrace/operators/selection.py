@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,10 @@ NEGATIONS = ("nicht", "kein", "keine", "nie", "not", "no", "never")
 HALF_LIFE, LONG_LIFE, LEAST_AGE = 180.0, 365.0, 0.35
 #: What word sets of near copies share at least, of the smaller: by containment, or as follows from the Jaccard bound.
 SHARED = min(CONTAINED, 2 * JACCARD / (1 + JACCARD))
-#: Words of the sets of a share at most; words of a share, up to so many shares, where there are few.
-SHARE, PART, FEW = 16_000_000, 500_000, 6
+#: Words of the sets of a share at most, where a set counts as some words more; words of a share, up to so many shares, where there are few.
+SHARE, PART, FEW, EACH = 8_000_000, 500_000, 6, 16
+#: Words with a short number; about so many sets they are counted in; bits of a sketch; cells of candidates that are marked at once.
+COMMON, SAMPLED, BITS, CELLS = 65_536, 20_000, 1024, 4_000_000
 
 
 def note_score(confidence: Column, mentions: Column, age_days: Column, half_life: Column, relevance: Column) -> Column:
@@ -36,103 +38,202 @@ def near_word_sets(rows: DataFrame) -> DataFrame:
     """(a, b): items (group, item, words) of a group whose word sets are near copies: one holds 85 % of the smaller, or they overlap by
     72 %, and they agree in negations. Sets are distinct: equal ones should be one item.
 
-    Exact, with words by 64-bit hashes. Sets of a group that agree in negations are dealt into shares, each two of which meet in one task, whole:
-    a set goes once to each share, and only near pairs leave the task, so that no candidate is ever shuffled."""
+    Exact, with words by 64-bit hashes; those that are frequent in a bounded sample of sets go by a number of 16 bits. Sets of a group that agree in
+    negations are dealt into shares, each two of which meet in one task, whole: a set goes once to each share, and only near pairs leave the task, so
+    that no candidate is ever shuffled."""
     words = F.array_distinct("words")
     turns = F.array_join(F.array_sort(F.array_intersect(words, F.array(*map(F.lit, NEGATIONS)))), " ")
     sized = rows.select(F.struct("group", turns.alias("turns")).alias("key"), "item", F.transform(words, lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") > 0)
-    held = sized.groupBy("key").agg(F.sum(F.size("hashes")).alias("held"))
+    held = settled(sized.groupBy("key").agg(F.count("*").alias("sets"), F.sum(F.size("hashes") + EACH).alias("held")))
     shares = F.greatest(F.ceil(F.col("held") / SHARE), F.least(F.lit(FEW), F.ceil(F.col("held") / PART))).cast("int")
-    dealt = sized.join(settled(held.select("key", shares.alias("shares"))), "key").withColumn("own", F.pmod(F.xxhash64("item"), F.col("shares")).cast("int"))
-    left = dealt.select("key", F.col("own").alias("s"), F.explode(F.sequence("own", F.col("shares") - 1)).alias("t"), "item", "hashes")
-    right = dealt.where("own > 0").select(F.col("key").alias("to_key"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("to_s"), F.col("own").alias("to_t"), F.col("item").alias("to_item"), F.col("hashes").alias("to_hashes"))
+    dealt = sized.join(held.select("key", shares.alias("shares")), "key").withColumn("own", F.pmod(F.xxhash64("item"), F.col("shares")).cast("int"))
+    dealt = settled(numbered(dealt, common_words(sized, held.agg(F.sum("sets")).first()[0] or 0)))
+    left = dealt.select("key", F.col("own").alias("s"), F.explode(F.sequence("own", F.col("shares") - 1)).alias("t"), "item", "common", "hashes")
+    right = dealt.where("own > 0").select(F.col("key").alias("to_key"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("to_s"), F.col("own").alias("to_t"), F.col("item").alias("to_item"), F.col("common").alias("to_common"), F.col("hashes").alias("to_hashes"))
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
         met = []
         if x.num_rows:
             alone = x.column("s")[0] == x.column("t")[0]
-            x = WordSets(x.column("item"), x.column("hashes"))
+            x = WordSets(x.column("item"), x.column("common"), x.column("hashes"))
             if alone:
                 met = [near_of(x, x)]
             elif y.num_rows:
-                y = WordSets(y.column("to_item"), y.column("to_hashes"))
+                y = WordSets(y.column("to_item"), y.column("to_common"), y.column("to_hashes"))
                 met = [near_of(x, y), near_of(y, x)]
         return pa.table({c: np.concatenate([np.zeros(0, np.int64), *(m[i] for m in met)]) for i, c in enumerate("ab")})
 
     return left.groupBy("key", "s", "t").cogroup(right.groupBy("to_key", "to_s", "to_t")).applyInArrow(run, "a long, b long")
 
 
+def common_words(sized: DataFrame, sets: int) -> np.ndarray:
+    """Hashes of the words that most sets of a sample have, 65,536 at most, in their order. Which these are bears on size and speed only."""
+    some = sized.where(F.pmod(F.xxhash64("item"), F.lit(max(1, sets // SAMPLED))) == 0)
+    counts = some.select(F.explode("hashes").alias("word")).groupBy("word").count().where("count > 1")
+    return np.sort(np.array([r.word for r in counts.orderBy(F.desc("count"), "word").limit(COMMON).collect()], np.int64))
+
+
+def numbered(rows: DataFrame, known: np.ndarray) -> DataFrame:
+    """Rows with ``common``, the places of known words, which ``hashes`` then has no more."""
+    schema = rows.drop("hashes").withColumns({"common": F.array().cast("array<smallint>"), "hashes": F.array().cast("array<bigint>")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, flat = pc.list_value_length(batch.column("hashes")).to_numpy(), pc.list_flatten(batch.column("hashes")).to_numpy()
+            at = np.searchsorted(known, flat)
+            hit = known[np.minimum(at, len(known) - 1)] == flat if len(known) else np.zeros(len(flat), bool)
+            ends = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])]
+            common = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[hit].astype(np.uint16).view(np.int16)))
+            rest = pa.ListArray.from_arrays(pa.array((np.concatenate([[0], np.cumsum(sizes)]) - ends).astype(np.int32)), pa.array(flat[~hit]))
+            made = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"common": common, "hashes": rest}
+            yield pa.RecordBatch.from_arrays([made[f.name] for f in schema], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 class WordSets:
-    """Sets of word hashes of one share, from the least to the largest, with an index by word and sketches of some bits."""
-
-    def __init__(self, items: pa.ChunkedArray, hashes: pa.ChunkedArray):
-        ids, sizes = items.to_numpy().astype(np.int64), pc.list_value_length(hashes).to_numpy().astype(np.int64)
-        flat = pc.list_flatten(hashes).to_numpy()
-        order = np.lexsort((ids, sizes))
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        owner = np.repeat(place, sizes)
-        by_owner = np.argsort(owner, kind="stable")
-        self.ids, self.sizes, self.words, self.owner = ids[order], sizes[order], flat[by_owner], owner[by_owner]
+    """Sets of words of one share, from the least to the largest: numbers of common words and hashes of others, each set's in a row."""
+
+    def __init__(self, items: pa.ChunkedArray, common: pa.ChunkedArray, hashes: pa.ChunkedArray):
+        ids = items.to_numpy().astype(np.int64)
+        lengths = [pc.list_value_length(c).to_numpy().astype(np.int64) for c in (common, hashes)]
+        order = np.lexsort((ids, lengths[0] + lengths[1]))
+        self.ids, self.sizes = ids[order], (lengths[0] + lengths[1])[order]
+        self.parts, self.ends = [], []
+        for column, length, kind in zip((common, hashes), lengths, (np.uint16, np.int64), strict=True):
+            starts = (np.cumsum(length) - length)[order]
+            flat = pc.list_flatten(column).to_numpy().view(kind)
+            out, length = np.empty(len(flat), kind), length[order]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            for rows in _parted(length):
+                out[ends[rows.start] : ends[rows.stop]] = flat[_ranges(starts[rows], length[rows])]
+            self.parts.append(out)
+            self.ends.append(ends)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.missing = self.sizes - np.ceil(self.sizes * SHARED - 1e-9).astype(np.int64)
-        self.known, code = np.unique(self.words, return_inverse=True)
-        # Places of the sets that have a word, word by word: sorted, so that whether a set has a word is one search.
-        self.held = np.sort(code * len(self.ids) + self.owner)
-        self.starts = np.searchsorted(self.held, np.arange(len(self.known) + 1) * len(self.ids))
-
-    @functools.lru_cache  # noqa: B019
-    def sketches(self, bits: int) -> np.ndarray:
-        out = np.empty((len(self.ids), bits // 64), np.uint64)
-        at = (self.words & (bits - 1)).astype(np.int64)
-        for i in range(0, len(self.ids), 4096):
-            part = np.zeros((min(4096, len(self.ids) - i), bits), bool)
-            rows = slice(self.first[i], self.first[i + len(part)])
-            part[self.owner[rows] - i, at[rows]] = True
-            out[i : i + len(part)] = np.packbits(part, axis=1).view(np.uint64)
+
+    def words(self, rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of these sets: the common words and the others, and where each of them stands if a set has its common ones first."""
+        (common, rare), (c, r) = self.parts, self.ends
+        first = self.first[rows] - self.first[rows.start]
+        known, rest = np.diff(c[rows.start : rows.stop + 1]), np.diff(r[rows.start : rows.stop + 1])
+        return common[c[rows.start] : c[rows.stop]], rare[r[rows.start] : r[rows.stop]], _ranges(first, known), _ranges(first + known, rest)
+
+    def sketches(self, rows: slice) -> np.ndarray:
+        out = np.empty((rows.stop - rows.start, BITS // 64), np.uint64)
+        for i in range(rows.start, rows.stop, 4096):
+            part = slice(i, min(i + 4096, rows.stop))
+            common, rare, *at = self.words(part)
+            owner, held = np.repeat(np.arange(part.stop - i), self.sizes[part]), np.zeros((part.stop - i, BITS), bool)
+            for values, places in zip((common, rare), at, strict=True):
+                held[owner[places], (values & values.dtype.type(BITS - 1)).astype(np.int64)] = True
+            out[i - rows.start : part.stop - rows.start] = np.packbits(held, axis=1).view(np.uint64)
         return out
 
 
+class WordIndex:
+    """Sets with their words as numbers of the share: by set, and by word the places of the sets that have it, sorted."""
+
+    def __init__(self, sets: WordSets):
+        self.known, whole = np.unique(sets.parts[1]), slice(0, len(sets.ids))
+        self.codes, self.sketches = np.empty(sets.first[-1], np.int32), sets.sketches(whole)
+        key = np.empty(len(self.codes), np.int64)
+        for rows in _parted(sets.sizes):
+            at = slice(sets.first[rows.start], sets.first[rows.stop])
+            self.codes[at] = self.coded(sets, rows)
+            key[at] = self.codes[at].astype(np.int64) << 32 | np.repeat(np.arange(rows.start, rows.stop), sets.sizes[rows])
+        key.sort()
+        self.owners = (key.view(np.int32)[::2] if sys.byteorder == "little" else key.view(np.int32)[1::2]).copy()
+        del key
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.codes, minlength=COMMON + len(self.known)))])
+        # Cells of each set, a power of two of four times its words at least: which of them its words fall into.
+        self.width = np.int64(1) << np.ceil(np.log2(4 * sets.sizes)).astype(np.int64)
+        self.begin = np.cumsum(self.width) - self.width
+        self.cells = np.zeros(self.width.sum(), bool)
+        for rows in _parted(sets.sizes):
+            size = sets.sizes[rows]
+            self.cells[np.repeat(self.begin[rows], size) + (self.codes[sets.first[rows.start] : sets.first[rows.stop]] & np.repeat(self.width[rows] - 1, size))] = True
+
+    def coded(self, sets: WordSets, rows: slice) -> np.ndarray:
+        """Numbers of the words of these sets; those that the share doesn't have are -1."""
+        common, rare, known, rest = sets.words(rows)
+        out = np.full(len(common) + len(rare), -1, np.int32)
+        out[known] = common
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, rare), len(self.known) - 1)
+            out[rest] = np.where(self.known[at] == rare, at + COMMON, -1)
+        return out
+
+    def holding(self, places: np.ndarray, code: np.ndarray, least: int) -> np.ndarray:
+        """Of these sets those that may have so many of the words, and all that have them."""
+        code = code[code >= 0]
+        if len(code) < least:
+            return places[:0]
+        step, found = max(1, 500_000 // max(1, len(code))), [places[:0]]
+        for k in range(0, len(places), step):
+            to = places[k : k + step]
+            found.append(to[np.count_nonzero(self.cells[self.begin[to, None] + (code & (self.width[to, None] - 1))], axis=1) >= least])
+        return np.concatenate(found)
+
+
 def near_of(x: WordSets, y: WordSets) -> tuple[np.ndarray, np.ndarray]:
     """Ids of near copies of which the smaller (ties: the lesser id) is in x, the larger in y. A set's words that are rarest in y, so many that no near
-    copy can miss all of them, name the candidates; words in sketches of them that the larger one has not rule most of these out."""
+    copy can miss all of them, name the candidates; words that the larger one's sketch, then its cells have not rule most of these out."""
     none = np.zeros(0, np.int64)
     n = len(y.ids)
     if not n or not len(x.ids):
         return none, none
-    code = np.minimum(np.searchsorted(y.known, x.words), len(y.known) - 1)
-    df = np.where(y.known[code] == x.words, y.starts[code + 1] - y.starts[code], 0)
-    order = np.argsort((x.owner << 32) + df, kind="stable")
-    rare = order[(np.arange(len(order)) - x.first[x.owner] <= x.missing[x.owner]) & (df[order] > 0)]
+    index, met = WordIndex(y), ([], [])
+    marks = np.zeros(len(index.starts), np.uint8)
     # The first of y's sets that are larger.
-    bounds = np.searchsorted(y.sizes, x.sizes, "left"), np.searchsorted(y.sizes, x.sizes, "right")
-    larger = np.array([lo + np.searchsorted(y.ids[lo:hi], i, "right") for lo, hi, i in zip(*bounds, x.ids, strict=True)], np.int64)
-    lo = np.searchsorted(y.held, code[rare] * n + larger[x.owner[rare]])
-    count = np.maximum(y.starts[code[rare] + 1] - lo, 0)
-    met = [], []
-    for rows in _parted(count):
-        at = _ranges(lo[rows], count[rows])
-        pairs = np.unique(np.repeat(x.owner[rare[rows]], count[rows]) * n + y.held[at] % n)
+    larger, last = np.searchsorted(y.sizes, x.sizes, "left"), np.searchsorted(y.sizes, x.sizes, "right")
+    for i in np.nonzero(larger < last)[0]:
+        larger[i] += np.searchsorted(y.ids[larger[i] : last[i]], x.ids[i], "right")
+    for rows in _parted(x.sizes + 1_000_000 * n // CELLS, 1_000_000):
+        code, sizes, missing = index.coded(x, rows), x.sizes[rows], x.missing[rows]
+        owner, first = np.repeat(np.arange(len(sizes)), sizes), x.first[rows] - x.first[rows.start]
+        df = np.where(code >= 0, index.starts[code + 1] - index.starts[code], 0)
+        order = np.argsort((owner << 32) + df)
+        rare = order[(np.arange(len(order)) - first[owner] <= missing[owner]) & (df[order] > 0)]
+        pairs = _candidates(index, code[rare], df[rare], owner[rare], larger[rows], len(sizes), n)
+        if not len(pairs):
+            continue
+        sketches = x.sketches(rows)
         a, b = pairs // n, pairs % n
-        for bits in (1024, 8192):
-            sa, sb = x.sketches(bits), y.sketches(bits)
-            fits = np.concatenate([np.zeros(0, bool), *(np.bitwise_count(sa[a[i : i + 8192]] & ~sb[b[i : i + 8192]]).sum(axis=1, dtype=np.int64) <= x.missing[a[i : i + 8192]] for i in range(0, len(a), 8192))])
-            a, b = a[fits], b[fits]
-        for part in _parted(x.sizes[a]):
-            pa_, pb_ = a[part], b[part]
-            size = x.sizes[pa_]
-            words = _ranges(x.first[pa_], size)
-            key = code[words] * n + np.repeat(pb_, size)
-            found = np.minimum(np.searchsorted(y.held, key), len(y.held) - 1)
-            has = (y.held[found] == key) & (df[words] > 0)
-            both = np.bincount(np.repeat(np.arange(len(pa_)), size), has, len(pa_))
-            near = (both / size >= CONTAINED) | (both / (size + y.sizes[pb_] - both) >= JACCARD)
-            met[0].append(x.ids[pa_[near]])
-            met[1].append(y.ids[pb_[near]])
-    a, b = (np.concatenate([none, *m]) for m in met)
-    # A pair that two parts have is one.
-    pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+        fits = np.concatenate([np.bitwise_count(sketches[a[i : i + 8192]] & ~index.sketches[b[i : i + 8192]]).sum(axis=1, dtype=np.int64) <= missing[a[i : i + 8192]] for i in range(0, len(a), 8192)])
+        a, b = a[fits], b[fits]
+        turns = np.concatenate([[0], np.nonzero(np.diff(a))[0] + 1, [len(a)]]) if len(a) else [0]
+        for i, j in zip(turns[:-1], turns[1:], strict=True):
+            at, size, miss = first[a[i]], sizes[a[i]], missing[a[i]]
+            own, may = code[order[at : at + size]], b[i:j]
+            for most in (min(size, 2 * miss + 1), size):
+                may = index.holding(may, own[:most], most - miss)
+            own = own[own >= 0]
+            marks[own] = 1
+            for part in _parted(y.sizes[may], 1_000_000):
+                to = may[part]
+                held = y.sizes[to]
+                both = np.add.reduceat(marks[index.codes[_ranges(y.first[to], held)]], np.cumsum(held) - held, dtype=np.int64)
+                to = to[(both / size >= CONTAINED) | (both / (size + held - both) >= JACCARD)]
+                met[0].append(np.full(len(to), x.ids[rows.start + a[i]]))
+                met[1].append(y.ids[to])
+            marks[own] = 0
+    return tuple(np.concatenate([none, *m]) for m in met)
+
+
+def _candidates(index: WordIndex, code: np.ndarray, df: np.ndarray, owner: np.ndarray, larger: np.ndarray, sets: int, n: int) -> np.ndarray:
+    """owner * n + place, sorted, each once: sets of the index, from ``larger`` on, that have a word of an owner."""
+    few = df.sum() < sets * n // 64
+    marked, found = np.zeros(0 if few else sets * n, bool), [np.zeros(0, np.int64)]
+    for part in _parted(df):
+        to, own = index.owners[_ranges(index.starts[code[part]], df[part])], np.repeat(owner[part], df[part])
+        fits = to >= larger[own]
+        pairs = own[fits] * n + to[fits]
+        if few:
+            found.append(pairs)
+        else:
+            marked[pairs] = True
+    return np.unique(np.concatenate(found)) if few else np.flatnonzero(marked)
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -155,7 +256,7 @@ def distinct_notes(rows: DataFrame) -> DataFrame:
     """Notes (group, item, score, words) that stay if one goes through each group by score (ties: the least item) and leaves out near copies
     of what stays. Equal word sets are one, of the best note; the rest is rounds over near pairs, so a group may be the whole table.
     Notes without words stay."""
-    key = F.concat_ws("\x1f", F.array_sort(F.array_distinct("words")))
+    key = F.sha2(F.concat_ws("\x1f", F.array_sort(F.array_distinct("words"))), 256)
     rows = settled(rows.withColumn("key", key).withColumn("empty", F.size("words") <= 0))
     first = Window.partitionBy("group", "key").orderBy(F.desc("score"), "item")
     one = settled(rows.where("not empty").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"))

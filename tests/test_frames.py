@@ -4,8 +4,10 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.operators import communities, entities, finance, knowledge, linked_data, pseudonyms, quality, ranking, reconcile, retrieval, search_index, selection, series, store, subgraphs, toolbox, tools, vectors
@@ -570,6 +572,28 @@ def test_word_sets_meet_in_shares(spark):
         assert "FlatMapCoGroupsInArrow" in top
 
 
+def test_memory_of_word_sets_that_meet():
+    """What two shares take at most while they meet, a word (70 bytes for one share alone when each word was kept five times), and their pairs."""
+    rng = np.random.default_rng(3)
+    size, n = 300, 5_000
+    common, rare = rng.integers(0, 40_000, (n, size * 4 // 5)), rng.integers(70_000, 1 << 40, (n, size // 5))
+    common = np.sort(common, axis=1) + np.arange(common.shape[1])
+    common[1::50], rare[1::50] = common[::50], rare[::50]
+    rare[1::50, :20] += 1 << 41
+    lists = lambda of, kind: pa.chunked_array([pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * of.shape[1]), pa.array(of.ravel().astype(kind)))])
+    tables = [(pa.chunked_array([pa.array(np.arange(n) + k * n)]), lists(common.astype(np.uint16).view(np.int16), np.int16), lists(rare + (k << 50), np.int64)) for k in (0, 1)]
+    tracemalloc.start()
+    try:
+        x, y = (selection.WordSets(*t) for t in tables)
+        a, b = selection.near_of(x, x)
+        to, _ = selection.near_of(x, y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {*zip(a.tolist(), b.tolist(), strict=True)} == {(i, i + 1) for i in range(0, n, 50)} and not len(to)
+    assert peak < 34 * 2 * n * size
+
+
 def test_selection_equals_the_loop(spark):
     """One group of all notes and several; copies, subsets, negations, notes without words, a category that has none."""
     rng, rows = random.Random(8), []
