@@ -8,12 +8,15 @@ the loop's result in few rounds.
 
 from __future__ import annotations
 
+from decimal import ROUND_CEILING, Decimal
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.knowledge import normal_entity, triples
-from millrace.operators.vectors import equal_vectors, near_pairs, unit_vectors
+from millrace.operators.vectors import equal_vectors, matrix, near_pairs, unit_vectors
 from millrace.sources.shared import settled
 
 
@@ -24,12 +27,35 @@ def case_classes(names: DataFrame) -> DataFrame:
     return names.withColumn("key", key).join(best, "key").select("entity", "canonical")
 
 
-def cliques(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+def grown(vectors: pa.Table, least: float) -> pa.Table:
+    """(node, clique) of a centre's neighbours (centre, x, score, embedding): a task holds their vectors, not which of them are neighbours."""
+    # What rounds to the least number of five places that is enough.
+    least = float(Decimal(repr(least)).quantize(Decimal("1e-5"), ROUND_CEILING) - Decimal("5e-6"))
+    x, score, units = vectors.column("x").to_numpy(), vectors.column("score").to_numpy(), matrix(vectors.column("embedding"))
+    order = np.argsort(x)
+    x, score, units = x[order], score[order], units[order]
+    near = lambda i, of: np.einsum("ij,ij->i", of, np.broadcast_to(units[i], of.shape)) >= least
+    member = int(np.lexsort((x, score))[-1])
+    members, open_to = [member], np.delete(np.arange(len(x)), member)
+    of = units[open_to]
+    while len(open_to):
+        fits = near(member, of)
+        if not fits.all():
+            open_to, of = open_to[fits], of[fits]
+        if len(open_to):
+            member, open_to, of = int(open_to[0]), open_to[1:], of[1:]
+            members.append(member)
+    nodes = [*x[members].tolist(), vectors.column("centre")[0].as_py()]
+    return pa.table({"node": pa.array(nodes, pa.int64()), "clique": pa.array(nodes[-1:] * len(nodes), pa.int64())})
+
+
+def cliques(pairs: DataFrame, sizes: DataFrame, units: DataFrame | None = None, least: float = 0.0) -> DataFrame:
     """(node, clique): greedy cliques of a graph of pairs (a, b, score) of nodes (node, size), named by the node that each began with.
 
     A node stands for ``size`` equal ones. The node of most neighbours, its equals included (ties: the least), begins; its nearest
     neighbour (ties: the greatest) joins, then, from the least, every node that all members are next to. Nodes left without
-    neighbours are a clique if they stand for several, else in none.
+    neighbours are a clique if they stand for several, else in none. With ``units`` (node, embedding), nodes are neighbours where these are at
+    least so alike, and ``pairs`` has all of them: then no neighbours of neighbours are joined, whose number is the square of a node's.
     """
     both = pairs.select("a", "b", "score").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     left = settled(both.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score")))
@@ -43,6 +69,11 @@ def cliques(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
         far = left.join(one.select(F.col("node").alias("b"), "top"), "b").groupBy(F.col("a").alias("node")).agg(F.max("top").alias("far"))
         centres = settled(one.join(far, "node").where((F.col("rank") >= F.col("top")) & (F.col("rank") >= F.col("far"))).select("node"))
         spokes = left.join(centres.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("centre"), F.col("b").alias("x"), "score")
+        if units is not None:
+            held = spokes.join(units.withColumnRenamed("node", "x"), "x").select("centre", "x", "score", "embedding")
+            found = settled(held.groupBy("centre").applyInArrow(lambda t: grown(t, least), "node long, clique long"))
+            out, left = _without(out, left, found)
+            continue
         inner = spokes.select("centre", "x").join(left.select(F.col("a").alias("x"), F.col("b").alias("y")), "x").join(spokes.select("centre", F.col("x").alias("y")), ["centre", "y"])
         rows = spokes.select("centre", "x", F.lit(None).cast("long").alias("y"), "score").unionByName(inner.select("centre", "x", "y", F.lit(0.0).alias("score")))
 
@@ -66,14 +97,18 @@ def cliques(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
             return pa.table({"node": pa.array(members, pa.int64()), "clique": pa.array([centre] * len(members), pa.int64())})
 
         found = settled(rows.groupBy("centre").applyInArrow(grow, "node long, clique long"))
-        out = found if out is None else settled(out.unionByName(found))
-        gone = found.select("node")
-        left = left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
-        left = settled(left)
+        out, left = _without(out, left, found)
     many = sizes.where("size > 1").select("node", F.col("node").alias("clique"))
     return many if out is None else out.unionByName(many.join(out, "node", "left_anti"))
 
 
+def _without(out: DataFrame | None, left: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All cliques so far, and the pairs of nodes that are in none."""
+    gone = found.select("node")
+    left = left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
+    return found if out is None else settled(out.unionByName(found)), settled(left)
+
+
 def name_words(name: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normal_entity(name), " "), lambda w: w != ""))
 
@@ -105,8 +140,9 @@ def resolve_entities(names: DataFrame, least: float = 0.92, sure: float | None =
     alone = settled(alone.withColumn("vec_id", F.xxhash64("entity")))
     classes = settled(equal_vectors(unit_vectors(alone.select("vec_id", "embedding"))))
     sizes = classes.groupBy(F.col("first").alias("node")).agg(F.count("*").alias("size"))
-    links = settled(near_pairs(classes.where("vec_id = first"), least))
-    grouped = cliques(links, settled(sizes)).join(classes.withColumnRenamed("first", "node"), "node").join(alone.drop("embedding"), "vec_id")
+    one = classes.where("vec_id = first")
+    links = settled(near_pairs(one, least))
+    grouped = cliques(links, settled(sizes), one.select(F.col("vec_id").alias("node"), "embedding"), least).join(classes.withColumnRenamed("first", "node"), "node").join(alone.drop("embedding"), "vec_id")
     best = F.max_by(F.struct(F.col("entity").alias("canonical"), F.col("embedding").alias("canonical_vector")), F.struct("frequency", "entity"))
     grouped = grouped.join(grouped.groupBy("clique").agg(best.alias("best")), "clique").select("entity", F.col("embedding").alias("vector"), "best.*").where("entity <> canonical")
     alike = accepted(grouped, least, sure, lexical).select("entity", "canonical", F.lit("alike").alias("reason"))

@@ -232,6 +232,32 @@ def test_cliques_equal_the_loop(spark):
         assert {r.node: r.clique for r in found.collect()} == loop_cliques(rows, sizes)
 
 
+def test_cliques_by_vectors_equal_those_by_pairs(spark):
+    """Chains and dense groups, scores at the bound; what a centre's task gets grows with its neighbours, not with their square."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(6, 12))
+    data = np.concatenate([base[rng.integers(0, 6, 150)] + rng.normal(size=(150, 12)) * rng.choice([0.1, 0.3, 0.5], (150, 1)), rng.normal(size=(20, 12))])
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(unit.tolist())], "vec_id long, embedding array<double>")
+    units, sizes = rows.withColumnRenamed("vec_id", "node"), {i: 1 + (i % 7 == 0) for i in range(len(unit))}
+    sized, some = spark.createDataFrame(list(sizes.items()), "node long, size long"), vectors.near_pairs(rows, 0.9).collect()
+    for least in (0.9, 0.9100049, sorted(r.score for r in some)[len(some) // 2]):
+        pairs = vectors.near_pairs(rows, least)
+        want = loop_cliques([tuple(r) for r in pairs.collect()], sizes)
+        assert {r.node: r.clique for r in entities.cliques(pairs, sized, units, least).collect()} == want and len(want) > 30
+    n = 3_000
+    same = np.eye(1, 8)[0] + rng.normal(size=(n, 8)) * 1e-3
+    same /= np.linalg.norm(same, axis=1, keepdims=True)
+    table = pa.table({"centre": pa.array([n] * n), "x": pa.array(range(n)), "score": pa.array([1.0] * n), "embedding": pa.array(same.tolist())})
+    tracemalloc.start()
+    try:
+        made = entities.grown(pa.table({c: pa.chunked_array([table.column(c).combine_chunks()]) for c in table.column_names}), 0.92)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(made.column("node").to_pylist()) == list(range(n + 1)) and peak < 1_000 * n
+
+
 def test_entities_odd_names(spark):
     """Null names and vectors, equal vectors under many names, a name that merges by case and then by vector."""
     x, y = [1.0] + [0.0] * 7, [0.0, 1.0] + [0.0] * 6
