@@ -22,7 +22,7 @@ HALF_LIFE, LONG_LIFE, LEAST_AGE = 180.0, 365.0, 0.35
 #: What word sets of near copies share at least, of the smaller: by containment, or as follows from the Jaccard bound.
 SHARED = min(CONTAINED, 2 * JACCARD / (1 + JACCARD))
 #: Words of the sets of a share at most, where a set counts as some words more; words of a share, up to so many shares, where there are few.
-SHARE, PART, FEW, EACH = 8_000_000, 500_000, 6, 16
+SHARE, PART, FEW, EACH = 8_000_000, 1_000_000, 3, 16
 #: Words with a short number; about so many sets they are counted in; bits of a sketch; cells of candidates that are marked at once.
 COMMON, SAMPLED, BITS, CELLS = 65_536, 20_000, 1024, 4_000_000
 
@@ -41,13 +41,23 @@ def near_word_sets(rows: DataFrame) -> DataFrame:
     Exact, with words by 64-bit hashes; those that are frequent in a bounded sample of sets go by a number of 16 bits. Sets of a group that agree in
     negations are dealt into shares, each two of which meet in one task, whole: a set goes once to each share, and only near pairs leave the task, so
     that no candidate is ever shuffled."""
-    words = F.array_distinct("words")
+    return met_word_sets(word_sets(rows.select("group", "item", "words")))
+
+
+def word_sets(rows: DataFrame) -> DataFrame:
+    """Rows with their sets of words as numbers (common, hashes) and ``key``, within which these are compared, instead of their words; as a table."""
+    words = F.array_distinct(F.coalesce("words", F.array().cast("array<string>")))
     turns = F.array_join(F.array_sort(F.array_intersect(words, F.array(*map(F.lit, NEGATIONS)))), " ")
-    sized = rows.select(F.struct("group", turns.alias("turns")).alias("key"), "item", F.transform(words, lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") > 0)
-    held = settled(sized.groupBy("key").agg(F.count("*").alias("sets"), F.sum(F.size("hashes") + EACH).alias("held")))
+    hashed = rows.withColumns({"key": F.struct("group", turns.alias("turns")), "hashes": F.transform(words, lambda w: F.xxhash64(w))}).drop("words")
+    return settled(numbered(hashed, common_words(hashed, rows.count())))
+
+
+def met_word_sets(sets: DataFrame) -> DataFrame:
+    """(a, b): near copies among sets (key, item, common, hashes), as ``word_sets`` has them."""
+    sized = sets.withColumn("size", F.size("common") + F.size("hashes")).where("size > 0")
+    held = settled(sized.groupBy("key").agg(F.sum(F.col("size") + EACH).alias("held")))
     shares = F.greatest(F.ceil(F.col("held") / SHARE), F.least(F.lit(FEW), F.ceil(F.col("held") / PART))).cast("int")
     dealt = sized.join(held.select("key", shares.alias("shares")), "key").withColumn("own", F.pmod(F.xxhash64("item"), F.col("shares")).cast("int"))
-    dealt = settled(numbered(dealt, common_words(sized, held.agg(F.sum("sets")).first()[0] or 0)))
     left = dealt.select("key", F.col("own").alias("s"), F.explode(F.sequence("own", F.col("shares") - 1)).alias("t"), "item", "common", "hashes")
     right = dealt.where("own > 0").select(F.col("key").alias("to_key"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("to_s"), F.col("own").alias("to_t"), F.col("item").alias("to_item"), F.col("common").alias("to_common"), F.col("hashes").alias("to_hashes"))
 
@@ -256,13 +266,14 @@ def distinct_notes(rows: DataFrame) -> DataFrame:
     """Notes (group, item, score, words) that stay if one goes through each group by score (ties: the least item) and leaves out near copies
     of what stays. Equal word sets are one, of the best note; the rest is rounds over near pairs, so a group may be the whole table.
     Notes without words stay."""
-    key = F.sha2(F.concat_ws("\x1f", F.array_sort(F.array_distinct("words"))), 256)
-    rows = settled(rows.withColumn("key", key).withColumn("empty", F.size("words") <= 0))
-    first = Window.partitionBy("group", "key").orderBy(F.desc("score"), "item")
-    one = settled(rows.where("not empty").withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth"))
+    same = F.sha2(F.concat_ws("\x1f", F.array_sort(F.array_distinct("words"))), 256)
+    sets = word_sets(rows.select("group", "item", "score", "words", same.alias("same")))
+    empty = F.size("common") + F.size("hashes") == 0
+    first = Window.partitionBy("group", "same").orderBy(F.desc("score"), "item")
+    one = settled(sets.where(~empty).select("group", "same", "score", "item").withColumn("nth", F.row_number().over(first)).where("nth = 1").select("item", "score"))
     place = one.select("item", F.struct(F.negative("score").alias("score"), "item").alias("place"))
-    kept = ordered_independent(place, near_word_sets(one))
-    return rows.join(kept.select("item"), "item", "left_semi").unionByName(rows.where("empty")).drop("key", "empty")
+    kept = ordered_independent(place, met_word_sets(sets.select("key", "item", "common", "hashes").join(one.select("item"), "item", "left_semi")))
+    return rows.join(kept.select("item").unionByName(sets.where(empty).select("item")), "item", "left_semi")
 
 
 def covering(rows: DataFrame, n: int, first: tuple[str, ...]) -> DataFrame:
